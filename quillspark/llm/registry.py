@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import fingerprint, line_dedup, packing, sharding, substring_index, suffix_dedup
+from quillspark.llm import fingerprint, line_dedup, ngram_join, packing, sharding, substring_index, suffix_dedup
 from quillspark.session import ship
 from quillspark.sources import table
 
@@ -23,6 +23,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_components(documents(spark, sf_dir), words=4, percent=85)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(documents(spark, sf_dir))
 
@@ -49,6 +53,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_sharding": op3_sharding,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_packing": op5_packing,
