@@ -1,10 +1,82 @@
-"""A corpus pipeline of five stages over documents."""
+"""A corpus pipeline over documents: reject junk, drop repeated lines, near-duplicates and repeated passages, pack.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; every stage but the last returns the columns of
+documents (doc_id, text, lang, source, n_chars), n_chars being kept in step with text. Documents
+that a stage leaves without any text go. Extra columns of docs are not carried on. Rows without doc_id
+stay until the stages that compare documents by their ids; packing takes them too.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.llm import line_dedup, ngram_join, packing, quality, suffix_dedup
+from quillspark.llm.registry import tokenizer_file
+from quillspark.session import checkpoint_dir, ship
+from quillspark.sources import table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _documents(df: DataFrame) -> DataFrame:
+    """The columns of documents, n_chars counted anew."""
+    return df.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, fitted to labels, doesn't reject."""
+    ship(spark)
+    return quality.keep_good(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later runs of repeated lines go; so do documents that consisted of nothing else."""
+    out = line_dedup.dedup_lines(docs.select(*COLUMNS))
+    return _documents(out.where("n_deleted = 0 OR n_deleted < n_lines"))
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest doc_id, of each class of near-duplicates."""
+    ship(spark)
+    return ngram_join.keep_one_of_each(docs.select(*COLUMNS))
+
+
+def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 400 bytes and more that occur elsewhere too go; so do documents that consisted of nothing else."""
+    ship(spark)
+    docs = docs.select(*COLUMNS)
+    out = suffix_dedup.dedup_suffixes(docs, with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("__id"), "n_bytes", "n_removed", "kept")
+    out = docs.join(out, docs["doc_id"] == F.col("__id"), "left")
+    return _documents(out.where("n_removed IS NULL OR n_removed < n_bytes").withColumn("text", F.coalesce("kept", "text")))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 tokens, each with its place in a sequence."""
+    ship(spark)
+    return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_classifier", classify),
+    ("line_dedup", dedup_lines),
+    ("ngram_jaccard_join", dedup_near),
+    ("suffix_array_dedup", dedup_passages),
+    ("packing", pack),
+]
+
+#: SQL can't express the classifier, the byte-wise dedup and the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; what each but the last returns is written to the shared folder and read again."""
+    import uuid
+
+    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
