@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import scalars
 from quillspark.operators import graph, groups, lookups, pages, rules, search
 from quillspark.sources import table
+from quillspark.streaming import events as event_windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -526,3 +527,21 @@ def visible_minus_hidden(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag")
     hidden = items.where("l_returnflag = 'R'").select("l_orderkey")
     return items.join(hidden, "l_orderkey", "left_anti").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+
+
+# Windows over events (an extension; the same functions take streams) ---------------------------------------------------------
+
+
+@query("""
+SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def events_hourly(spark, sf_dir):
+    out = event_windows.windowed_counts(table(spark, sf_dir, "events"))
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query("""
+WITH f AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM f)
+SELECT user_id, min(ts) AS session_start, count(*) AS n FROM g GROUP BY user_id, s""")
+def event_sessions(spark, sf_dir):
+    return event_windows.sessions(table(spark, sf_dir, "events")).withColumn("session_start", F.col("session_start").cast("timestamp_ntz"))
