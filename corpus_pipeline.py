@@ -46,9 +46,10 @@ def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Passages of 400 bytes and more that occur elsewhere too go; so do documents that consisted of nothing else."""
     ship(spark)
     docs = docs.select(*COLUMNS)
-    out = suffix_dedup.dedup_suffixes(docs, with_text=True).where("n_removed > 0").select(F.col("doc_id").alias("__id"), "n_bytes", "n_removed", "kept")
-    out = docs.join(out, docs["doc_id"] == F.col("__id"), "left")
-    return _documents(out.where("n_removed IS NULL OR n_removed < n_bytes").withColumn("text", F.coalesce("kept", "text")))
+    out = suffix_dedup.dedup_suffixes(docs, with_text=True, also=("lang", "source"))
+    # a null text is an empty one from here on
+    out = out.where("n_removed = 0 OR n_removed < n_bytes").withColumnRenamed("kept", "text")
+    return _documents(out).unionByName(docs.where("doc_id IS NULL"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -45,10 +45,8 @@ def refine(text: np.ndarray, wanted: np.ndarray, length: int, q: int) -> np.ndar
 
     text: items as buckets of one byte or of any finer kind; suffixes at wanted have at least length items.
     """
-    need = np.zeros(len(text), bool)  # suffixes whose buckets later passes point to
-    at, n = wanted, length
-    need[windows.ranges(at, at + (n - q))[0]] = True
-    active = np.flatnonzero(need)
+    at = wanted
+    active = np.flatnonzero(windows.covered(at, length - q + 1, len(text)))  # suffixes whose buckets later passes point to
     grams = windows.Rolling(text).grams(q)
     bucket = np.full(len(text), -1, np.int64)  # -1: alone
     bucket[active] = _name(grams[active].view(np.int64))
@@ -56,9 +54,7 @@ def refine(text: np.ndarray, wanted: np.ndarray, length: int, q: int) -> np.ndar
     while size < length:
         step = min(size, length - size)
         last = length - size - step  # how far from a wanted suffix a pointer may still start
-        keep = np.zeros(len(text), bool)
-        keep[windows.ranges(at, at + last)[0]] = True
-        active = np.flatnonzero(keep & (bucket >= 0))
+        active = np.flatnonzero(windows.covered(at, last + 1, len(text)) & (bucket >= 0))
         active = active[bucket[active + step] >= 0]
         refined = np.full(len(text), -1, np.int64)
         if len(active):
@@ -102,7 +98,10 @@ def _anchor_rows(texts: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _stretches(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """(hash, n, doc_id, at, before, first, stretch): the text that the windows of each repeated anchor cover."""
+    """(hash, doc_id, at, stretch): the text that the windows of each wanted anchor cover.
+
+    texts begins with doc_id and hashes, the wanted ones (others in the same run of rows may come too: they are wanted elsewhere).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -110,27 +109,16 @@ def _stretches(texts: DataFrame, window: int, gram: int) -> DataFrame:
                 items, starts = _byte_hashes(blobs)
                 grams = windows.Rolling(items).grams(gram)
                 doc, place, first, last = windows.anchors(grams, starts, window, gram)
-                wanted = np.concatenate([np.array(r[1], np.int64) for r in rows])
-                counts = np.concatenate([np.array(r[2], np.int64) for r in rows])
-                wanted, where = np.unique(wanted, return_index=True)
-                counts = counts[where]
+                wanted = np.unique(np.concatenate([np.array(r[1], np.int64) for r in rows]))
                 hashes = grams[place].view(np.int64)
                 near = np.isin(hashes, wanted)
                 doc, first, last, hashes = doc[near], first[near], last[near], hashes[near]
                 joined = b"".join(blobs)
                 ids = np.array([r[0] for r in rows], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(hashes),
-                        pa.array(counts[np.searchsorted(wanted, hashes)]),
-                        pa.array(ids[doc]),
-                        pa.array(first - starts[doc]),
-                        pa.array([joined[a : b + window] for a, b in zip(first.tolist(), last.tolist(), strict=True)], pa.binary()),
-                    ],
-                    names=["hash", "n", "doc_id", "at", "stretch"],
-                )
+                cut = [joined[a : b + window] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(ids[doc]), pa.array(first - starts[doc]), pa.array(cut, pa.binary())], names=["hash", "doc_id", "at", "stretch"])
 
-    return texts.mapInArrow(run, "hash long, n long, doc_id long, at long, stretch binary")
+    return texts.mapInArrow(run, "hash long, doc_id long, at long, stretch binary")
 
 
 def _runs(doc: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,63 +177,70 @@ def _whole_copies(texts: DataFrame, window: int) -> DataFrame:
 def repeated_bytes(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, spans): the bytes of each document that lie in a window that also begins elsewhere.
 
-    texts has doc_id (long, not null), text (not null) and copy (digest of the text). spans are pairs (a, b),
+    texts has doc_id (long, not null) and text (not null), and may have more. spans are pairs (a, b),
     not merged. Of copies of a whole text only the one with the smallest doc_id is compared with other texts.
     """
-    prints = _anchor_rows(texts, window, gram).persist(StorageLevel.MEMORY_AND_DISK)
+    marked = texts.select("doc_id", F.xxhash64("text").alias("copy"), "text")
+    prints = _anchor_rows(marked, window, gram).persist(StorageLevel.MEMORY_AND_DISK)
     twice = prints.groupBy("hash").agg(F.min("place").alias("_a"), F.max("place").alias("_b"), F.count("*").alias("n")).where("_a != _b").select("hash", "n")
     wanted = prints.join(twice, "hash").groupBy("copy").agg(F.collect_set(F.struct("hash", "n")).alias("w"))  # of one text
-    first = texts.groupBy("copy").agg(F.min("doc_id").alias("doc_id"))
-    wanted = durable(wanted.join(first, "copy").select("doc_id", F.col("w.hash").alias("hashes"), F.col("w.n").alias("counts")))
+    first = marked.groupBy("copy").agg(F.min("doc_id").alias("doc_id"))
+    wanted = durable(wanted.join(first, "copy").select("doc_id", "w"))
     prints.unpersist()
-    stretches = _stretches(texts.join(wanted, "doc_id").select("doc_id", "hashes", "counts", "text"), window, gram).persist(StorageLevel.MEMORY_AND_DISK)
-    sparse = stretches.where(F.col("n") <= CROWDED)
-    groups = max(1, -(-sparse.count() // TOGETHER))
-    spans = _sorted_buckets(sparse, window, groups).unionByName(_counted_windows(stretches.where(F.col("n") > CROWDED), window))
-    spans = spans.unionByName(_whole_copies(texts, window))
-    out = durable(spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans")))  # of one document
-    stretches.unpersist()
-    return out
 
+    def part(crowded: bool) -> DataFrame:
+        some = F.transform(F.filter("w", lambda x: (x["n"] > CROWDED) if crowded else (x["n"] <= CROWDED)), lambda x: x["hash"])
+        return wanted.select("doc_id", some.alias("hashes")).where(F.size("hashes") > 0)
+
+    def stretches(crowded: bool) -> DataFrame:
+        rows = texts.join(part(crowded), "doc_id")
+        return _stretches(rows.select("doc_id", "hashes", *[c for c in texts.columns if c not in ("doc_id", "text")], "text"), window, gram)
 
-def dedup_suffixes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = False) -> DataFrame:
+    # every use of texts, here and where the result is joined to it, reads one exchange
+    total = part(False).agg(F.sum(F.size("hashes"))).first()[0] or 0
+    spans = _sorted_buckets(stretches(False), window, max(1, -(-total // TOGETHER)))
+    spans = spans.unionByName(_counted_windows(stretches(True), window)).unionByName(_whole_copies(marked, window))
+    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # of one document
+
+
+def dedup_suffixes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
     """Remove every byte that lies in a string of window bytes which also begins anywhere else.
 
     "Elsewhere" is another place of the same or of another document; matches never cross
     documents; overlaps count; all copies go, the first one too. Strings are judged on the input.
 
-    docs needs doc_id (integer) and text; other columns are ignored. Returns doc_id, n_bytes, n_removed,
+    docs needs doc_id (integer) and text; of other columns those named in also pass through. Returns doc_id, n_bytes, n_removed,
     n_spans (maximal removed runs), kept_sha256 and, with_text, kept (the remaining bytes; what is left of
     a character that was cut goes too). Null texts count as empty; texts shorter than a window stay. Rows
     without doc_id take no part. Rows that share a doc_id are told apart by their texts only: each
     loses the bytes found for any of them. Empty tables give empty results.
     """
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.withColumn("copy", F.xxhash64("text"))
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), *also, F.coalesce("text", F.lit("")).alias("text"))
     spans = repeated_bytes(texts, window, gram)
+    schema = texts.select("doc_id", *also).schema
+    for field in ("n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", *["kept string"] * with_text):
+        schema = schema.add(*field.split())
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, blobs in documents_of(batch):
-                out = []
-                for (doc_id, found), blob in zip(rows, blobs, strict=True):
-                    merged: list[list[int]] = []
-                    for s in sorted((x["a"], min(x["b"], len(blob))) for x in found or ()):
-                        if s[0] >= len(blob):
-                            continue
-                        if merged and s[0] <= merged[-1][1]:
-                            merged[-1][1] = max(merged[-1][1], s[1])
-                        else:
-                            merged.append(list(s))
-                    edges = [0, *(e for s in merged for e in s), len(blob)]
-                    kept = b"".join(blob[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if merged else blob
-                    out.append((doc_id, len(blob), len(blob) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if with_text else None))
-                c = list(zip(*out, strict=True))
-                arrays = [pa.array(x, pa.int64()) for x in c[:4]] + [pa.array(c[4])]
-                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-                if with_text:
-                    arrays, names = [*arrays, pa.array(c[5])], [*names, "kept"]
-                yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-    joined = texts.drop("copy").join(spans, "doc_id", "left").select("doc_id", "spans", "text")
-    return joined.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
+            found, texts_ = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1).cast(pa.binary())
+            out = []
+            for i in range(batch.num_rows):
+                blob, spans_ = texts_[i].as_py(), found[i].as_py()
+                merged: list[list[int]] = []
+                for a, b in sorted((x["a"], min(x["b"], len(blob))) for x in spans_ or ()):
+                    if a >= len(blob):
+                        continue
+                    if merged and a <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], b)
+                    else:
+                        merged.append([a, b])
+                edges = [0, *(e for s in merged for e in s), len(blob)]
+                kept = b"".join(blob[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if merged else blob
+                out.append((len(blob), len(blob) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if with_text else None))
+            c = list(zip(*out, strict=True)) or [()] * 5
+            arrays = [*batch.columns[:-2], *(pa.array(x, pa.int64()) for x in c[:3]), pa.array(c[3], pa.string()), *[pa.array(c[4], pa.string())] * with_text]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
+
+    joined = texts.join(spans, "doc_id", "left").select("doc_id", *also, "spans", "text")
+    return joined.mapInArrow(finish, schema)
