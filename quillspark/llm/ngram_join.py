@@ -4,8 +4,9 @@
    fixed size that counts in how many documents the hashes of each cell occur. The order of all n-grams is
    (sketched count, hash): rare first, the same everywhere, whatever the sketch's error.
 2. Sets that are similar enough share an n-gram in their prefixes. Each document's prefix is one row for each
-   n-gram; those that only one set has are dropped. Sets hang on the smallest set that shares a prefix n-gram and has a
-   like size; the components of these stars are the candidate groups. No pairs are made.
+   n-gram; those that only one set has are dropped. What meets at an n-gram and has a like size is linked: at rare n-grams only
+   where the sets' parity sketches allow the similarity (they bound the sets' difference from below, so no link is lost), at frequent
+   ones as a star about the smallest set. The components are the candidate groups.
 3. Full sets travel once, to the task of their group. There they are stored in a prefix tree, most shared n-gram
    first, so that common beginnings are stored and intersected once; a walk with each set adds up its overlap and
    leaves a subtree as soon as the remaining lengths can't reach the threshold, or if all below
@@ -36,6 +37,9 @@ from quillspark.session import durable
 
 #: log2 of the sketch's cells, and cells that travel in a row: the sketch is 4 MB however large the input is.
 CELLS, TOGETHER = 20, 1024
+#: An n-gram is frequent if its cell counts more than HOT documents and more than 8 times the mean cell; sets at a rare
+#: n-gram are compared by sketch if they are at most FEW, else they make a star too.
+HOT, FEW = 1000, 64
 #: Sets that a prefix tree of a split group holds; sets of small groups that one task call gets, about.
 BLOCK, CALL = 512, 2000
 
@@ -170,11 +174,29 @@ def linked_pairs(ids: np.ndarray, sets: list[np.ndarray], stored: np.ndarray, as
     return out
 
 
+def parity_bits(grams: np.ndarray) -> bytes:
+    """For each of a power of two of cells (at least as many as grams) whether it has an odd number of grams.
+
+    Two sets differ in at least as many members as their sketches differ in bits.
+    """
+    size = max(128, 1 << (len(grams) - 1).bit_length())
+    odd = np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bits: int, size: int, to: int) -> int:
+    """A parity sketch of size cells as one of fewer."""
+    while size > to:
+        size >>= 1
+        bits = (bits >> size) ^ (bits & ((1 << size) - 1))
+    return bits
+
+
 def _sets_and_sketch(texts: DataFrame, words: int, lower: bool) -> DataFrame:
-    """(doc_id, n, set_id) of each document, and (cell, counts) of each task's sketch."""
+    """(doc_id, n, set_id, bits) of each document, and (cell, counts) of each task's sketch of frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "set_id", "cell", "counts"]
+        names = ["doc_id", "n", "set_id", "bits", "cell", "counts"]
         sketch = np.zeros(1 << CELLS, np.uint32)
         for batch in batches:
             for rows, blobs in documents_of(batch):
@@ -187,6 +209,7 @@ def _sets_and_sketch(texts: DataFrame, words: int, lower: bool) -> DataFrame:
                         pa.array([r[0] for r in rows], pa.int64()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([d if d is None else d - (1 << 63) for d in digests], pa.int64()),
+                        pa.array([parity_bits(s) if len(s) else None for s in sets], pa.binary()),
                         pa.nulls(len(rows), pa.int32()),
                         pa.nulls(len(rows), pa.binary()),
                     ],
@@ -196,9 +219,9 @@ def _sets_and_sketch(texts: DataFrame, words: int, lower: bool) -> DataFrame:
         some = np.flatnonzero(parts.any(axis=1))
         nothing = pa.nulls(len(some), pa.int64())
         packed = [zlib.compress(parts[i].tobytes(), 1) for i in some.tolist()]
-        yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=names)
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set_id long, cell int, counts binary")
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set_id long, bits binary, cell int, counts binary")
 
 
 def _sketch(rows: DataFrame) -> np.ndarray:
@@ -216,14 +239,14 @@ def _sketch(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def _prefixes(texts: DataFrame, words: int, lower: bool, percent: int, sketch) -> DataFrame:
-    """(token, set_id, n): the prefix of each set in the common order; copies within a task once."""
+def _prefixes(texts: DataFrame, words: int, lower: bool, percent: int, sketch, hot: float) -> DataFrame:
+    """(token, set_id, hot): the prefix of each set in the common order; copies within a task once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = sketch.value, set()
         for batch in batches:
             for _, blobs in documents_of(batch):
-                tokens, ids, sizes = [], [], []
+                tokens, ids, often = [], [], []
                 for s in shingle_sets([b.lower() for b in blobs] if lower else blobs, words):
                     if not len(s):
                         continue
@@ -232,15 +255,111 @@ def _prefixes(texts: DataFrame, words: int, lower: bool, percent: int, sketch) -
                         continue
                     if len(seen) < 100_000:
                         seen.add(digest)
-                    order = np.argsort(counts[(s >> np.uint64(64 - CELLS)).astype(np.int64)], kind="stable")
-                    p = s[order[: prefix_length(len(s), percent)]]
-                    tokens.append(p)
-                    ids.append(np.full(len(p), digest, np.int64))
-                    sizes.append(np.full(len(p), len(s), np.int32))
+                    found = counts[(s >> np.uint64(64 - CELLS)).astype(np.int64)]
+                    order = np.argsort(found, kind="stable")[: prefix_length(len(s), percent)]
+                    tokens.append(s[order])
+                    ids.append(np.full(len(order), digest, np.int64))
+                    often.append(found[order] > hot)
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(sizes))], names=["token", "set_id", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(often))], names=["token", "set_id", "hot"])
+
+    return texts.select("text").mapInArrow(run, "token long, set_id long, hot boolean")
+
+
+def _shared(prefixes: DataFrame) -> DataFrame:
+    """Without rows whose token no other set has. Frequent tokens are spread over tasks and pass; others are seen in order, a row at a time."""
+    spread = F.when(F.col("hot"), F.pmod(F.xxhash64("set_id"), F.lit(64))).otherwise(F.lit(0).cast("long"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, last = ["token", "set_id", "hot"], None  # last row, and whether it has been passed on
+
+        def rows(token, ids, hot):
+            return pa.RecordBatch.from_arrays([pa.array(token), pa.array(ids), pa.array(hot)], names=names)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token, ids, hot = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            if last is not None:
+                token, ids, hot = np.append(last[0], token), np.append(last[1], ids), np.append(last[2], hot)
+            new = np.append(True, (token[1:] != token[:-1]) | (ids[1:] != ids[:-1]))
+            token, ids, hot = token[new], ids[new], hot[new].astype(bool)
+            as_before = np.append(False, token[1:] == token[:-1])
+            passed = np.zeros(len(token), bool)
+            passed[0] = last is not None and last[3]
+            keep = (as_before | np.append(as_before[1:], False) | hot) & ~passed
+            yield rows(token[keep], ids[keep], hot[keep])
+            last = (token[-1], ids[-1], hot[-1], bool(keep[-1] or passed[-1]))
+
+    return prefixes.repartition("token", spread).sortWithinPartitions("token", "set_id").mapInArrow(run, "token long, set_id long, hot boolean")
+
+
+def _bands(n: Column, percent: int) -> Column:
+    """Two classes of size of a set; sets of sizes that allow the similarity have one in common."""
+    band = F.floor(F.log(n.cast("double")) / F.lit(math.log(100 / percent) * 1.000001))
+    return F.array(band, band + 1)
 
-    return texts.select("text").mapInArrow(run, "token long, set_id long, n int")
+
+def _rare_links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a forest over the sets that meet at a rare token and may be similar."""
+    rows = near.where("NOT hot").join(sets, "set_id").select("token", F.explode(_bands(F.col("n"), percent)).alias("band"), "set_id", "n", "bits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, met, out = None, [], []
+
+        def compare() -> None:
+            up = list(range(len(met)))
+            for j in range(1, len(met)):
+                b, n, bits = met[j]
+                for i in range(j):
+                    a, m, other = met[i]
+                    x, y = i, j
+                    while up[x] != x:
+                        x = up[x]
+                    while up[y] != y:
+                        y = up[y]
+                    if x == y or 100 * min(m, n) < percent * max(m, n):
+                        continue
+                    size = min(len(bits), len(other))
+                    differ = folded(int.from_bytes(bits, "little"), 8 * len(bits), 8 * size) ^ folded(int.from_bytes(other, "little"), 8 * len(other), 8 * size)
+                    if differ.bit_count() * (100 + percent) <= (100 - percent) * (m + n):
+                        up[y] = x
+                        out.append((b, a))
+
+        def edges() -> pa.RecordBatch:
+            c = list(zip(*out, strict=True)) or [(), ()]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], names=["a", "b"])
+
+        many = False
+        for batch in batches:
+            for token, band, set_id, n, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (token, band) != key:
+                    if not many:
+                        compare()
+                    key, many = (token, band), False
+                    met.clear()
+                if many:
+                    out.append((set_id, met[0][0]))
+                    continue
+                met.append((set_id, n, bits))
+                if len(met) > FEW:
+                    out += [(x[0], met[0][0]) for x in met[1:]]
+                    many = True
+            if out:
+                yield edges()
+        if not many:
+            compare()
+        yield edges()
+
+    return rows.repartition("token", "band").sortWithinPartitions("token", "band", "set_id").mapInArrow(run, "a long, b long").distinct()
+
+
+def _frequent_links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): stars of the sets that meet at a frequent token and have like sizes."""
+    rows = near.where("hot").join(sets.select("set_id", "n"), "set_id").select("token", F.explode(_bands(F.col("n"), percent)).alias("band"), "set_id")
+    centers = rows.groupBy("token", "band").agg(F.min("set_id").alias("b"), F.max("set_id").alias("_last")).where("b != _last").select("token", "band", "b")
+    return rows.join(centers, ["token", "band"]).where("set_id != b").select(F.col("set_id").alias("a"), "b").distinct()
 
 
 def _full_sets(texts: DataFrame, words: int, lower: bool) -> DataFrame:
@@ -336,23 +455,19 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, lower:
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = _sets_and_sketch(texts, words, lower).persist(StorageLevel.MEMORY_AND_DISK)
     sketch = texts.sparkSession.sparkContext.broadcast(_sketch(first))
-    own = durable(first.where("cell IS NULL").select("doc_id", "n", "set_id"))
+    own = durable(first.where("cell IS NULL").select("doc_id", "n", "set_id", "bits"))
     first.unpersist()
-    classes = own.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-
-    prefixes = _prefixes(texts, words, lower, percent, sketch).persist(StorageLevel.MEMORY_AND_DISK)
-    shared = prefixes.groupBy("token").agg(F.min("set_id").alias("_a"), F.max("set_id").alias("_b")).where("_a != _b").select("token")
-    band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent) * 1.000001))
-    near = prefixes.join(shared, "token").select("token", "set_id", F.explode(F.array(band, band + 1)).alias("band"))
-    near = near.groupBy("token", "band", "set_id").agg(F.count("*")).select("token", "band", "set_id").persist(StorageLevel.MEMORY_AND_DISK)
-    stars = near.groupBy("token", "band").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low != high").select("token", "band", "low")
-    edges = durable(near.join(stars, ["token", "band"]).groupBy("set_id", "low").agg(F.count("*").alias("weight")))
+    classes = own.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    classes = durable(classes)
+
+    hot = max(HOT, 8 * float(sketch.value.mean()))
+    near = _shared(_prefixes(texts, words, lower, percent, sketch, hot)).persist(StorageLevel.MEMORY_AND_DISK)
+    edges = durable(_rare_links(near, classes.select("set_id", "n", "bits"), percent).unionAll(_frequent_links(near, classes, percent)))
+    weights = durable(near.groupBy("set_id").agg(F.count("*").alias("weight")))
     near.unpersist()
-    prefixes.unpersist()
 
-    groups = components(edges.select(F.col("set_id").alias("a"), F.col("low").alias("b"))).select(F.col("id").alias("set_id"), F.col("root").alias("comp"))
+    groups = components(edges).select(F.col("id").alias("set_id"), F.col("root").alias("comp"))
     members = groups.groupBy("comp").agg(F.count("*").alias("members"))
-    weights = edges.groupBy("set_id").agg(F.sum("weight").alias("weight"))
     wanted = durable(groups.join(members, "comp").join(weights, "set_id").join(classes, "set_id").select("set_id", "comp", "members", "weight", F.col("rep").alias("doc_id")))
     sets = _full_sets(texts.join(wanted, "doc_id").select("set_id", "comp", "members", "weight", "text"), words, lower)
     sets = sets.persist(StorageLevel.MEMORY_AND_DISK)
@@ -362,7 +477,7 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, lower:
     sketch.unpersist()
 
     roots = components(links).select(F.col("id").alias("set_id"), "root")
-    sets_of = classes.join(roots, "set_id", "left").select("set_id", "rep", F.coalesce("root", "set_id").alias("root"))
+    sets_of = classes.select("set_id", "rep").join(roots, "set_id", "left").select("set_id", "rep", F.coalesce("root", "set_id").alias("root"))
     smallest = sets_of.groupBy("root").agg(F.min("rep").alias("component_id"))
     class_of = durable(sets_of.join(smallest, "root").select("set_id", "component_id"))
     some = own.where("n > 0").join(class_of, "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")

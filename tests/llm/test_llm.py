@@ -199,12 +199,12 @@ def test_index_compacts_and_finds_history(spark):
     index = substring_index.FingerprintIndex(spark, buckets=4)
     found = []
     for b in range(5):
-        rows = spark.createDataFrame([(h, 10 * b + h) for h in range(b, b + 3)], "hash long, doc_id long")
+        rows = spark.createDataFrame([(h, 10 * b + h) for h in range(b, b + 3)], "hash long, copy long")
         found.append({r.hash for r in index.add(rows).collect()})
     assert found == [set(), {1, 2}, {2, 3}, {3, 4}, {4, 5}]
     assert len(index.runs) == 2
     again = substring_index.FingerprintIndex(spark, index.name + "_b", 4, index.runs)
-    assert {r.hash for r in again.add(spark.createDataFrame([(0, 99), (77, 99)], "hash long, doc_id long")).collect()} == {0}
+    assert {r.hash for r in again.add(spark.createDataFrame([(0, 99), (77, 99)], "hash long, copy long")).collect()} == {0}
     again.drop()
     index.drop()
 
@@ -425,3 +425,22 @@ def test_pipeline(spark):
     empty = spark.createDataFrame([], docs.schema)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf).count() == 0
+
+
+def test_parity_sketches_bound_the_difference():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 900)).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: rng.integers(0, len(a) + 1)], rng.integers(0, 2**63, rng.integers(1, 300)).astype(np.uint64)]))
+        bits = [ngram_join.parity_bits(x) for x in (a, b)]
+        size = min(map(len, bits)) * 8
+        x, y = (ngram_join.folded(int.from_bytes(s, "little"), 8 * len(s), size) for s in bits)
+        assert (x ^ y).bit_count() <= len(np.setxor1d(a, b))
+
+
+@pytest.mark.parametrize("name", ["HOT", "FEW"])
+def test_ngram_join_with_frequent_tokens(spark, monkeypatch, name):
+    monkeypatch.setattr(ngram_join, name, 1)
+    rows = corpus(13)
+    got = {tuple(r) for r in ngram_join.ngram_components(frame(spark, rows), 4, 85).select("doc_id", "n_shingles", "component_id").collect()}
+    assert got == jaccard_classes(rows, 4, 85)
