@@ -83,3 +83,58 @@ def fit_within(width: Column, height: Column, most: int) -> tuple[Column, Column
     larger = F.greatest(width, height)
     scale = lambda x: F.when(larger <= most, x).otherwise(F.greatest(F.lit(1), F.floor(x * most / larger)))
     return scale(width), scale(height)
+
+
+def rotation(degrees: Column) -> Column:
+    """A page rotation as 0, 90, 180 or 270; null for anything that isn't a multiple of 90."""
+    turned = F.pmod(degrees, F.lit(360))
+    return F.when(F.pmod(turned, F.lit(90)) == 0, turned.cast("int"))
+
+
+def corner_box(x: Column, y: Column, w: Column, h: Column, m: tuple[float, float, float, float, float, float]) -> list[Column]:
+    """Bounding box (x0, y0, x1, y1) of a rectangle's corners after an affine transform."""
+    corners = [affine(x + dx, y + dy, m) for dx in (F.lit(0.0), w) for dy in (F.lit(0.0), h)]
+    xs, ys = [c[0] for c in corners], [c[1] for c in corners]
+    return [F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)]
+
+
+def cubic_bounds(p0: Column, p1: Column, p2: Column, p3: Column) -> tuple[Column, Column]:
+    """Smallest and largest value of a cubic Bezier coordinate: its ends and where its derivative is zero within (0, 1)."""
+    a, b, c = p3 - 3 * p2 + 3 * p1 - p0, 2 * (p2 - 2 * p1 + p0), p1 - p0
+    inner = F.filter(quadratic_roots(a, b, c), lambda t: (t > 0) & (t < 1))
+    values = F.transform(inner, lambda t: (1 - t) * (1 - t) * (1 - t) * p0 + 3 * (1 - t) * (1 - t) * t * p1 + 3 * (1 - t) * t * t * p2 + t * t * t * p3)
+    every = F.concat(F.array(p0, p3), values)
+    return F.array_min(every), F.array_max(every)
+
+
+def typed(c: Column) -> dict[str, Column]:
+    """A property's text as a whole number, a real number and a truth value; null where it isn't one."""
+    low = F.lower(F.trim(c))
+    return {
+        "as_int": F.when(F.trim(c).rlike(r"^[+-]?[0-9]{1,18}$"), F.trim(c)).cast("long"),
+        "as_real": F.when(F.trim(c).rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)$"), F.trim(c)).cast("double"),
+        "as_bool": F.when(low.isin("true", "1"), True).when(low.isin("false", "0"), False),
+    }
+
+
+def normalized_rgb(r: Column, g: Column, b: Column) -> list[Column]:
+    """Channels in 0..1: all divided by 255 if any is above 1; null if any is negative or still above 1."""
+    most = F.greatest(r, g, b)
+    bad = (F.least(r, g, b) < 0) | (most > 255)
+    return [F.when(~bad, F.when(most > 1, x / 255).otherwise(x.cast("double"))) for x in (r, g, b)]
+
+
+def samples_of(byte: Column, bits: int) -> Column:
+    """The samples of 1, 2, 4 or 8 bits in a byte, highest first."""
+    if bits not in (1, 2, 4, 8):
+        raise ValueError("1, 2, 4 or 8 bits")
+    return F.array(*[F.shiftright(byte, 8 - bits * (i + 1)).bitwiseAND(F.lit((1 << bits) - 1)) for i in range(8 // bits)])
+
+
+def algorithm_name(c: Column, aliases: dict[str, str]) -> Column:
+    """A name without case and separators, looked up among aliases; else as normalised."""
+    plain = F.upper(F.regexp_replace(c, "[-_ /.]", ""))
+    out = plain
+    for alias, name in aliases.items():
+        out = F.when(plain == alias.upper(), name).otherwise(out)
+    return out

@@ -49,3 +49,29 @@ def covered_later(df: DataFrame, group: str, order: str, size: Column) -> DataFr
     """Rows that a later row of the same group is larger than: a suffix maximum, not a theta join."""
     later = Window.partitionBy(group).orderBy(F.desc(order)).rangeBetween(Window.unboundedPreceding, -1)
     return df.withColumn("_most", F.max(size).over(later)).where(F.col("_most") > size).drop("_most")
+
+
+def resolve_names(names: DataFrame, parts_table: DataFrame, row_id: str, name: str) -> DataFrame:
+    """Names made of parts: cut at the first full stop, parted at underscores, each part looked up in (part, value).
+
+    A part that the table lacks may be uniXXXX (a code point in hexadecimal, no surrogate). One part that stays
+    unresolved makes the whole name null.
+    """
+    stem = F.substring_index(name, ".", 1)
+    parts = names.select(row_id, F.posexplode(F.split(stem, "_")).alias("n", "part")).join(parts_table, "part", "left")
+    code = F.conv(F.regexp_extract("part", "^uni([0-9A-F]{4})$", 1), 16, 10).cast("int")
+    fine = F.col("part").rlike("^uni[0-9A-F]{4}$") & ~code.between(0xD800, 0xDFFF)
+    value = F.coalesce("value", F.when(fine, F.expr("decode(unhex(regexp_extract(part, '^uni([0-9A-F]{4})$', 1)), 'UTF-16BE')")))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("n", F.col("_v").alias("v")))), lambda x: x["v"])
+    return parts.withColumn("_v", value).groupBy(row_id).agg(F.when(F.bool_and(F.col("_v").isNotNull()), F.array_join(ordered, "")).alias("value"))
+
+
+def with_aliases(wanted: DataFrame, fonts: DataFrame, name: str, names: list[str], row_id: str) -> DataFrame:
+    """Rows of fonts any of whose names equals the wanted one without case; each pair once."""
+    keys = fonts.select(row_id, F.explode(F.array_distinct(F.transform(F.array(*names), lambda x: F.lower(x)))).alias("_key")).where("_key IS NOT NULL")
+    return wanted.withColumn("_key", F.lower(name)).join(keys, "_key").drop("_key").distinct()
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of new replace those of old with the same keys; the others stay."""
+    return old.join(new.select(*keys), keys, "left_anti").unionByName(new)

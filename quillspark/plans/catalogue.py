@@ -545,3 +545,95 @@ g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s
 SELECT user_id, min(ts) AS session_start, count(*) AS n FROM g GROUP BY user_id, s""")
 def event_sessions(spark, sf_dir):
     return event_windows.sessions(table(spark, sf_dir, "events")).withColumn("session_start", F.col("session_start").cast("timestamp_ntz"))
+
+
+# More scalars and lookups -------------------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT o_orderkey, CAST(CASE WHEN ((o_custkey % 24) * 30 - 360 + 720) % 360 % 90 = 0 THEN ((o_custkey % 24) * 30 - 360 + 720) % 360 END AS INTEGER) AS rotation FROM orders""")
+def page_rotation(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", scalars.rotation((F.col("o_custkey") % 24) * 30 - 360).alias("rotation"))
+
+
+@query("""
+WITH c AS (SELECT l_orderkey, l_linenumber, l_quantity AS x, l_tax AS y, l_quantity + 1 AS x2, l_tax + 2 AS y2 FROM lineitem),
+p AS (SELECT l_orderkey, l_linenumber, 2.0 * x + 0.5 * y AS a, 2.0 * x2 + 0.5 * y AS b, 2.0 * x + 0.5 * y2 AS c, 2.0 * x2 + 0.5 * y2 AS d, -1.0 * x + 3.0 * y AS e, -1.0 * x2 + 3.0 * y AS f, -1.0 * x + 3.0 * y2 AS g, -1.0 * x2 + 3.0 * y2 AS h FROM c)
+SELECT l_orderkey, l_linenumber, round(least(a, b, c, d), 6) AS x0, round(least(e, f, g, h), 6) AS y0, round(greatest(a, b, c, d), 6) AS x1, round(greatest(e, f, g, h), 6) AS y1 FROM p""")
+def image_boxes(spark, sf_dir):
+    box = scalars.corner_box(F.col("l_quantity"), F.col("l_tax"), F.lit(1.0), F.lit(2.0), (2.0, -1.0, 0.5, 3.0, 0.0, 0.0))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[F.round(c, 6).alias(n) for c, n in zip(box, ("x0", "y0", "x1", "y1"), strict=True)])
+
+
+@query("""
+WITH c AS (SELECT l_orderkey, l_linenumber, l_quantity AS p0, l_quantity * 3 - 40 AS p1, 60 - l_quantity AS p2, l_tax AS p3 FROM lineitem),
+q AS (SELECT *, p3 - 3 * p2 + 3 * p1 - p0 AS a, 2 * (p2 - 2 * p1 + p0) AS b, p1 - p0 AS c FROM c),
+t AS (SELECT *, CASE WHEN abs(a) < 1e-12 THEN CASE WHEN abs(b) < 1e-12 THEN [] ELSE [-c / b] END WHEN b * b - 4 * a * c < 0 THEN [] ELSE [(-b - sqrt(greatest(0, b * b - 4 * a * c))) / (2 * a), (-b + sqrt(greatest(0, b * b - 4 * a * c))) / (2 * a)] END AS t FROM q),
+v AS (SELECT l_orderkey, l_linenumber, list_concat([p0, p3], list_transform(list_filter(t, lambda x: x > 0 AND x < 1), lambda x: (1 - x) * (1 - x) * (1 - x) * p0 + 3 * (1 - x) * (1 - x) * x * p1 + 3 * (1 - x) * x * x * p2 + x * x * x * p3)) AS v FROM t)
+SELECT l_orderkey, l_linenumber, round(list_min(v), 6) AS low, round(list_max(v), 6) AS high FROM v""")
+def cubic_bounds(spark, sf_dir):
+    q = F.col("l_quantity")
+    low, high = scalars.cubic_bounds(q, q * 3 - 40, 60 - q, F.col("l_tax"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+@query("""
+WITH v AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(event_id AS VARCHAR) WHEN 1 THEN '2.5' WHEN 2 THEN ' TRUE ' ELSE event_type END AS v FROM events)
+SELECT event_id, CASE WHEN regexp_full_match(trim(v), '[+-]?[0-9]{1,18}') THEN CAST(trim(v) AS BIGINT) END AS as_int,
+  CASE WHEN regexp_full_match(trim(v), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)') THEN CAST(trim(v) AS DOUBLE) END AS as_real,
+  CASE WHEN lower(trim(v)) IN ('true', '1') THEN true WHEN lower(trim(v)) IN ('false', '0') THEN false END AS as_bool FROM v""")
+def typed_values(spark, sf_dir):
+    kind = F.col("event_id") % 4
+    v = F.when(kind == 0, F.col("event_id").cast("string")).when(kind == 1, "2.5").when(kind == 2, " TRUE ").otherwise(F.col("event_type"))
+    rows = table(spark, sf_dir, "events").select("event_id", v.alias("v"))
+    return rows.select("event_id", *[c.alias(n) for n, c in scalars.typed(F.col("v")).items()])
+
+
+@query("""
+WITH c AS (SELECT p_partkey, p_size - 2 AS r, p_size * 3 AS g, CAST(p_partkey % 300 AS INTEGER) AS b FROM part)
+SELECT p_partkey, CASE WHEN least(r, g, b) < 0 OR greatest(r, g, b) > 255 THEN NULL WHEN greatest(r, g, b) > 1 THEN r / 255.0 ELSE CAST(r AS DOUBLE) END AS r,
+  CASE WHEN least(r, g, b) < 0 OR greatest(r, g, b) > 255 THEN NULL WHEN greatest(r, g, b) > 1 THEN b / 255.0 ELSE CAST(b AS DOUBLE) END AS b FROM c""")
+def colour_normalise(spark, sf_dir):
+    r, _, b = scalars.normalized_rgb(F.col("p_size") - 2, F.col("p_size") * 3, F.col("p_partkey") % 300)
+    return table(spark, sf_dir, "part").select("p_partkey", r.alias("r"), b.alias("b"))
+
+
+@query("SELECT o_orderkey, ((o_orderkey % 256) >> 6) & 3 AS a, ((o_orderkey % 256) >> 4) & 3 AS b, ((o_orderkey % 256) >> 2) & 3 AS c, (o_orderkey % 256) & 3 AS d FROM orders")
+def unpack_samples(spark, sf_dir):
+    s = scalars.samples_of(F.col("o_orderkey") % 256, 2)
+    return table(spark, sf_dir, "orders").select("o_orderkey", *[F.get(s, F.lit(i)).alias(n) for i, n in enumerate("abcd")])
+
+
+@query("""
+WITH t(part, value) AS (VALUES ('ABEJA', 'a'), ('view', 'v'), ('click', 'c'), ('error', '!')),
+n AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_type || '_uni0041.alt' ELSE event_type END AS name FROM events),
+p AS (SELECT event_id, unnest(string_split(split_part(name, '.', 1), '_')) AS part, generate_subscripts(string_split(split_part(name, '.', 1), '_'), 1) AS k FROM n),
+r AS (SELECT event_id, k, coalesce(value, CASE WHEN p.part = 'uni0041' THEN 'A' END) AS v FROM p LEFT JOIN t ON t.part = p.part)
+SELECT event_id, CASE WHEN bool_and(v IS NOT NULL) THEN string_agg(v, '' ORDER BY k) END AS value FROM r GROUP BY event_id""")
+def resolve_names(spark, sf_dir):
+    parts = spark.createDataFrame([("ABEJA", "a"), ("view", "v"), ("click", "c"), ("error", "!")], "part string, value string")
+    name = F.when(F.col("event_id") % 3 == 0, F.concat("event_type", F.lit("_uni0041.alt"))).otherwise(F.col("event_type"))
+    return lookups.resolve_names(table(spark, sf_dir, "events").select("event_id", name.alias("name")), parts, "event_id", "name")
+
+
+@query("""
+SELECT DISTINCT c_custkey, n_nationkey FROM customer JOIN nation ON lower(c_mktsegment) = lower(n_name) OR lower(c_mktsegment) = lower('SEG' || n_name) OR lower(c_mktsegment) = CASE n_nationkey % 5 WHEN 0 THEN 'automobile' WHEN 1 THEN 'building' WHEN 2 THEN 'furniture' WHEN 3 THEN 'machinery' ELSE 'household' END""")
+def alias_match(spark, sf_dir):
+    k = F.col("n_nationkey") % 5
+    other = F.when(k == 0, "automobile").when(k == 1, "building").when(k == 2, "furniture").when(k == 3, "machinery").otherwise("household")
+    fonts = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.concat(F.lit("SEG"), "n_name").alias("full"), other.alias("other"))
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    return lookups.with_aliases(customer, fonts, "c_mktsegment", ["n_name", "full", "other"], "n_nationkey").select("c_custkey", "n_nationkey")
+
+
+@query("SELECT p_partkey, CASE upper(regexp_replace(p_type, '[-_ /.]', '', 'g')) WHEN 'ECONOMY' THEN 'ECO' ELSE upper(regexp_replace(p_type, '[-_ /.]', '', 'g')) END AS name FROM part")
+def algorithm_names(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", scalars.algorithm_name(F.col("p_type"), {"ECONOMY": "ECO"}).alias("name"))
+
+
+@query("""
+SELECT l.doc_id, l.quality, l.toxic FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND d.lang = 'fr')
+UNION ALL SELECT doc_id, 0, 0 FROM documents WHERE lang = 'fr'""")
+def upsert_rows(spark, sf_dir):
+    new = table(spark, sf_dir, "documents").where("lang = 'fr'").select("doc_id", F.lit(0).alias("quality"), F.lit(0).alias("toxic"))
+    return lookups.upsert(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), new, ["doc_id"])
