@@ -1,6 +1,6 @@
 """Substring dedup over an incremental, log-structured fingerprint index.
 
-The index holds sorted immutable runs: tables of window fingerprints (hash, first document), bucketed and
+The index holds sorted immutable runs: tables of window fingerprints (hash, and the digests of texts that have it), bucketed and
 sorted by hash, so that a new batch is merge-joined with each run without another shuffle. Every
 batch adds a run; runs of a level are compacted into one of the next level as soon as there are
 FANOUT of them. A fingerprint is the smallest 8-word gram of a window, so that any window that a batch
@@ -31,9 +31,12 @@ FANOUT = 2
 class FingerprintIndex:
     """Runs of historical fingerprints, as tables of the session's catalogue."""
 
-    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int = 64, runs: list[tuple[int, str]] | None = None) -> None:
-        """runs: (level, table) of an index that earlier batches have left; name begins the names of new tables."""
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None, runs: list[tuple[int, str]] | None = None) -> None:
+        """runs: (level, table) of an index that earlier batches have left; name begins the names of new tables.
+
+        Runs have as many buckets as shuffles have partitions, unless given: then each bucket is one file.
+        """
+        self.spark, self.buckets = spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = name or f"runs_{uuid.uuid4().hex}"
         self.runs = list(runs or [])
         self.made = len(self.runs)
@@ -45,16 +48,17 @@ class FingerprintIndex:
         return level, table
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Merge-join a batch of (hash, doc_id) with all runs, then make it a run.
+        """Merge-join a batch of (hash, copy) with all runs, then make it a run.
 
-        Returns the hashes of the batch that occur in another document, of the batch or of history.
+        copy tells texts apart. Returns the hashes of the batch that occur in more than one text, of the batch or of history.
         """
-        run = batch.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+        run = batch.groupBy("hash").agg(F.min("copy").alias("low"), F.max("copy").alias("high"))
         level, table = self._write(run, 0)
         new = self.spark.table(table)
-        hits = new.where("first != last").select("hash")
-        for _, old in self.runs:
-            hits = hits.unionAll(new.join(self.spark.table(old), "hash", "left_semi").select("hash"))
+        hits = new.where("low != high").select("hash")
+        for _, name in self.runs:
+            old = self.spark.table(name).select("hash", F.col("low").alias("_low"), F.col("high").alias("_high"))
+            hits = hits.unionAll(new.join(old, "hash").where("low != high OR _low != _high OR low != _low").select("hash"))
         hits = durable(hits.distinct())
         self.runs.append((level, table))
         self._compact()
@@ -66,7 +70,7 @@ class FingerprintIndex:
             merged = self.spark.table(full[0])
             for t in full[1:]:
                 merged = merged.unionAll(self.spark.table(t))
-            merged = merged.groupBy("hash").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+            merged = merged.groupBy("hash").agg(F.min("low").alias("low"), F.max("high").alias("high"))
             self.runs = [r for r in self.runs if r[1] not in full] + [self._write(merged, level + 1)]
             for t in full:
                 self.spark.sql(f"DROP TABLE {t}")
@@ -79,7 +83,7 @@ class FingerprintIndex:
 
 
 def fingerprints(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, hash): the fingerprints of each document of at least window words."""
+    """(doc_id, copy, hash): the distinct fingerprints of each document of at least window words; docs has doc_id, copy and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -87,10 +91,15 @@ def fingerprints(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
                 words, starts = word_hashes(blobs)
                 grams = windows.Rolling(words).grams(gram)
                 doc, place, _, _ = windows.anchors(grams, starts, window, gram)
-                ids = np.array([r[0] for r in rows], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(grams[place].view(np.int64))], names=["doc_id", "hash"])
+                hashes = grams[place].view(np.int64)
+                order = np.lexsort((hashes, doc))
+                doc, hashes = doc[order], hashes[order]
+                new = np.concatenate(([True], (np.diff(doc) != 0) | (np.diff(hashes) != 0)))[: len(doc)]
+                doc, hashes = doc[new], hashes[new]
+                ids, copies = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[doc]), pa.array(copies[doc]), pa.array(hashes)], names=["doc_id", "copy", "hash"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, hash long")
+    return docs.select("doc_id", "copy", "text").mapInArrow(run, "doc_id long, copy long, hash long")
 
 
 def _windows_near(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -115,29 +124,34 @@ def _windows_near(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 3) -> DataFrame:
-    """(doc_id, starts): where windows begin that also begin in a document with a smaller doc_id.
+    """(doc_id, starts, whole): where windows begin that also begin in a document with a smaller doc_id.
 
-    docs has doc_id (long, not null) and text.
+    docs has doc_id (long, not null) and text (not null). A text that a document with a smaller doc_id has too isn't
+    looked at: whole is true. Of all documents with one text, the one with the smallest doc_id stands for it.
     """
     spark = docs.sparkSession
-    prints = fingerprints(docs, window, gram).persist(StorageLevel.MEMORY_AND_DISK)
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    copies = durable(docs.select("doc_id", F.xxhash64("text").alias("copy"), F.xxhash64("text", F.lit(1)).alias("check")))
+    first = copies.groupBy("copy", "check").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last"))
+    again = copies.join(first.where("first != _last"), ["copy", "check"]).where("doc_id != first").select("doc_id").distinct()
+    prints = fingerprints(docs.withColumn("copy", F.xxhash64("text")), window, gram).persist(StorageLevel.MEMORY_AND_DISK)
+    low, high = copies.agg(F.min("doc_id"), F.max("doc_id")).first()
     low, high = low or 0, high or 0
     cuts = [low + (high + 1 - low) * i // batches for i in range(batches + 1)]
     index, hits = FingerprintIndex(spark), None
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         found = index.add(prints.where((F.col("doc_id") >= a) & (F.col("doc_id") < b)))
         hits = found if hits is None else hits.unionAll(found)
-    near = prints.join(hits.distinct(), "hash").groupBy("doc_id").agg(F.collect_set("hash").alias("hits"))  # of one document
+    near = prints.join(hits.distinct(), "hash").groupBy("copy").agg(F.collect_set("hash").alias("hits"))  # of one text
+    near = near.join(first.groupBy("copy").agg(F.min("first").alias("doc_id")), "copy").select("doc_id", "hits")
     near = durable(near)
     prints.unpersist()
     index.drop()
-    rows = _windows_near(docs.join(near, "doc_id").select("doc_id", "hits", "text"), window, gram).persist(StorageLevel.MEMORY_AND_DISK)
-    first = rows.groupBy("key").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first != _last").drop("_last")
-    later = rows.join(first, "key").where("doc_id > _first")
-    out = durable(later.groupBy("doc_id").agg(F.collect_list("at").alias("starts")))  # at most the windows of one document
-    rows.unpersist()
-    return out
+    # both uses of docs, here and where the result is joined to it, read one exchange
+    rows = _windows_near(docs.join(near, "doc_id").select("doc_id", "hits", "text"), window, gram)
+    least = rows.groupBy("key").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first != _last").drop("_last")
+    later = rows.join(least, "key").where("doc_id > _first").select("doc_id", "at")
+    found = later.unionAll(again.select("doc_id", F.lit(-1).alias("at")))
+    return found.groupBy("doc_id").agg(F.collect_list(F.when(F.col("at") >= 0, F.col("at"))).alias("starts"), F.bool_or(F.col("at") < 0).alias("whole"))  # windows of one document
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 3, with_text: bool = False) -> DataFrame:
@@ -159,10 +173,12 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ba
         for batch in batches:
             for rows, blobs in documents_of(batch):
                 out = []
-                for (doc_id, at), blob in zip(rows, blobs, strict=True):
+                for (doc_id, at, whole), blob in zip(rows, blobs, strict=True):
                     words = blob.split()
                     kept = words
-                    if at:
+                    if whole and len(words) >= window:
+                        kept = []
+                    elif at:
                         gone = windows.covered(np.unique(np.array(at, np.int64)), window, len(words))
                         kept = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
                     joined = b" ".join(kept)
@@ -174,5 +190,5 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ba
                     arrays, names = [*arrays, pa.array(c[4])], [*names, "kept"]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    joined = texts.join(starts, "doc_id", "left").select("doc_id", "starts", "text")
+    joined = texts.join(starts, "doc_id", "left").select("doc_id", "starts", "whole", "text")
     return joined.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
