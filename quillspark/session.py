@@ -8,6 +8,7 @@ import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(master: str = "local[*]", name: str = "quillspark", **conf: str) -> SparkSession:
@@ -43,6 +44,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sized(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """A durable df, marked for broadcast if it has at most so many rows; else joins shuffle as usual. For narrow rows of fixed width."""
+    df = durable(df)
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once a context, for functions that run in Python tasks."""
     context = spark.sparkContext
