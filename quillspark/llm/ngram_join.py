@@ -33,7 +33,7 @@ from xxhash import xxh3_64_intdigest
 
 from quillspark.llm.graph import components
 from quillspark.llm.text import documents_of, shingle_sets
-from quillspark.session import durable
+from quillspark.session import durable, sized
 
 #: log2 of the sketch's cells, and cells that travel in a row: the sketch is 4 MB however large the input is.
 CELLS, TOGETHER = 20, 1024
@@ -302,7 +302,7 @@ def _bands(n: Column, percent: int) -> Column:
 
 def _rare_links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): a forest over the sets that meet at a rare token and may be similar."""
-    rows = near.where("NOT hot").join(sets, "set_id").select("token", F.explode(_bands(F.col("n"), percent)).alias("band"), "set_id", "n", "bits")
+    rows = near.where("NOT hot").join(sets, "set_id").select("token", "set_id", "n", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, met, out = None, [], []
@@ -333,11 +333,11 @@ def _rare_links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         many = False
         for batch in batches:
-            for token, band, set_id, n, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (token, band) != key:
+            for token, set_id, n, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if token != key:
                     if not many:
                         compare()
-                    key, many = (token, band), False
+                    key, many = token, False
                     met.clear()
                 if many:
                     out.append((set_id, met[0][0]))
@@ -352,7 +352,7 @@ def _rare_links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             compare()
         yield edges()
 
-    return rows.repartition("token", "band").sortWithinPartitions("token", "band", "set_id").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("token").sortWithinPartitions("token", "set_id").mapInArrow(run, "a long, b long").distinct()
 
 
 def _frequent_links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -468,7 +468,7 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, lower:
 
     groups = components(edges).select(F.col("id").alias("set_id"), F.col("root").alias("comp"))
     members = groups.groupBy("comp").agg(F.count("*").alias("members"))
-    wanted = durable(groups.join(members, "comp").join(weights, "set_id").join(classes, "set_id").select("set_id", "comp", "members", "weight", F.col("rep").alias("doc_id")))
+    wanted = sized(groups.join(members, "comp").join(weights, "set_id").join(classes, "set_id").select("set_id", "comp", "members", "weight", F.col("rep").alias("doc_id")))
     sets = _full_sets(texts.join(wanted, "doc_id").select("set_id", "comp", "members", "weight", "text"), words, lower)
     sets = sets.persist(StorageLevel.MEMORY_AND_DISK)
     links = _small_groups(sets.where(F.col("members") <= BLOCK), percent).unionAll(_large_groups(sets.where(F.col("members") > BLOCK), percent))
@@ -487,4 +487,5 @@ def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, lower:
 def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs without those that aren't the smallest doc_id of their class; rows without doc_id stay."""
     other = ngram_components(docs, words, percent).where("component_id != doc_id").select(F.col("doc_id").alias("__other")).distinct()
+    other = sized(other)
     return docs.join(other, docs["doc_id"] == F.col("__other"), "left_anti")

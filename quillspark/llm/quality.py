@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from quillspark.llm.text import documents_of
-from quillspark.session import durable
+from quillspark.session import durable, sized
 
 #: At most so many labelled documents are used to fit the model (those with the smallest hashes of doc_id).
 SAMPLE = 20_000
@@ -169,5 +169,5 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """docs without those that the classifier rejects; rows without doc_id stay."""
-    rejected = classify(docs, labels, threshold=threshold).where("NOT keep").select(F.col("doc_id").alias("__id")).distinct()
+    rejected = sized(classify(docs, labels, threshold=threshold).where("NOT keep").select(F.col("doc_id").alias("__id")).distinct())
     return docs.join(rejected, docs["doc_id"] == F.col("__id"), "left_anti")

@@ -407,24 +407,73 @@ def test_next_ids_over_many_blocks(spark):
     assert got == {i: ids[k - 1] for k, i in enumerate(ids)}
 
 
-def test_pipeline(spark):
+def without_repeated_lines(rows):
+    first, gone = {}, collections.defaultdict(set)
+    for i, t in sorted(rows):
+        lines = t.split("\n")
+        for at in range(len(lines) - 2):
+            if first.setdefault(tuple(lines[at : at + 3]), (i, at)) != (i, at):
+                gone[i].update(range(at, at + 3))
+    out = [(i, [x for n, x in enumerate(t.split("\n")) if n not in gone[i]]) for i, t in rows]
+    return {(i, "\n".join(x)) for i, x in out if x}
+
+
+def without_near_copies(rows):
+    kept = {i for i, _, c in jaccard_classes(rows, 5, 80) if i == c}
+    return {(i, t) for i, t in rows if i in kept}
+
+
+def without_repeated_bytes(rows):
+    blobs = {i: t.encode() for i, t in rows}
+    count = collections.Counter(b[s : s + 400] for b in blobs.values() for s in range(len(b) - 399))
+    out = set()
+    for i, b in blobs.items():
+        gone = np.zeros(len(b), bool)
+        for s in range(len(b) - 399):
+            if count[b[s : s + 400]] > 1:
+                gone[s : s + 400] = True
+        if not len(b) or not gone.all():
+            out.add((i, bytes(x for x, g in zip(b, gone, strict=True) if not g).decode(errors="ignore")))
+    return out
+
+
+def test_pipeline_equals_brute_force(spark):
     import corpus_pipeline
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    before = docs.count()
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs.withColumn("extra", F.lit(1)), sf)
-        assert tuple(docs.columns) == corpus_pipeline.COLUMNS, name
-        docs = spark.createDataFrame(docs.collect(), docs.schema)
-        after = docs.count()
-        assert 0 < after <= before
-        assert docs.where("n_chars != length(text)").count() == 0
-        before = after
-    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).select("doc_id").distinct().count() == before
-    empty = spark.createDataFrame([], docs.schema)
-    for _, stage in corpus_pipeline.STAGES:
-        assert stage(spark, empty, sf).count() == 0
+    brute = [None, without_repeated_lines, without_near_copies, without_repeated_bytes]
+    sizes = [docs.count()]
+    for (name, stage), expected in zip(corpus_pipeline.STAGES, brute, strict=False):
+        out = stage(spark, docs.withColumn("extra", F.lit(1)), sf)
+        assert tuple(out.columns) == corpus_pipeline.COLUMNS, name
+        rows = out.collect()
+        assert all(r.n_chars == len(r.text) for r in rows if r.text is not None)
+        if expected:
+            assert {(r.doc_id, r.text or "") for r in rows} == expected([(r.doc_id, r.text) for r in docs.collect()]), name
+        docs = spark.createDataFrame(rows, out.schema)
+        sizes.append(len(rows))
+    assert sizes == sorted(sizes, reverse=True) and sizes[1] < sizes[0]
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert packed.select("doc_id").distinct().count() == sizes[-1]
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    kept = {r.doc_id for r in corpus_pipeline.classify(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).collect()}
+    known = [i for i in labels if labels[i] is not None]
+    assert sum((i in kept) == (labels[i] == 1) for i in known) >= 0.97 * len(known)
+
+
+def test_pipeline_on_empty_and_odd_tables(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    odd = [(1, None, None, None, None), (1, "", None, None, 0), (None, "no id " * 30, "en", "s", 1), (2, "a", None, "s", 1), (2, "a", None, "s", 1)]
+    for rows in ([], odd):
+        docs = spark.createDataFrame(rows, schema)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, sf)
+            assert tuple(out.columns) == corpus_pipeline.COLUMNS and out.count() <= max(len(rows), 0), name
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == len(rows)
 
 
 def test_parity_sketches_bound_the_difference():
