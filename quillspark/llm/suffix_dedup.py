@@ -32,7 +32,7 @@ from quillspark.session import durable
 
 WINDOW, GRAM = 400, 32
 #: Places of an anchor beyond which its windows are counted by hash; stretches sorted together.
-CROWDED, TOGETHER = 512, 4000
+CROWDED, TOGETHER = 512, 1000
 
 
 def _byte_hashes(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
