@@ -18,6 +18,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ U64 = np.uint64
 SPACE = "▁"
 UNITS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 #: Edges of units that a task remembers.
-REMEMBERED = 2_500_000
+REMEMBERED = 5_000_000
 #: Log-weight of a byte of a character that no piece has.
 BYTE = -12.0
 
@@ -89,7 +90,7 @@ class Lattices:
     def clear(self) -> None:
         self.root: dict[str, int] = {}
         self.until, self.log_p = np.empty(0), np.empty(0)
-        self.to, self.first_id, self.n_ids = (np.empty(0, np.int64) for _ in range(3))
+        self.to, self.first_id, self.n_ids = (np.empty(0, kind) for kind in (np.int32, np.int32, np.int8))
         self.begin = np.zeros(1, np.int64)
         self.ids = np.empty(0, np.int64)
 
@@ -108,7 +109,7 @@ class Lattices:
         rest = np.repeat(ends, sizes) - np.arange(len(text))  # characters up to the unit's end
         at, length, piece, weight = self._edges(text, rest)
         # backward sums, nodes with one character left first
-        order = np.lexsort((at, rest[at]))
+        order = np.argsort((rest[at] << 40) | (at << 12) | length)
         a, to, w = at[order], at[order] + length[order], weight[order]
         new_node = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
         level = rest[a[new_node]]
@@ -123,7 +124,7 @@ class Lattices:
             top = np.maximum.reduceat(score, starts)
             total = np.add.reduceat(np.exp(score - np.repeat(top, np.diff(np.append(starts, hi - lo)))), starts)
             after[a[bounds[i:j]]] = top + np.log(total)
-        order = np.lexsort((length, at))
+        order = np.argsort((at << 12) | length)
         at, length, piece, weight = at[order], length[order], piece[order], weight[order]
         inner = length < rest[at]
         log_p = np.minimum(0.0, weight + np.where(inner, after[np.minimum(at + length, len(text))], 0.0) - after[at])
@@ -143,8 +144,8 @@ class Lattices:
             ids[first_id[e] : first_id[e] + len(x)] = [self.pieces.byte_id[b] for b in x]
         self.until = np.concatenate((self.until, nodes + at + np.minimum(share, 1.0)))
         self.log_p = np.concatenate((self.log_p, log_p))
-        self.to = np.concatenate((self.to, np.where(inner, nodes + at + length, -1)))
-        self.first_id, self.n_ids = np.concatenate((self.first_id, base + first_id)), np.concatenate((self.n_ids, n_ids))
+        self.to = np.concatenate((self.to, np.where(inner, nodes + at + length, -1).astype(np.int32)))
+        self.first_id, self.n_ids = np.concatenate((self.first_id, (base + first_id).astype(np.int32))), np.concatenate((self.n_ids, n_ids.astype(np.int8)))
         self.begin = np.concatenate((self.begin[:-1], edges + first, [edges + len(at)]))
         self.ids = np.concatenate((self.ids, ids))
 
@@ -178,7 +179,7 @@ class Lattices:
             edge = np.minimum(edge, self.begin[node + 1] - 1)
             chosen.append(edge)
             owners.append(where)
-            node = self.to[edge]
+            node = self.to[edge].astype(np.int64)
             live = node >= 0
             node, where, step = node[live], where[live], step + 1
         sizes = np.zeros(len(roots) + 1, np.int64)
@@ -295,7 +296,7 @@ def sample_segmentations(docs: DataFrame, model_path: str, k: int = 2, theta: fl
                 lat.add(set().union(*units))
                 sizes = np.array([len(u) for u in units], np.int64)
                 first = np.concatenate(([0], np.cumsum(sizes)))
-                roots = np.fromiter((lat.root[x] for u in units for x in u), np.int64, int(first[-1]))
+                roots = np.fromiter(map(lat.root.__getitem__, chain.from_iterable(units)), np.int64, int(first[-1]))
                 own = np.array([((r[0] or 0) * 0x9E3779B97F4A7C15 + seed * 0xC2B2AE3D27D4EB4F + xxh3_64_intdigest(b)) % (1 << 64) for r, b in zip(rows, blobs, strict=True)], U64)
                 places = (np.arange(first[-1]) - np.repeat(first[:-1], sizes)).astype(U64)
                 keys = np.repeat(own, sizes) + places * U64(0xD1B54A32D192ED03)
