@@ -31,8 +31,10 @@ from quillspark.llm.text import documents_of
 from quillspark.session import durable
 
 WINDOW, GRAM = 400, 32
+#: Bytes of text that become arrays of eight bytes for each at once.
+AT_ONCE = 1 << 18
 #: Places of an anchor beyond which its windows are counted by hash; stretches sorted together.
-CROWDED, TOGETHER = 512, 1000
+CROWDED, TOGETHER = 512, 400
 
 
 def _byte_hashes(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +88,7 @@ def _anchor_rows(texts: DataFrame, window: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, blobs in documents_of(batch):
+            for rows, blobs in documents_of(batch, AT_ONCE):
                 items, starts = _byte_hashes(blobs)
                 grams = windows.Rolling(items).grams(gram)
                 doc, place, _, _ = windows.anchors(grams, starts, window, gram)
@@ -105,7 +107,7 @@ def _stretches(texts: DataFrame, window: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, blobs in documents_of(batch):
+            for rows, blobs in documents_of(batch, AT_ONCE):
                 items, starts = _byte_hashes(blobs)
                 grams = windows.Rolling(items).grams(gram)
                 doc, place, first, last = windows.anchors(grams, starts, window, gram)
@@ -153,7 +155,7 @@ def _counted_windows(stretches: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, blobs in documents_of(batch):
+            for rows, blobs in documents_of(batch, AT_ONCE):
                 items, starts = _byte_hashes(blobs)
                 at, which = windows.ranges(starts[:-1], starts[1:] - window)
                 ids, begin = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))

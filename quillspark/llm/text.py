@@ -27,14 +27,14 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
-def documents_of(batch: pa.RecordBatch) -> Iterator[tuple[list, list[bytes]]]:
+def documents_of(batch: pa.RecordBatch, at_once: int = AT_ONCE) -> Iterator[tuple[list, list[bytes]]]:
     """Runs of (other columns as rows, UTF-8 texts) of a batch whose last column is the text."""
     texts = batch.column(batch.num_columns - 1).cast(pa.binary())
     rest = [c.to_pylist() for c in batch.columns[:-1]]
     rows, blobs, size = [], [], 0
     for i in range(batch.num_rows):
         blob = texts[i].as_py() or b""
-        if blobs and size + len(blob) > AT_ONCE:
+        if blobs and size + len(blob) > at_once:
             yield rows, blobs
             rows, blobs, size = [], [], 0
         rows.append(tuple(c[i] for c in rest))
