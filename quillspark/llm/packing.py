@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -15,8 +16,10 @@ from quillspark.llm.text import documents_of
 
 #: Pieces that are packed together, about.
 PACKED = 8192
-#: Texts between ASCII spaces whose ids a task remembers.
-REMEMBERED = 250_000
+#: Texts between ASCII spaces whose ids a task remembers, in each of two generations.
+REMEMBERED = 100_000
+#: Marks that often follow a word; a run of them is tokenized apart from the word.
+TAIL = ",.;:!?*#$%&|-"
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, group_id long"
 
@@ -78,37 +81,85 @@ def best_fit_decreasing(lengths: list[int], window: int) -> tuple[list[int], lis
     return number, offset
 
 
-class _Ids(dict):
-    """Packed ids of what stands between ASCII spaces; the tokenizer drops white space and never joins across it."""
+class _Ids:
+    """Packed ids of what stands between ASCII spaces; the tokenizer drops white space and never joins across it.
+
+    What was met lately is remembered in two generations, the elder of which is dropped when the younger is full.
+    """
 
     def __init__(self, path: str) -> None:
-        super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has given each task its core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, chunks: set[str]) -> dict[str, bytes]:
-        new = [c for c in chunks if c not in self]
-        if len(self) + len(new) > REMEMBERED:
-            self.clear()
-            new = list(chunks)
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for chunk, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self[chunk] = np.array(e.ids, "<u4").tobytes()
-        return self
+        size = self.tokenizer.get_vocab_size()
+        self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {"": b""}
+
+    def of(self, chunks: set[str]) -> dict[str, bytes]:
+        """A dictionary with all these chunks."""
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        new, old, young = [], self.old, self.young
+        for c in chunks.difference(young):
+            if c in old:
+                young[c] = old[c]
+            else:
+                new.append(c)
+        stems = {c: c.rstrip(TAIL) for c in new}
+        words = self._words(list({s.lower() if s.isascii() else s for s in stems.values() if s.isalpha()}))
+        tails = self.tails
+        for c, stem in stems.items():
+            tail = c[len(stem) :]
+            if stem.isascii():
+                stem = stem.lower()
+            if stem in words and "'" not in tail:
+                if tail not in tails:
+                    if len(tails) > REMEMBERED:
+                        tails.clear()
+                    tails[tail] = self._one(tail)
+                young[c] = words[stem] + tails[tail]
+            else:
+                young[c] = self._one(c)
+        return young
+
+    def _one(self, chunk: str) -> bytes:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of letters only, many in a text: each ends with a token that ends a word."""
+        out = {}
+        texts = [words[i : i + 256] for i in range(0, len(words), 256)]
+        for some, e in zip(texts, self.tokenizer.encode_batch_fast([" ".join(t) for t in texts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                packed, cuts = ids.tobytes(), (4 * ends).tolist()
+                for word, a, b in zip(some, [0, *cuts], cuts, strict=False):
+                    out[word] = packed[a:b]
+            else:  # a letter whose lower case isn't one letter
+                for word in some:
+                    out[word] = self._one(word)
+        return out
+
+
+_known: dict[str, _Ids] = {}
 
 
 def tokenize_and_cut(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, groups: int = 1, with_ids: bool = False) -> DataFrame:
     """Token ids of every text, cut into full windows and a rest; a row for each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Ids(tokenizer_path)
+        if tokenizer_path not in _known:
+            _known[tokenizer_path] = _Ids(tokenizer_path)  # a worker keeps it for its next tasks
+        known = _known[tokenizer_path]
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for rows, blobs in documents_of(batch):
                 split = [b.decode().replace("\n", " ").split(" ") for b in blobs]
-                ids = known.learn(set().union(*split))
+                ids = known.of(set().union(*split))
                 out = []
                 for (doc_id,), chunks in zip(rows, split, strict=True):
                     packed = b"".join(map(ids.__getitem__, chunks)) + end

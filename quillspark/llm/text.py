@@ -11,7 +11,7 @@ from xxhash import xxh3_64_intdigest
 U64 = np.uint64
 MIX = U64(0x9E3779B97F4A7C15)
 #: Words whose hashes a task remembers; beyond it words are hashed anew, with the same result.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Bytes of text that a task turns into arrays at once (a longer text goes alone).
 AT_ONCE = 1 << 20
 
