@@ -46,6 +46,10 @@ def _chars(text: str) -> np.ndarray:
     return x ^ (x >> U64(29))
 
 
+#: Low bits of a piece's hash that a first look goes by.
+LOOK = U64((1 << 18) - 1)
+
+
 class Pieces:
     """The model's pieces: ids, weights and bytes. A piece of rank r weighs (r + 2) ** -theta."""
 
@@ -59,12 +63,14 @@ class Pieces:
         plain = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.weight = {names[i]: (i, -theta * float(np.log(rank + 2))) for rank, i in enumerate(plain)}
         self.by_length = {}  # hashes of the pieces of each length in order, with their ids and weights
-        for n_chars in {len(x) for x in self.weight}:
+        for n_chars in sorted({len(x) for x in self.weight}):
             some = [x for x in self.weight if len(x) == n_chars]
             h = Rolling(_chars("".join(some))).grams(n_chars)[::n_chars]
             order = np.argsort(h)
             ids, weights = (np.array([self.weight[some[i]][f] for i in order]) for f in (0, 1))
-            self.by_length[n_chars] = h[order], ids, weights
+            look = np.zeros(int(LOOK) + 1, bool)
+            look[h & LOOK] = True
+            self.by_length[n_chars] = look, h[order], ids, weights
         self.bytes = [names[i].replace(SPACE, " ").encode() for i in range(n)]
         for b, i in self.byte_id.items():
             self.bytes[i] = bytes([b])
@@ -77,10 +83,28 @@ class Pieces:
         return joined[1:] if joined.startswith(b" ") else joined
 
 
+class _Column:
+    """An array that grows at its end, with room to spare."""
+
+    def __init__(self, kind: type) -> None:
+        self.room, self.n = np.empty(1 << 16, kind), 0
+
+    def extend(self, more: np.ndarray) -> np.ndarray:
+        """All so far."""
+        n = self.n + len(more)
+        if n > len(self.room):
+            room = np.empty(max(n, 2 * len(self.room)), self.room.dtype)
+            room[: self.n] = self.room[: self.n]
+            self.room = room
+        self.room[self.n : n] = more
+        self.n = n
+        return self.room[:n]
+
+
 class Lattices:
     """Units met so far, as one table of nodes and edges.
 
-    Edges of a node stand together; until has node number + cumulated probability, so that a draw is a binary search.
+    Edges of a node stand together; until has node number + cumulated probability: a draw takes the first edge beyond it.
     """
 
     def __init__(self, pieces: Pieces) -> None:
@@ -89,10 +113,14 @@ class Lattices:
 
     def clear(self) -> None:
         self.root: dict[str, int] = {}
-        self.until, self.log_p = np.empty(0), np.empty(0)
-        self.to, self.first_id, self.n_ids = (np.empty(0, kind) for kind in (np.int32, np.int32, np.int8))
-        self.begin = np.zeros(1, np.int64)
-        self.ids = np.empty(0, np.int64)
+        kinds = {"until": float, "log_p": float, "to": np.int32, "first_id": np.int32, "n_ids": np.int8, "begin": np.int64, "ids": np.int64}
+        self.columns = {name: _Column(kind) for name, kind in kinds.items()}
+        self._extend(**{name: np.empty(0, kind) for name, kind in kinds.items()})
+        self._extend(begin=np.zeros(1, np.int64))
+
+    def _extend(self, **more: np.ndarray) -> None:
+        for name, x in more.items():
+            setattr(self, name, self.columns[name].extend(x))
 
     def add(self, units: set[str]) -> None:
         new = [u for u in units if u not in self.root]
@@ -107,9 +135,12 @@ class Lattices:
         ends = np.cumsum(sizes)
         self.root.update(zip(new, (nodes + ends - sizes).tolist(), strict=True))
         rest = np.repeat(ends, sizes) - np.arange(len(text))  # characters up to the unit's end
-        at, length, piece, weight = self._edges(text, rest)
+        at, length, piece, weight = self._edges(text, rest)  # by length
+        order = np.argsort(at, kind="stable")
+        at, length, piece, weight = at[order], length[order], piece[order], weight[order]
         # backward sums, nodes with one character left first
-        order = np.argsort((rest[at] << 40) | (at << 12) | length)
+        left = rest[at]
+        order = np.argsort(left.astype(np.uint16) if left.max() < 1 << 16 else left, kind="stable")
         a, to, w = at[order], at[order] + length[order], weight[order]
         new_node = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
         level = rest[a[new_node]]
@@ -124,9 +155,7 @@ class Lattices:
             top = np.maximum.reduceat(score, starts)
             total = np.add.reduceat(np.exp(score - np.repeat(top, np.diff(np.append(starts, hi - lo)))), starts)
             after[a[bounds[i:j]]] = top + np.log(total)
-        order = np.argsort((at << 12) | length)
-        at, length, piece, weight = at[order], length[order], piece[order], weight[order]
-        inner = length < rest[at]
+        inner = length < left
         log_p = np.minimum(0.0, weight + np.where(inner, after[np.minimum(at + length, len(text))], 0.0) - after[at])
         n_edges = np.bincount(at, minlength=len(text))
         first = np.cumsum(n_edges) - n_edges
@@ -142,22 +171,30 @@ class Lattices:
         ids[first_id[piece >= 0]] = piece[piece >= 0]
         for e, x in zip(raw.tolist(), strings, strict=True):
             ids[first_id[e] : first_id[e] + len(x)] = [self.pieces.byte_id[b] for b in x]
-        self.until = np.concatenate((self.until, nodes + at + np.minimum(share, 1.0)))
-        self.log_p = np.concatenate((self.log_p, log_p))
-        self.to = np.concatenate((self.to, np.where(inner, nodes + at + length, -1).astype(np.int32)))
-        self.first_id, self.n_ids = np.concatenate((self.first_id, (base + first_id).astype(np.int32))), np.concatenate((self.n_ids, n_ids.astype(np.int8)))
-        self.begin = np.concatenate((self.begin[:-1], edges + first, [edges + len(at)]))
-        self.ids = np.concatenate((self.ids, ids))
+        self._extend(
+            until=nodes + at + np.minimum(share, 1.0),
+            log_p=log_p,
+            to=np.where(inner, nodes + at + length, -1),
+            first_id=base + first_id,
+            n_ids=n_ids,
+            ids=ids,
+            begin=edges + first + n_edges,  # of the node after each
+        )
 
     def _edges(self, text: str, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(place, length, piece, weight) of every piece in every unit; piece -1: a character's bytes, where no piece is that character."""
+        """(place, length, piece, weight) of every piece in every unit, by length and place.
+
+        Piece -1: a character's bytes, where no piece is that character.
+        """
         rolling, found = Rolling(_chars(text)), []
         bare = np.ones(len(text), bool)
-        for n, (hashes, ids, weights) in self.pieces.by_length.items():
+        for n, (look, hashes, ids, weights) in self.pieces.by_length.items():
             places = np.flatnonzero(rest >= n)
             if not len(places):
                 continue
             h = rolling.at(places, n)
+            maybe = look[h & LOOK]
+            places, h = places[maybe], h[maybe]
             where = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
             hit = hashes[where] == h
             places, where = places[hit], where[hit]
@@ -166,7 +203,7 @@ class Lattices:
                 bare[places] = False
         places = np.flatnonzero(bare)
         sizes = np.array([len(text[i].encode()) for i in places.tolist()], np.int64)
-        found.append((places, np.ones(len(places), np.int64), np.full(len(places), -1), BYTE * sizes))
+        found.insert(0, (places, np.ones(len(places), np.int64), np.full(len(places), -1), BYTE * sizes))
         return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
     def paths(self, roots: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,8 +212,13 @@ class Lattices:
         node = roots[where]
         chosen, owners, step = [], [], 0
         while len(node):
-            edge = np.searchsorted(self.until, node + uniform(keys[where], step), "right")
-            edge = np.minimum(edge, self.begin[node + 1] - 1)
+            edge, last = self.begin[node], self.begin[node + 1] - 1
+            drawn = node + uniform(keys[where], step)
+            on = np.flatnonzero((edge < last) & (self.until[edge] <= drawn))
+            while len(on):  # a node has few edges: go on where the draw lies beyond
+                e = edge[on] + 1
+                edge[on] = e
+                on = on[(e < last[on]) & (self.until[e] <= drawn[on])]
             chosen.append(edge)
             owners.append(where)
             node = self.to[edge].astype(np.int64)
@@ -211,7 +253,7 @@ def _units(text: str) -> list[str]:
     return UNITS.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
-def _segmentations(lat: Lattices, node_of: np.ndarray, drawn: list[tuple[np.ndarray, np.ndarray]], span: tuple[int, int], key: int, k: int) -> list[tuple[np.ndarray, float, float]]:
+def _segmentations(lat: Lattices, drawn: list[tuple[np.ndarray, np.ndarray]], span: tuple[int, int], key: int, k: int) -> list[tuple[np.ndarray, float, float]]:
     """(edges, log-probability, perturbed) of up to k + 1 segmentations of a document, best perturbed first.
 
     drawn: for each sample fresh paths through all units of the batch; span: the units of the document.
@@ -235,7 +277,7 @@ def _segmentations(lat: Lattices, node_of: np.ndarray, drawn: list[tuple[np.ndar
             path, at, barred = edges[starts[a] : starts[b]], 0, frozenset()
         else:
             before, at, barred, unit = what
-            node = node_of[before[at]]
+            node = int(np.searchsorted(lat.begin, before[at], "right")) - 1
             rest = [e for e in range(int(lat.begin[node]), int(lat.begin[node + 1])) if e not in barred]
             odds = np.cumsum(np.exp(lat.log_p[rest]))
             e = rest[min(int(np.searchsorted(odds, rng.random() * odds[-1], "right")), len(rest) - 1)]
@@ -301,10 +343,9 @@ def sample_segmentations(docs: DataFrame, model_path: str, k: int = 2, theta: fl
                 places = (np.arange(first[-1]) - np.repeat(first[:-1], sizes)).astype(U64)
                 keys = np.repeat(own, sizes) + places * U64(0xD1B54A32D192ED03)
                 drawn = [lat.paths(roots, keys ^ U64(0xA0761D6478BD642F * (r + 1) % (1 << 64))) for r in range(k)]
-                node_of = np.repeat(np.arange(len(lat.begin) - 1), np.diff(lat.begin))
                 out = []
                 for d, row in enumerate(rows):
-                    found = _segmentations(lat, node_of, drawn, (int(first[d]), int(first[d + 1])), int(own[d]), k)
+                    found = _segmentations(lat, drawn, (int(first[d]), int(first[d + 1])), int(own[d]), k)
                     threshold = found[k][2] if len(found) > k else -np.inf
                     for s, (path, lp, g) in enumerate(found[:k]):
                         counts = lat.n_ids[path]
