@@ -113,7 +113,7 @@ class Lattices:
 
     def clear(self) -> None:
         self.root: dict[str, int] = {}
-        kinds = {"until": float, "log_p": float, "to": np.int32, "first_id": np.int32, "n_ids": np.int8, "begin": np.int64, "ids": np.int64}
+        kinds = {"until": float, "log_p": float, "to": np.int32, "node_of": np.int32, "first_id": np.int32, "n_ids": np.int8, "begin": np.int64, "ids": np.int64}
         self.columns = {name: _Column(kind) for name, kind in kinds.items()}
         self._extend(**{name: np.empty(0, kind) for name, kind in kinds.items()})
         self._extend(begin=np.zeros(1, np.int64))
@@ -175,6 +175,7 @@ class Lattices:
             until=nodes + at + np.minimum(share, 1.0),
             log_p=log_p,
             to=np.where(inner, nodes + at + length, -1),
+            node_of=nodes + at,
             first_id=base + first_id,
             n_ids=n_ids,
             ids=ids,
@@ -253,7 +254,7 @@ def _units(text: str) -> list[str]:
     return UNITS.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
-def _segmentations(lat: Lattices, drawn: list[tuple[np.ndarray, np.ndarray]], span: tuple[int, int], key: int, k: int) -> list[tuple[np.ndarray, float, float]]:
+def _segmentations(lat: Lattices, node_of: np.ndarray, drawn: list[tuple[np.ndarray, np.ndarray]], span: tuple[int, int], key: int, k: int) -> list[tuple[np.ndarray, float, float]]:
     """(edges, log-probability, perturbed) of up to k + 1 segmentations of a document, best perturbed first.
 
     drawn: for each sample fresh paths through all units of the batch; span: the units of the document.
@@ -277,7 +278,7 @@ def _segmentations(lat: Lattices, drawn: list[tuple[np.ndarray, np.ndarray]], sp
             path, at, barred = edges[starts[a] : starts[b]], 0, frozenset()
         else:
             before, at, barred, unit = what
-            node = int(np.searchsorted(lat.begin, before[at], "right")) - 1
+            node = node_of[before[at]]
             rest = [e for e in range(int(lat.begin[node]), int(lat.begin[node + 1])) if e not in barred]
             odds = np.cumsum(np.exp(lat.log_p[rest]))
             e = rest[min(int(np.searchsorted(odds, rng.random() * odds[-1], "right")), len(rest) - 1)]
@@ -345,7 +346,7 @@ def sample_segmentations(docs: DataFrame, model_path: str, k: int = 2, theta: fl
                 drawn = [lat.paths(roots, keys ^ U64(0xA0761D6478BD642F * (r + 1) % (1 << 64))) for r in range(k)]
                 out = []
                 for d, row in enumerate(rows):
-                    found = _segmentations(lat, drawn, (int(first[d]), int(first[d + 1])), int(own[d]), k)
+                    found = _segmentations(lat, lat.node_of, drawn, (int(first[d]), int(first[d + 1])), int(own[d]), k)
                     threshold = found[k][2] if len(found) > k else -np.inf
                     for s, (path, lp, g) in enumerate(found[:k]):
                         counts = lat.n_ids[path]
