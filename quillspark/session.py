@@ -50,8 +50,21 @@ def sized(df: DataFrame, rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Bytes and rows of an Arrow batch between Spark and Python tasks.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes and rows, unless the session's settings are stricter: both sides of a task hold whole batches."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        now = spark.conf.get(key).lower().removesuffix("b")
+        if not now.removeprefix("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once a context, for functions that run in Python tasks."""
+    small_batches(spark)
     context = spark.sparkContext
     if getattr(context, "_quillspark_shipped", False):
         return
