@@ -1,4 +1,4 @@
-"""A corpus pipeline over documents: reject junk, drop repeated lines, near-duplicates and repeated passages, pack.
+"""A corpus pipeline over documents: reject junk, drop repeated lines, near-duplicates and repeated passages (by bytes, then by words), pack.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; every stage but the last returns the columns of
 documents (doc_id, text, lang, source, n_chars), n_chars being kept in step with text. Documents
@@ -11,12 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import line_dedup, ngram_join, packing, quality, suffix_dedup
+from quillspark.llm import line_dedup, ngram_join, packing, quality, substring_index, suffix_dedup
 from quillspark.llm.registry import tokenizer_file
 from quillspark.session import checkpoint_dir, ship
 from quillspark.sources import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A passage of over 50 words has at least so many.
+PASSAGE_WORDS = 51
 
 
 def _documents(df: DataFrame) -> DataFrame:
@@ -52,6 +54,14 @@ def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return _documents(out).unionByName(docs.where("doc_id IS NULL"))
 
 
+def dedup_short_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of over 50 words, however few bytes they take, go where a document with a smaller doc_id has them too; so do documents that consisted of nothing else."""
+    ship(spark)
+    docs = docs.select(*COLUMNS)
+    out = substring_index.drop_repeated_passages(docs, PASSAGE_WORDS, also=("lang", "source"))
+    return _documents(out.where("n_removed = 0 OR n_removed < n_words")).unionByName(docs.where("doc_id IS NULL"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens, each with its place in a sequence."""
     ship(spark)
@@ -63,6 +73,7 @@ STAGES = [
     ("line_dedup", dedup_lines),
     ("ngram_jaccard_join", dedup_near),
     ("suffix_array_dedup", dedup_passages),
+    ("short_passage_dedup", dedup_short_passages),
     ("packing", pack),
 ]
 

@@ -493,3 +493,25 @@ def test_ngram_join_with_frequent_tokens(spark, monkeypatch, name):
     rows = corpus(13)
     got = {tuple(r) for r in ngram_join.ngram_components(frame(spark, rows), 4, 85).select("doc_id", "n_shingles", "component_id").collect()}
     assert got == jaccard_classes(rows, 4, 85)
+
+
+def test_pipeline_takes_passages_of_51_words_under_400_bytes(spark):
+    import corpus_pipeline
+
+    rng = random.Random(21)
+
+    def fresh(n):
+        return " ".join(f"{rng.randrange(36**4):04x}" for _ in range(n))
+
+    passage, shorter = "\n".join(fresh(17) for _ in range(3)), fresh(50)
+    assert len(passage) < 400
+    heads = [fresh(40) for _ in range(4)]
+    rows = [(1, f"{heads[0]}\n{passage} end\nof 1"), (2, f" {heads[1]}\n\n{passage}\tfin  de\n2"), (3, f"{heads[2]} {shorter} 3"), (4, f"{heads[3]} {shorter} 4"), (5, passage), (6, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = [f for name, f in corpus_pipeline.STAGES if name not in ("quality_classifier", "packing")]
+    for stage in stages:
+        docs = spark.createDataFrame(stage(spark, docs, "").collect(), docs.schema)
+    got = {r.doc_id: r.text or "" for r in docs.collect()}
+    want = {**dict(rows), 2: f" {heads[1]}\n\nfin  de\n2", 6: ""}
+    del want[5]
+    assert got == want
