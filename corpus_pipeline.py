@@ -1,4 +1,5 @@
-"""A corpus pipeline over documents: reject junk, drop repeated lines, near-duplicates and repeated passages (by bytes, then by words), pack.
+"""A corpus pipeline over documents: reject junk, drop repeated lines, near-duplicates and repeated passages (by bytes), then what
+repeats in single lines or in fewer bytes, pack.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; every stage but the last returns the columns of
 documents (doc_id, text, lang, source, n_chars), n_chars being kept in step with text. Documents
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import line_dedup, ngram_join, packing, quality, substring_index, suffix_dedup
+from quillspark.llm import line_dedup, line_runs, ngram_join, packing, quality, substring_index, suffix_dedup
 from quillspark.llm.registry import tokenizer_file
 from quillspark.session import checkpoint_dir, ship
 from quillspark.sources import table
@@ -62,6 +63,13 @@ def dedup_short_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return _documents(out.where("n_removed = 0 OR n_removed < n_words")).unionByName(docs.where("doc_id IS NULL"))
 
 
+def dedup_line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Single lines, and runs of lines, of at least 5 words go where an earlier place has them too; so do documents that consisted of nothing else."""
+    ship(spark)
+    out = line_runs.dedup_line_runs(docs.select(*COLUMNS))
+    return _documents(out.where("n_deleted = 0 OR n_deleted < n_lines"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens, each with its place in a sequence."""
     ship(spark)
@@ -74,6 +82,7 @@ STAGES = [
     ("ngram_jaccard_join", dedup_near),
     ("suffix_array_dedup", dedup_passages),
     ("short_passage_dedup", dedup_short_passages),
+    ("line_run_dedup", dedup_line_runs),  # after passages: else it would leave their torn ends
     ("packing", pack),
 ]
 

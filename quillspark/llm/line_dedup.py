@@ -61,7 +61,12 @@ def dedup_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
     stays null and has no lines; an empty text has one. Rows without doc_id pass unchanged. Rows that share a doc_id
     count as one place each and lose the same line numbers. An empty table gives an empty result.
     """
-    deleted = repeated_lines(docs, lines).withColumnsRenamed({"doc_id": "__id", "deleted": "__deleted"})
+    return without_lines(docs, repeated_lines(docs, lines))
+
+
+def without_lines(docs: DataFrame, deleted: DataFrame) -> DataFrame:
+    """docs without the lines whose numbers deleted (doc_id, deleted) has; adds n_lines, n_deleted and n_runs."""
+    deleted = deleted.withColumnsRenamed({"doc_id": "__id", "deleted": "__deleted"})
     out = docs.join(deleted, docs["doc_id"] == F.col("__id"), "left")
     gone = F.coalesce("__deleted", F.array().cast("array<int>"))
     all_lines = F.split("text", "\n")

@@ -1,0 +1,88 @@
+"""Dedup of repeated lines by their words: one long line, or a run of short ones, is a match by itself.
+
+A run of lines with at least `words` words holds, around each of its lines, a run that has as many words and loses them with its
+first or its last line. Only those shortest runs are compared, each with the earliest place of the same lines, so a line
+that stands in a large part of all documents costs one aggregated row.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
+
+from quillspark.llm import windows
+from quillspark.llm.line_dedup import without_lines
+from quillspark.llm.text import documents_of
+from quillspark.session import sized
+
+#: A repeated run has at least so many words.
+WORDS = 5
+
+
+def shortest_runs(counts: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(from, to) of the runs of lines that begin with a word and have fewer than words words without their first or without their last line.
+
+    counts: the words of each line.
+    """
+    sums = np.concatenate(([0], np.cumsum(counts)))
+    begin = np.flatnonzero(counts > 0)
+    end = np.searchsorted(sums, sums[begin] + words)
+    begin, end = begin[end < len(sums)], end[end < len(sums)]
+    stop = np.flatnonzero(sums >= words)
+    start = np.searchsorted(sums, sums[stop] - words, "right") - 1
+    both = np.unique(np.stack([np.concatenate([begin, start]), np.concatenate([end, stop])]), axis=1)
+    return both[0], both[1]
+
+
+def _run_hashes(items: np.ndarray, at: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Hashes of the items at to to - 1."""
+    rolling = windows.Rolling(items)
+    return windows._scatter((rolling.sums[to] - rolling.sums[at]) * rolling.down[at]).view(np.int64)
+
+
+def line_runs(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(key_a, key_b, doc_id, at, to): the shortest runs of each document, lines at to to - 1, and two hashes of them; docs has doc_id and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows, blobs in documents_of(batch):
+                lines = [b.split(b"\n") for b in blobs]
+                size = np.fromiter(map(len, lines), np.int64, len(lines))
+                flat = [x for some in lines for x in some]
+                items = np.fromiter(map(xxh3_64_intdigest, flat), windows.U64, len(flat))
+                counts = np.fromiter((len(x.split()) for x in flat), np.int64, len(flat))
+                starts = np.concatenate(([0], np.cumsum(size)))
+                found = [shortest_runs(counts[a:b], words) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+                doc = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
+                at, to = (np.concatenate([x[k] for x in found]).astype(np.int64) for k in (0, 1))
+                keys = [_run_hashes(x, at + starts[doc], to + starts[doc]) for x in (items, windows._scatter(items))]
+                ids = np.array([r[0] for r in rows], np.int64)[doc]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(ids), pa.array(at.astype(np.int32)), pa.array(to.astype(np.int32))], names=["key_a", "key_b", "doc_id", "at", "to"])
+
+    some = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return some.mapInArrow(run, "key_a long, key_b long, doc_id long, at int, to int")
+
+
+def repeated_runs(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, deleted): the numbers, from 0, of the lines in runs that an earlier place has too, sorted; only documents that have any."""
+    runs, keys, place = line_runs(docs, words), ["key_a", "key_b"], F.struct("doc_id", "at")
+    first = runs.groupBy(*keys).agg(F.min(place).alias("first"), F.max(place).alias("_last")).where("first != _last")
+    first = sized(first.select(*keys, F.col("first.doc_id").alias("_doc"), F.col("first.at").alias("_at")), 200_000)
+    later = runs.join(first, keys).where(place > F.struct(F.col("_doc").alias("doc_id"), F.col("_at").alias("at")))
+    lines = F.flatten(F.transform(F.collect_set(F.struct("at", "to")), lambda r: F.sequence(r["at"], r["to"] - 1)))
+    return later.groupBy("doc_id").agg(F.array_sort(F.array_distinct(lines)).alias("deleted"))
+
+
+def dedup_line_runs(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """docs with the lines of later repeated runs of at least `words` words taken out of text; adds n_lines, n_deleted and n_runs.
+
+    A line goes if it lies in a run of lines (one or more, the first not blank) that has at least so many words and
+    that also begins at an earlier place: in a document with a smaller doc_id, or further up in the same one. Fewer words that
+    repeat stay. All else is as in line_dedup.dedup_lines.
+    """
+    return without_lines(docs, repeated_runs(docs, words))

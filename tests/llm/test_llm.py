@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from quillspark.llm import fingerprint, graph, line_dedup, ngram_join, packing, pieces, quality, sharding, substring_index, suffix_dedup, topk, windows
+from quillspark.llm import fingerprint, graph, line_dedup, line_runs, ngram_join, packing, pieces, quality, sharding, substring_index, suffix_dedup, topk, windows
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, rank int, canonical_id long, key string"
 
@@ -515,3 +515,32 @@ def test_pipeline_takes_passages_of_51_words_under_400_bytes(spark):
     want = {**dict(rows), 2: f" {heads[1]}\n\nfin  de\n2", 6: ""}
     del want[5]
     assert got == want
+
+
+def test_pipeline_takes_single_repeated_lines(spark):
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)["line_run_dedup"]
+    line = "one boilerplate line of words"
+    rows = [(1, f"own a\n{line}\nown b"), (2, f"{line}\nown c"), (3, line), (4, "own d\na b c\nd e\nown e"), (5, "own f\na b c\nd e\nown g"), (6, "a b c\nown h"), (None, line), (7, None), (8, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in stage(spark, docs, "").collect()}
+    want = {**dict(rows), 2: "own c", 5: "own f\nown g"}
+    del want[3]
+    assert got == want
+
+
+def test_line_runs_equal_brute_force(spark):
+    rng = random.Random(22)
+    kinds = ["", " ", "a", "b c", "d e f g h", "i j k", "l m n o p q"]
+    rows = [(i, "\n".join(rng.choices(kinds, [3, 1, 4, 4, 1, 3, 1], k=rng.randrange(0, 9)))) for i in range(25)]
+    runs, gone = [], collections.defaultdict(set)
+    for i, t in rows:
+        lines = t.split("\n")
+        runs += [(i, a, tuple(lines[a:b])) for a in range(len(lines)) for b in range(a + 1, len(lines) + 1) if lines[a].split() and len(" ".join(lines[a:b]).split()) >= 5]
+    first = {}
+    for i, a, run in sorted(runs, key=lambda r: r[:2]):
+        if first.setdefault(run, (i, a)) != (i, a):
+            gone[i].update(range(a, a + len(run)))
+    got = {r.doc_id: r.deleted for r in line_runs.repeated_runs(frame(spark, rows)).collect()}
+    assert got == {i: sorted(x) for i, x in gone.items()} and len(got) > 5
