@@ -1,10 +1,10 @@
-"""Line dedup by winnowing over line hashes, in DataFrame functions only.
+"""Line dedup by hashes of windows of lines, in DataFrame functions only.
 
 The smallest line hash of each window of `lines` consecutive lines is a fingerprint, so any run of
 that many equal lines shares one with every copy. Windows around fingerprints that occur at
 more than one place are matched with the earliest place that has the same lines; matched windows
-that touch or overlap are one run, extended both ways as far as it matches; runs that aren't
-the earliest are deleted.
+that touch or overlap are one run; runs that aren't the earliest are deleted. Positions of fingerprints
+are not joined and matches not extended: fingerprints only drop windows that can't repeat.
 """
 
 from __future__ import annotations
