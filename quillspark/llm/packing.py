@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -148,6 +150,11 @@ class _Ids:
 _known: dict[str, _Ids] = {}
 
 
+def _mixed(x: int) -> int:
+    x = x * 0x9E3779B97F4A7C15 % (1 << 64)
+    return (x ^ x >> 32) * 0xC2B2AE3D27D4EB4F % (1 << 64)
+
+
 def tokenize_and_cut(docs: DataFrame, tokenizer_path: str, window: int = 4096, end_id: int = 2, groups: int = 1, with_ids: bool = False) -> DataFrame:
     """Token ids of every text, cut into full windows and a rest; a row for each piece."""
 
@@ -156,6 +163,7 @@ def tokenize_and_cut(docs: DataFrame, tokenizer_path: str, window: int = 4096, e
             _known[tokenizer_path] = _Ids(tokenizer_path)  # a worker keeps it for its next tasks
         known = _known[tokenizer_path]
         end = np.array([end_id], "<u4").tobytes()
+        task, times = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             for rows, blobs in documents_of(batch):
                 split = [b.decode().replace("\n", " ").split(" ") for b in blobs]
@@ -167,8 +175,13 @@ def tokenize_and_cut(docs: DataFrame, tokenizer_path: str, window: int = 4096, e
                     while at < total:
                         n = min(window, total - at)
                         piece = packed[4 * at : 4 * (at + n)]
-                        group = ((doc_id or 0) * 0x9E3779B97F4A7C15 + at * 0xC2B2AE3D27D4EB4F) % (1 << 64) >> 20
-                        out.append((doc_id, at, n, zlib.crc32(piece), total, group % groups, piece))
+                        crc = zlib.crc32(piece)
+                        same = (doc_id, at, crc, total)
+                        # equal pieces of a task are told apart by their number, so that a repeated task deals the same pieces to the same groups
+                        salt = crc + (times[same] << 32) + task * 0x165667B19E3779F9
+                        times[same] += 1
+                        group = (_mixed(_mixed((doc_id or 0) + at * 0xC2B2AE3D27D4EB4F) + salt)) >> 20
+                        out.append((doc_id, at, n, crc, total, group % groups, piece))
                         at += n
                 columns = list(zip(*out, strict=True))
                 arrays = [pa.array(c, pa.int64()) for c in columns[:6]]

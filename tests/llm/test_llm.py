@@ -544,3 +544,12 @@ def test_line_runs_equal_brute_force(spark):
             gone[i].update(range(a, a + len(run)))
     got = {r.doc_id: r.deleted for r in line_runs.repeated_runs(frame(spark, rows)).collect()}
     assert got == {i: sorted(x) for i, x in gone.items()} and len(got) > 5
+
+
+def test_packing_spreads_null_and_repeated_ids(spark, monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(packing, "PACKED", 100)
+    rows = [(None, f"text {i}") for i in range(800)] + [(None, None)] * 800 + [(7, "same")] * 800
+    out = packing.pack_documents(frame(spark, rows), public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert len(out) == 2400 and max(collections.Counter(r.sequence_id >> 31 for r in out).values()) < 300
