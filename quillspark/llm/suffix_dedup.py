@@ -2,21 +2,24 @@
 
 Suffixes are sorted only as far as a repeat can matter, and only where one is possible:
 
-1. Every document's 400-byte windows are reduced to anchors (the smallest 32-byte gram of each window).
-   Windows can be equal only if their anchors' hashes are. Anchors that occur at one place only are dropped.
-2. The stretch of text that the windows of an anchor cover goes to the bucket of that anchor. In a
-   bucket all suffixes start in buckets of q-grams. Each refinement sorts the pairs (bucket of the suffix, bucket of
-   the suffix one bucket length later), which doubles the length that the buckets stand for; the refined
-   buckets are what the next pass points to. Suffixes alone in a bucket are left out of later passes.
-3. Anchors at more than CROWDED places (copies, boilerplate) aren't collected anywhere: the same windows are
-   counted by hash in a distributed aggregation.
-
-Copies of a whole text are one text with a count, so a group of copies costs as much as one of them.
+1. Every window (400 bytes) has an anchor, the smallest 32-byte gram in it, at some offset. Windows with the anchor in
+   their first half all hold the same bytes behind it, the others the same bytes before it: these bytes are the core of
+   a bucket. Equal windows lie in buckets with equal cores, so buckets with one place only are dropped.
+2. The bytes that the windows of a bucket cover at one place are a piece. Equal pieces are one piece with a count; only
+   distinct pieces of a bucket carry their bytes to a task.
+3. There all suffixes are sorted: first by q-grams, then bucket after bucket by the pointers of later offsets (to the buckets
+   in which the rest of a suffix lies). Refined pointers are written back at once, so buckets that come later are
+   refined by them and gain more bytes than they had. Neighbours in the order that agree in a whole window are repeats.
+4. A bucket of more than CROWDED distinct pieces is split before: its windows go, by halves of their offsets, to buckets with
+   longer cores (in the end the whole window, of which there is one distinct piece), and what is found comes back to the pieces.
+
+Copies of a whole text are one text from the start, so a group of copies costs as much as one of them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +31,17 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import windows
 from quillspark.llm.text import documents_of
-from quillspark.session import durable
+from quillspark.session import durable, sized
 
 WINDOW, GRAM = 400, 32
 #: Bytes of text that become arrays of eight bytes for each at once.
 AT_ONCE = 1 << 18
-#: Places of an anchor beyond which its windows are counted by hash; stretches sorted together.
-CROWDED, TOGETHER = 512, 400
+#: Distinct pieces of a bucket beyond which it is split; bytes of pieces that are sorted together, about (a bucket stays whole).
+CROWDED, TOGETHER = 2000, 1 << 18
+#: Parts of the order that are refined one after the other in a pass, so that later ones see what earlier ones have found.
+PARTS = 4
+
+PIECES = "o1 long, o2 long, at int, size int, key long, digest long, place int, lo int, hi int"
 
 
 def _byte_hashes(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -42,182 +49,230 @@ def _byte_hashes(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return windows.BYTE_HASHES[np.frombuffer(b"".join(blobs), np.uint8)], starts
 
 
-def refine(text: np.ndarray, wanted: np.ndarray, length: int, q: int) -> np.ndarray:
-    """Which of the wanted suffixes of text have another wanted suffix with the same first length bytes.
+def suffix_order(text: np.ndarray, length: int, q: int) -> np.ndarray:
+    """All suffixes of text (items as hashes), in an order in which those with the same first length items stand together.
 
-    text: items as buckets of one byte or of any finer kind; suffixes at wanted have at least length items.
+    q divides length. A bucket's pointer is the place of its first suffix in the order; depth is how many items a bucket stands for.
     """
-    at = wanted
-    active = np.flatnonzero(windows.covered(at, length - q + 1, len(text)))  # suffixes whose buckets later passes point to
-    grams = windows.Rolling(text).grams(q)
-    bucket = np.full(len(text), -1, np.int64)  # -1: alone
-    bucket[active] = _name(grams[active].view(np.int64))
-    size = q
-    while size < length:
-        step = min(size, length - size)
-        last = length - size - step  # how far from a wanted suffix a pointer may still start
-        active = np.flatnonzero(windows.covered(at, last + 1, len(text)) & (bucket >= 0))
-        active = active[bucket[active + step] >= 0]
-        refined = np.full(len(text), -1, np.int64)
-        if len(active):
-            refined[active] = _name(bucket[active] * np.int64(1 + bucket.max()) + bucket[active + step])
-        bucket, size = refined, size + step
-    own = bucket[at]
-    out = np.zeros(len(at), bool)
-    some = np.flatnonzero(own >= 0)
-    if len(some):
-        _, inverse, count = np.unique(own[some], return_inverse=True, return_counts=True)
-        out[some] = count[inverse] > 1
-    return out
+    n = len(text)
+    marks = windows._scatter(np.arange(1, 2 * q + 1, dtype=np.uint64) * windows.U64(0x9E3779B97F4A7C15))  # an end unlike all else
+    grams = windows.Rolling(np.concatenate((text, marks))).grams(q)[: n + q]
+    order = np.argsort(grams, kind="stable")
+    pointer = np.empty(n + q, np.int64)
+    depth = np.full(n + q, q, np.int64)
+    active = _point(order, np.arange(n + q), grams[order], pointer)
+    while len(active):
+        later = []
+        heads = np.flatnonzero(np.concatenate(([True], np.diff(pointer[order[active]]) != 0)))
+        cuts = np.unique(heads[np.linspace(0, len(heads), PARTS + 1).astype(int)[:-1]])
+        for places in np.split(active, cuts[1:]):
+            suffixes = order[places]
+            rest = suffixes + depth[suffixes]
+            key = pointer[suffixes] * np.int64(n + q) + pointer[rest]
+            deeper = depth[suffixes] + depth[rest]
+            some = np.argsort(key, kind="stable")
+            order[places] = suffixes[some]
+            depth[suffixes] = deeper
+            later.append(_point(order[places], places, key[some], pointer))
+        active = np.concatenate(later)
+        active = active[depth[order[active]] < length]
+    return order[order < n]
+
+
+def _point(suffixes: np.ndarray, places: np.ndarray, keys: np.ndarray, pointer: np.ndarray) -> np.ndarray:
+    """Write the pointers of suffixes that stand at places in the order of their keys; returns the places of buckets of several."""
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    size = np.diff(np.append(first, len(keys)))
+    pointer[suffixes] = np.repeat(places[first], size)
+    return places[np.repeat(size > 1, size)]
 
 
-def _name(keys: np.ndarray) -> np.ndarray:
-    """Buckets of equal keys, numbered in sorted order; -1 for a key that occurs once."""
-    order = np.argsort(keys, kind="stable")
-    ranked = keys[order]
-    new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
-    number = np.cumsum(new) - 1
-    alone = np.bincount(number)[number] == 1
-    out = np.empty(len(keys), np.int64)
-    out[order] = np.where(alone, -1, number)
+def refine(text: np.ndarray, wanted: np.ndarray, length: int, q: int) -> np.ndarray:
+    """Which of the wanted suffixes of text have another wanted suffix with the same first length items."""
+    asked = np.full(len(text), -1)
+    asked[wanted] = np.arange(len(wanted))
+    order = suffix_order(text, length, math.gcd(q, length))
+    order = order[asked[order] >= 0]
+    whole = windows.Rolling(text).at(order, length)
+    as_next = np.flatnonzero(whole[1:] == whole[:-1])
+    out = np.zeros(len(wanted), bool)
+    out[asked[order[as_next]]] = out[asked[order[as_next + 1]]] = True
     return out
 
 
-def _anchor_rows(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """(hash, copy, place): anchors of each text; copy is the text's digest, place tells places of a text apart."""
+def _halves(rolling: windows.Rolling, o1, o2, base, place, first, last, lo, hi, window: int, gram: int) -> pa.RecordBatch:
+    """Pieces of the windows first..last about the anchors at place, by the halves of lo..hi.
+
+    lo and hi: the least and most of a window's begin, counted from the first window that could hold the anchor. All windows of a half hold its
+    core, whose hash is the key.
+    """
+    reach, out = window - gram, []
+    middle = (lo + hi) // 2
+    for a, b in ((lo, middle), (middle + 1, hi)):
+        begin, end = np.maximum(first, place - reach + a), np.minimum(last, place - reach + b)
+        k = np.flatnonzero(begin <= end)
+        a, b, begin, end, at = (x[k] for x in (*np.broadcast_arrays(a, b, begin, end), place))
+        key = windows._scatter(rolling.at(at - reach + b, window - (b - a)) + a.astype(np.uint64) * windows.U64(windows.BASE))
+        size = end - begin + window
+        out.append((o1[k], o2[k], (begin - base[k]).astype(np.int32), size.astype(np.int32), key.view(np.int64), rolling.at(begin, size).view(np.int64), *((x).astype(np.int32) for x in (at - begin, a, b))))
+    columns = [np.concatenate(c) for c in zip(*out, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[f.split()[0] for f in PIECES.split(", ")])
+
+
+def _text_pieces(texts: DataFrame, window: int, gram: int) -> DataFrame:
+    """The pieces of every text; texts has o1, o2 (what tells texts apart) and text."""
+    reach = window - gram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, blobs in documents_of(batch, AT_ONCE):
                 items, starts = _byte_hashes(blobs)
-                grams = windows.Rolling(items).grams(gram)
-                doc, place, _, _ = windows.anchors(grams, starts, window, gram)
-                copy = np.array([r[0] for r in rows], np.int64)[doc]
-                at = ((copy.view(np.uint64) + (place - starts[doc]).astype(np.uint64)) * windows.U64(windows.BASE)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(grams[place].view(np.int64)), pa.array(copy), pa.array(at)], names=["hash", "copy", "place"])
-
-    return texts.select("copy", "text").mapInArrow(run, "hash long, copy long, place long")
+                rolling = windows.Rolling(items)
+                doc, place, first, last = windows.anchors(rolling.grams(gram), starts, window, gram)
+                o1, o2 = (np.array([r[i] for r in rows], np.int64)[doc] for i in (0, 1))
+                yield _halves(rolling, o1, o2, starts[doc], place, first, last, np.int64(0), np.int64(reach), window, gram)
 
+    return texts.select("o1", "o2", "text").mapInArrow(run, PIECES)
 
-def _stretches(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """(hash, doc_id, at, stretch): the text that the windows of each wanted anchor cover.
 
-    texts begins with doc_id and hashes, the wanted ones (others in the same run of rows may come too: they are wanted elsewhere).
-    """
+def _split_pieces(pieces: DataFrame, window: int, gram: int) -> DataFrame:
+    """Pieces with their bytes (text) as pieces with longer cores; o1 and o2 are the split piece's key and digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows, blobs in documents_of(batch, AT_ONCE):
                 items, starts = _byte_hashes(blobs)
-                grams = windows.Rolling(items).grams(gram)
-                doc, place, first, last = windows.anchors(grams, starts, window, gram)
-                wanted = np.unique(np.concatenate([np.array(r[1], np.int64) for r in rows]))
-                hashes = grams[place].view(np.int64)
-                near = np.isin(hashes, wanted)
-                doc, first, last, hashes = doc[near], first[near], last[near], hashes[near]
-                joined = b"".join(blobs)
-                ids = np.array([r[0] for r in rows], np.int64)
-                cut = [joined[a : b + window] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(ids[doc]), pa.array(first - starts[doc]), pa.array(cut, pa.binary())], names=["hash", "doc_id", "at", "stretch"])
-
-    return texts.mapInArrow(run, "hash long, doc_id long, at long, stretch binary")
-
-
-def _runs(doc: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, from, to) of what windows cover, from starts in order; windows that follow on each other are one row."""
-    new = np.flatnonzero((np.diff(start) != 1) | (np.diff(doc) != 0)) + 1
-    first, last = np.concatenate(([0], new)), np.concatenate((new - 1, [len(start) - 1]))
-    return doc[first], start[first], start[last] + window
+                o1, o2, place, lo, hi = np.array(rows, np.int64).reshape(-1, 5).T
+                yield _halves(windows.Rolling(items), o1, o2, starts[:-1], starts[:-1] + place, starts[:-1], starts[1:] - window, lo, hi, window, gram)
 
+    return pieces.select(F.col("key").alias("o1"), F.col("digest").alias("o2"), "place", "lo", "hi", "text").mapInArrow(run, PIECES)
 
-def _sorted_buckets(stretches: DataFrame, window: int, groups: int) -> DataFrame:
-    """(doc_id, a, b): repeated bytes a to b, by refinement within groups of buckets."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        blobs = rows["stretch"].tolist()
-        size = np.fromiter(map(len, blobs), np.int64, len(blobs))
-        starts = np.cumsum(size) - size
-        text = windows.BYTE_HASHES[np.frombuffer(b"".join(blobs), np.uint8)]
-        wanted, which = windows.ranges(starts, starts + size - window)
-        repeated = refine(text, wanted, window, 100 if window >= 100 else window)
-        wanted, which = wanted[repeated], which[repeated]
-        if not len(wanted):
-            return pd.DataFrame({"doc_id": [], "a": [], "b": []}, dtype="int64")
-        doc, a, b = _runs(rows["doc_id"].to_numpy()[which], rows["at"].to_numpy()[which] + wanted - starts[which], window)
-        return pd.DataFrame({"doc_id": doc, "a": a, "b": b})
-
-    group = F.pmod(F.xxhash64("hash"), F.lit(groups))
-    return stretches.select(group.alias("group"), "doc_id", "at", "stretch").groupBy("group").applyInPandas(run, "doc_id long, a long, b long")
-
-
-def _counted_windows(stretches: DataFrame, window: int) -> DataFrame:
-    """(doc_id, a, b) of the windows of crowded anchors that occur at more than one place, by two hashes of each."""
+def _with_bytes(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The wanted pieces with their bytes, taken from the rows of source (o1, o2, text)."""
+    fields = ["at", "size", "key", "digest", "n", "place", "lo", "hi", "m"]
+    of_one = wanted.groupBy("o1", "o2").agg(F.collect_list(F.struct(*fields)).alias("some"))  # pieces of one text
+    rows = source.join(sized(wanted.select("o1", "o2").distinct()), ["o1", "o2"], "left_semi").groupBy("o1", "o2").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, blobs in documents_of(batch, AT_ONCE):
-                items, starts = _byte_hashes(blobs)
-                at, which = windows.ranges(starts[:-1], starts[1:] - window)
-                ids, begin = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
-                keys = [windows.Rolling(x).at(at, window).view(np.int64) for x in (items, windows._scatter(items))]
-                yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1]), pa.array(ids[which]), pa.array(begin[which] + at - starts[which])], names=["key", "other", "doc_id", "a"])
+            lists, texts = batch.column(0), batch.column(1).cast(pa.binary())
+            flat = lists.flatten()
+            columns = {f: flat.field(i) for i, f in enumerate(fields)}
+            at, size = columns["at"].to_pylist(), columns["size"].to_pylist()
+            cut, k = [], 0
+            for i, n in enumerate(lists.value_lengths().to_pylist()):
+                blob = texts[i].as_py()
+                cut += [blob[a : a + s] for a, s in zip(at[k : k + n], size[k : k + n], strict=True)]
+                k += n
+            yield pa.RecordBatch.from_arrays([*(columns[f] for f in fields[2:]), pa.array(cut, pa.binary())], names=[*fields[2:], "text"])
+
+    return rows.join(of_one, ["o1", "o2"]).select("some", "text").mapInArrow(run, "key long, digest long, n long, place int, lo int, hi int, m long, text binary")
+
+
+def _runs(piece: np.ndarray, start: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, from, to) of what windows cover, from starts in order; windows that follow on each other are one row."""
+    new = np.flatnonzero((np.diff(start) != 1) | (np.diff(piece) != 0)) + 1
+    first, last = np.concatenate(([0], new)), np.concatenate((new - 1, [len(start) - 1]))
+    return piece[first], start[first], start[last] + window
 
-    rows = stretches.select("doc_id", "at", "stretch").mapInArrow(run, "key long, other long, doc_id long, a long")
-    place = F.xxhash64("doc_id", "a")
-    twice = rows.groupBy("key", "other").agg(F.min(place).alias("_p"), F.max(place).alias("_q")).where("_p != _q").select("key", "other")
-    return rows.join(twice, ["key", "other"]).select("doc_id", "a", (F.col("a") + window).alias("b"))
 
+def _sorted_buckets(pieces: DataFrame, window: int, groups: int) -> DataFrame:
+    """(key, digest, a, b): repeated bytes a to b of the pieces that occur once, by suffix sorting within groups of buckets."""
+    q = max(d for d in range(1, min(window, 64) + 1) if window % d == 0)
 
-def _whole_copies(texts: DataFrame, window: int) -> DataFrame:
-    """(doc_id, a, b): all bytes of every text that occurs more than once and has a window."""
-    kinds = ["copy", "check"]
-    own = texts.select("doc_id", "copy", F.xxhash64("text", F.lit(1)).alias("check"), F.octet_length("text").cast("long").alias("b")).where(F.col("b") >= window)
-    many = own.groupBy(*kinds).agg(F.count("*").alias("n")).where("n > 1").select(*kinds)
-    return own.join(many, kinds).select("doc_id", F.lit(0).cast("long").alias("a"), "b")
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        blobs = rows["text"].tolist()
+        size = np.fromiter(map(len, blobs), np.int64, len(blobs))
+        starts = np.cumsum(size + 1) - size - 1
+        text = windows.BYTE_HASHES[np.frombuffer(b"\0".join(blobs) + b"\0", np.uint8)]
+        text[starts + size] = windows._scatter(np.arange(1, len(size) + 1, dtype=np.uint64) * windows.U64(windows.BASE))  # an end of its own for each
+        wanted, which = windows.ranges(starts, starts + size - window)
+        repeated = refine(text, wanted, window, q) & (rows["n"].to_numpy() == 1)[which]
+        wanted, which = wanted[repeated], which[repeated]
+        if not len(wanted):
+            return pd.DataFrame({"key": [], "digest": [], "a": [], "b": []}, dtype="int64")
+        piece, a, b = _runs(which, wanted - starts[which], window)
+        return pd.DataFrame({"key": rows["key"].to_numpy()[piece], "digest": rows["digest"].to_numpy()[piece], "a": a, "b": b})
+
+    group = F.pmod(F.xxhash64("key"), F.lit(groups))
+    return pieces.select(group.alias("group"), "key", "digest", "n", "text").groupBy("group").applyInPandas(run, "key long, digest long, a long, b long")
+
+
+def _repeats(source: DataFrame, pieces: DataFrame, window: int, gram: int) -> DataFrame:
+    """(o1, o2, a, b): bytes a to b of the texts of source (o1, o2, text) that windows cover which occur at another place too."""
+    pieces = pieces.persist(StorageLevel.MEMORY_AND_DISK)
+    where = F.xxhash64("o1", "o2", "at")
+    twice = sized(pieces.groupBy("key").agg(F.min(where).alias("_a"), F.max(where).alias("_b")).where("_a != _b").select("key"))
+    some = durable(pieces.join(twice, "key"))
+    pieces.unpersist()
+    distinct = some.groupBy("key", "digest").agg(F.count("*").alias("n"), F.min(F.struct("o1", "o2", "at", "size", "place", "lo", "hi")).alias("_r"))
+    distinct = durable(distinct.select("key", "digest", "n", "_r.*"))
+    buckets = distinct.groupBy("key").agg(F.count("*").alias("m"), F.sum("size").alias("bytes")).where("m > 1")
+    buckets = sized(buckets)
+    sorted_bytes = buckets.where(F.col("m") <= CROWDED).agg(F.sum("bytes")).first()[0] or 0
+    apart = durable(_with_bytes(source, distinct.join(buckets.select("key", "m"), "key")))
+    found = distinct.where("n > 1").select("key", "digest", F.lit(0).cast("long").alias("a"), F.col("size").cast("long").alias("b"))
+    found = found.unionByName(_sorted_buckets(apart.where(F.col("m") <= CROWDED), window, max(1, -(-sorted_bytes // TOGETHER))))
+    crowded = apart.where(F.col("m") > CROWDED)
+    if crowded.limit(1).count():
+        inner = crowded.select(F.col("key").alias("o1"), F.col("digest").alias("o2"), "text")
+        found = found.unionByName(_repeats(inner, _split_pieces(crowded, window, gram), window, gram).withColumnsRenamed({"o1": "key", "o2": "digest"}))
+    found = durable(found)
+    return some.join(found, ["key", "digest"]).select("o1", "o2", (F.col("at") + F.col("a")).alias("a"), (F.col("at") + F.col("b")).alias("b"))
 
 
 def repeated_bytes(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, spans): the bytes of each document that lie in a window that also begins elsewhere.
+    """(doc_id, copy, spans): the bytes of each text that lie in a window that also begins elsewhere.
 
-    texts has doc_id (long, not null) and text (not null), and may have more. spans are pairs (a, b),
-    not merged. Of copies of a whole text only the one with the smallest doc_id is compared with other texts.
+    texts has doc_id (long, not null), copy (the text's digest) and text (not null), and may have more. spans are pairs (a, b), not
+    merged. Of copies of a whole text only one is compared with other texts: all of each goes if it has a window.
     """
-    marked = texts.select("doc_id", F.xxhash64("text").alias("copy"), "text")
-    prints = _anchor_rows(marked, window, gram).persist(StorageLevel.MEMORY_AND_DISK)
-    twice = prints.groupBy("hash").agg(F.min("place").alias("_a"), F.max("place").alias("_b"), F.count("*").alias("n")).where("_a != _b").select("hash", "n")
-    wanted = prints.join(twice, "hash").groupBy("copy").agg(F.collect_set(F.struct("hash", "n")).alias("w"))  # of one text
-    first = marked.groupBy("copy").agg(F.min("doc_id").alias("doc_id"))
-    wanted = durable(wanted.join(first, "copy").select("doc_id", "w"))
-    prints.unpersist()
-
-    def part(crowded: bool) -> DataFrame:
-        some = F.transform(F.filter("w", lambda x: (x["n"] > CROWDED) if crowded else (x["n"] <= CROWDED)), lambda x: x["hash"])
-        return wanted.select("doc_id", some.alias("hashes")).where(F.size("hashes") > 0)
-
-    def stretches(crowded: bool) -> DataFrame:
-        rows = texts.join(part(crowded), "doc_id")
-        return _stretches(rows.select("doc_id", "hashes", *[c for c in texts.columns if c not in ("doc_id", "text")], "text"), window, gram)
-
-    # every use of texts, here and where the result is joined to it, reads one exchange
-    total = part(False).agg(F.sum(F.size("hashes"))).first()[0] or 0
-    spans = _sorted_buckets(stretches(False), window, max(1, -(-total // TOGETHER)))
-    spans = spans.unionByName(_counted_windows(stretches(True), window)).unionByName(_whole_copies(marked, window))
-    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # of one document
-
-
-def dedup_suffixes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_text: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
+    own = durable(texts.select("doc_id", "copy", F.xxhash64("text", F.lit(1)).alias("check"), F.octet_length("text").cast("long").alias("b")))
+    kinds = ["copy", "check"]
+    many = sized(own.groupBy(*kinds).agg(F.count("*").alias("_n"), F.min("doc_id").alias("_first")).where("_n > 1"))
+    copies = own.join(many, kinds)
+    again = sized(copies.where("doc_id != _first").select(F.col("doc_id").alias("o1"), F.col("copy").alias("o2")).distinct())
+    source = texts.select(F.col("doc_id").alias("o1"), F.col("copy").alias("o2"), "text").join(again, ["o1", "o2"], "left_anti")
+    spans = _repeats(source, _text_pieces(source, window, gram), window, gram).select(F.col("o1").alias("doc_id"), F.col("o2").alias("copy"), "a", "b")
+    spans = spans.unionByName(copies.where(F.col("b") >= window).select("doc_id", "copy", F.lit(0).cast("long").alias("a"), "b").distinct())
+    return spans.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # of one text
+
+
+def _merged(spans: list[dict] | None) -> list[list[int]]:
+    """Overlapping and touching spans as one, in order."""
+    merged: list[list[int]] = []
+    for a, b in sorted((x["a"], x["b"]) for x in spans or ()):
+        if merged and a <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    return merged
+
+
+def whole_words(blob: bytes, a: int, b: int) -> int:
+    """How many words of blob lie in its bytes a to b with both ends."""
+    words = len(blob[a:b].split())
+    if words and a and not blob[a - 1 : a].isspace() and not blob[a : a + 1].isspace():
+        words -= 1
+    if words and b < len(blob) and not blob[b - 1 : b].isspace() and not blob[b : b + 1].isspace():
+        words -= 1
+    return words
+
+
+def dedup_suffixes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, words: int = 0, with_text: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
     """Remove every byte that lies in a string of window bytes which also begins anywhere else.
 
     "Elsewhere" is another place of the same or of another document; matches never cross
-    documents; overlaps count; all copies go, the first one too. Strings are judged on the input.
+    documents; overlaps count; all copies go, the first one too. Strings are judged on the input. If words is given,
+    removed runs with fewer whole words stay.
 
     docs needs doc_id (integer) and text; of other columns those named in also pass through. Returns doc_id, n_bytes, n_removed,
     n_spans (maximal removed runs), kept_sha256 and, with_text, kept (the remaining bytes; what is left of
     a character that was cut goes too). Null texts count as empty; texts shorter than a window stay. Rows
-    without doc_id take no part. Rows that share a doc_id are told apart by their texts only: each
-    loses the bytes found for any of them. Empty tables give empty results.
+    without doc_id take no part. Rows that share a doc_id are judged each by its own text. Empty tables give empty results.
     """
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), *also, F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), *also, F.coalesce("text", F.lit("")).alias("text")).withColumn("copy", F.xxhash64("text"))
     spans = repeated_bytes(texts, window, gram)
     schema = texts.select("doc_id", *also).schema
     for field in ("n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", *["kept string"] * with_text):
@@ -228,15 +283,9 @@ def dedup_suffixes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with
             found, texts_ = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1).cast(pa.binary())
             out = []
             for i in range(batch.num_rows):
-                blob, spans_ = texts_[i].as_py(), found[i].as_py()
-                merged: list[list[int]] = []
-                for a, b in sorted((x["a"], min(x["b"], len(blob))) for x in spans_ or ()):
-                    if a >= len(blob):
-                        continue
-                    if merged and a <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], b)
-                    else:
-                        merged.append([a, b])
+                blob, merged = texts_[i].as_py(), _merged(found[i].as_py())
+                if words:
+                    merged = [s for s in merged if whole_words(blob, *s) >= words]
                 edges = [0, *(e for s in merged for e in s), len(blob)]
                 kept = b"".join(blob[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if merged else blob
                 out.append((len(blob), len(blob) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if with_text else None))
@@ -244,5 +293,5 @@ def dedup_suffixes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with
             arrays = [*batch.columns[:-2], *(pa.array(x, pa.int64()) for x in c[:3]), pa.array(c[3], pa.string()), *[pa.array(c[4], pa.string())] * with_text]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
 
-    joined = texts.join(spans, "doc_id", "left").select("doc_id", *also, "spans", "text")
+    joined = texts.join(spans, ["doc_id", "copy"], "left").select("doc_id", *also, "spans", "text")
     return joined.mapInArrow(finish, schema)

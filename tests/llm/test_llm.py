@@ -213,6 +213,9 @@ def test_index_compacts_and_finds_history(spark):
 def test_suffix_dedup_equals_brute_force(spark, monkeypatch, crowded):
     monkeypatch.setattr(suffix_dedup, "CROWDED", crowded)
     rows = corpus(7)
+    rng = random.Random(70)
+    shared = " ".join(words(rng, 80))  # many distinct surroundings of one passage
+    rows += [(2000 + i, f"{' '.join(words(rng, 20))} {shared} {' '.join(words(rng, 20))}") for i in range(12)]
     blobs = {i: (t or "").encode() for i, t in rows}
     count = collections.Counter(b[s : s + 400] for b in blobs.values() for s in range(len(b) - 399))
     expected = set()
