@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.text import unused
+
 #: A repeated run has at least so many lines.
 LINES = 3
 
@@ -65,19 +67,18 @@ def dedup_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
 
 
 def without_lines(docs: DataFrame, deleted: DataFrame) -> DataFrame:
-    """docs without the lines whose numbers deleted (doc_id, deleted) has; adds n_lines, n_deleted and n_runs."""
-    deleted = deleted.withColumnsRenamed({"doc_id": "__id", "deleted": "__deleted"})
-    out = docs.join(deleted, docs["doc_id"] == F.col("__id"), "left")
-    gone = F.coalesce("__deleted", F.array().cast("array<int>"))
-    all_lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains(gone, i)), "\n")
-    text = F.when(F.size(gone) > 0, kept).otherwise(F.col("text"))
-    runs = F.size(F.filter(gone, lambda x: ~F.array_contains(gone, x - 1)))
+    """docs without the lines whose numbers deleted (doc_id, deleted: sorted) has; adds n_lines, n_deleted and n_runs."""
+    doc_id, numbers, lines = unused(docs, "of", "deleted", "lines")
+    gone, text = F.col(numbers), F.col("text")
+    out = docs.join(deleted.select(F.col("doc_id").alias(doc_id), F.col("deleted").alias(numbers)), F.col("doc_id") == F.col(doc_id), "left")
+    out = out.withColumn(lines, F.when(gone.isNotNull(), F.split(text, "\n")))
+    stays = F.array_except(F.sequence(F.lit(0), F.size(F.col(lines)) - 1), gone)
     new = {
-        "text": text,
-        "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size(all_lines)).cast("long"),
-        "n_deleted": F.size(gone).cast("long"),
-        "n_runs": runs.cast("long"),
+        "text": F.when(gone.isNull(), text).otherwise(F.array_join(F.transform(stays, lambda i: F.get(F.col(lines), i)), "\n")),
+        "n_lines": F.when(text.isNull(), 0).otherwise(F.coalesce(F.size(F.col(lines)), F.size(F.split(text, "\n")))).cast("long"),
+        "n_deleted": F.coalesce(F.size(gone), F.lit(0)).cast("long"),
+        # a run begins where the number before isn't the one below
+        "n_runs": F.coalesce(F.size(F.filter(gone, lambda x, i: (i == 0) | (x != F.get(gone, i - 1) + 1))), F.lit(0)).cast("long"),
     }
     names = [c for c in docs.columns if c not in new or c == "text"]
-    return out.select(*[new["text"].alias("text") if c == "text" else docs[c] for c in names], *[new[c].alias(c) for c in ("n_lines", "n_deleted", "n_runs")])
+    return out.select(*[new["text"].alias("text") if c == "text" else F.col(f"`{c}`") for c in names], *[new[c].alias(c) for c in ("n_lines", "n_deleted", "n_runs")])

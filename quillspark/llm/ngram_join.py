@@ -4,9 +4,9 @@
    fixed size that counts in how many documents the hashes of each cell occur. The order of all n-grams is
    (sketched count, hash): rare first, the same everywhere, whatever the sketch's error.
 2. Sets that are similar enough share an n-gram in their prefixes. Each document's prefix is one row for each
-   n-gram; those that only one set has are dropped. What meets at an n-gram and has a like size is linked: at rare n-grams only
-   where the sets' parity sketches allow the similarity (they bound the sets' difference from below, so no link is lost), at frequent
-   ones as a star about the smallest set. The components are the candidate groups.
+   n-gram; those that no other set of a like size has are dropped. What meets at an n-gram is linked: at n-grams of few sets (counted exactly) only
+   where the sets' parity sketches allow the similarity (they bound the sets' difference from below, so no link is lost), at others
+   as stars about the smallest set of a like size. The components are the candidate groups.
 3. Full sets travel once, to the task of their group. There they are stored in a prefix tree, most shared n-gram
    first, so that common beginnings are stored and intersected once; a walk with each set adds up its overlap and
    leaves a subtree as soon as the remaining lengths can't reach the threshold, or if all below
@@ -37,11 +37,11 @@ from quillspark.session import durable, sized
 
 #: log2 of the sketch's cells, and cells that travel in a row: the sketch is 4 MB however large the input is.
 CELLS, TOGETHER = 20, 1024
-#: An n-gram is frequent if its cell counts more than HOT documents and more than 8 times the mean cell; sets at a rare
-#: n-gram are compared by sketch if they are at most FEW, else they make a star too.
+#: An n-gram comes last in the order, and its rows are spread, if its cell counts more than HOT documents and more than 8 times the mean cell;
+#: at an n-gram of at most FEW sets they are compared by sketch, else they make stars.
 HOT, FEW = 1000, 64
-#: Sets that a prefix tree of a split group holds; sets of small groups that one task call gets, about.
-BLOCK, CALL = 512, 2000
+#: Sets that a prefix tree of a split group holds; n-grams of small groups that one task call gets, about.
+BLOCK, CALL = 512, 1 << 20
 
 
 def least_overlap(a: int, b: int, percent: int) -> float:
@@ -175,11 +175,11 @@ def linked_pairs(ids: np.ndarray, sets: list[np.ndarray], stored: np.ndarray, as
 
 
 def parity_bits(grams: np.ndarray) -> bytes:
-    """For each of a power of two of cells (at least as many as grams) whether it has an odd number of grams.
+    """For each of a power of two of cells (at least half as many as grams) whether it has an odd number of grams.
 
     Two sets differ in at least as many members as their sketches differ in bits.
     """
-    size = max(128, 1 << (len(grams) - 1).bit_length())
+    size = max(128, 1 << (len(grams) - 1).bit_length() >> 1)
     odd = np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -193,10 +193,10 @@ def folded(bits: int, size: int, to: int) -> int:
 
 
 def _sets_and_sketch(texts: DataFrame, words: int, lower: bool) -> DataFrame:
-    """(doc_id, n, set_id, bits) of each document, and (cell, counts) of each task's sketch of frequencies."""
+    """(doc_id, copy, n, set_id, bits) of each document, and (cell, counts) of each task's sketch of frequencies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n", "set_id", "bits", "cell", "counts"]
+        names = ["doc_id", "copy", "n", "set_id", "bits", "cell", "counts"]
         sketch = np.zeros(1 << CELLS, np.uint32)
         for batch in batches:
             for rows, blobs in documents_of(batch):
@@ -206,7 +206,7 @@ def _sets_and_sketch(texts: DataFrame, words: int, lower: bool) -> DataFrame:
                 digests = [xxh3_64_intdigest(s.tobytes()) if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([r[0] for r in rows], pa.int64()),
+                        *(pa.array([r[i] for r in rows], pa.int64()) for i in (0, 1)),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([d if d is None else d - (1 << 63) for d in digests], pa.int64()),
                         pa.array([parity_bits(s) if len(s) else None for s in sets], pa.binary()),
@@ -219,9 +219,9 @@ def _sets_and_sketch(texts: DataFrame, words: int, lower: bool) -> DataFrame:
         some = np.flatnonzero(parts.any(axis=1))
         nothing = pa.nulls(len(some), pa.int64())
         packed = [zlib.compress(parts[i].tobytes(), 1) for i in some.tolist()]
-        yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, nothing, pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=names)
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, set_id long, bits binary, cell int, counts binary")
+    return texts.select("doc_id", "copy", "text").mapInArrow(run, "doc_id long, copy long, n long, set_id long, bits binary, cell int, counts binary")
 
 
 def _sketch(rows: DataFrame) -> np.ndarray:
@@ -240,13 +240,13 @@ def _sketch(rows: DataFrame) -> np.ndarray:
 
 
 def _prefixes(texts: DataFrame, words: int, lower: bool, percent: int, sketch, hot: float) -> DataFrame:
-    """(token, set_id, hot): the prefix of each set in the common order; copies within a task once."""
+    """(token, set_id, n, hot): the prefix of each set in the common order, and the set's size; copies within a task once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = sketch.value, set()
         for batch in batches:
             for _, blobs in documents_of(batch):
-                tokens, ids, often = [], [], []
+                tokens, ids, sizes, often = [], [], [], []
                 for s in shingle_sets([b.lower() for b in blobs] if lower else blobs, words):
                     if not len(s):
                         continue
@@ -259,39 +259,41 @@ def _prefixes(texts: DataFrame, words: int, lower: bool, percent: int, sketch, h
                     order = np.argsort(found, kind="stable")[: prefix_length(len(s), percent)]
                     tokens.append(s[order])
                     ids.append(np.full(len(order), digest, np.int64))
+                    sizes.append(np.full(len(order), len(s), np.int32))
                     often.append(found[order] > hot)
                 if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(often))], names=["token", "set_id", "hot"])
+                    columns = [np.concatenate(tokens).view(np.int64), *map(np.concatenate, (ids, sizes, often))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["token", "set_id", "n", "hot"])
 
-    return texts.select("text").mapInArrow(run, "token long, set_id long, hot boolean")
+    return texts.select("text").mapInArrow(run, "token long, set_id long, n int, hot boolean")
 
 
-def _shared(prefixes: DataFrame) -> DataFrame:
-    """Without rows whose token no other set has. Frequent tokens are spread over tasks and pass; others are seen in order, a row at a time."""
+def _shared(prefixes: DataFrame, percent: int) -> DataFrame:
+    """(token, set_id, n) without rows whose token no other set of a like size has.
+
+    Tokens come with rising sizes, so a set's neighbours are nearest in size; they are seen in order, a row at a time. Frequent tokens are
+    spread over tasks and pass.
+    """
     spread = F.when(F.col("hot"), F.pmod(F.xxhash64("set_id"), F.lit(64))).otherwise(F.lit(0).cast("long"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, last = ["token", "set_id", "hot"], None  # last row, and whether it has been passed on
-
-        def rows(token, ids, hot):
-            return pa.RecordBatch.from_arrays([pa.array(token), pa.array(ids), pa.array(hot)], names=names)
-
+        last = None  # the last row, and whether it has been passed on
         for batch in batches:
             if not batch.num_rows:
                 continue
-            token, ids, hot = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            token, ids, n, hot = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             if last is not None:
-                token, ids, hot = np.append(last[0], token), np.append(last[1], ids), np.append(last[2], hot)
+                token, ids, n, hot = np.append(last[0], token), np.append(last[1], ids), np.append(last[2], n), np.append(last[3], hot)
             new = np.append(True, (token[1:] != token[:-1]) | (ids[1:] != ids[:-1]))
-            token, ids, hot = token[new], ids[new], hot[new].astype(bool)
-            as_before = np.append(False, token[1:] == token[:-1])
+            token, ids, n, hot = token[new], ids[new], n[new].astype(np.int64), hot[new].astype(bool)
+            like = np.append(False, (token[1:] == token[:-1]) & (100 * n[:-1] >= percent * n[1:]))
             passed = np.zeros(len(token), bool)
-            passed[0] = last is not None and last[3]
-            keep = (as_before | np.append(as_before[1:], False) | hot) & ~passed
-            yield rows(token[keep], ids[keep], hot[keep])
-            last = (token[-1], ids[-1], hot[-1], bool(keep[-1] or passed[-1]))
+            passed[0] = last is not None and last[4]
+            keep = (like | np.append(like[1:], False) | hot) & ~passed
+            yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(ids[keep]), pa.array(n[keep])], names=["token", "set_id", "n"])
+            last = (token[-1], ids[-1], n[-1], hot[-1], bool(keep[-1] or passed[-1]))
 
-    return prefixes.repartition("token", spread).sortWithinPartitions("token", "set_id").mapInArrow(run, "token long, set_id long, hot boolean")
+    return prefixes.repartition("token", spread).sortWithinPartitions("token", "n", "set_id").mapInArrow(run, "token long, set_id long, n long")
 
 
 def _bands(n: Column, percent: int) -> Column:
@@ -300,9 +302,9 @@ def _bands(n: Column, percent: int) -> Column:
     return F.array(band, band + 1)
 
 
-def _rare_links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): a forest over the sets that meet at a rare token and may be similar."""
-    rows = near.where("NOT hot").join(sets, "set_id").select("token", "set_id", "n", "bits")
+def _links_by_sketch(rare: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a forest over the sets that meet at a token of few sets and may be similar."""
+    rows = rare.join(sets, "set_id").select("token", "set_id", "n", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, met, out = None, [], []
@@ -331,46 +333,38 @@ def _rare_links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in c], names=["a", "b"])
 
-        many = False
         for batch in batches:
             for token, set_id, n, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if token != key:
-                    if not many:
-                        compare()
-                    key, many = token, False
+                    compare()
+                    key = token
                     met.clear()
-                if many:
-                    out.append((set_id, met[0][0]))
-                    continue
                 met.append((set_id, n, bits))
-                if len(met) > FEW:
-                    out += [(x[0], met[0][0]) for x in met[1:]]
-                    many = True
             if out:
                 yield edges()
-        if not many:
-            compare()
+        compare()
         yield edges()
 
     return rows.repartition("token").sortWithinPartitions("token", "set_id").mapInArrow(run, "a long, b long").distinct()
 
 
-def _frequent_links(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): stars of the sets that meet at a frequent token and have like sizes."""
-    rows = near.where("hot").join(sets.select("set_id", "n"), "set_id").select("token", F.explode(_bands(F.col("n"), percent)).alias("band"), "set_id")
-    centers = rows.groupBy("token", "band").agg(F.min("set_id").alias("b"), F.max("set_id").alias("_last")).where("b != _last").select("token", "band", "b")
+def _stars(often: DataFrame, percent: int) -> DataFrame:
+    """(a, b): stars of the sets that meet at a token and have like sizes."""
+    rows = often.select("token", F.explode(_bands(F.col("n"), percent)).alias("band"), "set_id")
+    centers = durable(rows.groupBy("token", "band").agg(F.min("set_id").alias("b"), F.max("set_id").alias("_last")).where("b != _last").select("token", "band", "b"))
     return rows.join(centers, ["token", "band"]).where("set_id != b").select(F.col("set_id").alias("a"), "b").distinct()
 
 
 def _full_sets(texts: DataFrame, words: int, lower: bool) -> DataFrame:
-    """Rows with the n-gram hashes of the set in place of the text; texts of another set (a repeated doc_id) drop out."""
+    """Rows with the n-gram hashes of the set in place of the text; rows that repeat within a task once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             for rows, blobs in documents_of(batch):
-                sets = shingle_sets([b.lower() for b in blobs] if lower else blobs, words)
-                kept = [(*r, s.tobytes()) for r, s in zip(rows, sets, strict=True) if len(s) and xxh3_64_intdigest(s.tobytes()) - (1 << 63) == r[0]]
-                c = list(zip(*kept, strict=True)) or [()] * 5
+                new = [i for i, r in enumerate(rows) if not (r[0] in seen or seen.add(r[0]))]
+                blobs = [blobs[i].lower() if lower else blobs[i] for i in new]
+                c = list(zip(*[(*rows[i], s.tobytes()) for i, s in zip(new, shingle_sets(blobs, words), strict=True)], strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:4]), pa.array(c[4], pa.binary())], names=["set_id", "comp", "members", "weight", "grams"])
 
     return texts.mapInArrow(run, "set_id long, comp long, members long, weight long, grams binary")
@@ -384,8 +378,8 @@ def _frame(pairs: list[tuple[int, int]]) -> pd.DataFrame:
     return pd.DataFrame({"a": [p[0] for p in pairs], "b": [p[1] for p in pairs]}, dtype="int64")
 
 
-def _small_groups(sets: DataFrame, percent: int) -> DataFrame:
-    """Links within groups of at most BLOCK sets; several groups in a call."""
+def _small_groups(sets: DataFrame, percent: int, grams: int) -> DataFrame:
+    """Links within groups of at most BLOCK sets, which have so many n-grams in all; several groups in a call."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         pairs = []
@@ -394,7 +388,7 @@ def _small_groups(sets: DataFrame, percent: int) -> DataFrame:
             pairs += linked_pairs(group["set_id"].to_numpy(), _arrays(group), every, every, np.zeros(len(group), np.int64), percent)
         return _frame(pairs)
 
-    calls = max(1, -(-sets.count() // CALL))
+    calls = max(1, -(-grams // CALL))
     return sets.select(F.pmod(F.xxhash64("comp"), F.lit(calls)).alias("call"), "comp", "set_id", "grams").groupBy("call").applyInPandas(run, "a long, b long")
 
 
@@ -441,51 +435,64 @@ def _large_groups(sets: DataFrame, percent: int) -> DataFrame:
     return stars.where("linked AND set_id != pivot").select(F.col("set_id").alias("a"), F.col("pivot").alias("b")).unionAll(blocks)
 
 
-def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
-    """Class of each document under the links "Jaccard similarity of word n-gram sets is at least percent".
-
-    Words are runs without the white space 0x20, 0x09-0x0D, with A-Z in lower case if lower. A text with fewer
-    words than an n-gram has is one n-gram; one without words has an empty set and no link.
-
-    docs needs doc_id (integer) and text; other columns are ignored. Returns doc_id, n_shingles (size of
-    the set) and component_id (smallest doc_id reachable by links, itself included). Null texts count as
-    empty. Rows without doc_id take no part; rows that share a doc_id each get a row, with the class of
-    their own text. Equal sets are linked whatever their number. Empty tables give empty results.
-    """
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def _classes(docs: DataFrame, words: int, percent: int, lower: bool) -> DataFrame:
+    """(doc_id, copy, n_shingles, first): the text's digest, the size of its set, and the least (doc_id, copy) of its class."""
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("copy"), "text")
     first = _sets_and_sketch(texts, words, lower).persist(StorageLevel.MEMORY_AND_DISK)
     sketch = texts.sparkSession.sparkContext.broadcast(_sketch(first))
-    own = durable(first.where("cell IS NULL").select("doc_id", "n", "set_id", "bits"))
+    own = durable(first.where("cell IS NULL").select("doc_id", "copy", "n", "set_id", "bits"))
     first.unpersist()
-    classes = own.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    me = F.struct("doc_id", "copy")
+    classes = own.where("n > 0").groupBy("set_id").agg(F.min(me).alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     classes = durable(classes)
 
     hot = max(HOT, 8 * float(sketch.value.mean()))
-    near = _shared(_prefixes(texts, words, lower, percent, sketch, hot)).persist(StorageLevel.MEMORY_AND_DISK)
-    edges = durable(_rare_links(near, classes.select("set_id", "n", "bits"), percent).unionAll(_frequent_links(near, classes, percent)))
+    near = _shared(_prefixes(texts, words, lower, percent, sketch, hot), percent).persist(StorageLevel.MEMORY_AND_DISK)
+    many = sized(near.groupBy("token").agg(F.count("*").alias("_n")).where(F.col("_n") > FEW).select("token"))
+    rare, often = near.join(many, "token", "left_anti"), near.join(many, "token", "left_semi")
+    edges = durable(_links_by_sketch(rare, classes.select("set_id", "bits"), percent).unionAll(_stars(often, percent)))
     weights = durable(near.groupBy("set_id").agg(F.count("*").alias("weight")))
     near.unpersist()
 
     groups = components(edges).select(F.col("id").alias("set_id"), F.col("root").alias("comp"))
     members = groups.groupBy("comp").agg(F.count("*").alias("members"))
-    wanted = sized(groups.join(members, "comp").join(weights, "set_id").join(classes, "set_id").select("set_id", "comp", "members", "weight", F.col("rep").alias("doc_id")))
-    sets = _full_sets(texts.join(wanted, "doc_id").select("set_id", "comp", "members", "weight", "text"), words, lower)
+    wanted = sized(groups.join(members, "comp").join(weights, "set_id").join(classes.select("set_id", "rep", "n"), "set_id").select("set_id", "comp", "members", "weight", "n", "rep.*"))
+    grams = wanted.where(F.col("members") <= BLOCK).agg(F.sum("n")).first()[0] or 0
+    sets = _full_sets(texts.join(wanted, ["doc_id", "copy"]).select("set_id", "comp", "members", "weight", "text"), words, lower)
     sets = sets.persist(StorageLevel.MEMORY_AND_DISK)
-    links = _small_groups(sets.where(F.col("members") <= BLOCK), percent).unionAll(_large_groups(sets.where(F.col("members") > BLOCK), percent))
+    links = _small_groups(sets.where(F.col("members") <= BLOCK), percent, grams).unionAll(_large_groups(sets.where(F.col("members") > BLOCK), percent))
     links = durable(links)
     sets.unpersist()
     sketch.unpersist()
 
     roots = components(links).select(F.col("id").alias("set_id"), "root")
     sets_of = classes.select("set_id", "rep").join(roots, "set_id", "left").select("set_id", "rep", F.coalesce("root", "set_id").alias("root"))
-    smallest = sets_of.groupBy("root").agg(F.min("rep").alias("component_id"))
-    class_of = durable(sets_of.join(smallest, "root").select("set_id", "component_id"))
-    some = own.where("n > 0").join(class_of, "set_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return some.unionAll(own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    smallest = sets_of.groupBy("root").agg(F.min("rep").alias("first"))
+    class_of = durable(sets_of.join(smallest, "root").select("set_id", "first"))
+    some = own.where("n > 0").join(class_of, "set_id").select("doc_id", "copy", F.col("n").alias("n_shingles"), "first")
+    return some.unionAll(own.where("n = 0").select("doc_id", "copy", F.col("n").alias("n_shingles"), me.alias("first")))
+
+
+def ngram_components(docs: DataFrame, words: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
+    """Class of each document under the links "Jaccard similarity of word n-gram sets is at least percent".
+
+    Words are runs without the white space 0x20, 0x09-0x0D, with A-Z in lower case if lower. A text with fewer
+    words than an n-gram has is one n-gram; one without words has an empty set and no link.
+
+    docs needs doc_id (integer) and text; other columns are ignored. Returns doc_id, n_shingles (size of
+    the set) and component_id (smallest doc_id reachable by links, itself included). Null texts count as
+    empty. Rows without doc_id take no part; rows that share a doc_id each get a row, with the class of
+    their own text. Equal sets are linked whatever their number. Empty tables give empty results.
+    """
+    return _classes(docs, words, percent, lower).select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without those that aren't the smallest doc_id of their class; rows without doc_id stay."""
-    other = ngram_components(docs, words, percent).where("component_id != doc_id").select(F.col("doc_id").alias("__other")).distinct()
+    """docs, with all columns, but only one text of each class, that of the smallest doc_id; rows without doc_id stay.
+
+    Rows are told apart by doc_id and text: of rows that share their doc_id each stays or goes by its own text, and rows equal in both
+    are one document, so they stay or go together.
+    """
+    other = _classes(docs, words, percent, True).where(F.struct("doc_id", "copy") != F.col("first")).select("doc_id", "copy").distinct()
     other = sized(other)
-    return docs.join(other, docs["doc_id"] == F.col("__other"), "left_anti")
+    return docs.join(other, (docs["doc_id"] == other["doc_id"]) & (F.xxhash64(docs["text"]) == other["copy"]), "left_anti")

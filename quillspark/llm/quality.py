@@ -128,27 +128,33 @@ def _log_odds(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
+def _row_key(host: Column, path: Column, text: Column) -> list[Column]:
+    """Two hashes (key_a, key_b) of all that a decision depends on."""
+    parts = [F.coalesce(c.cast("string"), F.lit("")) for c in (host, path, text)]
+    return [F.xxhash64(*parts).alias("key_a"), F.xxhash64(F.lit(1), *parts).alias("key_b")]
+
+
 def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """Quality of every document: its own evidence, its site's posteriors, both together, and the decision.
 
     docs needs doc_id and text, and what host and path (within the host) are made of: source and lang unless given.
     labels needs doc_id and quality. Returns doc_id, evidence (probability from the text alone), host_posterior,
-    path_posterior, quality (probability) and keep (quality >= threshold).
+    path_posterior, quality (probability), keep (quality >= threshold), key_a and key_b (hashes of host, path and text, on which alone the decision depends).
 
     A null host or path is a site of its own. Null texts count as empty. Rows with a null or repeated doc_id are
     judged one by one. Without labels of both kinds all texts give the same evidence. Empty tables give empty results.
     """
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
-    own = docs.select(F.col("doc_id").alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col("text").alias("text"))
+    own = docs.select(F.col("doc_id").alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), *_row_key(host, path, F.col("text")), F.col("text").alias("text"))
     model = fit(own, labels, sample)
-    schema = own.select("doc_id", "host", "path").schema.add("odds", "double")
+    schema = own.drop("text").schema.add("odds", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(3).cast(pa.binary())
+            texts = batch.column(batch.num_columns - 1).cast(pa.binary())
             x = np.array([features(t.as_py() or b"") for t in texts], float).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(model.log_odds(x), pa.float64())], names=["doc_id", "host", "path", "odds"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.log_odds(x), pa.float64())], names=schema.fieldNames())
 
     scored = durable(own.mapInArrow(run, schema).withColumns({"host": F.coalesce("host", F.lit("")), "path": F.coalesce("path", F.lit("")), "p": 1 / (1 + F.exp(-F.col("odds")))}))
     # sums of rounded values, so that they don't depend on the order of rows
@@ -164,10 +170,14 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     path_posterior = (F.col("s") - p + k_path * host_posterior) / (F.col("n") - 1 + k_path)
     odds = F.col("odds") + _log_odds(path_posterior) - float(np.log(max(mean, 1e-9) / max(1 - mean, 1e-9)))
     quality = 1 / (1 + F.exp(-odds))
-    return both.select("doc_id", p.alias("evidence"), host_posterior.alias("host_posterior"), path_posterior.alias("path_posterior"), quality.alias("quality"), (quality >= threshold).alias("keep"))
+    return both.select("doc_id", p.alias("evidence"), host_posterior.alias("host_posterior"), path_posterior.alias("path_posterior"), quality.alias("quality"), (quality >= threshold).alias("keep"), "key_a", "key_b")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """docs without those that the classifier rejects; rows without doc_id stay."""
-    rejected = sized(classify(docs, labels, threshold=threshold).where("NOT keep").select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(rejected, docs["doc_id"] == F.col("__id"), "left_anti")
+    """docs, with all columns, without those that the classifier rejects.
+
+    Rows are told apart by source, lang and text, so a row that shares its doc_id with a rejected one stays; rows without doc_id are judged too.
+    """
+    rejected = sized(classify(docs, labels, threshold=threshold).where("NOT keep").select("key_a", "key_b").distinct())
+    key_a, key_b = _row_key(docs["source"], docs["lang"], docs["text"])
+    return docs.join(rejected, (key_a == rejected["key_a"]) & (key_b == rejected["key_b"]), "left_anti")

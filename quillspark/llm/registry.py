@@ -28,7 +28,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return quality.classify(documents(spark, sf_dir), table(spark, sf_dir, "labels")).drop("key_a", "key_b")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.dedup_suffixes(documents(spark, sf_dir))
+    return suffix_dedup.dedup_suffixes(documents(spark, sf_dir), passages=True)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -11,7 +11,6 @@ around it are then compared by hashes of all their words.
 from __future__ import annotations
 
 import hashlib
-import re
 import uuid
 from collections.abc import Iterator
 
@@ -27,7 +26,6 @@ from quillspark.session import durable
 
 WINDOW, GRAM = 50, 8
 FANOUT = 2
-WORD = re.compile(rb"[^ \t-\r]+")
 
 
 class FingerprintIndex:
@@ -194,36 +192,3 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ba
 
     joined = texts.join(starts, "doc_id", "left").select("doc_id", "starts", "whole", "text")
     return joined.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
-
-
-def drop_repeated_passages(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 1, also: tuple[str, ...] = ()) -> DataFrame:
-    """As dedup_substrings, but what stays keeps its white space: text loses the bytes from a passage's first word to the next word that stays.
-
-    Returns doc_id, the columns named in also, n_words, n_removed and text; a null text is an empty one.
-    """
-    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), *also, F.coalesce("text", F.lit("")).alias("text"))
-    starts = repeated_windows(texts.select("doc_id", "text"), window, gram, batches)
-    schema = texts.select("doc_id", *also).schema.add("n_words", "long").add("n_removed", "long").add("text", "string")
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*(batch.column(batch.num_columns - k).to_pylist() for k in (3, 2)), batch.column(batch.num_columns - 1).cast(pa.binary()), strict=True)
-            out = []
-            for at, whole, text in rows:
-                blob = text.as_py()
-                n = len(blob.split())
-                if whole and n >= window:
-                    out.append((n, n, b""))
-                elif at:
-                    gone = windows.covered(np.unique(np.array(at, np.int64)), window, n)
-                    begin = np.array([0, *(m.start() for m in WORD.finditer(blob)), len(blob)])
-                    stays = np.concatenate(([True], ~gone))  # what comes before the first word stays
-                    kept = b"".join(blob[a:b] for a, b, s in zip(begin[:-1].tolist(), begin[1:].tolist(), stays.tolist(), strict=True) if s)
-                    out.append((n, int(gone.sum()), kept))
-                else:
-                    out.append((n, 0, blob))
-            c = list(zip(*out, strict=True)) or [()] * 3
-            arrays = [*batch.columns[:-3], pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
-
-    return texts.join(starts, "doc_id", "left").select("doc_id", *also, "starts", "whole", "text").mapInArrow(finish, schema)

@@ -38,6 +38,8 @@ WINDOW, GRAM = 400, 32
 AT_ONCE = 1 << 18
 #: Distinct pieces of a bucket beyond which it is split; bytes of pieces that are sorted together, about (a bucket stays whole).
 CROWDED, TOGETHER = 256, 1 << 18
+#: Bytes of the windows that look for passages; a passage has more words than this.
+PASSAGE_BYTES, PASSAGE_WORDS = 200, 50
 #: Parts of the order that are refined one after the other in a pass, so that later ones see what earlier ones have found.
 PARTS = 4
 
@@ -260,7 +262,7 @@ def whole_words(blob: bytes, a: int, b: int) -> int:
     return words
 
 
-def dedup_suffixes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, words: int = 0, with_text: bool = False, also: tuple[str, ...] = ()) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, words: int = 0, with_text: bool = False, also: tuple[str, ...] = (), passages: bool = False) -> DataFrame:
     """Remove every byte that lies in a string of window bytes which also begins anywhere else.
 
     "Elsewhere" is another place of the same or of another document; matches never cross
@@ -269,18 +271,26 @@ def dedup_suffixes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, word
 
     docs needs doc_id (integer) and text; of other columns those named in also pass through. Returns doc_id, n_bytes, n_removed,
     n_spans (maximal removed runs), kept_sha256 and, with_text, kept (the remaining bytes; what is left of
-    a character that was cut goes too). Null texts count as empty; texts shorter than a window stay. Rows
+    a character that was cut goes too). With passages, n_passage_bytes follows: bytes in repeated runs of more than PASSAGE_WORDS whole
+    words, found by windows of PASSAGE_BYTES (at most window); they are only counted. Null texts count as empty; texts shorter than a window stay. Rows
     without doc_id take no part. Rows that share a doc_id are judged each by its own text. Empty tables give empty results.
     """
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), *also, F.coalesce("text", F.lit("")).alias("text")).withColumn("copy", F.xxhash64("text"))
-    spans = repeated_bytes(texts, window, gram)
+    if passages:
+        fine = durable(repeated_bytes(texts, PASSAGE_BYTES, gram))
+        # a repeated window is covered by repeated shorter ones, so no text with less than a window of these has one
+        enough = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["b"] - x["a"]) >= window
+        spans = repeated_bytes(texts.join(sized(fine.where(enough).select("doc_id", "copy")), ["doc_id", "copy"], "left_semi"), window, gram)
+        spans = spans.join(fine.withColumnRenamed("spans", "fine"), ["doc_id", "copy"], "full")
+    else:
+        spans = repeated_bytes(texts, window, gram).withColumn("fine", F.lit(None).cast("array<struct<a:long,b:long>>"))
     schema = texts.select("doc_id", *also).schema
-    for field in ("n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", *["kept string"] * with_text):
+    for field in ("n_bytes long", "n_removed long", "n_spans long", "kept_sha256 string", *["kept string"] * with_text, *["n_passage_bytes long"] * passages):
         schema = schema.add(*field.split())
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, texts_ = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1).cast(pa.binary())
+            found, fine, texts_ = batch.column(batch.num_columns - 3), batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1).cast(pa.binary())
             out = []
             for i in range(batch.num_rows):
                 blob, merged = texts_[i].as_py(), _merged(found[i].as_py())
@@ -288,10 +298,11 @@ def dedup_suffixes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, word
                     merged = [s for s in merged if whole_words(blob, *s) >= words]
                 edges = [0, *(e for s in merged for e in s), len(blob)]
                 kept = b"".join(blob[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)) if merged else blob
-                out.append((len(blob), len(blob) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if with_text else None))
-            c = list(zip(*out, strict=True)) or [()] * 5
-            arrays = [*batch.columns[:-2], *(pa.array(x, pa.int64()) for x in c[:3]), pa.array(c[3], pa.string()), *[pa.array(c[4], pa.string())] * with_text]
+                of_passages = sum(b - a for a, b in _merged(fine[i].as_py()) if whole_words(blob, a, b) > PASSAGE_WORDS)
+                out.append((len(blob), len(blob) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if with_text else None, of_passages))
+            c = list(zip(*out, strict=True)) or [()] * 6
+            arrays = [*batch.columns[:-3], *(pa.array(x, pa.int64()) for x in c[:3]), pa.array(c[3], pa.string()), *[pa.array(c[4], pa.string())] * with_text, *[pa.array(c[5], pa.int64())] * passages]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.fieldNames())
 
-    joined = texts.join(spans, ["doc_id", "copy"], "left").select("doc_id", *also, "spans", "text")
+    joined = texts.join(spans, ["doc_id", "copy"], "left").select("doc_id", *also, "spans", "fine", "text")
     return joined.mapInArrow(finish, schema)

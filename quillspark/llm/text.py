@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 from xxhash import xxh3_64_intdigest
 
 U64 = np.uint64
@@ -27,6 +28,17 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores added where df has such a column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def documents_of(batch: pa.RecordBatch, at_once: int = AT_ONCE) -> Iterator[tuple[list, list[bytes]]]:
     """Runs of (other columns as rows, UTF-8 texts) of a batch whose last column is the text."""
     texts = batch.column(batch.num_columns - 1).cast(pa.binary())

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from quillspark.llm import fingerprint, graph, line_dedup, line_runs, ngram_join, packing, pieces, quality, sharding, substring_index, suffix_dedup, topk, windows
+from quillspark.llm import fingerprint, graph, line_dedup, ngram_join, packing, pieces, quality, sharding, substring_index, suffix_dedup, topk, windows
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, rank int, canonical_id long, key string"
 
@@ -426,17 +427,23 @@ def without_near_copies(rows):
     return {(i, t) for i, t in rows if i in kept}
 
 
-def without_repeated_bytes(rows):
+def without_repeated_passages(rows):
+    """Without repeated runs of over 50 whole words, found by windows of 200 bytes."""
     blobs = {i: t.encode() for i, t in rows}
-    count = collections.Counter(b[s : s + 400] for b in blobs.values() for s in range(len(b) - 399))
+    count = collections.Counter(b[s : s + 200] for b in blobs.values() for s in range(len(b) - 199))
     out = set()
     for i, b in blobs.items():
-        gone = np.zeros(len(b), bool)
-        for s in range(len(b) - 399):
-            if count[b[s : s + 400]] > 1:
-                gone[s : s + 400] = True
-        if not len(b) or not gone.all():
-            out.add((i, bytes(x for x, g in zip(b, gone, strict=True) if not g).decode(errors="ignore")))
+        gone = np.zeros(len(b) + 2, bool)
+        for s in range(len(b) - 199):
+            if count[b[s : s + 200]] > 1:
+                gone[s + 1 : s + 201] = True
+        edges = np.flatnonzero(gone[1:] != gone[:-1]).tolist()
+        for x, y in zip(edges[::2], edges[1::2], strict=True):
+            words = sum(x <= m.start() and m.end() <= y for m in re.finditer(rb"[^ \t-\r]+", b))
+            if words <= 50:
+                gone[x + 1 : y + 1] = False
+        if not len(b) or not gone[1:-1].all():
+            out.add((i, bytes(x for x, g in zip(b, gone[1:], strict=False) if not g).decode(errors="ignore")))
     return out
 
 
@@ -445,7 +452,7 @@ def test_pipeline_equals_brute_force(spark):
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    brute = [None, without_repeated_lines, without_near_copies, without_repeated_bytes]
+    brute = [None, without_repeated_lines, without_near_copies, without_repeated_passages]
     sizes = [docs.count()]
     for (name, stage), expected in zip(corpus_pipeline.STAGES, brute, strict=False):
         out = stage(spark, docs.withColumn("extra", F.lit(1)), sf)
@@ -510,43 +517,46 @@ def test_pipeline_takes_passages_of_51_words_under_400_bytes(spark):
     assert len(passage) < 400
     heads = [fresh(40) for _ in range(4)]
     rows = [(1, f"{heads[0]}\n{passage} end\nof 1"), (2, f" {heads[1]}\n\n{passage}\tfin  de\n2"), (3, f"{heads[2]} {shorter} 3"), (4, f"{heads[3]} {shorter} 4"), (5, passage), (6, None), (7, "")]
-    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    stages = [f for name, f in corpus_pipeline.STAGES if name not in ("quality_classifier", "packing")]
-    for stage in stages:
-        docs = spark.createDataFrame(stage(spark, docs, "").collect(), docs.schema)
-    got = {r.doc_id: r.text or "" for r in docs.collect()}
-    want = {**dict(rows), 2: f" {heads[1]}\n\nfin  de\n2", 6: ""}
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], PIPELINE_ROWS)
+    got = {r.doc_id: r.text or "" for r in corpus_pipeline.dedup_passages(spark, docs, "").collect()}
+    want = {**dict(rows), 1: f"{heads[0]} end\nof 1", 2: f" {heads[1]}\n\tfin  de\n2", 6: ""}
     del want[5]
     assert got == want
 
 
-def test_pipeline_takes_single_repeated_lines(spark):
-    import corpus_pipeline
-
-    stage = dict(corpus_pipeline.STAGES)["line_run_dedup"]
-    line = "one boilerplate line of words"
-    rows = [(1, f"own a\n{line}\nown b"), (2, f"{line}\nown c"), (3, line), (4, "own d\na b c\nd e\nown e"), (5, "own f\na b c\nd e\nown g"), (6, "a b c\nown h"), (None, line), (7, None), (8, "")]
-    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    got = {r.doc_id: r.text for r in stage(spark, docs, "").collect()}
-    want = {**dict(rows), 2: "own c", 5: "own f\nown g"}
-    del want[3]
-    assert got == want
-
-
-def test_line_runs_equal_brute_force(spark):
-    rng = random.Random(22)
-    kinds = ["", " ", "a", "b c", "d e f g h", "i j k", "l m n o p q"]
-    rows = [(i, "\n".join(rng.choices(kinds, [3, 1, 4, 4, 1, 3, 1], k=rng.randrange(0, 9)))) for i in range(25)]
-    runs, gone = [], collections.defaultdict(set)
-    for i, t in rows:
-        lines = t.split("\n")
-        runs += [(i, a, tuple(lines[a:b])) for a in range(len(lines)) for b in range(a + 1, len(lines) + 1) if lines[a].split() and len(" ".join(lines[a:b]).split()) >= 5]
-    first = {}
-    for i, a, run in sorted(runs, key=lambda r: r[:2]):
-        if first.setdefault(run, (i, a)) != (i, a):
-            gone[i].update(range(a, a + len(run)))
-    got = {r.doc_id: r.deleted for r in line_runs.repeated_runs(frame(spark, rows)).collect()}
-    assert got == {i: sorted(x) for i, x in gone.items()} and len(got) > 5
+PIPELINE_ROWS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_stages_keep_rows_that_share_an_id(spark):
+    rng = random.Random(23)
+    a, b, c = (" ".join(words(rng, 60, 10_000)) for _ in range(3))
+    rows = [(5, a), (5, b), (1, a), (None, c), (None, None), (7, c)]
+    names = "__other bigint, __id bigint, __deleted bigint, deleted bigint, key_a bigint, key_b bigint, lines bigint, spans bigint, copy bigint"
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, *[1] * 9) for i, t in rows], f"{PIPELINE_ROWS}, {names}")
+    kept = ngram_join.keep_one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(5, b), (1, a), (0, c), (0, ""), (7, c)])
+    lines = line_dedup.dedup_lines(docs)
+    assert lines.columns == [*docs.columns, "n_lines", "n_deleted", "n_runs"] and lines.count() == len(rows)
+    junk = "#### !!!! $$$$ " * 40
+    mixed = spark.createDataFrame([(i, " ".join(words(rng, 80)), "en", "s", 0, *[1] * 9) for i in range(40)] + [(100 + i, f"{junk}{i}", "en", "s", 0, *[1] * 9) for i in range(40)] + [(3, junk, "en", "s", 0, *[1] * 9), (None, junk, "en", "s", 0, *[1] * 9)], f"{PIPELINE_ROWS}, {names}")
+    labels = spark.createDataFrame([(i, int(i < 100)) for i in (*range(5, 30), *range(105, 130))], "doc_id long, quality int")
+    good = quality.keep_good(mixed, labels)
+    assert good.columns == mixed.columns and {r.doc_id for r in good.collect()} == set(range(40)) and good.count() == 40
+    twice = suffix_dedup.dedup_suffixes(spark.createDataFrame([(5, f"{a} {b}"), (5, f"{b} {c}"), (6, "short"), (6, "short")], "doc_id long, text string"), 200, with_text=True)
+    assert sorted((r.doc_id, r.n_removed > 0) for r in twice.collect()) == [(5, True), (5, True), (6, False), (6, False)]
+
+
+def test_passages_are_counted_beside_the_windows(spark):
+    rng = random.Random(24)
+    passage, long = (" ".join(f"{rng.randrange(36**4):04x}" for _ in range(n)) for n in (52, 120))
+    own = [" ".join(words(rng, 30, 10_000)) for _ in range(5)]
+    rows = [(1, f"{own[0]} {passage} {own[1]}"), (2, f"{passage} {own[2]}"), (3, f"{own[3]} {long}"), (4, f"{long} {own[4]}"), (5, own[0][:150])]
+    plain = {tuple(r) for r in suffix_dedup.dedup_suffixes(frame(spark, rows)).collect()}
+    both = suffix_dedup.dedup_suffixes(frame(spark, rows), passages=True).collect()
+    assert {tuple(r)[:-1] for r in both} == plain
+    got = {r.doc_id: (r.n_removed, r.n_passage_bytes) for r in both}
+    assert all(got[i][0] == 0 and got[i][1] >= len(passage) for i in (1, 2)) and all(got[i][0] == got[i][1] >= len(long) for i in (3, 4)) and got[5] == (0, 0)
 
 
 def test_packing_spreads_null_and_repeated_ids(spark, monkeypatch):
