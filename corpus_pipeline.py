@@ -1,10 +1,9 @@
-"""A corpus pipeline over documents: reject junk, drop repeated lines, near-duplicates and repeated passages (by bytes), then what
-repeats in single lines or in fewer bytes, pack.
+"""A corpus pipeline over documents: reject junk, drop repeated lines, near-duplicates and repeated passages, pack.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; every stage but the last returns the columns of
 documents (doc_id, text, lang, source, n_chars), n_chars being kept in step with text. Documents
 that a stage leaves without any text go. Extra columns of docs are not carried on. Rows without doc_id
-stay until the stages that compare documents by their ids; packing takes them too.
+pass the stages that compare documents by their ids; packing takes them too.
 """
 
 from __future__ import annotations
@@ -12,14 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import line_dedup, line_runs, ngram_join, packing, quality, substring_index, suffix_dedup
+from quillspark.llm import line_dedup, ngram_join, packing, quality, suffix_dedup
 from quillspark.llm.registry import tokenizer_file
-from quillspark.session import checkpoint_dir, ship
+from quillspark.session import remove, shared_folder, ship
 from quillspark.sources import table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A passage of over 50 words has at least so many.
-PASSAGE_WORDS = 51
 
 
 def _documents(df: DataFrame) -> DataFrame:
@@ -46,30 +43,19 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes and more that occur elsewhere too go; so do documents that consisted of nothing else."""
+    """Passages of over 50 words that occur elsewhere too go; so do documents that consisted of nothing else.
+
+    Passages are found by windows of 200 bytes, less than the operator's own query has: 50 words of
+    these texts take about 310 bytes. Repeats of fewer words stay, and so do passages of over 50 words in less than 200 bytes.
+    """
     ship(spark)
     docs = docs.select(*COLUMNS)
-    out = suffix_dedup.dedup_suffixes(docs, with_text=True, also=("lang", "source"))
+    out = suffix_dedup.dedup_suffixes(docs, suffix_dedup.PASSAGE_BYTES, words=suffix_dedup.PASSAGE_WORDS + 1, with_text=True, also=("lang", "source"))
     # a null text is an empty one from here on
     out = out.where("n_removed = 0 OR n_removed < n_bytes").withColumnRenamed("kept", "text")
     return _documents(out).unionByName(docs.where("doc_id IS NULL"))
 
 
-def dedup_short_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of over 50 words, however few bytes they take, go where a document with a smaller doc_id has them too; so do documents that consisted of nothing else."""
-    ship(spark)
-    docs = docs.select(*COLUMNS)
-    out = substring_index.drop_repeated_passages(docs, PASSAGE_WORDS, also=("lang", "source"))
-    return _documents(out.where("n_removed = 0 OR n_removed < n_words")).unionByName(docs.where("doc_id IS NULL"))
-
-
-def dedup_line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Single lines, and runs of lines, of at least 5 words go where an earlier place has them too; so do documents that consisted of nothing else."""
-    ship(spark)
-    out = line_runs.dedup_line_runs(docs.select(*COLUMNS))
-    return _documents(out.where("n_deleted = 0 OR n_deleted < n_lines"))
-
-
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens, each with its place in a sequence."""
     ship(spark)
@@ -81,8 +67,6 @@ STAGES = [
     ("line_dedup", dedup_lines),
     ("ngram_jaccard_join", dedup_near),
     ("suffix_array_dedup", dedup_passages),
-    ("short_passage_dedup", dedup_short_passages),
-    ("line_run_dedup", dedup_line_runs),  # after passages: else it would leave their torn ends
     ("packing", pack),
 ]
 
@@ -91,13 +75,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each but the last returns is written to the shared folder and read again."""
-    import uuid
-
-    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents. What each but the last returns is written to the shared folder and read again; then what it was made of goes."""
+    folder, docs, before = shared_folder(spark, "pipeline"), table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = f"{folder}/{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
