@@ -18,8 +18,8 @@ from quillspark.llm.text import documents_of
 
 #: Pieces that are packed together, about.
 PACKED = 8192
-#: Texts between ASCII spaces whose ids a task remembers, in each of two generations.
-REMEMBERED = 100_000
+#: Words, and texts between ASCII spaces, whose ids a task remembers, in each of two generations.
+REMEMBERED = 200_000
 #: Marks that often follow a word; a run of them is tokenized apart from the word.
 TAIL = ",.;:!?*#$%&|-"
 
@@ -83,10 +83,30 @@ def best_fit_decreasing(lengths: list[int], window: int) -> tuple[list[int], lis
     return number, offset
 
 
+class _Recent:
+    """Ids met lately, in two generations; the elder is dropped when the younger is full."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """The keys that aren't known; the others are in young from here on, until the next call."""
+        if len(self.young) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        new, old, young = [], self.old, self.young
+        for k in keys.difference(young):
+            if k in old:
+                young[k] = old[k]
+            else:
+                new.append(k)
+        return new
+
+
 class _Ids:
     """Packed ids of what stands between ASCII spaces; the tokenizer drops white space and never joins across it.
 
-    What was met lately is remembered in two generations, the elder of which is dropped when the younger is full.
+    What was met lately is remembered, and so are words apart from their case and the marks behind them.
     """
 
     def __init__(self, path: str) -> None:
@@ -96,33 +116,24 @@ class _Ids:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.ends_word = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {"": b""}
+        self.chunks, self.words, self.tails = _Recent(), _Recent(), {"": b""}
 
     def of(self, chunks: set[str]) -> dict[str, bytes]:
         """A dictionary with all these chunks."""
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        new, old, young = [], self.old, self.young
-        for c in chunks.difference(young):
-            if c in old:
-                young[c] = old[c]
-            else:
-                new.append(c)
-        stems = {c: c.rstrip(TAIL) for c in new}
-        words = self._words(list({s.lower() if s.isascii() else s for s in stems.values() if s.isalpha()}))
-        tails = self.tails
-        for c, stem in stems.items():
+        new = self.chunks.missing(chunks)
+        young, tails = self.chunks.young, self.tails
+        stems = [c.rstrip(TAIL) for c in new]
+        lower = [s.lower() if s.isascii() else s for s in stems]
+        self.words.young.update(self._words(self.words.missing({s for s in lower if s.isalpha()})))
+        words = self.words.young
+        for c, stem, key in zip(new, stems, lower, strict=True):
             tail = c[len(stem) :]
-            if stem.isascii():
-                stem = stem.lower()
-            if stem in words and "'" not in tail:
+            if key in words and "'" not in tail:
                 if tail not in tails:
                     if len(tails) > REMEMBERED:
                         tails.clear()
                     tails[tail] = self._one(tail)
-                young[c] = words[stem] + tails[tail]
+                young[c] = words[key] + tails[tail]
             else:
                 young[c] = self._one(c)
         return young
