@@ -31,8 +31,12 @@ from quillspark.llm.windows import Rolling
 U64 = np.uint64
 SPACE = "▁"
 UNITS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+#: Marks before which a unit ends too, if no piece of the model has one behind a letter.
+MARKS = ".,;:!?"
 #: Edges of units that a task remembers.
-REMEMBERED = 5_000_000
+REMEMBERED = 4_000_000
+#: A probability that counts as none.
+NONE = 1e-12
 #: Log-weight of a byte of a character that no piece has.
 BYTE = -12.0
 
@@ -62,6 +66,12 @@ class Pieces:
         self.byte_id = {int(x[3:5], 16): i for i, x in enumerate(names) if model.is_byte(i)}
         plain = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.weight = {names[i]: (i, -theta * float(np.log(rank + 2))) for rank, i in enumerate(plain)}
+        marks = "".join(m for m in MARKS if not any(a.isalpha() and b == m for x in self.weight for a, b in zip(x, x[1:], strict=False)))
+        if marks:  # no path crosses from a letter to such a mark, so the lattice may be cut there
+            inner = f"(?:[^{SPACE}\n{marks}]+|(?<![^\\W\\d_])[{marks}])"
+            self.units = re.compile(f"{SPACE}*(?:[^{SPACE}\n{marks}]+(?:(?<![^\\W\\d_])[{marks}]{inner}*)?|[{marks}]{inner}*)|{SPACE}+|\n")
+        else:
+            self.units = UNITS
         self.by_length = {}  # hashes of the pieces of each length in order, with their ids and weights
         for n_chars in sorted({len(x) for x in self.weight}):
             some = [x for x in self.weight if len(x) == n_chars]
@@ -86,14 +96,14 @@ class Pieces:
 class _Column:
     """An array that grows at its end, with room to spare."""
 
-    def __init__(self, kind: type) -> None:
-        self.room, self.n = np.empty(1 << 16, kind), 0
+    def __init__(self, kind: type, width: tuple = ()) -> None:
+        self.room, self.n = np.empty((1 << 16, *width), kind), 0
 
     def extend(self, more: np.ndarray) -> np.ndarray:
         """All so far."""
         n = self.n + len(more)
         if n > len(self.room):
-            room = np.empty(max(n, 2 * len(self.room)), self.room.dtype)
+            room = np.empty((max(n, 2 * len(self.room)), *self.room.shape[1:]), self.room.dtype)
             room[: self.n] = self.room[: self.n]
             self.room = room
         self.room[self.n : n] = more
@@ -104,7 +114,8 @@ class _Column:
 class Lattices:
     """Units met so far, as one table of nodes and edges.
 
-    Edges of a node stand together; until has node number + cumulated probability: a draw takes the first edge beyond it.
+    Edges of a node stand together; until has node number + cumulated probability: a draw takes the first edge beyond it. odds has an
+    edge's log-probability at its node, that of all other edges together, and whether (1 or 0) it ends the unit.
     """
 
     def __init__(self, pieces: Pieces) -> None:
@@ -113,9 +124,9 @@ class Lattices:
 
     def clear(self) -> None:
         self.root: dict[str, int] = {}
-        kinds = {"until": float, "log_p": float, "to": np.int32, "node_of": np.int32, "first_id": np.int32, "n_ids": np.int8, "begin": np.int64, "ids": np.int64}
-        self.columns = {name: _Column(kind) for name, kind in kinds.items()}
-        self._extend(**{name: np.empty(0, kind) for name, kind in kinds.items()})
+        kinds = {"until": float, "to": np.int32, "node_of": np.int32, "first_id": np.int32, "n_ids": np.int8, "begin": np.int64, "ids": np.int32}
+        self.columns = {name: _Column(kind) for name, kind in kinds.items()} | {"odds": _Column(float, (3,))}
+        self._extend(odds=np.empty((0, 3)), **{name: np.empty(0, kind) for name, kind in kinds.items()})
         self._extend(begin=np.zeros(1, np.int64))
 
     def _extend(self, **more: np.ndarray) -> None:
@@ -171,9 +182,12 @@ class Lattices:
         ids[first_id[piece >= 0]] = piece[piece >= 0]
         for e, x in zip(raw.tolist(), strings, strict=True):
             ids[first_id[e] : first_id[e] + len(x)] = [self.pieces.byte_id[b] for b in x]
+        others = -np.expm1(log_p)
+        with np.errstate(divide="ignore"):
+            log_rest = np.where(others > NONE, np.log(others), -np.inf)
         self._extend(
+            odds=np.column_stack((log_p, log_rest, ~inner)),
             until=nodes + at + np.minimum(share, 1.0),
-            log_p=log_p,
             to=np.where(inner, nodes + at + length, -1),
             node_of=nodes + at,
             first_id=base + first_id,
@@ -246,12 +260,8 @@ def uniform(keys: np.ndarray, step: int) -> np.ndarray:
     return (x >> U64(11)).astype(np.float64) * 2.0**-53
 
 
-def _gumbel(location: np.ndarray | float, u) -> np.ndarray:
-    return location - np.log(-np.log(np.clip(u, 1e-300, 1 - 1e-16)))
-
-
-def _units(text: str) -> list[str]:
-    return UNITS.findall(SPACE + text.replace(" ", SPACE)) if text else []
+def _units(text: str, pattern: re.Pattern = UNITS) -> list[str]:
+    return pattern.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
 def _segmentations(lat: Lattices, node_of: np.ndarray, drawn: list[tuple[np.ndarray, np.ndarray]], span: tuple[int, int], key: int, k: int) -> list[tuple[np.ndarray, float, float]]:
@@ -264,7 +274,7 @@ def _segmentations(lat: Lattices, node_of: np.ndarray, drawn: list[tuple[np.ndar
         return [(np.empty(0, np.int64), 0.0, 0.0)]
     rng = np.random.Generator(np.random.Philox(key=key))
     count = 0
-    heap: list = [(-float(_gumbel(0.0, rng.random())), 0, None)]
+    heap: list = [(float(np.log(rng.standard_exponential())), 0, None)]
     out = []
     while heap and len(out) <= k:
         minus, _, what = heapq.heappop(heap)
@@ -280,7 +290,7 @@ def _segmentations(lat: Lattices, node_of: np.ndarray, drawn: list[tuple[np.ndar
             before, at, barred, unit = what
             node = node_of[before[at]]
             rest = [e for e in range(int(lat.begin[node]), int(lat.begin[node + 1])) if e not in barred]
-            odds = np.cumsum(np.exp(lat.log_p[rest]))
+            odds = np.cumsum(np.exp(lat.odds[rest, 0]))
             e = rest[min(int(np.searchsorted(odds, rng.random() * odds[-1], "right")), len(rest) - 1)]
             tail = [e]
             while (node := int(lat.to[e])) >= 0:
@@ -288,27 +298,24 @@ def _segmentations(lat: Lattices, node_of: np.ndarray, drawn: list[tuple[np.ndar
                 e = min(int(np.searchsorted(lat.until[lo:hi], node + rng.random(), "right")) + lo, hi - 1)
                 tail.append(e)
             path = np.concatenate((before[:at], np.array(tail, np.int64), edges[starts[unit + 1] : starts[b]]))
-        log_p = lat.log_p[path]
+        log_p, left, ends = np.ascontiguousarray(lat.odds[path].T)
         upto = np.cumsum(log_p)
         out.append((path, float(upto[-1]), g))
         # what is left of the set: the same beginning, then another decision
-        left = -np.expm1(log_p[at:])
+        left = left[at:]
         if barred:
-            left[0] -= float(np.exp(lat.log_p[list(barred)]).sum())
-        with np.errstate(divide="ignore"):
-            location = np.where(left > 1e-12, upto[at:] - log_p[at:] + np.log(np.maximum(left, 1e-300)), -np.inf)
-        fresh = _gumbel(location, rng.random(len(location)))
-        keys = -np.logaddexp(-g, -fresh)
-        best = np.flatnonzero(location > -np.inf)
+            others = float(-np.expm1(log_p[at]) - np.exp(lat.odds[list(barred), 0]).sum())
+            left[0] = np.log(others) if others > NONE else -np.inf
+        fresh = upto[at:] - log_p[at:] + left - np.log(rng.standard_exponential(len(left)))  # Gumbel about its log-probability
         want = k + 1 - len(out)
-        if len(best) > want:
-            best = best[np.argpartition(-keys[best], want - 1)[:want]]
-        ends = lat.to[path] < 0  # of units
-        for i in best.tolist():
+        best = np.argpartition(-fresh, want - 1)[:want] if len(fresh) > want else np.arange(len(fresh))
+        best = best[fresh[best] > -np.inf]
+        keys = -np.logaddexp(-g, -fresh[best])
+        for i, key_of in zip(best.tolist(), keys.tolist(), strict=True):
             count += 1
             place = at + i
             unit = a + int(np.count_nonzero(ends[:place]))
-            heapq.heappush(heap, (-float(keys[i]), count, (path, place, (barred if i == 0 else frozenset()) | {int(path[place])}, unit)))
+            heapq.heappush(heap, (-key_of, count, (path, place, (barred if i == 0 else frozenset()) | {int(path[place])}, unit)))
     return out
 
 
@@ -335,7 +342,7 @@ def sample_segmentations(docs: DataFrame, model_path: str, k: int = 2, theta: fl
         lat = _loaded[model_path, theta]
         for batch in batches:
             for rows, blobs in documents_of(batch):
-                units = [_units(b.decode()) for b in blobs]
+                units = [_units(b.decode(), lat.pieces.units) for b in blobs]
                 lat.add(set().union(*units))
                 sizes = np.array([len(u) for u in units], np.int64)
                 first = np.concatenate(([0], np.cumsum(sizes)))

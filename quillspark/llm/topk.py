@@ -44,7 +44,7 @@ class SortedLists:
         return low, high
 
     def top(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(query, candidate, score) of each query's k best, ties to the smaller id, the query's own id left out."""
+        """(number of the query, candidate, score) of each query's k best, ties to the smaller id, candidates with the query's id left out."""
         n, found = len(self.ids), []
         weights = queries.T.astype(np.float64)
         open_ = np.arange(len(query_ids))
@@ -62,7 +62,7 @@ class SortedLists:
                 rows = np.flatnonzero(survivors[:, j])
                 score = self.vectors[rows] @ w[:, j]
                 best = np.lexsort((self.ids[rows], -score))[:k]
-                found.append((np.full(len(best), query_ids[open_[j]]), self.ids[rows[best]], score[best].astype(np.int64)))
+                found.append((np.full(len(best), open_[j]), self.ids[rows[best]], score[best].astype(np.int64)))
             open_ = open_[~done]
         if not found:
             return (np.empty(0, np.int64),) * 3
@@ -82,29 +82,30 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 2
     vectors needs vec_id (integer) and embedding (array of numbers); other columns are ignored. Components x count as
     floor(scale * x). is_query picks the queries. Returns query_id, rank (from 1), vec_id and score;
     ties go to the smaller vec_id. Vectors that are null or have null or non-finite components, and rows without vec_id,
-    take no part. Of rows that share a vec_id the one with the smallest vector counts. Vectors are only compared
-    with those of the same length. A query without candidates has no rows; empty tables give empty results.
-    Scores are exact while they stay below 2**53.
+    take no part. Vectors are only compared with those of the same length. Rows that share a vec_id are each a candidate, equal ones too, but none of them
+    is one for a query with that vec_id; as queries each different vector has its own ranks. A query without candidates has no rows; empty tables give
+    empty results. Scores are exact while they stay below 2**53.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), integers("embedding", scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    rows = rows.where("vec_id IS NOT NULL AND v IS NOT NULL").groupBy("vec_id").agg(F.min("v").alias("v"), F.max("asks").alias("asks"))
-    rows = durable(rows.withColumn("width", F.size("v")))
+    rows = durable(rows.where("vec_id IS NOT NULL AND v IS NOT NULL").withColumn("width", F.size("v")))
     blocks = max(1, -(-rows.count() // BLOCK))
-    held = rows.select("width", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.lit(0).alias("kind"), "vec_id", "v")
-    asked = rows.where("asks").select("width", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "vec_id", "v")
-    dealt = held.unionAll(asked).repartition(blocks, "width", "block").sortWithinPartitions("width", "block", "kind", "vec_id")
+    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int")  # rows are durable, so a repeated task numbers them alike
+    held = rows.select("width", block.alias("block"), F.lit(0).alias("kind"), "vec_id", F.lit(0).cast("long").alias("query"), "v")
+    asked = rows.where("asks").select("width", "vec_id", F.xxhash64("v").alias("query"), "v").distinct()
+    asked = asked.select("width", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("kind"), "vec_id", "query", "v")
+    dealt = held.unionAll(asked).repartition(blocks, "width", "block").sortWithinPartitions("width", "block", "kind", "vec_id", "query")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come block by block, a block's candidates before its queries, which are never held all at once."""
         key, kept, lists = None, [], None
         for batch in batches:
-            width, block, kind, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            width, block, kind, ids, query = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             cuts = np.flatnonzero((np.diff(width) != 0) | (np.diff(block) != 0) | (np.diff(kind) != 0)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
                 if a == b:
                     continue
                 now = (int(width[a]), int(block[a]))
-                v = batch.column(4).slice(a, b - a).flatten().to_numpy().reshape(b - a, now[0])
+                v = batch.column(5).slice(a, b - a).flatten().to_numpy().reshape(b - a, now[0])
                 if now != key:
                     key, kept, lists = now, [], None
                 if kind[a] == 0:
@@ -114,9 +115,10 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 2
                     lists = SortedLists(*(np.concatenate(c) for c in zip(*kept, strict=True)))
                     kept = []
                 for at in range(0, b - a, ASKED) if lists is not None and now[0] else ():
-                    out = lists.top(ids[a + at : min(b, a + at + ASKED)], v[at : at + ASKED], k)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["query_id", "vec_id", "score"])
+                    some = slice(a + at, min(b, a + at + ASKED))
+                    which, *out = lists.top(ids[some], v[at : at + ASKED], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (ids[some][which], query[some][which], *out)], names=["query_id", "query", "vec_id", "score"])
 
-    best = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = dealt.mapInArrow(run, "query_id long, query long, vec_id long, score long")
+    order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

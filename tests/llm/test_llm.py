@@ -370,6 +370,13 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert topk.exact_top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_with_rows_that_share_an_id(spark):
+    rows = [(50, [1.0, 0.0]), (7, [0.1, 0.0]), (7, [0.9, 0.0]), (8, [0.5, 0.0]), (8, [0.5, 0.0]), (50, [0.0, 1.0])]
+    got = topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    one = [(7, 58880), (8, 32768), (8, 32768), (7, 6400)]
+    assert sorted(tuple(r) for r in got) == sorted([(50, k + 1, i, s) for k, (i, s) in enumerate(one)] + [(50, k + 1, i, 0) for k, i in enumerate([7, 7, 8, 8])])
+
+
 def kept(text):
     """Shingle hashes below the threshold, as Spark's xxhash64 gives them."""
 
