@@ -138,3 +138,76 @@ def algorithm_name(c: Column, aliases: dict[str, str]) -> Column:
     for alias, name in aliases.items():
         out = F.when(plain == alias.upper(), name).otherwise(out)
     return out
+
+
+def matrix_product(m: list[Column], n: list[Column]) -> list[Column]:
+    """The six numbers of the affine map that does m first and then n."""
+    a, b, c, d, e, f = m
+    p, q, r, s, t, u = n
+    return [a * p + b * r, a * q + b * s, c * p + d * r, c * q + d * s, e * p + f * r + t, e * q + f * s + u]
+
+
+def rectangle(x0: Column, y0: Column, x1: Column, y1: Column) -> list[Column]:
+    """The same rectangle with its lower left corner first."""
+    return [F.least(x0, x1), F.least(y0, y1), F.greatest(x0, x1), F.greatest(y0, y1)]
+
+
+def crop(box: list[Column], to: list[Column]) -> list[Column]:
+    """The part of a rectangle inside another; nulls if there is none."""
+    x0, y0, x1, y1 = F.greatest(box[0], to[0]), F.greatest(box[1], to[1]), F.least(box[2], to[2]), F.least(box[3], to[3])
+    return [F.when((x0 <= x1) & (y0 <= y1), v) for v in (x0, y0, x1, y1)]
+
+
+def gray_to_rgb(g: Column) -> list[Column]:
+    return [g, g, g]
+
+
+def indexed_to_rgb(index: Column, palette: list[tuple[int, int, int]]) -> list[Column]:
+    """Colours of a small palette (at most 256, as literals); black beyond its end."""
+    if len(palette) > 256:
+        raise ValueError("a palette has at most 256 colours")
+    return [F.coalesce(F.get(F.array(*[F.lit(colour[i]) for colour in palette]), index), F.lit(0)) for i in range(3)]
+
+
+def format_number(x: Column) -> Column:
+    """A number with at most six decimals and no zeros behind them; null for what isn't finite."""
+    near = F.when(F.abs(x) < 0.0000005, F.lit(0.0)).otherwise(x)
+    text = F.regexp_replace(F.format_string("%.6f", near), r"\.?0+$", "")
+    return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), text)
+
+
+def safe_name(c: Column, prefix: str) -> Column:
+    """A name without leading slashes, with the prefix if it needs one, or null if it isn't safe even then."""
+    bare, safe = F.regexp_replace(c, "^/+", ""), "^[A-Za-z_][A-Za-z0-9_]*$"
+    return F.when(c == "", None).when(bare.rlike(safe), bare).when(F.concat(F.lit(prefix), bare).rlike(safe), F.concat(F.lit(prefix), bare))
+
+
+def hex_operand(c: Column) -> Column:
+    """The bytes of <...>: white space is skipped, an odd last digit counts as followed by 0; no bytes if other characters occur."""
+    digits = F.regexp_replace(F.regexp_replace(c, "^<|>.*$", ""), r"[\x00\t\n\f\r ]", "")
+    even = F.when(F.length(digits) % 2 == 1, F.concat(digits, F.lit("0"))).otherwise(digits)
+    return F.when(even.rlike("^[0-9A-Fa-f]*$"), F.unhex(even)).otherwise(F.lit(b""))
+
+
+def image_kind(data: Column) -> Column:
+    """File extension by the first bytes of an encoded image; null for anything else."""
+    head = F.hex(F.substring(data, 1, 8))
+    # fixed values: what the formats' files begin with
+    return (
+        F.when(head.startswith("89504E470D0A1A0A"), "png")
+        .when(head.startswith("FFD8"), "jpg")
+        .when(head.startswith("474946383761") | head.startswith("474946383961"), "gif")
+        .when(head.startswith("424D"), "bmp")
+        .when(head.startswith("FF4FFF51") | (F.substring(head, 9, 8) == "6A502020"), "jp2")
+    )
+
+
+def same_json(a: Column, b: Column, schema: str) -> Column:
+    """Whether two JSON texts say the same under a schema, whatever the order of their keys and their white space."""
+    return F.to_json(F.from_json(a, schema)).eqNullSafe(F.to_json(F.from_json(b, schema)))
+
+
+def known_algorithm(c: Column, aliases: dict[str, str], known: list[str]) -> Column:
+    """As algorithm_name; an unknown name is an error in the row's place: null."""
+    name = algorithm_name(c, aliases)
+    return F.when(name.isin(*known), name)

@@ -1,39 +1,92 @@
 """Graphs of objects: chains, qualified names and reachability over tables of nodes and edges.
 
-Chains are followed by pointer doubling: every round joins the table with itself, so chains of n steps need log2(n)
-rounds, each cut with a checkpoint.
+Chains are followed by pointer doubling: every round joins what isn't finished with all pointers, so chains of n steps need log2(n)
+rounds, each cut with a checkpoint. Rounds go on until nothing changes; nodes on or above cycles never finish and are left out.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.session import durable
 
-#: Rounds; chains of up to 2**ROUNDS steps.
-ROUNDS = 6
-
-
-def chain_depths(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """For nodes (id, parent) the root and the number of steps to it: (id, root, depth). Nodes on or above cycles have no row."""
-    state = durable(nodes.select("id", F.coalesce("parent", "id").alias("at"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")))
-    for _ in range(rounds):
-        above = state.select(F.col("id").alias("at"), F.col("at").alias("_at"), F.col("depth").alias("_depth"))
-        state = durable(state.join(above, "at").select("id", F.col("_at").alias("at"), (F.col("depth") + F.col("_depth")).alias("depth")))
-    roots = nodes.where("parent IS NULL").select(F.col("id").alias("at"))
-    return state.join(roots, "at", "left_semi").select("id", F.col("at").alias("root"), "depth")
-
-
-def qualified_names(nodes: DataFrame, separator: str = ".", rounds: int = ROUNDS) -> DataFrame:
-    """For nodes (id, parent, name) the names from the root down, joined: (id, path)."""
-    state = durable(nodes.select("id", F.col("parent").alias("up"), F.col("name").alias("path")))
-    for _ in range(rounds):
-        above = state.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.lit(True).alias("_has"))
-        joined = state.join(above, "up", "left")
-        path = F.when(F.col("_has"), F.concat("_path", F.lit(separator), "path")).otherwise(F.col("path"))
-        state = durable(joined.select("id", F.col("_up").alias("up"), path.alias("path")))
-    return state.select("id", "path")
+
+def _climb(nodes: DataFrame, both: Callable[[Column, Column], Column]) -> DataFrame:
+    """For nodes (id, parent, value): (id, root, value), the values from the root down to the node put together by both(upper, lower).
+
+    A node whose parent is null or missing is a root.
+    """
+    ids = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("_known"))
+    state = durable(nodes.join(ids, "parent", "left").select("id", F.when(F.col("_known"), F.col("parent")).alias("up"), "value"))
+    done, open_ = state.where("up IS NULL").select("id", F.col("id").alias("root"), "value"), state.where("up IS NOT NULL")
+    left = open_.count()
+    while left:
+        pointers = done.select(F.col("id").alias("up"), F.lit(None).cast(nodes.schema["id"].dataType).alias("_up"), F.col("root").alias("_root"), F.col("value").alias("_value"))
+        pointers = pointers.unionByName(open_.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.lit(None).cast(nodes.schema["id"].dataType).alias("_root"), F.col("value").alias("_value")))
+        moved = durable(open_.join(pointers, "up").select("id", F.col("_up").alias("up"), F.col("_root").alias("root"), both(F.col("_value"), F.col("value")).alias("value")))
+        done, open_ = done.unionByName(moved.where("up IS NULL").select("id", "root", "value")), moved.where("up IS NOT NULL").select("id", "up", "value")
+        before, left = left, open_.count()
+        if left == before:  # a round of doubling finishes some node of any chain that has an end
+            break
+    return done
+
+
+def chain_depths(nodes: DataFrame) -> DataFrame:
+    """For nodes (id, parent) the root and the number of steps to it: (id, root, depth). Nodes on or above cycles, or above a missing node, have no row."""
+    ended = _climb(nodes.select("id", "parent", F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("value")), lambda upper, lower: upper + lower)
+    roots = nodes.where("parent IS NULL").select(F.col("id").alias("root"))
+    return ended.join(roots, "root", "left_semi").select("id", "root", F.col("value").alias("depth"))
+
+
+def qualified_names(nodes: DataFrame, separator: str = ".") -> DataFrame:
+    """For nodes (id, parent, name) the names from the root down, joined: (id, path). A node with a missing parent is a root; nodes on or above cycles have no row."""
+    named = nodes.select("id", "parent", F.col("name").alias("value"))
+    return _climb(named, lambda upper, lower: F.concat(upper, F.lit(separator), lower)).select("id", F.col("value").alias("path"))
+
+
+def walk_chains(links: DataFrame) -> DataFrame:
+    """For links (id, next) the chain that each node lies on and its place there, from 0: (id, head, place).
+
+    A chain begins at a node that no link leads to; where several lead to one node, the smallest id counts as the one before. Nodes on cycles have no row.
+    """
+    before = links.where("next IS NOT NULL").groupBy(F.col("next").alias("id")).agg(F.min("id").alias("parent"))
+    nodes = links.select("id").union(links.where("next IS NOT NULL").select("next")).distinct()
+    return chain_depths(nodes.join(before, "id", "left").select("id", "parent")).select("id", F.col("root").alias("head"), F.col("depth").alias("place"))
+
+
+def unreachable(objects: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """The objects (id) that no path over edges (src, dst) leads to from the roots (id). Rounds go on until nothing new is met, so cycles end."""
+    seen = front = durable(roots.select("id").distinct())
+    while front.limit(1).count():
+        met = edges.join(front.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        front = durable(met.join(seen, "id", "left_anti"))
+        seen = seen.unionAll(front)
+    return objects.join(seen, "id", "left_anti")
+
+
+def expression_values(nodes: DataFrame, levels: int = 16) -> DataFrame:
+    """Truth values of And, Or and Not trees: nodes (id, parent, place, op, value); leaves have a value and no op. Returns (id, value) of all roots.
+
+    Not takes its first operand. Null, which leaves the decision to a policy: an unknown op, an inner node without operands, an invalid operand, more
+    than so many levels.
+    """
+    known = durable(nodes.where("op IS NULL").select("id", "parent", "place", F.coalesce("value", F.lit(True)).alias("value")))
+    asked = nodes.where("op IS NOT NULL").select("id", "parent", "place", "op")
+    children = nodes.where("parent IS NOT NULL").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("_n"))
+    for _ in range(levels):
+        operands = known.where("parent IS NOT NULL").groupBy(F.col("parent").alias("id")).agg(
+            F.count("*").alias("_m"), F.bool_and("value").alias("_all"), F.bool_or("value").alias("_any"), F.min_by("value", "place").alias("_first"), F.count_if(F.col("value").isNull()).alias("_bad")
+        )
+        value = F.when(F.col("_bad") == 0, F.when(F.col("op") == "And", F.col("_all")).when(F.col("op") == "Or", F.col("_any")).when(F.col("op") == "Not", ~F.col("_first")))
+        ready = asked.join(operands, "id").join(children, "id").where("_m = _n").select("id", "parent", "place", value.alias("value"))
+        ready = durable(ready.join(known, "id", "left_anti"))
+        if not ready.limit(1).count():
+            break
+        known = known.unionAll(ready)
+    return nodes.where("parent IS NULL").select("id").join(known.select("id", "value"), "id", "left")
 
 
 def hops(edges: DataFrame, roots: DataFrame, max_hops: int) -> DataFrame:

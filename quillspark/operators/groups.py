@@ -87,3 +87,27 @@ def head_relative_rows(points: Column, tolerance: float) -> Column:
         )
 
     return F.aggregate(ordered, start, step)["out"]
+
+
+def exact_medians(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Exact median of each group. Rows are counted by value first, so what meets in a group is its distinct values, not its rows; nulls are left out."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(group).orderBy(value))
+    total = F.sum("_n").over(Window.partitionBy(group))
+    at = counts.withColumns({"_upto": upto, "_total": total})
+    low, high = F.floor((F.col("_total") + 1) / 2), F.floor((F.col("_total") + 2) / 2)  # of an odd number the same
+    holds = lambda place: F.when((F.col("_upto") >= place) & (F.col("_upto") - F.col("_n") < place), F.col(value))
+    return at.groupBy(group).agg(((F.max(holds(low)) + F.max(holds(high))) / 2).alias("median"))
+
+
+def columns_by_gap(df: DataFrame, group: list[str], x: str, tie: str, gap: float) -> DataFrame:
+    """Number the columns of a page from 0: a new one begins where the next x is at least gap further on."""
+    w = Window.partitionBy(*group).orderBy(x, tie)
+    new = F.when(F.col(x) - F.lag(x).over(w) >= gap, 1).otherwise(0)
+    return df.withColumn("_new", new).withColumn("column", F.sum("_new").over(w).cast("long")).drop("_new")
+
+
+def table_runs(rows: DataFrame, group: list[str], order: str, cells: str, least_rows: int = 2, least_cells: int = 2) -> DataFrame:
+    """Runs of consecutive rows with as many cells, at least so many rows and cells: (group, first, last, n_rows, n_cells)."""
+    found = runs(rows, group, [order], cells).where((F.col("n") >= least_rows) & (F.col(cells) >= least_cells))
+    return found.select(*group, "first", "last", F.col("n").alias("n_rows"), F.col(cells).alias("n_cells"))

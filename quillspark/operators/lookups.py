@@ -75,3 +75,14 @@ def with_aliases(wanted: DataFrame, fonts: DataFrame, name: str, names: list[str
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of new replace those of old with the same keys; the others stay."""
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
+
+
+def changed_rows(old: DataFrame, new: DataFrame, key: str, content: list[str]) -> DataFrame:
+    """(key, change): keys that were added or removed, and those whose content differs. Only digests of the content are joined."""
+
+    def digest(df: DataFrame, name: str) -> DataFrame:
+        return df.select(key, F.sha2(F.to_json(F.struct(*content)), 256).alias(name))
+
+    both = digest(old, "_old").join(digest(new, "_new"), key, "full")
+    change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(F.col("_old") != F.col("_new"), "changed")
+    return both.select(key, change.alias("change")).where("change IS NOT NULL")

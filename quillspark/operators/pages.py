@@ -31,9 +31,8 @@ def delete_pages(df: DataFrame, document: list[str], numbers: list[int]) -> Data
     return renumber(df.where(~(F.col("page_index") + 1).isin(*numbers)), document, "page_index")
 
 
-def insert_pages(df: DataFrame, new: DataFrame, position: int) -> DataFrame:
+def insert_pages(df: DataFrame, new: DataFrame, position: int, document: list[str]) -> DataFrame:
     """Put each row of new (a page for each document, without index) at a position, which is clamped to the document's size."""
-    document = [c for c in new.columns if c in df.columns and c.endswith("_id")]
     size = df.groupBy(*document).agg(F.count("*").alias("_n"))
     placed = new.join(size, document, "left").withColumn("page_index", F.least(F.coalesce("_n", F.lit(0)), F.lit(position)).cast("long")).drop("_n")
     at = placed.select(*document, F.col("page_index").alias("_at"))

@@ -52,6 +52,16 @@ def spend(df: DataFrame, owner: list[str], order: str, cost: Column, budget: int
 
 
 def visible(policy: str, states: str) -> Column:
-    """Aggregate: visibility of a group of layers under a policy (AllOn, AnyOn, AnyOff, AllOff)."""
+    """Aggregate: visibility of a group of layers under a policy (AllOn, AnyOn, AnyOff, AllOff); without any state, visible."""
     on = F.col(states)
-    return {"AllOn": F.bool_and(on), "AnyOn": F.bool_or(on), "AnyOff": F.bool_or(~on), "AllOff": F.bool_and(~on)}[policy]
+    return F.coalesce({"AllOn": F.bool_and(on), "AnyOn": F.bool_or(on), "AnyOff": F.bool_or(~on), "AllOff": F.bool_and(~on)}[policy], F.lit(True))
+
+
+def unsigned(kind: Column, value: Column) -> Column:
+    """Whether a form field is a signature that has no value yet."""
+    return (kind == "Sig") & value.isNull()
+
+
+def totals(findings: DataFrame, by: str = "severity") -> DataFrame:
+    """How many findings of each kind there are, and how many of them differ."""
+    return findings.groupBy(by).agg(F.count("*").alias("n"), F.count_distinct("message").alias("n_reasons"), F.array_sort(F.collect_set("message")).alias("reasons"))

@@ -1,24 +1,49 @@
 """Phrase, regex and line search with exact offsets; replace and redact.
 
 Offsets count code points from 0, ends are exclusive. Every operator keeps the columns named by keys and
-runs in built-in expressions; windows never span more than one text (or, for quotas, one document).
+runs in built-in expressions. Offsets are summed up within the row of a text, so search needs no exchange and rows
+with equal keys don't mix; only quotas look at all pages of a document.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BLANK = r"[ \t\r\x0B\f]"
 
 
-def _pieces_with_offsets(df: DataFrame, pieces, keys: list[str]) -> DataFrame:
-    """One row for each piece of a list: its number n, the piece, and the sum of the lengths before it."""
-    rows = df.select(*keys, F.posexplode(pieces).alias("n", "piece"))
-    before = Window.partitionBy(*keys).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("before", F.coalesce(F.sum(F.length("piece")).over(before), F.lit(0)))
+#: Pieces whose offsets are summed up together.
+TOGETHER = 256
+
+
+def _sums_before(sizes: str) -> Column:
+    """For each number of an array column the sum of those before it: sums of blocks first, then within each block."""
+    blocks = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / TOGETHER).cast("int"))
+
+    def running(values: Column, start: Column) -> Column:
+        begin = F.struct(F.array().cast("array<int>").alias("before"), start.cast("int").alias("sum"))
+        return F.aggregate(values, begin, lambda acc, x: F.struct(F.concat(acc["before"], F.array(acc["sum"])).alias("before"), (acc["sum"] + x).alias("sum")))["before"]
+
+    def part(b: Column) -> Column:
+        return F.slice(sizes, b * TOGETHER + 1, F.lit(TOGETHER))
+
+    totals = running(F.transform(blocks, lambda b: F.aggregate(part(b), F.lit(0), lambda acc, x: acc + x)), F.lit(0))
+    return F.flatten(F.zip_with(blocks, totals, lambda b, start: running(part(b), start)))
+
+
+def _with_offsets(rows: DataFrame, keys: list[str], pieces: str, sizes: Column) -> DataFrame:
+    """One row for each piece of an array column: its number n, the piece, and the sum of the sizes before it."""
+    rows = rows.withColumn("_sizes", sizes)
+    every = F.arrays_zip(F.col(pieces).alias("piece"), _sums_before("_sizes").alias("before"))
+    return rows.where(F.size(pieces) > 0).select(*keys, F.posexplode(every).alias("n", "p")).select(*keys, "n", "p.piece", "p.before")
+
+
+def _pieces_with_offsets(df: DataFrame, pieces: Column, keys: list[str]) -> DataFrame:
+    rows = df.select(*keys, pieces.alias("_pieces"))
+    return _with_offsets(rows, keys, "_pieces", F.transform("_pieces", lambda x: F.length(x)))
 
 
 def line_fragments(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -27,7 +52,7 @@ def line_fragments(df: DataFrame, keys: list[str], text: str = "text") -> DataFr
     txt = F.regexp_replace("piece", f"^{BLANK}+|{BLANK}+$", "")
     lead = F.length("piece") - F.length(F.regexp_replace("piece", f"^{BLANK}+", ""))
     start = F.col("before") + F.col("n") + lead
-    return rows.select(*keys, F.col("n").cast("long").alias("line_no"), start.alias("start"), txt.alias("txt")).where("txt != ''").withColumn("end", F.col("start") + F.length("txt"))
+    return rows.select(*keys, F.col("n").cast("long").alias("line_no"), start.cast("long").alias("start"), txt.alias("txt")).where("txt != ''").withColumn("end", F.col("start") + F.length("txt"))
 
 
 def phrase_fragments(df: DataFrame, phrase: str, keys: list[str], text: str = "text", case_sensitive: bool = True) -> DataFrame:
@@ -40,7 +65,7 @@ def phrase_fragments(df: DataFrame, phrase: str, keys: list[str], text: str = "t
     # cut before every occurrence; the character put in front keeps one at the beginning apart
     pieces = F.split(F.concat(F.lit("\n"), F.col(text)), f"{flag}(?={literal})")
     rows = _pieces_with_offsets(hits, pieces, keys).where("n > 0")
-    start = F.col("before") - 1
+    start = (F.col("before") - 1).cast("long")
     return rows.select(*keys, start.alias("start"), (start + len(phrase)).alias("end"))
 
 
@@ -50,16 +75,30 @@ def phrase_counts(df: DataFrame, phrase: str, keys: list[str], text: str = "text
     return df.select(*keys, (n / len(phrase)).cast("long").alias("n_matches"))
 
 
-def regex_fragments(df: DataFrame, pattern: str, keys: list[str], text: str = "text") -> DataFrame:
-    """Leftmost non-overlapping matches (none of them empty), with offsets."""
-    hits = df.where(F.col(text).rlike(pattern))
-    between = F.split(text, pattern)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    rows = hits.select(*keys, F.posexplode(F.arrays_zip(between.alias("gap"), found.alias("txt"))).alias("n", "p")).select(*keys, "n", "p.gap", "p.txt")
-    before = Window.partitionBy(*keys).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.length("gap") + F.coalesce(F.length("txt"), F.lit(0))
-    rows = rows.withColumn("start", F.coalesce(F.sum(size).over(before), F.lit(0)) + F.length("gap")).where("txt IS NOT NULL")
-    return rows.select(*keys, "start", (F.col("start") + F.length("txt")).alias("end"), "txt")
+def regex_fragments(df: DataFrame, pattern: str, keys: list[str], text: str = "text", case_sensitive: bool = True, whole_words: bool = False, groups: int = 0) -> DataFrame:
+    """Leftmost non-overlapping matches (none of them empty), with offsets and, in group_1 and so on, what so many groups of the pattern have matched (else "")."""
+    used = ("" if case_sensitive else "(?i)") + (rf"\b(?:{pattern})\b" if whole_words else pattern)
+    hits = df.where(F.col(text).rlike(used))
+    found = [F.regexp_extract_all(text, F.lit(used), F.lit(i)).alias("txt" if i == 0 else f"group_{i}") for i in range(groups + 1)]
+    rows = hits.select(*keys, F.arrays_zip(F.split(text, used).alias("gap"), *found).alias("_found"))
+    out = _with_offsets(rows, keys, "_found", F.transform("_found", lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["txt"]), F.lit(0))))
+    start = (F.col("before") + F.length("piece.gap")).cast("long")
+    out = out.where("piece.txt IS NOT NULL").select(*keys, start.alias("start"), (start + F.length("piece.txt")).alias("end"), "piece.txt", *[f"piece.group_{i}" for i in range(1, groups + 1)])
+    return out
+
+
+def regex_counts(df: DataFrame, pattern: str, keys: list[str], text: str = "text") -> DataFrame:
+    """How often a pattern matches without overlaps."""
+    return df.select(*keys, F.regexp_count(text, F.lit(pattern)).cast("long").alias("n_matches"))
+
+
+def list_marker(line: Column) -> Column:
+    """"ul" for a line that begins with a bullet or dash, alone or before white space; "ol" for a number, letter or small roman numeral closed by . or ); else null."""
+    s = F.trim(line)
+    # fixed values: the bullets, and the form of an ordered marker
+    bullet = r"^[•·◦‣▪●■\u2043\u2013—*\x95-](\s|$)"
+    ordered = r"^\(?([0-9]{1,3}|[ivxlcdmIVXLCDM]{1,5}|[A-Za-z])[.)](\s|$)"
+    return F.when(s.rlike(bullet), "ul").when(s.rlike(ordered), "ol")
 
 
 def replace_text(df: DataFrame, search: str, replacement: str, text: str = "text") -> DataFrame:

@@ -58,7 +58,7 @@ def phrase_count_nonoverlap(spark, sf_dir):
 
 @query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Z][a-z]+')) AS BIGINT) AS n_matches FROM documents")
 def regex_match_count(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_count("text", F.lit("[A-Z][a-z]+")).cast("long").alias("n_matches"))
+    return search.regex_counts(table(spark, sf_dir, "documents"), "[A-Z][a-z]+", ["doc_id"])
 
 
 @query("""
@@ -139,7 +139,7 @@ UNION ALL SELECT conv_id, place, 'new', 'blank' FROM n""")
 def insert_shift(spark, sf_dir):
     every = _pages(spark, sf_dir)
     new = every.select("conv_id").distinct().withColumns({"role": F.lit("new"), "text": F.lit("blank")})
-    return pages.insert_pages(every, new, 2)
+    return pages.insert_pages(every, new, 2, ["conv_id"])
 
 
 @query(PAGES_SQL + """, u AS (SELECT 0 AS part, * FROM p WHERE role = 'user' UNION ALL SELECT 1, * FROM p WHERE role = 'assistant' UNION ALL SELECT 2, * FROM p WHERE role NOT IN ('user', 'assistant'))
@@ -260,7 +260,7 @@ def centroid(spark, sf_dir):
 
 @query("SELECT event_type, quantile_cont(value, 0.5) AS median FROM events GROUP BY event_type")
 def median_by_group(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.percentile("value", 0.5).alias("median"))
+    return groups.exact_medians(table(spark, sf_dir, "events"), "event_type", "value")
 
 
 @query("""
@@ -377,11 +377,41 @@ def reachable_objects(spark, sf_dir):
     return graph.hops(edges, table(spark, sf_dir, "part").where("p_size = 1").select(F.col("p_partkey").alias("id")), 2)
 
 
-@query("SELECT a.event_id, a.event_type, b.event_type AS next_type FROM events a LEFT JOIN events b ON b.event_id = a.event_id + 1")
+@query("""
+WITH n AS (SELECT event_id, CASE WHEN event_type <> 'error' THEN lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) END AS next, user_id, event_type FROM events),
+b AS (SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) <> 'error' THEN 0 ELSE 1 END AS head FROM n),
+g AS (SELECT *, sum(head) OVER (PARTITION BY user_id ORDER BY event_id) AS chain FROM b)
+SELECT event_id AS id, min(event_id) OVER (PARTITION BY user_id, chain) AS head, row_number() OVER (PARTITION BY user_id, chain ORDER BY event_id) - 1 AS place FROM g""")
 def action_chain(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select("event_id", "event_type")
-    following = events.select((F.col("event_id") - 1).alias("event_id"), F.col("event_type").alias("next_type"))
-    return events.join(following, "event_id", "left")
+    following = F.lead("event_id").over(Window.partitionBy("user_id").orderBy("event_id"))
+    links = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_type") != "error", following).alias("next"))
+    return graph.walk_chains(links)
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT c_custkey // 2 AS src, c_custkey AS dst FROM customer WHERE c_custkey % 5 <> 0),
+r(id) AS (SELECT c_custkey FROM customer WHERE c_custkey <= 3 UNION SELECT e.dst FROM r JOIN e ON e.src = r.id)
+SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT id FROM r)""")
+def unreachable_objects(spark, sf_dir):
+    ids = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
+    edges = ids.where("id % 5 <> 0").select(F.expr("id div 2").alias("src"), F.col("id").alias("dst"))
+    return graph.unreachable(ids, edges, ids.where("id <= 3"))
+
+
+@query("""
+WITH o AS (SELECT l_orderkey, bool_and(l_returnflag <> 'R') AS all_on, bool_or(l_returnflag <> 'R') AS any_on, arg_min(l_returnflag <> 'R', l_linenumber) AS first_on FROM lineitem GROUP BY l_orderkey),
+v AS (SELECT o_custkey, CASE o_orderkey % 4 WHEN 0 THEN all_on WHEN 1 THEN any_on WHEN 2 THEN NOT first_on END AS value, o_orderkey % 4 = 3 AS bad FROM orders JOIN o ON l_orderkey = o_orderkey)
+SELECT o_custkey AS id, CASE WHEN bool_or(bad) THEN NULL ELSE bool_or(value) END AS value FROM v GROUP BY o_custkey""")
+def boolean_visibility(spark, sf_dir):
+    items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    none = F.lit(None).cast("boolean")
+    leaves = items.select((F.col("l_orderkey") * 10 + F.col("l_linenumber") + 10**12).alias("id"), (F.col("l_orderkey") + 10**9).alias("parent"), F.col("l_linenumber").cast("long").alias("place"), F.lit(None).cast("string").alias("op"), (F.col("l_returnflag") != "R").alias("value"))
+    kind = F.col("o_orderkey") % 4
+    some = orders.join(items.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi")
+    op = F.when(kind == 0, "And").when(kind == 1, "Or").when(kind == 2, "Not").otherwise("Xor")
+    inner = some.select((F.col("o_orderkey") + 10**9).alias("id"), F.col("o_custkey").cast("long").alias("parent"), F.col("o_orderkey").cast("long").alias("place"), op.alias("op"), none.alias("value"))
+    tops = some.select(F.col("o_custkey").cast("long").alias("id")).distinct().select("id", F.lit(None).cast("long").alias("parent"), F.lit(0).cast("long").alias("place"), F.lit("Or").alias("op"), none.alias("value"))
+    return graph.expression_values(leaves.unionByName(inner).unionByName(tops))
 
 
 # Scalars ------------------------------------------------------------------------------------------------------------------
@@ -637,3 +667,141 @@ UNION ALL SELECT doc_id, 0, 0 FROM documents WHERE lang = 'fr'""")
 def upsert_rows(spark, sf_dir):
     new = table(spark, sf_dir, "documents").where("lang = 'fr'").select("doc_id", F.lit(0).alias("quality"), F.lit(0).alias("toxic"))
     return lookups.upsert(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), new, ["doc_id"])
+
+
+# Rows, marks and pictures ----------------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH m AS (SELECT doc_id, string_split_regex(text, '([a-z]+)[.]([0-9]+)@mail') AS gaps, regexp_extract_all(text, '([a-z]+)[.]([0-9]+)@mail') AS found FROM documents),
+r AS (SELECT doc_id, generate_subscripts(found, 1) AS n, unnest(found) AS txt, gaps FROM m),
+s AS (SELECT doc_id, n, txt, length(gaps[n]) AS gap FROM r),
+o AS (SELECT doc_id, txt, sum(gap) OVER w + coalesce(sum(length(txt)) OVER b, 0) AS start FROM s
+  WINDOW w AS (PARTITION BY doc_id ORDER BY n), b AS (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT doc_id, CAST(start AS BIGINT) AS start, CAST(start + length(txt) AS BIGINT) AS "end", txt, regexp_extract(txt, '([a-z]+)[.]([0-9]+)@mail', 1) AS group_1, regexp_extract(txt, '([a-z]+)[.]([0-9]+)@mail', 2) AS group_2 FROM o""")
+def regex_groups(spark, sf_dir):
+    return search.regex_fragments(table(spark, sf_dir, "documents"), "([a-z]+)[.]([0-9]+)@mail", ["doc_id"], groups=2)
+
+
+@query(LINES_SQL + r"""
+SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, CASE WHEN regexp_matches(trim(txt), '^[•·◦‣▪●■⁃–—*\x{95}-](\s|$)') THEN 'ul' ELSE 'ol' END AS marker FROM t
+WHERE regexp_matches(trim(txt), '^[•·◦‣▪●■⁃–—*\x{95}-](\s|$)') OR regexp_matches(trim(txt), '^\(?([0-9]{1,3}|[ivxlcdmIVXLCDM]{1,5}|[A-Za-z])[.)](\s|$)')""")
+def list_marker_classes(spark, sf_dir):
+    lines = search.line_fragments(table(spark, sf_dir, "documents"), ["doc_id"])
+    return lines.select("doc_id", "line_no", search.list_marker(F.col("txt")).alias("marker")).where("marker IS NOT NULL")
+
+
+@query("""
+SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM (SELECT doc_id, text FROM documents WHERE doc_id % 7 <> 0) a FULL JOIN (SELECT doc_id, CASE WHEN lang = 'fr' THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0) b ON a.doc_id = b.doc_id
+WHERE a.doc_id IS NULL OR b.doc_id IS NULL OR a.text <> b.text""")
+def changed_objects(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    new = docs.where("doc_id % 5 <> 0").select("doc_id", F.when(F.col("lang") == "fr", F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
+    return lookups.changed_rows(docs.where("doc_id % 7 <> 0"), new, "doc_id", ["text"])
+
+
+@query("""
+WITH w AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_extendedprice - lag(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_linenumber) >= 5000 THEN 1 ELSE 0 END AS new, l_extendedprice FROM lineitem)
+SELECT l_orderkey, l_linenumber, CAST(sum(new) OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_linenumber) AS BIGINT) AS "column" FROM w""")
+def layout_columns(spark, sf_dir):
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return groups.columns_by_gap(items, ["l_orderkey"], "l_extendedprice", "l_linenumber", 5000).select("l_orderkey", "l_linenumber", "column")
+
+
+@query("""
+WITH r AS (SELECT o_custkey, o_orderkey, count(*) AS cells FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
+f AS (SELECT *, CASE WHEN cells = lag(cells) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) THEN 0 ELSE 1 END AS new FROM r),
+g AS (SELECT *, sum(new) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS run FROM f)
+SELECT o_custkey, min(o_orderkey) AS first, max(o_orderkey) AS last, count(*) AS n_rows, any_value(cells) AS n_cells FROM g GROUP BY o_custkey, run HAVING count(*) >= 2 AND any_value(cells) >= 2""")
+def table_runs(spark, sf_dir):
+    cells = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("cells"))
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").join(cells, "o_orderkey")
+    return groups.table_runs(rows, ["o_custkey"], "o_orderkey", "cells")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, l_quantity * 2.0 + 1.0 * l_tax AS a, l_quantity * -1.0 + 1.0 * 3.0 AS b, l_discount * 2.0 + 2.0 * l_tax AS c, l_discount * -1.0 + 2.0 * 3.0 AS d,
+  5.0 * 2.0 + l_quantity * l_tax + 7.0 AS e, 5.0 * -1.0 + l_quantity * 3.0 + l_discount AS f FROM lineitem""")
+def matrix_products(spark, sf_dir):
+    q, d, t, n = F.col("l_quantity"), F.col("l_discount"), F.col("l_tax"), F.lit
+    out = scalars.matrix_product([q, n(1.0), d, n(2.0), n(5.0), q], [n(2.0), n(-1.0), t, n(3.0), n(7.0), d])
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[c.alias(x) for c, x in zip(out, "abcdef", strict=True)])
+
+
+@query("""
+WITH b AS (SELECT p_partkey, least(p_size, p_partkey % 40) AS x0, greatest(p_size, p_partkey % 40) AS x1, least(p_partkey % 30, 12) AS y0, greatest(p_partkey % 30, 12) AS y1 FROM part),
+c AS (SELECT p_partkey, greatest(x0, 5) AS x0, greatest(y0, 3) AS y0, least(x1, 25) AS x1, least(y1, 10) AS y1 FROM b)
+SELECT p_partkey, CASE WHEN x0 <= x1 AND y0 <= y1 THEN x0 END AS x0, CASE WHEN x0 <= x1 AND y0 <= y1 THEN y0 END AS y0, CASE WHEN x0 <= x1 AND y0 <= y1 THEN x1 END AS x1, CASE WHEN x0 <= x1 AND y0 <= y1 THEN y1 END AS y1 FROM c""")
+def crop_boxes(spark, sf_dir):
+    box = scalars.rectangle(F.col("p_size"), F.col("p_partkey") % 30, F.col("p_partkey") % 40, F.lit(12))
+    cut = scalars.crop(box, [F.lit(5), F.lit(3), F.lit(25), F.lit(10)])
+    return table(spark, sf_dir, "part").select("p_partkey", *[c.alias(n) for c, n in zip(cut, ("x0", "y0", "x1", "y1"), strict=True)])
+
+
+@query("""
+SELECT p_partkey, p_size AS gray, CASE p_size % 4 WHEN 0 THEN 10 WHEN 1 THEN 40 WHEN 2 THEN 70 ELSE 0 END AS r, CASE p_size % 4 WHEN 0 THEN 20 WHEN 1 THEN 50 WHEN 2 THEN 80 ELSE 0 END AS g, CASE p_size % 4 WHEN 0 THEN 30 WHEN 1 THEN 60 WHEN 2 THEN 90 ELSE 0 END AS b FROM part""")
+def palette_colours(spark, sf_dir):
+    r, g, b = scalars.indexed_to_rgb(F.col("p_size") % 4, [(10, 20, 30), (40, 50, 60), (70, 80, 90)])
+    return table(spark, sf_dir, "part").select("p_partkey", scalars.gray_to_rgb(F.col("p_size"))[1].alias("gray"), r.alias("r"), g.alias("g"), b.alias("b"))
+
+
+@query(r"""
+SELECT l_orderkey, l_linenumber, regexp_replace(printf('%.6f', CASE WHEN abs(l_discount - 0.05) < 0.0000005 THEN 0.0 ELSE CAST(l_quantity AS DOUBLE) * 0.25 + CASE WHEN l_linenumber % 2 = 0 THEN 0.125 ELSE 0.0 END END), '\.?0+$', '') AS number FROM lineitem""")
+def number_texts(spark, sf_dir):
+    value = F.when(F.abs(F.col("l_discount") - 0.05) < 0.0000005, 0.0).otherwise(F.col("l_quantity").cast("double") * 0.25 + F.when(F.col("l_linenumber") % 2 == 0, 0.125).otherwise(0.0))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", scalars.format_number(value).alias("number"))
+
+
+@query("""
+WITH n AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '/' || event_type WHEN 1 THEN CAST(event_id AS VARCHAR) WHEN 2 THEN event_type || ' x' ELSE '' END AS n FROM events)
+SELECT event_id, CASE WHEN event_id % 4 = 0 THEN ltrim(n, '/') WHEN event_id % 4 = 1 THEN 'F' || n END AS name FROM n""")
+def safe_names(spark, sf_dir):
+    kind = F.col("event_id") % 4
+    name = F.when(kind == 0, F.concat(F.lit("/"), "event_type")).when(kind == 1, F.col("event_id").cast("string")).when(kind == 2, F.concat("event_type", F.lit(" x"))).otherwise("")
+    return table(spark, sf_dir, "events").select("event_id", scalars.safe_name(name, "F").alias("name"))
+
+
+@query("""
+WITH h AS (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE printf('%x', o_orderkey) END AS d FROM orders)
+SELECT o_orderkey, lower(CASE WHEN length(d) % 2 = 1 THEN d || '0' ELSE d END) AS bytes FROM h""")
+def hex_operands(spark, sf_dir):
+    digits = F.lower(F.hex("o_orderkey"))
+    text = F.when(F.col("o_orderkey") % 5 == 0, F.lit("<zz>")).otherwise(F.concat(F.lit("< "), digits, F.lit(" >rest")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.lower(F.hex(scalars.hex_operand(text))).alias("bytes"))
+
+
+@query("""
+SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'png' WHEN 1 THEN 'jpg' WHEN 2 THEN 'gif' WHEN 3 THEN 'bmp' WHEN 4 THEN 'jp2' END AS kind FROM events""")
+def image_kinds(spark, sf_dir):
+    heads = ["89504E470D0A1A0A00", "FFD8FFE0", "474946383961", "424D0000", "0000000C6A502020", "255044462D"]
+    head = F.get(F.array(*[F.lit(h) for h in heads]), (F.col("event_id") % 6).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", scalars.image_kind(F.unhex(head)).alias("kind"))
+
+
+@query("""
+SELECT o_orderkey, o_orderkey % 3 <> 0 AS same FROM orders""")
+def json_equal(spark, sf_dir):
+    key = F.col("o_orderkey").cast("string")
+    a = F.concat(F.lit('{"a": '), key, F.lit(', "b": [1, 2]}'))
+    b = F.concat(F.lit('{ "b":[1,2],"a":'), F.when(F.col("o_orderkey") % 3 == 0, F.lit("-1")).otherwise(key), F.lit("}"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", scalars.same_json(a, b, "a long, b array<long>").alias("same"))
+
+
+@query("""
+SELECT event_id, event_type = 'error' AND event_id % 2 = 0 AS unsigned FROM events WHERE event_type IN ('error', 'view')""")
+def unsigned_fields(spark, sf_dir):
+    fields = table(spark, sf_dir, "events").where("event_type IN ('error', 'view')")
+    kind = F.when(F.col("event_type") == "error", "Sig").otherwise("Tx")
+    value = F.when(F.col("event_id") % 2 == 1, F.col("value"))
+    return fields.select("event_id", rules.unsigned(kind, value).alias("unsigned"))
+
+
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'fr' || o_orderkey WHEN 1 THEN 'any' || o_orderkey ELSE 'de' || o_orderkey END AS title FROM orders""")
+def localized_texts(spark, sf_dir):
+    key, kind = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 3
+    item = lambda lang, value: F.struct(F.lit(lang).cast("string").alias("lang"), F.concat(F.lit(value), key).alias("value"))
+    items = F.when(kind == 0, F.array(item("de", "de"), item("fr", "fr"))).when(kind == 1, F.array(item("de", "de"), item(None, "any"))).otherwise(F.array(item("de", "de"), item("en", "en")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", items.alias("items"))
+    return rows.select("o_orderkey", scalars.localized("items", "fr").alias("title"))

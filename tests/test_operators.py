@@ -36,7 +36,7 @@ def test_quota_is_spent_in_page_order(spark):
 def test_pages_stay_without_gaps(spark):
     df = spark.createDataFrame([(d, i, f"{d}{i}") for d, n in ((1, 5), (2, 1)) for i in range(n)], "doc_id int, page_index long, text string")
     new = spark.createDataFrame([(1, "n"), (2, "n")], "doc_id int, text string")
-    for out in (pages.delete_pages(df, ["doc_id"], [2, 9]), pages.insert_pages(df, new, 3), pages.extract_range(df, ["doc_id"], 2, 3), pages.move_page(df, ["doc_id"], 0, 2), pages.append_blank(df, ["doc_id"])):
+    for out in (pages.delete_pages(df, ["doc_id"], [2, 9]), pages.insert_pages(df, new, 3, ["doc_id"]), pages.extract_range(df, ["doc_id"], 2, 3), pages.move_page(df, ["doc_id"], 0, 2), pages.append_blank(df, ["doc_id"])):
         for d in (1, 2):
             found = sorted(r.page_index for r in out.where(F.col("doc_id") == d).collect())
             assert found == list(range(len(found)))
@@ -55,6 +55,38 @@ def test_chains_and_cycles(spark):
     assert {r.path for r in graph.qualified_names(nodes.where("id < 8")).collect()} == {"a", "a.b", "a.b.c"}
 
 
+def test_chains_of_100_steps_and_cycles(spark):
+    chain = [(i, i - 1 if i else None, str(i)) for i in range(101)] + [(200, 201, "x"), (201, 200, "y"), (202, 201, "z"), (300, 999, "orphan")]
+    nodes = spark.createDataFrame(chain, "id long, parent long, name string")
+    assert {(r.id, r.depth) for r in graph.chain_depths(nodes).collect()} == {(i, i) for i in range(101)}
+    paths = {r.id: r.path for r in graph.qualified_names(nodes).collect()}
+    assert paths[100] == ".".join(map(str, range(101))) and paths[300] == "orphan" and set(paths) == {*range(101), 300}
+    links = nodes.where("id < 299").select(F.col("parent").alias("id"), F.col("id").alias("next")).where("id IS NOT NULL")
+    assert {(r.id, r.head, r.place) for r in graph.walk_chains(links).collect()} == {(i, 0, i) for i in range(101)}
+    assert {r.id for r in graph.unreachable(nodes.select("id"), links.select(F.col("id").alias("src"), F.col("next").alias("dst")), nodes.where("id = 50").select("id")).collect()} == {*range(50), 200, 201, 202, 300}
+
+
+def test_offsets_of_rows_with_equal_keys_do_not_mix(spark):
+    text = "\n".join(f"line {i}" for i in range(700))
+    df = spark.createDataFrame([(1, text), (1, "x\n" + text), (1, None), (1, "")], "id int, text string")
+    found = sorted((r.start, r.end, r.txt) for r in search.line_fragments(df, ["id"]).collect())
+    expected = sorted((t.index(f"line {i}\n") if i < 699 else len(t) - 8, (t.index(f"line {i}\n") if i < 699 else len(t) - 8) + len(f"line {i}"), f"line {i}") for t in (text, "x\n" + text) for i in range(700))
+    assert found == sorted([*expected, (0, 1, "x")])
+
+
+def test_visibility(spark):
+    states = spark.createDataFrame([(1, None)], "g int, on boolean")
+    assert all(states.groupBy("g").agg(rules.visible(p, "on").alias("v")).first().v for p in ("AllOn", "AnyOn", "AnyOff", "AllOff"))
+    nodes = [(1, None, 0, "Not", None), (2, 1, 0, "And", None), (3, 2, 0, None, True), (4, 2, 1, None, None), (5, None, 0, "And", None), (6, None, 0, "Nor", None), (7, 6, 0, None, True)]
+    got = {r.id: r.value for r in graph.expression_values(spark.createDataFrame(nodes, "id long, parent long, place long, op string, value boolean")).collect()}
+    assert got == {1: False, 5: None, 6: None}
+
+
+def test_medians_are_exact(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("a", 5.0), ("a", 7.0), ("b", 2.0), ("b", None)], "g string, v double")
+    assert {(r.g, r.median) for r in groups.exact_medians(df, "g", "v").collect()} == {("a", 3.0), ("b", 2.0)}
+
+
 def test_tiers_are_relative_to_their_head(spark):
     df = spark.createDataFrame([([24.0, 23.5, 18.0, 12.0],)], "s array<double>")
     out = df.select(groups.head_relative_tiers(F.col("s"), 1.05, 3).alias("t")).first().t
