@@ -37,7 +37,7 @@ WINDOW, GRAM = 400, 32
 #: Bytes of text that become arrays of eight bytes for each at once.
 AT_ONCE = 1 << 18
 #: Distinct pieces of a bucket beyond which it is split; bytes of pieces that are sorted together, about (a bucket stays whole).
-CROWDED, TOGETHER = 256, 1 << 18
+CROWDED, TOGETHER = 1500, 1 << 18
 #: Bytes of the windows that look for passages; a passage has more words than this.
 PASSAGE_BYTES, PASSAGE_WORDS = 200, 50
 #: Parts of the order that are refined one after the other in a pass, so that later ones see what earlier ones have found.
