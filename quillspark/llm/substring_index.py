@@ -138,14 +138,16 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ba
     low, high = low or 0, high or 0
     cuts = [low + (high + 1 - low) * i // batches for i in range(batches + 1)]
     index, hits = FingerprintIndex(spark), None
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        found = index.add(prints.where((F.col("doc_id") >= a) & (F.col("doc_id") < b)))
-        hits = found if hits is None else hits.unionAll(found)
+    try:
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            found = index.add(prints.where((F.col("doc_id") >= a) & (F.col("doc_id") < b)))
+            hits = found if hits is None else hits.unionAll(found)
+    finally:
+        index.drop()  # hits are durable
     near = prints.join(hits.distinct(), "hash").groupBy("copy").agg(F.collect_set("hash").alias("hits"))  # of one text
     near = near.join(first.groupBy("copy").agg(F.min("first").alias("doc_id")), "copy").select("doc_id", "hits")
     near = durable(near)
     prints.unpersist()
-    index.drop()
     # both uses of docs, here and where the result is joined to it, read one exchange
     rows = _windows_near(docs.join(near, "doc_id").select("doc_id", "hits", "text"), window, gram)
     least = rows.groupBy("key").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first != _last").drop("_last")
