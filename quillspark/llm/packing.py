@@ -19,7 +19,7 @@ from quillspark.llm.text import documents_of
 #: Pieces that are packed together, about.
 PACKED = 8192
 #: Words, and texts between ASCII spaces, whose ids a task remembers, in each of two generations.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: Marks that often follow a word; a run of them is tokenized apart from the word.
 TAIL = ",.;:!?*#$%&|-"
 
@@ -124,8 +124,9 @@ class _Ids:
         young, tails = self.chunks.young, self.tails
         stems = [c.rstrip(TAIL) for c in new]
         lower = [s.lower() if s.isascii() else s for s in stems]
-        self.words.young.update(self._words(self.words.missing({s for s in lower if s.isalpha()})))
+        missing = self.words.missing({s for s in lower if s.isalpha()})  # may begin a new young generation
         words = self.words.young
+        words.update(self._words(missing))
         for c, stem, key in zip(new, stems, lower, strict=True):
             tail = c[len(stem) :]
             if key in words and "'" not in tail:
