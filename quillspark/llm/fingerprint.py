@@ -67,31 +67,21 @@ def fingerprints(docs: DataFrame, words: int = WORDS, scale: int = SCALE) -> Dat
     return df.select("doc_id", "sketch", as_text(F.col("sketch"), F.col("text")).alias("fingerprint"))
 
 
-def next_ids(ids: DataFrame, block: int = 4096) -> DataFrame:
+def next_ids(ids: DataFrame, parts: int | None = None) -> DataFrame:
     """For each distinct integer in doc_id the next smaller one; for the smallest the largest.
 
-    Windows run within blocks of consecutive integers; each block's ends meet those of others in a
-    second round over blocks of blocks, so no task gets more than about block rows until the last,
-    which gets one row for each block * block of ids.
+    The ids are dealt to ranges (as many as the session has shuffle partitions, unless given) of about equal
+    numbers of ids, however sparse they are, and each range is worked on alone. Only the largest id of each range,
+    one row a range, meets those of the others in one task.
     """
+    parts = parts or int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     own = ids.select("doc_id").where("doc_id IS NOT NULL").distinct()
-    largest = ids.agg(F.max("doc_id").alias("_top"))
-    levels = [own]
-    for level in (1, 2):
-        size = block**level
-        levels.append(own.groupBy(F.floor(F.col("doc_id") / size).alias("_block")).agg(F.max("doc_id").alias("doc_id")).select("doc_id", "_block"))
-
-    def before(df: DataFrame, group: Column | None) -> DataFrame:
-        w = Window.partitionBy(group).orderBy("doc_id") if group is not None else Window.partitionBy(F.lit(0)).orderBy("doc_id")
-        return df.withColumn("next_id", F.lag("doc_id").over(w))
-
-    # last ids of blocks of blocks, then of blocks, then ids: what lag misses at a block's start comes from above
-    above = before(levels[2].select("doc_id", "_block"), None).select(F.col("_block").alias("_g"), F.col("next_id").alias("_from"))
-    middle = before(levels[1].withColumn("_g", F.floor(F.col("doc_id") / block**2)), F.col("_g"))
-    middle = middle.join(above, "_g", "left").select(F.col("_block").alias("_g"), F.coalesce("next_id", "_from").alias("_from"))
-    low = before(own.withColumn("_g", F.floor(F.col("doc_id") / block)), F.col("_g"))
-    low = low.join(middle, "_g", "left").select("doc_id", F.coalesce("next_id", "_from").alias("next_id"))
-    return low.crossJoin(largest).select("doc_id", F.coalesce("next_id", "_top").alias("next_id"))
+    own = durable(own.repartitionByRange(parts, "doc_id").withColumn("_part", F.spark_partition_id()))
+    ends = own.groupBy("_part").agg(F.max("doc_id").alias("_end"))
+    every = Window.partitionBy(F.lit(0))
+    ends = ends.select("_part", F.coalesce(F.lag("_end").over(every.orderBy("_part")), F.max("_end").over(every)).alias("_from"))
+    within = own.withColumn("next_id", F.lag("doc_id").over(Window.partitionBy("_part").orderBy("doc_id")))
+    return within.join(F.broadcast(ends), "_part").select("doc_id", F.coalesce("next_id", "_from").alias("next_id"))
 
 
 def edited_fingerprints(docs: DataFrame, words: int = WORDS, scale: int = SCALE) -> DataFrame:
