@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -143,6 +144,39 @@ def test_quality_on_held_out_labels(spark):
     assert out.where(F.col("keep") == (F.col("quality") == 1)).count() >= 0.97 * held.count() > 97
 
 
+def plain_strength(groups):
+    groups = [g for g in groups if g[0] >= 2]
+    if len(groups) < 2:
+        return 1e6
+    n = sum(g[0] for g in groups)
+    mean = min(max(sum(g[1] for g in groups) / n, 1e-6), 1 - 1e-6)
+    between = sum(g[0] * (g[1] / g[0] - mean) ** 2 for g in groups)
+    spread = (between - (len(groups) - 1) * mean * (1 - mean)) / (n - sum(g[0] ** 2 for g in groups) / n)
+    return min(max(mean * (1 - mean) / spread - 1, 1.0), 1e6) if spread > 0 else 1e6
+
+
+def test_posteriors_equal_a_plain_version(spark):
+    """Given each row's evidence: hosts shrink to the corpus, paths to their hosts, each row left out of its own site."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "labels"))
+    where = {r.doc_id: (r.source or "", r.lang or "") for r in docs.collect()}
+    out = quality.classify(docs, labels).collect()
+    assert len(out) == len(where)
+    paths, hosts = collections.defaultdict(lambda: [0, 0.0]), collections.defaultdict(lambda: [0, 0.0])
+    for r in out:
+        for group in (paths[where[r.doc_id]], hosts[where[r.doc_id][0]]):
+            group[0] += 1
+            group[1] += r.evidence
+    mean = sum(r.evidence for r in out) / len(out)
+    k_host, k_path = plain_strength(hosts.values()), plain_strength(paths.values())
+    for r in out:
+        (n, s), (hn, hs) = paths[where[r.doc_id]], hosts[where[r.doc_id][0]]
+        host = (hs - r.evidence + k_host * mean) / (hn - 1 + k_host)
+        path = (s - r.evidence + k_path * host) / (n - 1 + k_path)
+        assert r.host_posterior == pytest.approx(host, rel=1e-4) and r.path_posterior == pytest.approx(path, rel=1e-4)
+        odds = [math.log(x / (1 - x)) for x in (min(max(y, 1e-9), 1 - 1e-9) for y in (r.evidence, path, mean))]
+        assert r.quality == pytest.approx(1 / (1 + math.exp(-(odds[0] + odds[1] - odds[2]))), abs=1e-4) and r.keep == (r.quality >= 0.5)
+
+
 def test_sparse_sites_shrink_to_the_corpus(spark):
     rng = random.Random(0)
     rows = [(i, " ".join(words(rng, 80)), "p", "good.example") for i in range(60)] + [(100 + i, "!!!! #### " * 40, "p", "bad.example") for i in range(60)]
@@ -411,13 +445,27 @@ def test_fingerprints_equal_brute_force(spark):
     assert len({got[i].fingerprint for i in order}) == len(set(texts.values()))
 
 
-def test_next_ids_over_many_blocks(spark):
+@pytest.mark.parametrize("low, high, parts", [(-1000, 10**6, 16), (-(2**63), 2**63, 5), (0, 3, 7), (5, 6, 3)])
+def test_next_ids(spark, low, high, parts):
     rng = random.Random(2)
-    ids = sorted({rng.randrange(-1000, 10**6) for _ in range(300)})
-    got = {r.doc_id: r.next_id for r in fingerprint.next_ids(spark.createDataFrame([(i,) for i in ids], "doc_id long"), block=16).collect()}
+    ids = sorted({rng.randrange(low, high) for _ in range(300)})
+    got = {r.doc_id: r.next_id for r in fingerprint.next_ids(spark.createDataFrame([(i,) for i in ids], "doc_id long"), parts).collect()}
     assert got == {i: ids[k - 1] for k, i in enumerate(ids)}
 
 
+def test_sketches_merge_and_contain(spark):
+    rng = random.Random(5)
+    w = [words(rng, 300, 10_000) for _ in range(3)]
+    rows = [(1, " ".join(w[0])), (2, " ".join(w[1])), (3, " ".join(w[0] + w[1])), (4, " ".join(w[2])), (5, "")]
+    got = {r.doc_id: r.sketch for r in fingerprint.fingerprints(frame(spark, rows)).collect()}
+    sketches = spark.createDataFrame(list(got.items()), "doc_id long, sketch array<long>")
+    assert sketches.where("doc_id < 3").agg(fingerprint.merge("sketch").alias("m")).first().m == sorted({*got[1], *got[2]})
+    both = sketches.alias("a").join(sketches.alias("b"), F.lit(True)).select("a.doc_id", F.col("b.doc_id").alias("other"), fingerprint.containment(F.col("a.sketch"), F.col("b.sketch")).alias("c"))
+    share = {(r.doc_id, r.other): r.c for r in both.collect()}
+    assert share[1, 3] == share[2, 3] == 1.0 and share[4, 3] == 0.0 and share[5, 3] is None
+    assert share[3, 1] == pytest.approx(len(set(got[3]) & set(got[1])) / len(got[3]))
+
+
 def without_repeated_lines(rows):
     first, gone = {}, collections.defaultdict(set)
     for i, t in sorted(rows):
