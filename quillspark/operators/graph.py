@@ -70,7 +70,7 @@ def unreachable(objects: DataFrame, edges: DataFrame, roots: DataFrame) -> DataF
 def expression_values(nodes: DataFrame, levels: int = 16) -> DataFrame:
     """Truth values of And, Or and Not trees: nodes (id, parent, place, op, value); leaves have a value and no op. Returns (id, value) of all roots.
 
-    Not takes its first operand. Null, which leaves the decision to a policy: an unknown op, an inner node without operands, an invalid operand, more
+    Not takes its first operand, of several at one place a false one. Null, which leaves the decision to a policy: an unknown op, an inner node without operands, an invalid operand, more
     than so many levels.
     """
     known = durable(nodes.where("op IS NULL").select("id", "parent", "place", F.coalesce("value", F.lit(True)).alias("value")))
@@ -78,7 +78,7 @@ def expression_values(nodes: DataFrame, levels: int = 16) -> DataFrame:
     children = nodes.where("parent IS NOT NULL").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("_n"))
     for _ in range(levels):
         operands = known.where("parent IS NOT NULL").groupBy(F.col("parent").alias("id")).agg(
-            F.count("*").alias("_m"), F.bool_and("value").alias("_all"), F.bool_or("value").alias("_any"), F.min_by("value", "place").alias("_first"), F.count_if(F.col("value").isNull()).alias("_bad")
+            F.count("*").alias("_m"), F.bool_and("value").alias("_all"), F.bool_or("value").alias("_any"), F.min_by("value", F.struct("place", "value")).alias("_first"), F.count_if(F.col("value").isNull()).alias("_bad")
         )
         value = F.when(F.col("_bad") == 0, F.when(F.col("op") == "And", F.col("_all")).when(F.col("op") == "Or", F.col("_any")).when(F.col("op") == "Not", ~F.col("_first")))
         ready = asked.join(operands, "id").join(children, "id").where("_m = _n").select("id", "parent", "place", value.alias("value"))

@@ -405,7 +405,8 @@ SELECT o_custkey AS id, CASE WHEN bool_or(bad) THEN NULL ELSE bool_or(value) END
 def boolean_visibility(spark, sf_dir):
     items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     none = F.lit(None).cast("boolean")
-    leaves = items.select((F.col("l_orderkey") * 10 + F.col("l_linenumber") + 10**12).alias("id"), (F.col("l_orderkey") + 10**9).alias("parent"), F.col("l_linenumber").cast("long").alias("place"), F.lit(None).cast("string").alias("op"), (F.col("l_returnflag") != "R").alias("value"))
+    place = F.col("l_linenumber") * F.lit(1 << 40) + F.col("_metadata.row_index")  # line numbers repeat within an order: then the row that comes first in the file
+    leaves = items.select((F.col("l_orderkey") * 10 + F.col("l_linenumber") + 10**12).alias("id"), (F.col("l_orderkey") + 10**9).alias("parent"), place.alias("place"), F.lit(None).cast("string").alias("op"), (F.col("l_returnflag") != "R").alias("value"))
     kind = F.col("o_orderkey") % 4
     some = orders.join(items.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi")
     op = F.when(kind == 0, "And").when(kind == 1, "Or").when(kind == 2, "Not").otherwise("Xor")
