@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import fingerprint, line_dedup, ngram_join, packing, pieces, quality, sharding, spelling, substring_index, suffix_dedup, topk
+from quillspark.llm import fingerprint, lexical, line_dedup, ngram_join, packing, pieces, quality, secrets, sharding, spelling, substring_index, suffix_dedup, topk
 from quillspark.session import ship
 from quillspark.sources import table
 
@@ -72,6 +72,16 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(documents(spark, sf_dir))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents that rank highest for each benchmark item."""
+    return lexical.ranked_search(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of each document: what the patterns find, and what a random field fitted to that adds; not the secrets themselves."""
+    return secrets.scan_secrets(documents(spark, sf_dir)).drop("secrets")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_classifier": op2_quality_classifier,
@@ -84,6 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 ORACLE: dict[str, str] = {
@@ -124,6 +136,26 @@ p AS (
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
+    "op12_ranked_search": r"""
+WITH t AS (
+  SELECT doc_id, row_number() OVER () AS row, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+s AS (SELECT count(*) AS n_docs, sum(len(w)) AS n_terms FROM t WHERE len(w) > 0),
+i AS (
+  SELECT item_id, item, term, count(*) AS times
+  FROM (SELECT item_id, text AS item, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE item_id IS NOT NULL))
+  GROUP BY ALL),
+p AS (
+  SELECT doc_id, row, n, term, count(*) AS tf FROM (SELECT doc_id, row, len(w) AS n, unnest(w) AS term FROM t)
+  WHERE term IN (SELECT term FROM i) GROUP BY ALL),
+d AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+w AS (SELECT item_id, item, term, times * CAST(floor(1000 * ln((2.0 * n_docs + 2) / (2.0 * df + 1))) AS BIGINT) AS w FROM i JOIN d USING (term), s),
+r AS (
+  SELECT item_id, item, doc_id, row, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM w JOIN p USING (term), s GROUP BY ALL),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id, item ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10""",
     "op6_line_dedup": """
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n
