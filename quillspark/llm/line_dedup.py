@@ -19,10 +19,11 @@ LINES = 3
 
 
 def line_windows(docs: DataFrame, lines: int = LINES) -> DataFrame:
-    """(doc_id, at, place, mark, key_a, key_b): windows of lines, where their fingerprint stands, its hash, and the hash of all their lines."""
-    df = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.split("text", "\n").alias("_lines"))
+    """(doc_id, copy, at, place, mark, key_a, key_b): windows of lines of a text (copy: its digest), where their fingerprint stands, its hash, and the hash of all their lines."""
+    df = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("copy"), F.split("text", "\n").alias("_lines"))
     df = df.select(
         "doc_id",
+        "copy",
         F.transform("_lines", lambda x: F.xxhash64(x)).alias("_h"),
         F.transform("_lines", lambda x: F.xxhash64(x, F.lit(1))).alias("_g"),
     ).where(F.size("_h") >= lines)
@@ -36,20 +37,20 @@ def line_windows(docs: DataFrame, lines: int = LINES) -> DataFrame:
             F.xxhash64(F.slice("_g", i + 1, lines)).alias("key_b"),
         ),
     )
-    return df.select("doc_id", F.explode(windows).alias("w")).select("doc_id", "w.at", (F.col("w.at") + F.col("w.step") - 1).alias("place"), "w.mark", "w.key_a", "w.key_b")
+    return df.select("doc_id", "copy", F.explode(windows).alias("w")).select("doc_id", "copy", "w.at", (F.col("w.at") + F.col("w.step") - 1).alias("place"), "w.mark", "w.key_a", "w.key_b")
 
 
 def repeated_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
-    """(doc_id, deleted): the numbers, from 0, of the lines of later repeated runs, sorted; only documents that have any."""
+    """(doc_id, copy, deleted): the numbers, from 0, of the lines of later repeated runs, sorted; only documents that have any."""
     windows = line_windows(docs, lines)
-    place = F.struct("doc_id", "place")
+    place = F.struct("doc_id", "copy", "place")
     marks = windows.groupBy("mark").agg(F.min(place).alias("_a"), F.max(place).alias("_b")).where("_a != _b").select("mark")
-    near = windows.join(marks, "mark").select("doc_id", "at", "key_a", "key_b")
-    at = F.struct("doc_id", "at")
+    near = windows.join(marks, "mark").select("doc_id", "copy", "at", "key_a", "key_b")
+    at = F.struct("doc_id", "copy", "at")
     first = near.groupBy("key_a", "key_b").agg(F.min(at).alias("first"), F.max(at).alias("_last")).where("first != _last").select("key_a", "key_b", "first")
     later = near.join(first, ["key_a", "key_b"]).where(at > F.col("first"))
     covered = F.array_sort(F.array_distinct(F.flatten(F.transform(F.collect_set("at"), lambda i: F.sequence(i, i + (lines - 1))))))
-    return later.groupBy("doc_id").agg(covered.alias("deleted"))
+    return later.groupBy("doc_id", "copy").agg(covered.alias("deleted"))
 
 
 def dedup_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
@@ -61,16 +62,17 @@ def dedup_lines(docs: DataFrame, lines: int = LINES) -> DataFrame:
 
     docs needs doc_id and text; all other columns pass through, whatever their names. A null text
     stays null and has no lines; an empty text has one. Rows without doc_id pass unchanged. Rows that share a doc_id
-    count as one place each and lose the same line numbers. An empty table gives an empty result.
+    are told apart by their texts (in the order of their digests); equal rows count once and lose the same lines. An empty table gives an empty result.
     """
     return without_lines(docs, repeated_lines(docs, lines))
 
 
 def without_lines(docs: DataFrame, deleted: DataFrame) -> DataFrame:
-    """docs without the lines whose numbers deleted (doc_id, deleted: sorted) has; adds n_lines, n_deleted and n_runs."""
-    doc_id, numbers, lines = unused(docs, "of", "deleted", "lines")
+    """docs without the lines whose numbers deleted (doc_id, copy, deleted: sorted) has; adds n_lines, n_deleted and n_runs."""
+    doc_id, copy, numbers, lines = unused(docs, "of", "copy_of", "deleted", "lines")
     gone, text = F.col(numbers), F.col("text")
-    out = docs.join(deleted.select(F.col("doc_id").alias(doc_id), F.col("deleted").alias(numbers)), F.col("doc_id") == F.col(doc_id), "left")
+    found = deleted.select(F.col("doc_id").alias(doc_id), F.col("copy").alias(copy), F.col("deleted").alias(numbers))
+    out = docs.join(found, (F.col("doc_id") == F.col(doc_id)) & (F.xxhash64("text") == F.col(copy)), "left")
     out = out.withColumn(lines, F.when(gone.isNotNull(), F.split(text, "\n")))
     stays = F.array_except(F.sequence(F.lit(0), F.size(F.col(lines)) - 1), gone)
     new = {

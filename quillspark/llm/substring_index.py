@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import windows
 from quillspark.llm.text import documents_of, word_hashes
-from quillspark.session import durable
+from quillspark.session import durable, remove, shared_folder
 
 WINDOW, GRAM = 50, 8
 FANOUT = 2
 
 
 class FingerprintIndex:
-    """Runs of historical fingerprints, as tables of the session's catalogue."""
+    """Runs of historical fingerprints, as tables of the session's catalogue; their files are in the shared folder."""
 
     def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None, runs: list[tuple[int, str]] | None = None) -> None:
         """runs: (level, table) of an index that earlier batches have left; name begins the names of new tables.
@@ -38,15 +38,22 @@ class FingerprintIndex:
         """
         self.spark, self.buckets = spark, buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = name or f"runs_{uuid.uuid4().hex}"
+        self.folder = shared_folder(spark, "runs")
         self.runs = list(runs or [])
         self.made = len(self.runs)
 
     def _write(self, run: DataFrame, level: int) -> tuple[int, str]:
         table = f"{self.name}_{level}_{self.made}"
         self.made += 1
-        run.write.bucketBy(self.buckets, "hash").sortBy("hash").format("parquet").saveAsTable(table)
+        run.write.bucketBy(self.buckets, "hash").sortBy("hash").format("parquet").option("path", f"{self.folder}/{table}").saveAsTable(table)
         return level, table
 
+    def _drop(self, table: str) -> None:
+        where = self.spark.sql(f"DESCRIBE TABLE EXTENDED {table}").where("col_name = 'Location'").first()
+        self.spark.sql(f"DROP TABLE {table}")
+        if where:
+            remove(self.spark, where["data_type"])
+
     def add(self, batch: DataFrame) -> DataFrame:
         """Merge-join a batch of (hash, copy) with all runs, then make it a run.
 
@@ -73,12 +80,14 @@ class FingerprintIndex:
             merged = merged.groupBy("hash").agg(F.min("low").alias("low"), F.max("high").alias("high"))
             self.runs = [r for r in self.runs if r[1] not in full] + [self._write(merged, level + 1)]
             for t in full:
-                self.spark.sql(f"DROP TABLE {t}")
+                self._drop(t)
             level += 1
 
     def drop(self) -> None:
+        """Drop all runs and their files."""
         for _, t in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+            if self.spark.catalog.tableExists(t):
+                self._drop(t)
         self.runs = []
 
 
@@ -103,7 +112,7 @@ def fingerprints(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
 
 
 def _windows_near(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(key, doc_id, at) of every window whose fingerprint is in its row's hits."""
+    """(key, doc_id, copy, at) of every window whose fingerprint is in its row's hits; docs has doc_id, copy, hits and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,28 +121,28 @@ def _windows_near(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 rolling = windows.Rolling(words)
                 grams = rolling.grams(gram)
                 doc, place, first, last = windows.anchors(grams, starts, window, gram)
-                hits = np.unique(np.concatenate([np.array(r[1], np.int64) for r in rows]))
+                hits = np.unique(np.concatenate([np.array(r[2], np.int64) for r in rows]))
                 near = np.isin(grams[place].view(np.int64), hits)
                 at, which = windows.ranges(first[near], last[near])
                 doc = doc[near][which]
-                ids = np.array([r[0] for r in rows], np.int64)
+                ids, copies = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
                 keys = rolling.at(at, window).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[doc]), pa.array((at - starts[doc]).astype(np.int32))], names=["key", "doc_id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(ids[doc]), pa.array(copies[doc]), pa.array((at - starts[doc]).astype(np.int32))], names=["key", "doc_id", "copy", "at"])
 
-    return docs.mapInArrow(run, "key long, doc_id long, at int")
+    return docs.mapInArrow(run, "key long, doc_id long, copy long, at int")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 3) -> DataFrame:
-    """(doc_id, starts, whole): where windows begin that also begin in a document with a smaller doc_id.
+    """(doc_id, copy, starts, whole): where windows begin that also begin in a document with a smaller doc_id; copy is the digest of the text.
 
-    docs has doc_id (long, not null) and text (not null). A text that a document with a smaller doc_id has too isn't
+    docs has doc_id (long, not null), copy and text (not null). A text that a document with a smaller doc_id has too isn't
     looked at: whole is true. Of all documents with one text, the one with the smallest doc_id stands for it.
     """
     spark = docs.sparkSession
-    copies = durable(docs.select("doc_id", F.xxhash64("text").alias("copy"), F.xxhash64("text", F.lit(1)).alias("check")))
+    copies = durable(docs.select("doc_id", "copy", F.xxhash64("text", F.lit(1)).alias("check")))
     first = copies.groupBy("copy", "check").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("_last"))
-    again = copies.join(first.where("first != _last"), ["copy", "check"]).where("doc_id != first").select("doc_id").distinct()
-    prints = fingerprints(docs.withColumn("copy", F.xxhash64("text")), window, gram).persist(StorageLevel.MEMORY_AND_DISK)
+    again = copies.join(first.where("first != _last"), ["copy", "check"]).where("doc_id != first").select("doc_id", "copy").distinct()
+    prints = fingerprints(docs, window, gram).persist(StorageLevel.MEMORY_AND_DISK)
     low, high = copies.agg(F.min("doc_id"), F.max("doc_id")).first()
     low, high = low or 0, high or 0
     cuts = [low + (high + 1 - low) * i // batches for i in range(batches + 1)]
@@ -145,15 +154,15 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ba
     finally:
         index.drop()  # hits are durable
     near = prints.join(hits.distinct(), "hash").groupBy("copy").agg(F.collect_set("hash").alias("hits"))  # of one text
-    near = near.join(first.groupBy("copy").agg(F.min("first").alias("doc_id")), "copy").select("doc_id", "hits")
+    near = near.join(first.groupBy("copy").agg(F.min("first").alias("doc_id")), "copy").select("doc_id", "copy", "hits")
     near = durable(near)
     prints.unpersist()
     # both uses of docs, here and where the result is joined to it, read one exchange
-    rows = _windows_near(docs.join(near, "doc_id").select("doc_id", "hits", "text"), window, gram)
+    rows = _windows_near(docs.join(near, ["doc_id", "copy"]).select("doc_id", "copy", "hits", "text"), window, gram)
     least = rows.groupBy("key").agg(F.min("doc_id").alias("_first"), F.max("doc_id").alias("_last")).where("_first != _last").drop("_last")
-    later = rows.join(least, "key").where("doc_id > _first").select("doc_id", "at")
-    found = later.unionAll(again.select("doc_id", F.lit(-1).alias("at")))
-    return found.groupBy("doc_id").agg(F.collect_list(F.when(F.col("at") >= 0, F.col("at"))).alias("starts"), F.bool_or(F.col("at") < 0).alias("whole"))  # windows of one document
+    later = rows.join(least, "key").where("doc_id > _first").select("doc_id", "copy", "at")
+    found = later.unionAll(again.select("doc_id", "copy", F.lit(-1).alias("at")))
+    return found.groupBy("doc_id", "copy").agg(F.collect_list(F.when(F.col("at") >= 0, F.col("at"))).alias("starts"), F.bool_or(F.col("at") < 0).alias("whole"))  # windows of one document
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 3, with_text: bool = False) -> DataFrame:
@@ -165,10 +174,10 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ba
     docs needs doc_id (integer) and text; other columns are ignored. Returns doc_id, n_words, n_removed,
     kept_sha256 (of the kept words joined by one space) and, with_text, kept (those words). Null
     and empty texts have no words. Rows without doc_id take no part. Rows that share a doc_id aren't
-    compared with each other, and each loses the places that were found for any of them. Empty
-    tables give empty results.
+    compared with each other; each loses what was found for its own text. Empty tables give empty results.
     """
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.select("doc_id", F.xxhash64("text").alias("copy"), "text")
     starts = repeated_windows(texts, window, gram, batches)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,5 +201,5 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, ba
                     arrays, names = [*arrays, pa.array(c[4])], [*names, "kept"]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    joined = texts.join(starts, "doc_id", "left").select("doc_id", "starts", "whole", "text")
+    joined = texts.join(starts, ["doc_id", "copy"], "left").select("doc_id", "starts", "whole", "text")
     return joined.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text)
