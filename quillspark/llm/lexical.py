@@ -197,7 +197,9 @@ def clustered_index(index: DataFrame, path: str, sample: int = SAMPLE) -> DataFr
     The upper levels are fitted to the `sample` documents with the smallest hashes; every document with a term is in one shard.
     """
     held = index.where("size(terms) > 0")
-    some = held.select(F.slice("terms", 1, SAMPLE_TERMS).alias("terms"), F.xxhash64("doc_id", "terms").alias("_h")).orderBy("_h", "terms").limit(sample).collect()
+    # each task hands over its share of the smallest hashes, not as many as the sample
+    low = min(2**63 - 1, int(-(2**63) + 2**64 * min(1.0, 1.5 * sample / max(1, held.count()))))
+    some = held.select(F.slice("terms", 1, SAMPLE_TERMS).alias("terms"), F.xxhash64("doc_id", "terms").alias("_h")).where(F.col("_h") <= low).orderBy("_h", "terms").limit(sample).collect()
     leaved = durable(_with_leaves(held.select("doc_id", "m", "terms", "tfs"), Tree([np.array(r["terms"], np.int64) for r in some])))
     sizes = leaved.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(F.size("terms")).alias("p")).collect()  # a row a leaf
     bundles, before = {}, 0

@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -350,9 +350,16 @@ def windows(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, looked_at: int = LOOKED_AT, most: int = WINDOWS) -> Field | None:
     """The field, fitted to at most `most` windows with a secret and as many without, from about looked_at documents with the smallest hashes; None where no secret is found."""
     rows = docs.where("length(text) > 0").select(F.xxhash64("text").alias("order"), "text")
+
+    def smallest(part: float) -> Column:
+        return F.col("order") <= min(2**63 - 1, int(-(2**63) + part * 2**64))
+
     part = min(1.0, looked_at / max(1, rows.count()))
-    found = durable(windows(rows.where(F.col("order") <= min(2**63 - 1, int(-(2**63) + part * 2**64)))))
-    some = [r for kind in (True, False) for r in found.where(F.col("found") == kind).orderBy("order", "at", "tags").limit(most).collect()]
+    found, some = durable(windows(rows.where(smallest(part)))), []
+    for kind in (True, False):
+        all_ = found.where(F.col("found") == kind)
+        # each task hands over its share of the smallest hashes, not as many as the sample
+        some += all_.where(smallest(part * min(1.0, 1.5 * most / max(1, all_.count())))).orderBy("order", "at", "tags").limit(most).collect()
     if not any(r["found"] for r in some):
         return None
     x, tags = np.full((len(some), WIDTH, len(SIZES)), -1), np.zeros((len(some), WIDTH), np.int64)
