@@ -2,32 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import scalars
 from quillspark.operators import graph, groups, lookups, pages, rules, search
+from quillspark.plans.register import ORACLE, QUERIES, query  # noqa: F401
 from quillspark.sources import table
 from quillspark.streaming import events as event_windows
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    """Register a query under its function's name, with its SQL."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return register
-
-
 # Search ------------------------------------------------------------------------------------------------------------
 
 LINES_SQL = """

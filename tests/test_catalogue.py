@@ -6,7 +6,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from quillspark.plans import catalogue
+from quillspark.plans import catalogue, structure  # noqa: F401  both register queries
 
 DATA = "/root/testdata/sf0.001"
 
