@@ -115,12 +115,13 @@ def _passes(props: Column, path: str, test: str, argument: str | None) -> Column
         found = F.coalesce(F.try_variant_get(props, path, "long"), F.lit(0)).bitwiseAND(F.lit(mask))
         return found == (mask if test == "bits_on" else 0)
     number = F.regexp_extract(F.trim(text), r"^[+-]?\d+(\.\d+)?", 0).try_cast("double")
+    yes = F.coalesce((F.schema_of_variant(there) == "BOOLEAN") & F.try_variant_get(props, path, "boolean"), F.lit(False))  # numbers and texts aren't true
     bound = float(argument or 0) if test.startswith("at_") else 0.0
     tests = {
         "present": ~missing,
         "absent": missing,
-        "true": F.coalesce(F.try_variant_get(props, path, "boolean"), F.lit(False)),
-        "not_true": ~F.coalesce(F.try_variant_get(props, path, "boolean"), F.lit(False)),
+        "true": yes,
+        "not_true": ~yes,
         "nonempty": F.coalesce(text != "", F.lit(False)),
         "not_object": missing | ~F.coalesce(F.schema_of_variant(there).startswith("OBJECT"), F.lit(False)),
         "at_most": F.coalesce(number <= bound + 1e-9, F.lit(True)),

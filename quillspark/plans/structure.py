@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillspark.operators import codes, graph, intervals, layout, tree, variants
+from quillspark.operators import codes, edits, graph, intervals, layout, matrices, rulebook, tree, variants
 from quillspark.plans.register import query
-from quillspark.sources import table
+from quillspark.session import durable, remove, shared_folder
+from quillspark.sources import sinks, table
+from quillspark.streaming import upsert
 
 # Trees ------------------------------------------------------------------------------------------------------------
 
@@ -269,3 +272,123 @@ SELECT doc_id, len(list_filter(regexp_split_to_array(substr(text, CAST(n_chars *
 def unsigned_tails(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", intervals.meaningful_tail(F.col("text"), F.expr("n_chars * 9 div 10")).alias("changed_after"))
+
+
+# Edits, rules, chains, sinks --------------------------------------------------------------------------------------------
+
+EDITS_SQL = """
+WITH RECURSIVE b AS (SELECT user_id AS doc, list(event_id ORDER BY event_id) AS items FROM events WHERE event_id % 3 = 0 GROUP BY user_id),
+s AS (
+  SELECT user_id AS doc, event_id AS item, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, event_id % 7 AS at, event_id % 5 AS dest,
+    CASE event_id % 4 WHEN 0 THEN 'insert' WHEN 1 THEN 'move' WHEN 2 THEN 'delete' ELSE 'insert' END AS op FROM events WHERE event_id % 3 <> 0),
+d AS (SELECT DISTINCT user_id AS doc FROM events),
+f AS (
+  SELECT d.doc, 0 AS k, coalesce(b.items, []) AS items, CAST([] AS BIGINT[]) AS refused FROM d LEFT JOIN b ON b.doc = d.doc
+  UNION ALL
+  SELECT f.doc, s.k,
+    CASE WHEN s.op = 'insert' THEN f.items[1:least(len(f.items), s.at)] || [s.item] || f.items[least(len(f.items), s.at) + 1:]
+      WHEN s.op = 'delete' AND s.at < len(f.items) THEN f.items[1:s.at] || f.items[s.at + 2:]
+      WHEN s.op = 'move' AND s.at < len(f.items) AND s.dest < len(f.items)
+        THEN (f.items[1:s.at] || f.items[s.at + 2:])[1:s.dest] || [f.items[s.at + 1]] || (f.items[1:s.at] || f.items[s.at + 2:])[s.dest + 1:]
+      ELSE f.items END,
+    CASE WHEN s.op <> 'insert' AND (s.at >= len(f.items) OR s.op = 'move' AND s.dest >= len(f.items)) THEN f.refused || [s.item] ELSE f.refused END
+  FROM f JOIN s ON s.doc = f.doc AND s.k = f.k + 1),
+e AS (SELECT doc, arg_max(items, k) AS items, arg_max(refused, k) AS refused FROM f GROUP BY doc)
+"""
+
+
+def _event_edits(spark, sf_dir):
+    events, key = table(spark, sf_dir, "events"), F.col("event_id")
+    w = Window.partitionBy("doc").orderBy("event_id")
+    base = events.where(key % 3 == 0).select(F.col("user_id").alias("doc"), "event_id").select("doc", (F.row_number().over(w) - 1).alias("position"), F.col("event_id").alias("item"))
+    op = F.when(key % 4 == 1, "move").when(key % 4 == 2, "delete").otherwise("insert")
+    return base, events.where(key % 3 != 0).select(F.col("user_id").alias("doc"), key.alias("seq"), op.alias("op"), (key % 7).alias("at"), (key % 5).alias("to"), key.alias("item"))
+
+
+@query(EDITS_SQL + """SELECT doc, CAST(generate_subscripts(items, 1) - 1 AS BIGINT) AS position, unnest(items) AS item FROM e""")
+def replayed_edits(spark, sf_dir):
+    return edits.replay(*_event_edits(spark, sf_dir), ["doc"])
+
+
+@query(EDITS_SQL + """SELECT doc, unnest(refused) AS seq FROM e""")
+def refused_edits(spark, sf_dir):
+    return edits.refused_edits(*_event_edits(spark, sf_dir), ["doc"])
+
+
+@query("""
+WITH f AS (
+  SELECT o_orderkey AS id, o_orderkey % 5 AS k, CASE o_custkey % 3 WHEN 0 THEN '1b' WHEN 1 THEN '2a' ELSE 'ua' END AS p, o_custkey % 64 AS bits, (o_orderkey // 7) % 6 AS v, substr(o_orderpriority, 3) AS w FROM orders),
+r AS (
+  SELECT id, unnest(list_filter([
+    CASE WHEN k = 0 AND p = '1b' AND v > 4 THEN 'version-1.4' END,
+    CASE WHEN k = 1 AND p <> 'ua' AND v = 1 THEN 'annotation-kind' END,
+    CASE WHEN k = 1 AND p <> 'ua' AND v <> 3 AND bits & 4 = 0 THEN 'annotation-print' END,
+    CASE WHEN k = 1 AND p <> 'ua' AND v <> 3 AND bits & 35 <> 0 THEN 'annotation-hidden' END,
+    CASE WHEN k = 1 AND p <> 'ua' AND v NOT IN (3, 0) THEN 'annotation-appearance' END,
+    CASE WHEN k = 1 AND p = 'ua' AND bits & 34 = 0 THEN 'ua-annotation-structure' END,
+    CASE WHEN k = 1 AND p = 'ua' AND v = 0 THEN 'ua-annotation-text' END,
+    CASE WHEN k = 2 AND p = '1b' AND v > 2 THEN 'state-blend' END,
+    CASE WHEN k = 2 AND p = '1b' AND bits < 10 THEN 'state-fill-alpha' END,
+    CASE WHEN k = 3 AND p <> 'ua' AND v = 2 THEN 'catalog-actions' END,
+    CASE WHEN k = 3 AND p = '2a' AND v <> 5 THEN 'level-a-marked' END,
+    CASE WHEN k = 3 AND p = '2a' THEN 'level-a-tree' END, CASE WHEN k = 3 AND p = '2a' AND w <> 'LOW' THEN 'level-a-language' END,
+    CASE WHEN k = 3 AND p = 'ua' THEN 'ua-title-shown' END, CASE WHEN k = 3 AND p = 'ua' AND w = 'LOW' THEN 'ua-title' END,
+    CASE WHEN k = 4 AND p = 'ua' AND v <> 4 AND bits % 2 = 0 THEN 'font-embedded' END], lambda x: x IS NOT NULL)) AS rule FROM f)
+SELECT id, rule FROM r""")
+def conformance_findings(spark, sf_dir):
+    key, v = F.col("o_orderkey"), F.expr("o_orderkey div 7") % 6
+    bits, word = F.col("o_custkey") % 64, F.substring("o_orderpriority", 3, 100)
+    of = lambda *values: F.get(F.array(*[F.lit(x) for x in values]), v.cast("int"))
+    props = [
+        F.format_string('{"version": "1.%d"}', v),
+        F.format_string('{"Subtype": "%s", "F": %d%s}', of("Link", "Movie", "Stamp", "Popup", "Widget", "3d"), bits, of("", ', "Contents": "c"', ', "Contents": "c"', "", "", "")),
+        F.format_string('{"BM": [%s], "ca": %s}', of('"Normal"', "", '"Compatible"', '"Multiply"', '"Normal", "Darken"', "null"), F.when(bits < 10, "0.5").otherwise("1")),
+        F.format_string('{"MarkInfo": {"Marked": %s}%s, %s}', of("false", "null", "false", "1", '"x"', "true"), F.when(v == 2, F.lit(', "AA": {}')).otherwise(""), F.when(word == "LOW", F.lit('"Lang": "en"')).otherwise(F.lit('"Title": "t"'))),
+        F.format_string('{"Subtype": "%s", "FontDescriptor": {"FontFile%s": 1}}', of("TrueType", "Type1", "Type0", "CID", "Type3", ""), F.when(bits % 2 == 0, "9").otherwise("3")),
+    ]
+    scope = F.get(F.array(*[F.lit(s) for s in ("header", "annotation", "gstate", "catalog", "font")]), (key % 5).cast("int"))
+    profile = F.get(F.array(F.lit("1b"), F.lit("2a"), F.lit("ua")), (F.col("o_custkey") % 3).cast("int"))
+    facts = table(spark, sf_dir, "orders").select(key.alias("id"), profile.alias("profile"), scope.alias("scope"), variants.parsed(F.get(F.array(*props), (key % 5).cast("int"))).alias("props"))
+    return rulebook.rule_findings(facts, ["id"]).select("id", "rule")
+
+
+@query("""
+WITH RECURSIVE n AS (
+  SELECT l_orderkey AS g, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS i, CAST(1 + l_linenumber % 2 AS HUGEINT) AS a, CAST(l_partkey % 3 AS HUGEINT) AS b, CAST(l_suppkey % 2 AS HUGEINT) AS c, CAST(1 AS HUGEINT) AS d,
+    CAST(l_quantity AS HUGEINT) AS e, CAST(l_linenumber AS HUGEINT) AS f FROM lineitem),
+p AS (
+  SELECT * FROM n WHERE i = 1
+  UNION ALL SELECT n.g, n.i, p.a * n.a + p.c * n.b, p.b * n.a + p.d * n.b, p.a * n.c + p.c * n.d, p.b * n.c + p.d * n.d, p.a * n.e + p.c * n.f + p.e, p.b * n.e + p.d * n.f + p.f FROM p JOIN n ON n.g = p.g AND n.i = p.i + 1)
+SELECT g, max(i) AS n, CAST(arg_max(a, i) AS VARCHAR) AS a, CAST(arg_max(d, i) AS VARCHAR) AS d, CAST(arg_max(e, i) AS VARCHAR) AS e, CAST(arg_max(f, i) AS VARCHAR) AS f FROM p GROUP BY g""")
+def matrix_chains(spark, sf_dir):
+    line, one = F.col("l_linenumber"), F.lit(1)
+    entries = [(1 + line % 2), F.col("l_partkey") % 3, F.col("l_suppkey") % 2, one, F.col("l_quantity").cast("long"), line]
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("g"), "l_linenumber", "l_partkey", "l_extendedprice", *[e.cast("long").alias(n) for e, n in zip(entries, "abcdef", strict=True)])
+    chained = matrices.chain_products(rows, ["g"], ["l_linenumber", "l_partkey", "l_extendedprice"], list("abcdef"))
+    last = chained.groupBy("g").agg(F.count("*").alias("n"), F.max_by("product", F.struct("l_linenumber", "l_partkey", "l_extendedprice")).alias("p"))
+    return last.select("g", "n", *[F.get("p", F.lit(i)).alias(c) for i, c in ((0, "a"), (3, "d"), (4, "e"), (5, "f"))])
+
+
+@query("""SELECT conv_id AS doc, turn AS page_index, count(*) AS n_rows FROM conversations GROUP BY ALL""")
+def split_outputs(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc"), F.col("turn").alias("page_index"), "role", "text")
+    folder = shared_folder(spark, "split")
+    try:
+        return durable(sinks.split_pages(turns, folder, "doc").select("doc", "page_index", "n_rows"))
+    finally:
+        remove(spark, folder)
+
+
+@query("""SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id""")
+def streamed_snapshot(spark, sf_dir):
+    """The events as a stream of revisions, merged batch by batch into a snapshot by user."""
+    folder = shared_folder(spark, "snapshot")
+    source = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
+    try:
+        source.repartition(4).write.parquet(f"{folder}/in")
+        stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        snapshot = upsert.Snapshot(spark, f"{folder}/out", ["user_id"], ["event_id"], buckets=8)
+        snapshot.follow(stream, f"{folder}/checkpoint").awaitTermination()
+        return durable(snapshot.read())
+    finally:
+        remove(spark, folder)
