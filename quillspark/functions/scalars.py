@@ -7,13 +7,71 @@ from pyspark.sql import functions as F
 
 
 def escape_literal(c: Column) -> Column:
-    """Backslashes and parentheses with a backslash in front; line feed, return and tab as escapes."""
+    """Backslashes and parentheses with a backslash in front; line feed, return, tab, backspace and form feed as escapes."""
     c = F.regexp_replace(c, r"([\\()])", r"\\$1")
-    for char, escaped in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+    for char, escaped in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b"), ("\f", "\\f")):
         c = F.replace(c, F.lit(char), F.lit(escaped))
     return c
 
 
+def _latin_1(c: Column) -> Column:
+    """Bytes as text, each byte one character."""
+    return F.decode(c, "ISO-8859-1")
+
+
+def literal_operand(raw: Column) -> Column:
+    """Bytes as a literal string in parentheses: as escape_literal, and all other bytes but 0x20 to 0x7E as three octal digits."""
+    plain = escape_literal(_latin_1(raw))
+    # what is left outside of printable ASCII, each kind once: split keeps few pieces where bytes are mostly text
+    odd = F.regexp_extract_all(plain, F.lit(r"[^\x20-\x7E]"), F.lit(0))
+    pieces = F.split(plain, r"[^\x20-\x7E]")
+    octal = F.transform(odd, lambda x, i: F.concat(F.lit("\\"), F.lpad(F.conv(F.ascii(x).cast("string"), 10, 8), 3, "0"), F.get(pieces, i + 1)))
+    return F.concat(F.lit("("), F.get(pieces, F.lit(0)), F.array_join(octal, ""), F.lit(")"))
+
+
+def decode_operand(raw: Column) -> Column:
+    """Bytes as text: UTF-16BE after the mark FE FF, else each byte one character."""
+    rest = F.substring(raw, 3, 1 << 30)
+    return F.when(F.hex(F.substring(raw, 1, 2)) == "FEFF", F.decode(rest, "UTF-16BE")).otherwise(_latin_1(raw))
+
+
+def encode_operand(text: Column, utf16: Column) -> Column:
+    """Text as bytes: after the mark FE FF as UTF-16BE where utf16 holds, else one byte a character; null if a character is above U+00FF then."""
+    wide = F.concat(F.unhex(F.lit("FEFF")), F.encode(text, "UTF-16BE"))
+    return F.when(utf16, wide).when(~text.rlike(r"[^\x00-\xFF]"), F.encode(text, "ISO-8859-1"))
+
+
+def hex_literal(raw: Column) -> Column:
+    """Bytes as a hexadecimal string in angle brackets."""
+    return F.concat(F.lit("<"), F.hex(raw), F.lit(">"))
+
+
+def default_appearance(c: Column) -> Column:
+    """A struct (font, size, colour) of an appearance text like "/Helv 12 Tf 0 g": the operands of the last Tf and of the last g, rg or k; 0 and "0 g" where there are none.
+
+    An operator takes the operands since the operator before it; stroke and colour-space operators take theirs away.
+    """
+    number = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+    start = F.struct(F.array().cast("array<string>").alias("operands"), F.lit(None).cast("string").alias("font"), F.lit(0.0).alias("size"), F.lit("0 g").alias("colour"))
+
+    def step(acc: Column, t: Column) -> Column:
+        ops = acc["operands"]
+        n = F.size(ops)
+        name, size = F.get(ops, n - 2), F.get(ops, n - 1)
+        is_font = (t == "Tf") & (n >= 2)
+        font = F.when(is_font & name.startswith("/"), F.substring(name, 2, 1 << 30)).otherwise(acc["font"])
+        new_size = F.when(is_font & size.rlike(number), size.try_cast("double")).otherwise(acc["size"])
+        need = F.when(t == "g", 1).when(t == "rg", 3).when(t == "k", 4)
+        last = F.slice(ops, F.greatest(n - need + 1, F.lit(1)), need)
+        fine = need.isNotNull() & (n >= need) & F.forall(last, lambda x: x.rlike(number))
+        colour = F.when(fine, F.concat(F.array_join(last, " "), F.lit(" "), t)).otherwise(acc["colour"])
+        ends = t.isin("Tf", "g", "rg", "k", "G", "RG", "K", "cs", "CS", "sc", "scn")
+        return F.struct(F.when(ends, F.array().cast("array<string>")).otherwise(F.concat(ops, F.array(t))).alias("operands"), font.alias("font"), F.coalesce(new_size, F.lit(0.0)).alias("size"), F.coalesce(colour, acc["colour"]).alias("colour"))
+
+    tokens = F.filter(F.split(F.coalesce(c, F.lit("")), r"\s+"), lambda x: x != "")
+    return F.aggregate(tokens, start, step, lambda acc: F.struct(acc["font"].alias("font"), acc["size"].alias("size"), acc["colour"].alias("colour")))
+
+
 def without_subset_prefix(c: Column) -> Column:
     return F.regexp_replace(c, r"^[A-Z]{6}\+", "")
 
@@ -34,15 +92,41 @@ def iso_to_tagged_date(ts: Column) -> Column:
 
 
 def tagged_date_to_iso(c: Column) -> Column:
-    """D:YYYY[MM[DD[HHmmSS]]] with an optional Z or offset, to ISO; missing month and day are 01; else an empty string."""
-    form = r"^D:(\d{4})(\d{2})?(\d{2})?(?:(\d{2})(\d{2})(\d{2}))?(Z|[+-]\d{2}'\d{2})?$"
+    """[D:]YYYY[MM[DD[HH[mm[SS]]]]] with an optional Z or offset after a time, to ISO; else an empty string.
+
+    A missing month or day is 01, missing minutes and seconds are 00. Of an offset the first two pairs of digits count, however they are parted; what isn't an offset is left out.
+    """
+    form = r"(?s)^(?:[Dd]:)?(\d{4})(\d{2})?(\d{2})?(\d{2})?(\d{2})?(\d{2})?(.*)$"
+    c = F.trim(c)
     part = [F.regexp_extract(c, form, i) for i in range(8)]
-    day = F.concat_ws("-", part[1], F.when(part[2] == "", "01").otherwise(part[2]), F.when(part[3] == "", "01").otherwise(part[3]))
-    time = F.concat_ws(":", part[4], part[5], part[6])
-    zone = F.replace(part[7], F.lit("'"), F.lit(":"))
+    or_ = lambda x, default: F.when(x == "", default).otherwise(x)
+    day = F.concat_ws("-", part[1], or_(part[2], "01"), or_(part[3], "01"))
+    time = F.concat_ws(":", part[4], or_(part[5], "00"), or_(part[6], "00"))
+    rest = F.trim(part[7])
+    pairs = F.regexp_extract_all(rest, F.lit(r"\d{2}"), F.lit(0))
+    offset = F.concat(F.substring(rest, 1, 1), F.get(pairs, F.lit(0)), F.lit(":"), F.coalesce(F.get(pairs, F.lit(1)), F.lit("00")))
+    zone = F.when(rest.rlike("^[Zz]"), "Z").when(rest.rlike("^[+-]") & (F.size(pairs) > 0), offset).otherwise("")
     return F.when(part[0] == "", "").when(part[4] == "", day).otherwise(F.concat(day, F.lit("T"), time, zone))
 
 
+def iso_text_to_tagged(c: Column) -> Column:
+    """ISO text YYYY[-MM[-DD]][Thh:mm[:ss]][Z or offset] to D:YYYYMMDD[HHmmSS[Z or +HH'mm']]; else an empty string. What follows is left out."""
+    form = r"^(\d{4})(?:-(\d{2}))?(?:-(\d{2}))?(?:[T ](\d{2}):(\d{2})(?::(\d{2}))?)?([Zz]|[+-]\d{2}:?\d{2})?"
+    c = F.trim(c)
+    part = [F.regexp_extract(c, form, i) for i in range(8)]
+    or_ = lambda x, default: F.when(x == "", default).otherwise(x)
+    day = F.concat(F.lit("D:"), part[1], or_(part[2], "01"), or_(part[3], "01"))
+    digits = F.replace(part[7], F.lit(":"), F.lit(""))
+    zone = F.when(part[7] == "", "").when(F.upper(part[7]) == "Z", "Z").otherwise(F.concat(F.substring(digits, 1, 3), F.lit("'"), F.substring(digits, 4, 2), F.lit("'")))
+    return F.when(part[0] == "", "").when(part[4] == "", day).otherwise(F.concat(day, part[4], part[5], or_(part[6], "00"), zone))
+
+
+def date_of(c: Column) -> Column:
+    """A tagged date as a timestamp: offsets are taken off, a missing offset is UTC; null for what is no date."""
+    iso = tagged_date_to_iso(c)
+    return F.when(iso != "", F.try_to_timestamp(iso))
+
+
 def affine(x: Column, y: Column, m: tuple[float, float, float, float, float, float]) -> tuple[Column, Column]:
     a, b, c, d, e, f = m
     return a * x + c * y + e, b * x + d * y + f
@@ -202,11 +286,6 @@ def image_kind(data: Column) -> Column:
     )
 
 
-def same_json(a: Column, b: Column, schema: str) -> Column:
-    """Whether two JSON texts say the same under a schema, whatever the order of their keys and their white space."""
-    return F.to_json(F.from_json(a, schema)).eqNullSafe(F.to_json(F.from_json(b, schema)))
-
-
 def known_algorithm(c: Column, aliases: dict[str, str], known: list[str]) -> Column:
     """As algorithm_name; an unknown name is an error in the row's place: null."""
     name = algorithm_name(c, aliases)

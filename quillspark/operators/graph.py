@@ -67,25 +67,25 @@ def unreachable(objects: DataFrame, edges: DataFrame, roots: DataFrame) -> DataF
     return objects.join(seen, "id", "left_anti")
 
 
-def expression_values(nodes: DataFrame, levels: int = 16) -> DataFrame:
+def expression_values(nodes: DataFrame, levels: int = 17) -> DataFrame:
     """Truth values of And, Or and Not trees: nodes (id, parent, place, op, value); leaves have a value and no op. Returns (id, value) of all roots.
 
     Not takes its first operand, of several at one place a false one. Null, which leaves the decision to a policy: an unknown op, an inner node without operands, an invalid operand, more
-    than so many levels.
+    than so many nested operators. A round settles the operators whose operands are all known; only those that are still open go on.
     """
     known = durable(nodes.where("op IS NULL").select("id", "parent", "place", F.coalesce("value", F.lit(True)).alias("value")))
-    asked = nodes.where("op IS NOT NULL").select("id", "parent", "place", "op")
     children = nodes.where("parent IS NOT NULL").groupBy(F.col("parent").alias("id")).agg(F.count("*").alias("_n"))
+    open_ = durable(nodes.where("op IS NOT NULL").join(children, "id").select("id", "parent", "place", "op", "_n"))
     for _ in range(levels):
-        operands = known.where("parent IS NOT NULL").groupBy(F.col("parent").alias("id")).agg(
+        operands = known.join(open_.select(F.col("id").alias("parent")), "parent", "left_semi").groupBy(F.col("parent").alias("id")).agg(
             F.count("*").alias("_m"), F.bool_and("value").alias("_all"), F.bool_or("value").alias("_any"), F.min_by("value", F.struct("place", "value")).alias("_first"), F.count_if(F.col("value").isNull()).alias("_bad")
         )
         value = F.when(F.col("_bad") == 0, F.when(F.col("op") == "And", F.col("_all")).when(F.col("op") == "Or", F.col("_any")).when(F.col("op") == "Not", ~F.col("_first")))
-        ready = asked.join(operands, "id").join(children, "id").where("_m = _n").select("id", "parent", "place", value.alias("value"))
-        ready = durable(ready.join(known, "id", "left_anti"))
+        ready = durable(open_.join(operands, "id").where("_m = _n").select("id", "parent", "place", value.alias("value")))
         if not ready.limit(1).count():
             break
         known = known.unionAll(ready)
+        open_ = durable(open_.join(ready, "id", "left_anti"))
     return nodes.where("parent IS NULL").select("id").join(known.select("id", "value"), "id", "left")
 
 
@@ -98,3 +98,22 @@ def hops(edges: DataFrame, roots: DataFrame, max_hops: int) -> DataFrame:
         front = durable(reached.join(seen, "id", "left_anti").select("id", F.lit(hop).alias("hop")))
         seen = seen.unionAll(front)
     return seen
+
+
+def resolve_aliases(names: DataFrame, aliases: DataFrame) -> DataFrame:
+    """names (name) with target: aliases (name, target) followed to the last one; a name that is no alias is its own target.
+
+    A chain that comes back to a name it has met ends there, so a name on a cycle is its own target, and one above a cycle has the first name of the cycle that it meets.
+    """
+    links = aliases.groupBy("name").agg(F.min("target").alias("target"))
+    state = durable(links.select("name", F.col("target").alias("up"), F.array("name").alias("met")))
+    done, open_ = None, state
+    ends = links.select(F.col("name").alias("up"), "target")
+    while open_.limit(1).count():
+        moved = open_.join(ends, "up", "left")
+        stops = F.col("target").isNull() | F.array_contains("met", F.col("up"))
+        ended = moved.where(stops).select("name", F.col("up").alias("target"))
+        done = durable(ended if done is None else done.unionByName(ended))
+        open_ = durable(moved.where(~stops).select("name", F.col("target").alias("up"), F.concat("met", F.array("up")).alias("met")))
+    found = names if done is None else names.join(done, "name", "left")
+    return found.select(*names.columns, (F.col("name") if done is None else F.coalesce("target", "name")).alias("target"))

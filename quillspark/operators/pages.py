@@ -12,10 +12,26 @@ def renumber(df: DataFrame, document: list[str], *order: str | Column) -> DataFr
     return df.withColumn("page_index", (F.row_number().over(w) - 1).cast("long"))
 
 
-def slice_pages(df: DataFrame, start: int, stop: int, step: int = 1) -> DataFrame:
-    """Pages start, start + step, ... before stop, with their indexes as they were."""
+def slice_pages(df: DataFrame, start: int, stop: int, step: int = 1, document: list[str] | None = None) -> DataFrame:
+    """Pages start, start + step, ... before stop, with their indexes as they were. Negative bounds count from each document's end, for which document is needed."""
     i = F.col("page_index")
-    return df.where((i >= start) & (i < stop) & (F.pmod(i - start, F.lit(step)) == 0))
+    if step <= 0:
+        raise ValueError("step must be above 0")
+    if start >= 0 and stop >= 0:
+        return df.where((i >= start) & (i < stop) & (F.pmod(i - start, F.lit(step)) == 0))
+    if document is None:
+        raise ValueError("negative bounds need the columns that tell documents apart")
+    n = F.col("_n")
+    first, last = (F.lit(x) if x >= 0 else F.greatest(n + x, F.lit(0)) for x in (start, stop))
+    counted = df.withColumn("_n", F.count("*").over(Window.partitionBy(*document)))
+    return counted.where((i >= first) & (i < last) & (F.pmod(i - first, F.lit(step)) == 0)).drop("_n")
+
+
+def page_at(df: DataFrame, index: int, document: list[str]) -> DataFrame:
+    """The page at an index of each document, from its end if negative; documents that are too short have none."""
+    if index >= 0:
+        return df.where(F.col("page_index") == index)
+    return slice_pages(df, index, index + 1, 1, document) if index < -1 else df.withColumn("_n", F.max("page_index").over(Window.partitionBy(*document))).where("page_index = _n").drop("_n")
 
 
 def extract_range(df: DataFrame, document: list[str], first: int, last: int) -> DataFrame:
@@ -26,17 +42,27 @@ def extract_range(df: DataFrame, document: list[str], first: int, last: int) ->
     return sized.where((F.col("_n") >= last) & F.col("page_index").between(first - 1, last - 1)).drop("_n").withColumn("page_index", F.col("page_index") - (first - 1))
 
 
+def delete_at(df: DataFrame, document: list[str], index: int) -> DataFrame:
+    """Without the page at an index (from the end if negative) of each document, renumbered; documents that are too short stay as they are."""
+    at = page_at(df, index, document).select(*document, F.col("page_index").alias("_at"))
+    kept = df.join(at, document, "left").where("_at IS NULL OR page_index != _at").drop("_at")
+    return renumber(kept, document, "page_index")
+
+
 def delete_pages(df: DataFrame, document: list[str], numbers: list[int]) -> DataFrame:
     """Without the pages of these numbers (from 1; others are ignored), renumbered."""
     return renumber(df.where(~(F.col("page_index") + 1).isin(*numbers)), document, "page_index")
 
 
-def insert_pages(df: DataFrame, new: DataFrame, position: int, document: list[str]) -> DataFrame:
-    """Put each row of new (a page for each document, without index) at a position, which is clamped to the document's size."""
+def insert_pages(df: DataFrame, new: DataFrame, position: int, document: list[str], order: str | None = None) -> DataFrame:
+    """Put the rows of new (pages without index; in order, if there are several for a document) at a position, which is clamped to 0 and the document's size."""
     size = df.groupBy(*document).agg(F.count("*").alias("_n"))
-    placed = new.join(size, document, "left").withColumn("page_index", F.least(F.coalesce("_n", F.lit(0)), F.lit(position)).cast("long")).drop("_n")
-    at = placed.select(*document, F.col("page_index").alias("_at"))
-    moved = df.join(at, document, "left").withColumn("page_index", F.when(F.col("page_index") >= F.col("_at"), F.col("page_index") + 1).otherwise(F.col("page_index"))).drop("_at")
+    w = Window.partitionBy(*document).orderBy(order or F.lit(0))
+    at = F.greatest(F.lit(0), F.least(F.coalesce("_n", F.lit(0)), F.lit(position)))
+    placed = new.join(size, document, "left").withColumn("page_index", (at + F.row_number().over(w) - 1).cast("long")).drop("_n")
+    more = new.groupBy(*document).agg(F.count("*").alias("_more"))
+    clamped = max(position, 0)  # behind a shorter document's end nothing moves
+    moved = df.join(more, document, "left").withColumn("page_index", F.when(F.col("page_index") >= clamped, F.col("page_index") + F.coalesce("_more", F.lit(0))).otherwise(F.col("page_index")).cast("long")).drop("_more")
     return moved.unionByName(placed, allowMissingColumns=True)
 
 

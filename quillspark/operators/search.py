@@ -55,12 +55,16 @@ def line_fragments(df: DataFrame, keys: list[str], text: str = "text") -> DataFr
     return rows.select(*keys, F.col("n").cast("long").alias("line_no"), start.cast("long").alias("start"), txt.alias("txt")).where("txt != ''").withColumn("end", F.col("start") + F.length("txt"))
 
 
+def _literal(phrase: str, case_sensitive: bool) -> tuple[str, str]:
+    """(flag, pattern) of a phrase. Without case, letters of all scripts are folded one to one."""
+    return "" if case_sensitive else "(?iu)", re.sub(r"([^\w\s])", r"\\\1", phrase)
+
+
 def phrase_fragments(df: DataFrame, phrase: str, keys: list[str], text: str = "text", case_sensitive: bool = True) -> DataFrame:
     """Every occurrence of a phrase, overlapping ones too."""
     if not phrase:
         raise ValueError("the phrase is empty")
-    flag = "" if case_sensitive else "(?i)"
-    literal = re.sub(r"([^\w\s])", r"\\\1", phrase)
+    flag, literal = _literal(phrase, case_sensitive)
     hits = df.where(F.col(text).rlike(flag + literal))
     # cut before every occurrence; the character put in front keeps one at the beginning apart
     pieces = F.split(F.concat(F.lit("\n"), F.col(text)), f"{flag}(?={literal})")
@@ -77,7 +81,7 @@ def phrase_counts(df: DataFrame, phrase: str, keys: list[str], text: str = "text
 
 def regex_fragments(df: DataFrame, pattern: str, keys: list[str], text: str = "text", case_sensitive: bool = True, whole_words: bool = False, groups: int = 0) -> DataFrame:
     """Leftmost non-overlapping matches (none of them empty), with offsets and, in group_1 and so on, what so many groups of the pattern have matched (else "")."""
-    used = ("" if case_sensitive else "(?i)") + (rf"\b(?:{pattern})\b" if whole_words else pattern)
+    used = ("" if case_sensitive else "(?iu)") + (rf"\b(?:{pattern})\b" if whole_words else pattern)
     hits = df.where(F.col(text).rlike(used))
     found = [F.regexp_extract_all(text, F.lit(used), F.lit(i)).alias("txt" if i == 0 else f"group_{i}") for i in range(groups + 1)]
     rows = hits.select(*keys, F.arrays_zip(F.split(text, used).alias("gap"), *found).alias("_found"))
@@ -101,36 +105,56 @@ def list_marker(line: Column) -> Column:
     return F.when(s.rlike(bullet), "ul").when(s.rlike(ordered), "ol")
 
 
-def replace_text(df: DataFrame, search: str, replacement: str, text: str = "text") -> DataFrame:
-    """Replace all occurrences in text; adds n_replaced."""
+def _replaced(text: str, search: str, replacement: str, case_sensitive: bool, take: Column | None = None) -> Column:
+    """Text with its first take occurrences (all, if none is given) replaced; the others stay as they are written."""
+    if case_sensitive and take is None:
+        return F.replace(F.col(text), F.lit(search), F.lit(replacement))
+    flag, literal = _literal(search, case_sensitive)
+    pieces = F.split(text, flag + literal)
+    found = F.regexp_extract_all(text, F.lit(flag + literal), F.lit(0))
+    new = (lambda m, i: F.lit(replacement)) if take is None else (lambda m, i: F.when(i < take, F.lit(replacement)).otherwise(m))
+    parts = F.transform(found, lambda m, i: F.concat(new(m, i), F.get(pieces, i + 1)))
+    return F.concat(F.get(pieces, F.lit(0)), F.array_join(parts, ""))
+
+
+def _occurrences(text: str, search: str, case_sensitive: bool) -> Column:
+    if case_sensitive:
+        return ((F.length(text) - F.length(F.replace(F.col(text), F.lit(search), F.lit("")))) / len(search)).cast("long")
+    return F.regexp_count(text, F.lit("".join(_literal(search, False)))).cast("long")
+
+
+def replace_text(df: DataFrame, search: str, replacement: str, text: str = "text", case_sensitive: bool = True) -> DataFrame:
+    """Replace all occurrences in text, leftmost first and without overlaps; adds n_replaced."""
     if not search:
         raise ValueError("the search text is empty")
-    out = F.replace(F.col(text), F.lit(search), F.lit(replacement))
-    gone = F.length(text) - F.length(F.replace(F.col(text), F.lit(search), F.lit("")))
-    return df.withColumns({"n_replaced": (gone / len(search)).cast("long"), text: out})
+    return df.withColumns({"n_replaced": _occurrences(text, search, case_sensitive), text: _replaced(text, search, replacement, case_sensitive)})
 
 
-def redact_text(df: DataFrame, search: str, text: str = "text") -> DataFrame:
-    return replace_text(df, search, "", text)
+def redact_text(df: DataFrame, search: str, text: str = "text", case_sensitive: bool = True, max_count: int = 0, document: list[str] | None = None, page: str = "page_index") -> DataFrame:
+    """Take occurrences out of text: all, or at most max_count in each document, in page order; adds n_replaced."""
+    if max_count:
+        return replace_with_quota(df, search, "", max_count, document or [], page, text, case_sensitive)
+    return replace_text(df, search, "", text, case_sensitive)
 
 
-def replace_with_quota(df: DataFrame, search: str, replacement: str, max_count: int, document: list[str], page: str, text: str = "text") -> DataFrame:
+def replace_with_quota(df: DataFrame, search: str, replacement: str, max_count: int, document: list[str], page: str, text: str = "text", case_sensitive: bool = True) -> DataFrame:
     """Replace at most max_count occurrences in each document, in page order (0: no limit)."""
     if not search or max_count < 0:
         raise ValueError("empty search or negative count")
     if max_count == 0:
-        return replace_text(df, search, replacement, text)
-    pieces = F.split(text, re.sub(r"([^\w\s])", r"\\\1", search))
-    n = F.size(pieces) - 1
+        return replace_text(df, search, replacement, text, case_sensitive)
+    if not document:
+        raise ValueError("a quota needs the columns that tell documents apart")
+    n = _occurrences(text, search, case_sensitive)
     before = Window.partitionBy(*document).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
     left = F.greatest(F.lit(0), F.lit(max_count) - F.coalesce(F.sum(n).over(before), F.lit(0)))
     rows = df.withColumn("_take", F.least(n, left).cast("int"))
-    done = F.array_join(F.slice(pieces, F.lit(1), F.col("_take") + 1), replacement)
-    rest = F.when(F.col("_take") < n, F.concat(F.lit(search), F.array_join(F.slice(pieces, F.col("_take") + 2, F.size(pieces)), search))).otherwise(F.lit(""))
-    return rows.withColumn(text, F.concat(done, rest)).withColumn("n_replaced", F.col("_take").cast("long")).drop("_take")
+    done = _replaced(text, search, replacement, case_sensitive, F.col("_take"))
+    changed = F.when(F.col("_take") == 0, F.col(text)).otherwise(done)
+    return rows.withColumn(text, changed).withColumn("n_replaced", F.col("_take").cast("long")).drop("_take")
 
 
 def text_of_documents(df: DataFrame, document: list[str], page: str, text: str = "text", between: str = "\n") -> DataFrame:
-    """The texts of a document's pages in order, joined."""
+    """The texts of a document's pages in order, joined. A page without text (null) counts in n_pages and adds nothing, no separator either."""
     ordered = F.array_sort(F.collect_list(F.struct(page, text)))
     return df.groupBy(*document).agg(F.array_join(ordered[text], between).alias("text"), F.count("*").alias("n_pages"))

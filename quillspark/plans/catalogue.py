@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import scalars
-from quillspark.operators import graph, groups, lookups, pages, rules, search
+from quillspark.operators import graph, groups, lookups, pages, rules, search, variants
 from quillspark.plans.register import ORACLE, QUERIES, query  # noqa: F401
 from quillspark.sources import table
 from quillspark.streaming import events as event_windows
@@ -382,14 +382,13 @@ def unreachable_objects(spark, sf_dir):
 
 
 @query("""
-WITH o AS (SELECT l_orderkey, bool_and(l_returnflag <> 'R') AS all_on, bool_or(l_returnflag <> 'R') AS any_on, arg_min(l_returnflag <> 'R', l_linenumber) AS first_on FROM lineitem GROUP BY l_orderkey),
+WITH o AS (SELECT l_orderkey, bool_and(l_returnflag <> 'R') AS all_on, bool_or(l_returnflag <> 'R') AS any_on, arg_min(l_returnflag <> 'R', struct_pack(n := l_linenumber, v := l_returnflag <> 'R')) AS first_on FROM lineitem GROUP BY l_orderkey),
 v AS (SELECT o_custkey, CASE o_orderkey % 4 WHEN 0 THEN all_on WHEN 1 THEN any_on WHEN 2 THEN NOT first_on END AS value, o_orderkey % 4 = 3 AS bad FROM orders JOIN o ON l_orderkey = o_orderkey)
 SELECT o_custkey AS id, CASE WHEN bool_or(bad) THEN NULL ELSE bool_or(value) END AS value FROM v GROUP BY o_custkey""")
 def boolean_visibility(spark, sf_dir):
     items, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     none = F.lit(None).cast("boolean")
-    place = F.col("l_linenumber") * F.lit(1 << 40) + F.col("_metadata.row_index")  # line numbers repeat within an order: then the row that comes first in the file
-    leaves = items.select((F.col("l_orderkey") * 10 + F.col("l_linenumber") + 10**12).alias("id"), (F.col("l_orderkey") + 10**9).alias("parent"), place.alias("place"), F.lit(None).cast("string").alias("op"), (F.col("l_returnflag") != "R").alias("value"))
+    leaves = items.select((F.col("l_orderkey") * 10 + F.col("l_linenumber") + 10**12).alias("id"), (F.col("l_orderkey") + 10**9).alias("parent"), F.col("l_linenumber").cast("long").alias("place"), F.lit(None).cast("string").alias("op"), (F.col("l_returnflag") != "R").alias("value"))
     kind = F.col("o_orderkey") % 4
     some = orders.join(items.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi")
     op = F.when(kind == 0, "And").when(kind == 1, "Or").when(kind == 2, "Not").otherwise("Xor")
@@ -769,7 +768,7 @@ def json_equal(spark, sf_dir):
     key = F.col("o_orderkey").cast("string")
     a = F.concat(F.lit('{"a": '), key, F.lit(', "b": [1, 2]}'))
     b = F.concat(F.lit('{ "b":[1,2],"a":'), F.when(F.col("o_orderkey") % 3 == 0, F.lit("-1")).otherwise(key), F.lit("}"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", scalars.same_json(a, b, "a long, b array<long>").alias("same"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", variants.same_json(a, b).alias("same"))
 
 
 @query("""
