@@ -128,7 +128,7 @@ def properties_to_info(properties: DataFrame, document: list[str]) -> DataFrame:
 
     Of alternatives the first without language or in x-default is taken, else the first; sequences are joined by ", "; ISO dates become tagged ones. Empty values have no row.
     """
-    rows = properties.withColumn("prefix", F.rtrim("prefix", F.lit(":"))).join(_metadata_names(properties), ["prefix", "property"])
+    rows = properties.select(*document, F.rtrim("prefix", F.lit(":")).alias("prefix"), "property", "items").join(_metadata_names(properties), ["prefix", "property"])
     first = F.get("items", F.lit(0))["value"]
     values = F.array_join(F.transform("items", lambda x: x["value"]), ", ")
     tagged = scalars.iso_text_to_tagged(first)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillspark.operators import codes, edits, graph, intervals, layout, matrices, rulebook, tree, variants
+from quillspark.functions import scalars
+from quillspark.operators import codes, edits, graph, intervals, layout, lookups, matrices, pages, rulebook, rules, runs, search, tree, variants
 from quillspark.plans.register import query
 from quillspark.session import durable, remove, shared_folder
 from quillspark.sources import sinks, table
@@ -392,3 +393,195 @@ def streamed_snapshot(spark, sf_dir):
         return durable(snapshot.read())
     finally:
         remove(spark, folder)
+
+
+# Text runs, names, dates, metadata --------------------------------------------------------------------------------------
+
+@query("""
+WITH s AS (
+  SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice) AS k, l_linenumber * 10.0 + l_partkey % 5 AS x, CAST(l_suppkey % 3 // 2 AS DOUBLE) AS y,
+    CASE WHEN l_quantity < 45 THEN 6.05 + l_quantity / 10 END AS width, 10.0 AS size, l_partkey % 9 = 0 AS vertical, l_returnflag || l_linenumber AS t FROM lineitem),
+g AS (SELECT *, x - lag(x) OVER w - lag(width) OVER w AS gap, abs(y - lag(y) OVER w) <= 0.05 * size AND NOT vertical AND NOT lag(vertical) OVER w AS level FROM s WINDOW w AS (PARTITION BY page ORDER BY k)),
+j AS (SELECT *, coalesce(level AND gap BETWEEN -0.1 * size AND 1.0 * size, false) AS joins FROM g),
+r AS (SELECT *, CAST(sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY page ORDER BY k) - 1 AS BIGINT) AS run FROM j)
+SELECT page, run, min(k) AS first, max(k) AS last, string_agg(CASE WHEN joins AND gap >= 0.18 * size THEN ' ' ELSE '' END || t, '' ORDER BY k) AS text, count(*) AS n_pieces FROM r GROUP BY page, run""")
+def logical_runs(spark, sf_dir):
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_extendedprice")
+    n = F.col("l_linenumber")
+    shows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("page"), F.row_number().over(w).cast("long").alias("k"), (n * 10.0 + F.col("l_partkey") % 5).alias("x"), F.expr("cast(l_suppkey % 3 div 2 as double)").alias("y"),
+        F.when(F.col("l_quantity") < 45, 6.05 + F.col("l_quantity") / 10).alias("width"), F.lit(10.0).alias("size"), (F.col("l_partkey") % 9 == 0).alias("vertical"), F.concat("l_returnflag", n.cast("string")).alias("text"),
+    )
+    return runs.logical_runs(shows, ["page"], "k").drop("width")
+
+
+@query("""
+WITH RECURSIVE t AS (
+  SELECT user_id AS page, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, event_id, event_type AS text, CASE event_id % 5 WHEN 0 THEN 'BDC' WHEN 1 THEN 'BMC' WHEN 3 THEN 'EMC' ELSE 'Tj' END AS op,
+    CASE WHEN event_id % 5 = 0 AND event_id % 4 < 2 THEN 'A' || event_id END AS actual, event_id % 15 = 0 AS hidden FROM events),
+s AS (
+  SELECT page, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS event_id, CAST([] AS VARCHAR[]) AS stack, 0 AS hide, CAST(NULL AS VARCHAR) AS shown FROM (SELECT DISTINCT page FROM t)
+  UNION ALL
+  SELECT t.page, t.k, t.event_id,
+    CASE WHEN op IN ('BDC', 'BMC') THEN stack || [coalesce(actual, '')] WHEN op = 'EMC' THEN stack[1:greatest(len(stack) - 1, 0)] ELSE stack END,
+    CASE WHEN op IN ('BDC', 'BMC') THEN CASE WHEN hide > 0 THEN hide + 1 WHEN op = 'BDC' AND hidden THEN 1 ELSE 0 END WHEN op = 'EMC' THEN greatest(hide - 1, 0) ELSE hide END,
+    CASE WHEN op = 'EMC' AND len(stack) > 0 AND stack[len(stack)] <> '' AND len(list_filter(stack[1:len(stack) - 1], lambda x: x <> '')) = 0 THEN stack[len(stack)]
+      WHEN op = 'Tj' AND hide = 0 AND len(list_filter(stack, lambda x: x <> '')) = 0 THEN t.text END
+  FROM s JOIN t ON t.page = s.page AND t.k = s.k + 1)
+SELECT event_id, shown FROM s WHERE event_id IS NOT NULL""")
+def marked_text(spark, sf_dir):
+    key = F.col("event_id")
+    op = F.when(key % 5 == 0, "BDC").when(key % 5 == 1, "BMC").when(key % 5 == 3, "EMC").otherwise("Tj")
+    actual = F.when((key % 5 == 0) & (key % 4 < 2), F.concat(F.lit("A"), key.cast("string")))
+    tokens = table(spark, sf_dir, "events").select("user_id", "event_id", op.alias("op"), F.col("event_type").alias("text"), actual.alias("actual"), (key % 15 == 0).alias("hidden"))
+    return runs.marked_text(tokens, ["user_id"], "event_id").select("event_id", "shown")
+
+
+@query("""SELECT user_id, bool_or(event_type IN ('error', 'view') AND event_id % 7 = 0) AS marked FROM events GROUP BY user_id""")
+def pages_with_marks(spark, sf_dir):
+    op = F.when(F.col("event_type").isin("error", "view") & (F.col("event_id") % 7 == 0), "BMC").otherwise("Tj")
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(runs.has_marks(op).alias("marked"))
+
+
+@query("""SELECT doc_id, CAST(len(regexp_extract_all(text, '(?i)éa')) AS BIGINT) AS n_replaced, CAST(length(regexp_replace(text, '(?i)éa', '', 'g')) AS BIGINT) AS length FROM documents""")
+def redact_without_case(spark, sf_dir):
+    out = search.redact_text(table(spark, sf_dir, "documents"), "ÉA", case_sensitive=False)
+    return out.select("doc_id", "n_replaced", F.length("text").cast("long").alias("length"))
+
+
+@query("""
+WITH p AS (SELECT conv_id, turn, text, len(regexp_extract_all(text, '(?i)THE')) AS n FROM conversations),
+q AS (SELECT *, greatest(0, 3 - coalesce(sum(n) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS quota FROM p)
+SELECT conv_id, turn, CAST(least(n, quota) AS BIGINT) AS n_replaced, CAST(length(text) - 3 * least(n, quota) AS BIGINT) AS length FROM q""")
+def redact_with_quota(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    out = search.redact_text(turns, "tHe", case_sensitive=False, max_count=3, document=["conv_id"], page="turn")
+    return out.select("conv_id", "turn", "n_replaced", F.length("text").cast("long").alias("length"))
+
+
+@query("""SELECT doc_id, CAST(s AS BIGINT) AS start FROM (SELECT doc_id, unnest(list_filter(range(1, length(text) - 1), lambda i: lower(substr(text, i, 2)) = 'éa')) - 1 AS s FROM documents)""")
+def phrase_without_case(spark, sf_dir):
+    return search.phrase_fragments(table(spark, sf_dir, "documents"), "ÉA", ["doc_id"], case_sensitive=False).select("doc_id", "start")
+
+
+@query("""
+SELECT event_id, CASE event_id % 6 WHEN 0 THEN strftime(ts, 'D:%Y%m%d%H%M%S+01''30') WHEN 1 THEN strftime(ts, '%Y%m%d%H') WHEN 2 THEN strftime(ts, 'D:%Y') WHEN 3 THEN strftime(ts, 'D:%Y%m%d%H%M%S-0530') WHEN 4 THEN strftime(ts, 'D:%Y%m%dz') ELSE strftime(ts, 'on %Y') END AS tagged,
+  CASE event_id % 6 WHEN 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+01:30' WHEN 1 THEN strftime(ts, '%Y-%m-%dT%H:00:00') WHEN 2 THEN strftime(ts, '%Y-01-01') WHEN 3 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') || '-05:30' WHEN 4 THEN strftime(ts, '%Y-%m-%d') ELSE '' END AS iso,
+  CASE event_id % 6 WHEN 0 THEN strftime(ts, 'D:%Y%m%d%H%M%S') || '+01''30''' WHEN 1 THEN strftime(ts, 'D:%Y%m%d%H0000') WHEN 2 THEN strftime(ts, 'D:%Y0101') WHEN 3 THEN strftime(ts, 'D:%Y%m%d%H%M%S') || '-05''30''' WHEN 4 THEN strftime(ts, 'D:%Y%m%d') ELSE '' END AS again,
+  CASE event_id % 6 WHEN 0 THEN date_trunc('second', ts) - INTERVAL 90 MINUTE WHEN 1 THEN date_trunc('hour', ts) WHEN 2 THEN date_trunc('year', ts) WHEN 3 THEN date_trunc('second', ts) + INTERVAL 330 MINUTE WHEN 4 THEN CAST(date_trunc('day', ts) AS TIMESTAMP) END AS moment FROM events""")
+def partial_dates(spark, sf_dir):
+    forms = ["'D:'yyyyMMddHHmmss'+01'''30", "yyyyMMddHH", "'D:'yyyy", "'D:'yyyyMMddHHmmss'-0530'", "'D:'yyyyMMdd'z'", "'on 'yyyy"]
+    key = F.col("event_id") % 6
+    tagged = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        tagged = F.when(key == i, F.date_format("ts", form)).otherwise(tagged)
+    rows = table(spark, sf_dir, "events").select("event_id", tagged.alias("tagged"))
+    iso = scalars.tagged_date_to_iso(F.col("tagged"))
+    return rows.select("event_id", "tagged", iso.alias("iso"), scalars.iso_text_to_tagged(iso).alias("again"), scalars.date_of(F.col("tagged")).cast("timestamp_ntz").alias("moment"))
+
+
+METADATA_SQL = """
+WITH i AS (
+  SELECT event_id AS doc, ['Title', 'Author', 'Subject', 'Keywords', 'Creator', 'Producer', 'CreationDate', 'Other'][event_id % 8 + 1] AS name, CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 8 = 6 THEN strftime(ts, 'D:%Y%m%d') ELSE event_type END AS value, ts FROM events),
+k AS (SELECT * FROM (VALUES ('Title', 'dc', 'title', 'alt'), ('Author', 'dc', 'creator', 'seq'), ('Subject', 'dc', 'description', 'alt'), ('Keywords', 'pdf', 'Keywords', 'text'), ('Creator', 'xmp', 'CreatorTool', 'text'),
+  ('Producer', 'pdf', 'Producer', 'text'), ('CreationDate', 'xmp', 'CreateDate', 'date')) t(name, prefix, property, form))
+"""
+
+
+def _event_info(spark, sf_dir):
+    key = F.col("event_id")
+    names = F.array(*[F.lit(n) for n in ("Title", "Author", "Subject", "Keywords", "Creator", "Producer", "CreationDate", "Other")])
+    value = F.when(key % 11 == 0, "").when(key % 8 == 6, F.date_format("ts", "'D:'yyyyMMdd")).otherwise(F.col("event_type"))
+    return table(spark, sf_dir, "events").select(key.alias("doc"), F.get(names, (key % 8).cast("int")).alias("name"), value.alias("value"))
+
+
+@query(METADATA_SQL + """
+SELECT doc, prefix, property, form, CASE WHEN form = 'alt' THEN 'x-default' END AS lang, CASE WHEN form = 'date' THEN strftime(ts, '%Y-%m-%d') ELSE value END AS value FROM i JOIN k USING (name) WHERE value <> ''""")
+def info_properties(spark, sf_dir):
+    out = lookups.info_to_properties(_event_info(spark, sf_dir), ["doc"])
+    return out.select("doc", "prefix", "property", "form", F.inline("items"))
+
+
+@query(METADATA_SQL + """SELECT doc, name, value FROM i JOIN k USING (name) WHERE value <> ''""")
+def info_round_trip(spark, sf_dir):
+    return lookups.properties_to_info(lookups.info_to_properties(_event_info(spark, sf_dir), ["doc"]), ["doc"])
+
+
+@query("""
+WITH r AS (SELECT user_id AS doc, event_id AS seq, 'p' || event_id % 4 AS prefix, CASE WHEN event_id % 13 = 0 THEN '' ELSE 'u' || event_id % 6 END AS uri FROM events),
+v AS (SELECT * FROM r WHERE uri <> ''),
+p AS (SELECT doc, prefix, arg_max(uri, seq) AS uri FROM v GROUP BY ALL), u AS (SELECT doc, uri, arg_max(prefix, seq) AS last FROM v GROUP BY ALL)
+SELECT doc, prefix, uri, last = prefix AS of_uri FROM p JOIN u USING (doc, uri)""")
+def namespace_table(spark, sf_dir):
+    key = F.col("event_id")
+    uri = F.when(key % 13 == 0, "").otherwise(F.concat(F.lit("u"), (key % 6).cast("string")))
+    colon = F.when(key % 2 == 0, ":").otherwise("")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc"), key.alias("seq"), F.concat(F.lit("p"), (key % 4).cast("string"), colon).alias("prefix"), uri.alias("uri"))
+    return lookups.namespaces(rows, ["doc"])
+
+
+@query("""
+WITH m AS (SELECT l_orderkey AS page, l_partkey * 10 + l_linenumber AS mark, CASE WHEN l_linenumber % 3 = 0 THEN l_linenumber - 4 END AS mcid, l_returnflag AS name FROM lineitem),
+p AS (SELECT o_orderkey AS page, o_orderstatus AS name, o_custkey % 9 - 1 AS mcid FROM orders),
+e AS (SELECT o_orderkey AS page, o_orderkey % 7 AS mcid, o_custkey AS element FROM orders),
+n AS (SELECT m.page, mark, coalesce(CASE WHEN m.mcid >= 0 THEN m.mcid END, p.mcid) AS mcid FROM m LEFT JOIN p ON p.page = m.page AND p.name = m.name AND p.mcid >= 0)
+SELECT n.page, mark, n.mcid, element FROM n LEFT JOIN e ON e.page = n.page AND e.mcid = n.mcid""")
+def named_marks(spark, sf_dir):
+    line, orders = F.col("l_linenumber"), table(spark, sf_dir, "orders")
+    marks = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_partkey") * 10 + line).alias("mark"), F.when(line % 3 == 0, line - 4).cast("long").alias("mcid"), F.col("l_returnflag").alias("name"))
+    properties = orders.select(F.col("o_orderkey").alias("page"), F.col("o_orderstatus").alias("name"), (F.col("o_custkey") % 9 - 1).alias("mcid"))
+    elements = orders.select(F.col("o_orderkey").alias("page"), (F.col("o_orderkey") % 7).alias("mcid"), F.col("o_custkey").alias("element"))
+    return lookups.named_marks(marks, properties, elements)
+
+
+@query("""
+WITH RECURSIVE a AS (SELECT c_custkey AS name, c_custkey * 7 % 150 AS target FROM customer WHERE c_custkey % 4 <> 0),
+w AS (
+  SELECT c_custkey AS name, c_custkey AS now, [CAST(-1 AS BIGINT)] AS met, false AS ended FROM customer
+  UNION ALL
+  SELECT w.name, CASE WHEN a.target IS NULL OR list_contains(w.met, w.now) THEN w.now ELSE a.target END, w.met || [w.now], a.target IS NULL OR list_contains(w.met, w.now)
+  FROM w LEFT JOIN a ON a.name = w.now WHERE NOT w.ended)
+SELECT name, any_value(now) AS target FROM w WHERE ended GROUP BY name""")
+def resolved_aliases(spark, sf_dir):
+    key = F.col("c_custkey")
+    names = table(spark, sf_dir, "customer").select(key.alias("name"))
+    return graph.resolve_aliases(names, names.where("name % 4 <> 0").select("name", (F.col("name") * 7 % 150).alias("target")))
+
+
+@query("""
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'FEFF' || upper(regexp_replace(hex(encode(event_type)), '(..)', '00\\1', 'g')) WHEN 3 THEN NULL ELSE upper(hex(encode(event_type))) || 'E9' END AS bytes,
+  CASE event_id % 4 WHEN 0 THEN event_type WHEN 3 THEN NULL ELSE event_type || 'é' END AS back FROM events""")
+def operand_codes(spark, sf_dir):
+    k = F.col("event_id") % 4
+    text = F.concat("event_type", F.when(k == 0, "").when(k == 3, "日").otherwise("é"))
+    raw = scalars.encode_operand(text, k == 0)
+    return table(spark, sf_dir, "events").select("event_id", F.hex(raw).alias("bytes"), scalars.decode_operand(raw).alias("back"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 4 < 2 THEN 'F' || p_size END AS font, CASE p_partkey % 4 WHEN 0 THEN CAST(p_size AS DOUBLE) WHEN 1 THEN 0.0 WHEN 2 THEN p_size + 0.5 ELSE 0.0 END AS size,
+  CASE p_partkey % 4 WHEN 0 THEN '0.5 g' WHEN 1 THEN '0 0 1 rg' WHEN 2 THEN '0 g' ELSE '0 g' END AS colour FROM part""")
+def default_appearances(spark, sf_dir):
+    k, size = F.col("p_partkey") % 4, F.col("p_size").cast("string")
+    da = F.when(k == 0, F.concat(F.lit("/F"), size, F.lit(" "), size, F.lit(" Tf 0.5 g"))).when(k == 1, F.concat(F.lit("0 0 1 rg\n/F"), size, F.lit(" auto Tf 1 2 rg 1 G"))).when(k == 2, F.concat(F.lit("Name "), size, F.lit(".5 Tf 3 k")))
+    return table(spark, sf_dir, "part").select("p_partkey", scalars.default_appearance(da).alias("a")).select("p_partkey", "a.*")
+
+
+@query("""SELECT conv_id, turn FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) + 1 AS n FROM conversations) WHERE turn >= greatest(n - 3, 0) AND turn < n - 1 AND (turn - greatest(n - 3, 0)) % 2 = 0""")
+def last_pages(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("page_index")).distinct()
+    return pages.slice_pages(turns, -3, -1, 2, ["conv_id"]).select("conv_id", F.col("page_index").alias("turn"))
+
+
+@query("""
+WITH f AS (SELECT o_orderpriority AS severity, o_orderstatus || o_custkey % 3 AS message FROM orders)
+SELECT severity, count(*) AS n, count(DISTINCT message) AS n_reasons, array_to_string(list_sort(list(DISTINCT message)), ',') AS reasons FROM f GROUP BY severity""")
+def finding_totals(spark, sf_dir):
+    found = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("severity"), F.concat("o_orderstatus", (F.col("o_custkey") % 3).cast("string")).alias("message"))
+    return rules.totals(found).withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'sha-256' WHEN 1 THEN 'MD5' END AS algorithm FROM events""")
+def known_algorithms(spark, sf_dir):
+    name = F.get(F.array(F.lit("SHA256"), F.lit("MD5"), F.concat(F.lit("x"), F.col("event_type"))), (F.col("event_id") % 3).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", scalars.known_algorithm(name, {"sha256": "sha-256"}, ["sha-256", "MD5"]).alias("algorithm"))
