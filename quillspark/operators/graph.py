@@ -6,6 +6,7 @@ rounds, each cut with a checkpoint. Rounds go on until nothing changes; nodes on
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -57,16 +58,40 @@ def walk_chains(links: DataFrame) -> DataFrame:
     return chain_depths(nodes.join(before, "id", "left").select("id", "parent")).select("id", F.col("root").alias("head"), F.col("depth").alias("place"))
 
 
-def unreachable(objects: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """The objects (id) that no path over edges (src, dst) leads to from the roots (id). Rounds go on until nothing new is met, so cycles end."""
+def unreachable(objects: DataFrame, edges: DataFrame, roots: DataFrame, hops_first: int = 16) -> DataFrame:
+    """The objects (id) that no path over edges (src, dst) leads to from the roots (id). Rounds go on until nothing new is met, so cycles end.
+
+    A round follows what is new by one step. After hops_first rounds long paths are shortened: nodes with a single way on get pointers that are doubled, and a round
+    follows these to their ends, in log2 of the longest such path steps; so rounds are as many as the branchings on the way, not its steps.
+    """
+    edges = edges.where("src IS NOT NULL AND dst IS NOT NULL")
     seen = front = durable(roots.select("id").distinct())
-    while front.limit(1).count():
+    jumps: list[DataFrame] = []
+    for hop in itertools.count():
+        if not front.limit(1).count():
+            break
+        if hop == hops_first:
+            jumps = _jumps(edges.join(seen.join(front, "id", "left_anti").select(F.col("id").alias("src")), "src", "left_anti"))
+        for jump in jumps:
+            met = jump.join(front.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+            new = durable(met.join(seen, "id", "left_anti"))
+            seen, front = durable(seen.unionAll(new)), durable(front.unionAll(new))
         met = edges.join(front.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
         front = durable(met.join(seen, "id", "left_anti"))
-        seen = seen.unionAll(front)
+        seen = durable(seen.unionAll(front)) if hop % 8 == 7 else seen.unionAll(front)
     return objects.join(seen, "id", "left_anti")
 
 
+def _jumps(edges: DataFrame) -> list[DataFrame]:
+    """(src, dst) of 1, 2, 4 and so on steps along nodes with a single way on, as far as there are paths so long."""
+    jump = durable(edges.groupBy("src").agg(F.min("dst").alias("dst"), F.max("dst").alias("_most")).where("dst = _most").select("src", "dst"))
+    out, most = [], max(1, jump.count()).bit_length()
+    while len(out) < most and jump.limit(1).count():
+        out.append(jump)
+        jump = durable(jump.join(jump.select(F.col("src").alias("dst"), F.col("dst").alias("_on")), "dst").select("src", F.col("_on").alias("dst")))
+    return out
+
+
 def expression_values(nodes: DataFrame, levels: int = 17) -> DataFrame:
     """Truth values of And, Or and Not trees: nodes (id, parent, place, op, value); leaves have a value and no op. Returns (id, value) of all roots.
 

@@ -15,30 +15,43 @@ from pyspark.sql import functions as F
 BLANK = r"[ \t\r\x0B\f]"
 
 
-#: Pieces whose offsets are summed up together.
-TOGETHER = 256
+#: Pieces whose offsets are summed up together, and such groups: a running sum copies what it has, so it goes over few at once.
+TOGETHER, GROUPS = 16, 64
 
 
-def _sums_before(sizes: str) -> Column:
-    """For each number of an array column the sum of those before it: sums of blocks first, then within each block."""
-    blocks = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / TOGETHER).cast("int"))
+def _running(values: Column, start: Column) -> Column:
+    """For each number of an array the sum of start and those before it."""
+    begin = F.struct(F.array().cast("array<int>").alias("before"), start.cast("int").alias("sum"))
+    return F.aggregate(values, begin, lambda acc, x: F.struct(F.concat(acc["before"], F.array(acc["sum"])).alias("before"), (acc["sum"] + x).alias("sum")))["before"]
 
-    def running(values: Column, start: Column) -> Column:
-        begin = F.struct(F.array().cast("array<int>").alias("before"), start.cast("int").alias("sum"))
-        return F.aggregate(values, begin, lambda acc, x: F.struct(F.concat(acc["before"], F.array(acc["sum"])).alias("before"), (acc["sum"] + x).alias("sum")))["before"]
 
-    def part(b: Column) -> Column:
-        return F.slice(sizes, b * TOGETHER + 1, F.lit(TOGETHER))
+def _parts(values: str, many: int) -> Column:
+    return F.sequence(F.lit(0), F.floor((F.size(values) - 1) / many).cast("int"))
 
-    totals = running(F.transform(blocks, lambda b: F.aggregate(part(b), F.lit(0), lambda acc, x: acc + x)), F.lit(0))
-    return F.flatten(F.zip_with(blocks, totals, lambda b, start: running(part(b), start)))
+
+def _part(values: str, b: Column, many: int) -> Column:
+    return F.slice(values, b * many + 1, F.lit(many))
+
+
+def _with_sums_before(rows: DataFrame, sizes: str, name: str) -> DataFrame:
+    """rows with name: for each number of an array column, which isn't empty, the sum of those before it; sums of groups, and of groups of groups, come first."""
+
+    def total(values: str, many: int) -> Column:
+        return F.transform(_parts(values, many), lambda b: F.aggregate(_part(values, b, many), F.lit(0), lambda acc, x: acc + x))
+
+    def spread(values: str, starts: str, many: int) -> Column:
+        return F.flatten(F.zip_with(_parts(values, many), F.col(starts), lambda b, start: _running(_part(values, b, many), start)))
+
+    rows = rows.withColumn("_few", total(sizes, TOGETHER))
+    rows = rows.withColumn("_fewer", _running(total("_few", GROUPS), F.lit(0)))
+    return rows.withColumn("_few", spread("_few", "_fewer", GROUPS)).withColumn(name, spread(sizes, "_few", TOGETHER)).drop("_few", "_fewer")
 
 
 def _with_offsets(rows: DataFrame, keys: list[str], pieces: str, sizes: Column) -> DataFrame:
     """One row for each piece of an array column: its number n, the piece, and the sum of the sizes before it."""
-    rows = rows.withColumn("_sizes", sizes)
-    every = F.arrays_zip(F.col(pieces).alias("piece"), _sums_before("_sizes").alias("before"))
-    return rows.where(F.size(pieces) > 0).select(*keys, F.posexplode(every).alias("n", "p")).select(*keys, "n", "p.piece", "p.before")
+    rows = _with_sums_before(rows.where(F.size(pieces) > 0).withColumn("_sizes", sizes), "_sizes", "_before")
+    every = F.arrays_zip(F.col(pieces).alias("piece"), F.col("_before").alias("before"))
+    return rows.select(*keys, F.posexplode(every).alias("n", "p")).select(*keys, "n", "p.piece", "p.before")
 
 
 def _pieces_with_offsets(df: DataFrame, pieces: Column, keys: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import scalars
-from quillspark.operators import graph, groups, lookups, pages, rules, search, variants
+from quillspark.operators import graph, groups, lookups, objects, pages, rules, search, variants
 from quillspark.plans.register import ORACLE, QUERIES, query  # noqa: F401
 from quillspark.sources import table
 from quillspark.streaming import events as event_windows
@@ -257,7 +257,7 @@ def weighted_mode(spark, sf_dir):
 @query("""
 SELECT l_suppkey, min(l_quantity) AS x0, max(l_quantity) AS x1, min(l_extendedprice) AS y0, max(l_extendedprice) AS y1 FROM lineitem GROUP BY l_suppkey""")
 def bounding_boxes(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.min("l_quantity").alias("x0"), F.max("l_quantity").alias("x1"), F.min("l_extendedprice").alias("y0"), F.max("l_extendedprice").alias("y1"))
+    return objects.bounding_boxes(table(spark, sf_dir, "lineitem"), ["l_suppkey"], "l_quantity", "l_extendedprice")
 
 
 @query("""
@@ -269,8 +269,7 @@ def box_downscale(spark, sf_dir):
 
 @query("SELECT 1000000 + row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS object_id, n_regionkey, n_name FROM nation")
 def object_registration(spark, sf_dir):
-    w = Window.partitionBy("n_regionkey").orderBy("n_nationkey")
-    return table(spark, sf_dir, "nation").select((F.lit(1_000_000) + F.row_number().over(w)).cast("long").alias("object_id"), "n_regionkey", "n_name")
+    return objects.register_objects(table(spark, sf_dir, "nation"), ["n_regionkey"], ["n_nationkey"], 1_000_001).select("object_id", "n_regionkey", "n_name")
 
 
 # Ordered, layout-like logic -----------------------------------------------------------------------------------------------
@@ -324,9 +323,7 @@ def paragraph_groups(spark, sf_dir):
 WITH g AS (SELECT l_orderkey, l_extendedprice AS x, lead(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_linenumber) - l_extendedprice AS gap FROM lineitem)
 SELECT l_orderkey, max(gap) AS gap, arg_max(x, (gap, x)) AS cut FROM g WHERE gap IS NOT NULL GROUP BY l_orderkey HAVING max(gap) >= 1000""")
 def column_gap(spark, sf_dir):
-    w = Window.partitionBy("l_orderkey").orderBy("l_extendedprice", "l_linenumber")
-    gaps = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_extendedprice").alias("x"), (F.lead("l_extendedprice").over(w) - F.col("l_extendedprice")).alias("gap")).where("gap IS NOT NULL")
-    return gaps.groupBy("l_orderkey").agg(F.max("gap").alias("gap"), F.max_by("x", F.struct("gap", "x")).alias("cut")).where("gap >= 1000")
+    return objects.widest_gaps(table(spark, sf_dir, "lineitem"), ["l_orderkey"], "l_extendedprice", 1000)
 
 
 # Graphs -------------------------------------------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import scalars
-from quillspark.operators import codes, edits, graph, intervals, layout, lookups, matrices, pages, rulebook, rules, runs, search, tree, variants
+from quillspark.operators import codes, edits, graph, intervals, layout, lookups, matrices, objects, pages, rulebook, rules, runs, search, tree, variants
 from quillspark.plans.register import query
 from quillspark.session import durable, remove, shared_folder
 from quillspark.sources import sinks, table
@@ -585,3 +585,112 @@ def finding_totals(spark, sf_dir):
 def known_algorithms(spark, sf_dir):
     name = F.get(F.array(F.lit("SHA256"), F.lit("MD5"), F.concat(F.lit("x"), F.col("event_type"))), (F.col("event_id") % 3).cast("int"))
     return table(spark, sf_dir, "events").select("event_id", scalars.known_algorithm(name, {"sha256": "sha-256"}, ["sha-256", "MD5"]).alias("algorithm"))
+
+
+# Named parts ----------------------------------------------------------------------------------------------------------
+
+PARTS_SQL = """
+WITH b AS (SELECT user_id AS owner, event_type AS name, arg_max(value, event_id) AS value FROM events WHERE event_id % 5 = 0 GROUP BY ALL),
+l AS (SELECT user_id AS owner, event_type AS name, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 'remove' ELSE 'put' END AS op, value FROM events WHERE event_id % 5 <> 0),
+h AS (SELECT owner, name, CAST(NULL AS BIGINT) AS seq, 'put' AS op, value FROM b UNION ALL SELECT owner, name, seq, op, value FROM l)
+"""
+
+
+def _event_parts(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("owner"), F.col("event_type").alias("name"), F.col("event_id").alias("seq"), "value")
+    base = events.where("seq % 5 = 0").groupBy("owner", "name").agg(F.max_by("value", "seq").alias("value"))
+    return base, events.where("seq % 5 <> 0").withColumn("op", F.when(F.col("seq") % 3 == 0, "remove").otherwise("put"))
+
+
+@query(PARTS_SQL + """SELECT owner, name, arg_max(value, coalesce(seq, -1)) AS value FROM h GROUP BY owner, name HAVING arg_max(op, coalesce(seq, -1)) = 'put'""")
+def attachments_after_changes(spark, sf_dir):
+    return objects.keyed_replay(*_event_parts(spark, sf_dir), ["owner", "name"])
+
+
+@query(PARTS_SQL + """, p AS (SELECT *, lag(op) OVER (PARTITION BY owner, name ORDER BY coalesce(seq, -1)) AS before FROM h)
+SELECT owner, name, seq, coalesce(before = 'put', false) AS removed FROM p WHERE op = 'remove'""")
+def attachment_removals(spark, sf_dir):
+    return objects.removals(*_event_parts(spark, sf_dir), ["owner", "name"])
+
+
+@query("""
+WITH l AS (SELECT c_custkey AS layer, CASE c_custkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS visible FROM customer),
+t AS (SELECT o_custkey AS layer, arg_max(o_orderkey % 5 <> 0, o_orderkey) AS visible FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL),
+s AS (SELECT l.layer, coalesce(t.visible, l.visible, true) AS visible FROM l LEFT JOIN t ON t.layer = l.layer)
+SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT layer FROM s WHERE NOT visible)""")
+def content_of_visible_layers(spark, sf_dir):
+    key = F.col("c_custkey")
+    layers = table(spark, sf_dir, "customer").select(key.alias("layer"), F.when(key % 3 == 0, True).when(key % 3 == 1, False).alias("visible"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("layer"), "o_orderkey")
+    toggles = orders.where("o_orderkey % 2 = 0").select("layer", F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") % 5 != 0).alias("visible"))
+    return objects.visible_content(orders, objects.layer_states(layers, toggles, ["layer"]), ["layer"]).select("o_orderkey")
+
+
+@query("""
+WITH f AS (SELECT p_partkey AS field, CASE p_partkey % 4 WHEN 0 THEN 'Tx' WHEN 1 THEN 'Ch' WHEN 2 THEN 'Btn' ELSE 'Sig' END AS kind, p_brand AS value, CASE WHEN p_partkey % 5 = 0 THEN 1 WHEN p_partkey % 7 = 0 THEN 262144 ELSE 0 END AS flags FROM part),
+c AS (
+  SELECT f.*, l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_tax > 0.07 THEN NULL ELSE l_returnflag END AS new FROM f JOIN (SELECT l_partkey, l_orderkey, l_linenumber, max(l_tax) AS l_tax, max(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL) ON l_partkey = field),
+j AS (SELECT *, flags <> 1 AND CASE kind WHEN 'Tx' THEN true WHEN 'Ch' THEN new IS NULL OR new IN ('A', 'R') OR flags = 262144 WHEN 'Btn' THEN new IS NULL OR new IN ('A', 'R', 'Off') ELSE false END AS fine FROM c),
+l AS (SELECT field, count(*) FILTER (WHERE NOT fine) AS refused, count(*) FILTER (WHERE fine) AS n, arg_max(struct_pack(v := CASE WHEN kind = 'Btn' AND new IS NULL THEN 'Off' ELSE new END), seq) FILTER (WHERE fine) AS last FROM j GROUP BY field)
+SELECT f.field, CASE WHEN coalesce(n, 0) > 0 THEN last.v ELSE value END AS value, coalesce(refused, 0) AS refused FROM f LEFT JOIN l ON l.field = f.field""")
+def field_values(spark, sf_dir):
+    key = F.col("p_partkey")
+    kind = F.get(F.array(*[F.lit(k) for k in ("Tx", "Ch", "Btn", "Sig")]), (key % 4).cast("int"))
+    flags = F.when(key % 5 == 0, 1).when(key % 7 == 0, 1 << 18).otherwise(0)
+    fields = table(spark, sf_dir, "part").select(key.alias("field"), kind.alias("kind"), F.col("p_brand").alias("value"), F.array(F.lit("A"), F.lit("R")).alias("options"), flags.alias("flags"))
+    items = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("field"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq")).agg(F.max("l_tax").alias("tax"), F.max("l_returnflag").alias("flag"))
+    changes = items.select("field", "seq", F.when(F.col("tax") <= 0.07, F.col("flag")).alias("value"))
+    return objects.set_field_values(fields, changes, ["field"]).select("field", "value", "refused")
+
+
+@query("""
+WITH i AS (SELECT l_orderkey AS doc, l_partkey * 10 + l_linenumber AS id, CASE l_linenumber % 3 WHEN 0 THEN true WHEN 1 THEN false END AS a, CASE WHEN l_partkey % 2 = 0 THEN l_suppkey % 2 = 0 END AS b, l_returnflag AS f FROM lineitem)
+SELECT doc, CASE WHEN f = 'R' THEN 'annotation' ELSE 'field' END AS part, CAST(id AS VARCHAR) AS id FROM i WHERE NOT coalesce(a, b, false) UNION ALL SELECT o_orderkey, 'page', CAST(o_custkey AS VARCHAR) FROM orders""")
+def unsigned_content(spark, sf_dir):
+    line = F.col("l_linenumber")
+    items = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc"), (F.col("l_partkey") * 10 + line).alias("id"), F.when(line % 3 == 0, True).when(line % 3 == 1, False).alias("is_signed"), F.when(F.col("l_partkey") % 2 == 0, F.col("l_suppkey") % 2 == 0).alias("signed"), "l_returnflag"
+    )
+    pages_ = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc"), F.col("o_custkey").alias("id"))
+    return objects.unsigned_content(items.where("l_returnflag != 'R'"), items.where("l_returnflag = 'R'"), pages_, ["doc"])
+
+
+@query("""
+WITH f AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE p_brand END AS name, p_type AS type, CASE WHEN p_size % 3 > 0 THEN p_size % 3 END AS face, p_retailprice AS priority FROM part)
+SELECT p_partkey, name FROM (SELECT *, row_number() OVER (PARTITION BY lower(name), type, coalesce(face, 0) ORDER BY priority DESC, p_partkey) AS k FROM f) WHERE k = 1""")
+def distinct_fonts(spark, sf_dir):
+    name = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_brand")).otherwise(F.col("p_brand"))
+    fonts = table(spark, sf_dir, "part").select("p_partkey", name.alias("name"), F.col("p_type").alias("type"), F.when(F.col("p_size") % 3 > 0, F.col("p_size") % 3).alias("face"), F.col("p_retailprice").alias("priority"))
+    return objects.distinct_fonts(fonts, "priority", "p_partkey").select("p_partkey", "name")
+
+
+@query("""
+WITH p AS (SELECT event_id, [1, 2, 4, 8, 16][event_id % 5 + 1] AS bits, 1 + event_id % 3 AS width, 2 AS height, 1 + event_id % 2 AS parts, [ord(c) FOR c IN string_split(event_type, '')] AS bytes FROM events),
+s AS (SELECT *, width * parts AS of_row, (width * parts * bits + 7) // 8 AS row_bytes, unnest(range(0, width * parts * height)) AS i FROM p),
+v AS (SELECT *, (i % of_row) * bits AS bit, i // of_row * row_bytes + (i % of_row) * bits // 8 AS pos FROM s)
+SELECT event_id, i, CASE bits WHEN 16 THEN coalesce(bytes[pos + 1], 0) * 256 + coalesce(bytes[pos + 2], 0) ELSE (coalesce(bytes[pos + 1], 0) >> CAST(8 - bits - bit % 8 AS INTEGER)) & ((1 << bits) - 1) END AS sample FROM v""")
+def picture_samples(spark, sf_dir):
+    key = F.col("event_id")
+    bits = F.get(F.array(*[F.lit(b) for b in (1, 2, 4, 8, 16)]), (key % 5).cast("int"))
+    found = objects.samples(F.col("event_type").cast("binary"), bits, 1 + key % 3, F.lit(2), 1 + key % 2)
+    return table(spark, sf_dir, "events").select("event_id", F.posexplode(found).alias("i", "sample"))
+
+
+@query("""
+WITH p AS (SELECT doc_id, [ord(c) FOR c IN string_split(regexp_replace(substr(text, 1, 40), '[^\\x00-\\x7F]', '?', 'g'), '')] AS b FROM documents),
+s AS (SELECT doc_id, b, unnest(range(0, 4)) AS k FROM p)
+SELECT doc_id, k, coalesce(b[3 * (k * 5) + 1], 0) AS r, coalesce(b[3 * (k * 5) + 2], 0) AS g, coalesce(b[3 * (k * 5) + 3], 0) AS b FROM s""")
+def palette_of_columns(spark, sf_dir):
+    palette = F.regexp_replace(F.substring("text", 1, 40), r"[^\x00-\x7F]", "?").cast("binary")
+    colours = objects.palette_colours(F.array(*[F.lit(5 * k) for k in range(4)]), palette)
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(colours).alias("k", "c")).select("doc_id", "k", "c.*")
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'none' WHEN event_id % 4 = 1 THEN NULL ELSE event_type END AS value, CAST(1 + event_id % 2 AS BIGINT) AS n_left FROM events""")
+def popped_entries(spark, sf_dir):
+    key = F.col("event_id")
+    one = F.create_map(F.lit("a"), F.when(key % 4 != 1, F.col("event_type")))
+    rest = F.when(key % 2 == 1, F.create_map(F.lit("b"), F.lit("x"), F.lit("c"), F.lit("y"))).otherwise(F.create_map(F.lit("b"), F.lit("x")))
+    entries = F.when(key % 4 == 0, rest).otherwise(F.map_concat(one, rest))
+    value, left = objects.popped(entries, "a", F.lit("none"))
+    return table(spark, sf_dir, "events").select("event_id", value.alias("value"), F.size(left).cast("long").alias("n_left"))
