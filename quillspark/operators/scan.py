@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, StructField, StructType
 
+from quillspark.session import ship
+
 #: A new group begins: state of its first row, and that row's value. A row goes on: the new state and the row's value.
 Begin = Callable[[tuple], tuple[Any, Any]]
 Step = Callable[[Any, tuple], tuple[Any, Any]]
@@ -24,6 +26,7 @@ def ordered_scan(df: DataFrame, group: list[str], order: list, inputs: list[str]
 
     Rows with equal order keys come in any order among themselves, so the order should end with a row's id.
     """
+    ship(df.sparkSession)
     schema = StructType([*df.schema.fields, StructField(name, kind)])
     columns = df.columns
     arrow = to_arrow_type(kind)

@@ -280,7 +280,7 @@ def unsigned_tails(spark, sf_dir):
 EDITS_SQL = """
 WITH RECURSIVE b AS (SELECT user_id AS doc, list(event_id ORDER BY event_id) AS items FROM events WHERE event_id % 3 = 0 GROUP BY user_id),
 s AS (
-  SELECT user_id AS doc, event_id AS item, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, event_id % 7 AS at, event_id % 5 AS dest,
+  SELECT user_id AS doc, event_id AS item, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, event_id % 70 AS at, event_id % 5 AS dest,
     CASE event_id % 4 WHEN 0 THEN 'insert' WHEN 1 THEN 'move' WHEN 2 THEN 'delete' ELSE 'insert' END AS op FROM events WHERE event_id % 3 <> 0),
 d AS (SELECT DISTINCT user_id AS doc FROM events),
 f AS (
@@ -303,7 +303,7 @@ def _event_edits(spark, sf_dir):
     w = Window.partitionBy("doc").orderBy("event_id")
     base = events.where(key % 3 == 0).select(F.col("user_id").alias("doc"), "event_id").select("doc", (F.row_number().over(w) - 1).alias("position"), F.col("event_id").alias("item"))
     op = F.when(key % 4 == 1, "move").when(key % 4 == 2, "delete").otherwise("insert")
-    return base, events.where(key % 3 != 0).select(F.col("user_id").alias("doc"), key.alias("seq"), op.alias("op"), (key % 7).alias("at"), (key % 5).alias("to"), key.alias("item"))
+    return base, events.where(key % 3 != 0).select(F.col("user_id").alias("doc"), key.alias("seq"), op.alias("op"), (key % 70).alias("at"), (key % 5).alias("to"), key.alias("item"))
 
 
 @query(EDITS_SQL + """SELECT doc, CAST(generate_subscripts(items, 1) - 1 AS BIGINT) AS position, unnest(items) AS item FROM e""")

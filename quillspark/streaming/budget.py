@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
+from quillspark.session import ship
+
 #: What a stream with state like this needs.
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
@@ -42,6 +44,7 @@ def within_budget(rows: DataFrame, owner: list[str], order: str, cost: str, cap:
     An owner's rows are taken by batches, and by order within a batch, until one would go beyond the cap: that one and all later ones of the owner are refused (within is false), so a
     reader stops there. A cost of exactly what is left is taken; null costs nothing. The state of an owner is two numbers. rows is a stream; needs STATE_STORE.
     """
+    ship(rows.sparkSession)
     schema = StructType([*rows.schema.fields, StructField("spent", LongType()), StructField("within", BooleanType())])
     processor = _Budget(cost, order, cap, rows.columns)
     return rows.groupBy(*owner).transformWithStateInPandas(processor, outputStructType=schema, outputMode="Append", timeMode="None")
