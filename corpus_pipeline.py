@@ -19,11 +19,6 @@ from quillspark.sources import table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _tidy(spark: SparkSession) -> None:
-    """Have the driver collect what the stage before left: Spark lets go of shuffle files, broadcasts and generated classes only then."""
-    spark._jvm.java.lang.System.gc()
-
-
 def _documents(df: DataFrame) -> DataFrame:
     """The columns of documents, n_chars counted anew."""
     return df.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
@@ -31,21 +26,18 @@ def _documents(df: DataFrame) -> DataFrame:
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted to labels, doesn't reject."""
-    _tidy(spark)
     ship(spark)
     return quality.keep_good(docs.select(*COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later runs of repeated lines go; so do documents that consisted of nothing else."""
-    _tidy(spark)
     out = line_dedup.dedup_lines(docs.select(*COLUMNS))
     return _documents(out.where("n_deleted = 0 OR n_deleted < n_lines"))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest doc_id, of each class of near-duplicates."""
-    _tidy(spark)
     ship(spark)
     return ngram_join.keep_one_of_each(docs.select(*COLUMNS))
 
@@ -56,7 +48,6 @@ def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Passages are found by windows of 200 bytes, less than the operator's own query has: 50 words of
     these texts take about 310 bytes. Repeats of fewer words stay, and so do passages of over 50 words in less than 200 bytes.
     """
-    _tidy(spark)
     ship(spark)
     docs = docs.select(*COLUMNS)
     out = suffix_dedup.dedup_suffixes(docs, suffix_dedup.PASSAGE_BYTES, words=suffix_dedup.PASSAGE_WORDS + 1, with_text=True, also=("lang", "source"))
@@ -67,7 +58,6 @@ def dedup_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens, each with its place in a sequence."""
-    _tidy(spark)
     ship(spark)
     return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
 

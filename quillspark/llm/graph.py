@@ -18,7 +18,6 @@ def components(edges: DataFrame) -> DataFrame:
     seen = _state(edges)
     while seen[0]:
         edges = durable(_small_star(_large_star(edges)))
-        edges.sparkSession._jvm.java.lang.System.gc()  # so that the driver lets go of the plans, classes and broadcasts of the round before
         now = _state(edges)
         if now == seen:
             break
