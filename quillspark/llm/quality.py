@@ -4,6 +4,9 @@ A logistic model gives each document evidence from its own text. Hosts, and path
 posteriors from the evidence of all their documents: a host is shrunk towards the whole corpus, a path towards its host,
 the more the fewer documents they have. How strongly is estimated from the corpus by the method of moments. A document's
 final log-odds are its own plus what its site (without itself) says beyond the whole corpus.
+
+Toxicity is judged from words alone: words and beginnings of words that labelled toxic documents have far more often than other labelled
+documents are telling, and a second logistic model weighs how many of them a text has. Toxic documents are rejected whatever their quality.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from quillspark.llm.text import documents_of
+from quillspark.llm.text import REMEMBERED, gram_hashes, word_hashes
 from quillspark.session import durable, sized
 
 #: At most so many labelled documents are used to fit the model (those with the smallest hashes of doc_id).
@@ -25,7 +28,17 @@ SAMPLE = 20_000
 UPPER, DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 LETTERS = bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
 MARKS, STOPS = b"#$%&*|<>{}[]=~^_@\\/+", b".,;:"
-FEATURES = 14
+FEATURES, MARKS_OF_WORDS = 14, 4
+#: At most so many telling words and beginnings are kept (those with the strongest evidence).
+TELLING = 4096
+#: They are sought among those of at least so many labelled documents.
+SEEN = 2
+#: Letters of the beginnings of words that are looked at beside whole words.
+BEGINNINGS = (4, 5, 6, 7)
+#: Logarithm of the odds against one being telling by chance, beyond the number looked at.
+BEYOND_CHANCE = 3.0
+#: A-Z in lower case, all other ASCII but a-z a space.
+_WORDS = bytes(b if b in LETTERS and b > 90 else b + 32 if b in UPPER else 32 for b in range(256))
 
 
 def features(blob: bytes) -> list[float]:
@@ -60,17 +73,88 @@ def features(blob: bytes) -> list[float]:
     ]
 
 
-def with_features(docs: DataFrame, *keys: str) -> DataFrame:
-    """The keys and x (array of double) of each document."""
-    schema = docs.select(*keys).schema.add("x", ArrayType(DoubleType()))
+def letter_words(blob: bytes) -> list[bytes]:
+    """Runs of letters (all beyond ASCII counts as such), only A-Z lower-cased."""
+    return blob.translate(_WORDS).split()
+
+
+class Telling(dict):
+    """Weight of each word: that of its most telling form, 0 for none; so many words are remembered, others looked up anew."""
+
+    def __init__(self, weights: dict[str, int]) -> None:
+        super().__init__()
+        self.weights = weights
+
+    def __reduce__(self) -> tuple:
+        return Telling, (self.weights,)
+
+    def __missing__(self, word: bytes) -> int:
+        text = word.decode(errors="replace")
+        forms = [text, *(f"{text[:n]}*" for n in BEGINNINGS if len(text) >= n)]
+        weight = max((self.weights.get(f, 0) for f in forms), default=0)
+        if len(self) < REMEMBERED:
+            self[word] = weight
+        return weight
+
+    def marks(self, words: set[bytes]) -> list[float]:
+        """Whether a text's distinct words have any weight, and their weights' sum: as it is, its logarithm, and for its number of words."""
+        total = sum(map(self.__getitem__, words)) / 1000
+        return [float(total > 0), min(total, 30.0), np.log1p(total), total / max(1, len(words)) ** 0.5]
+
+
+def word_forms(words: Column) -> Column:
+    """Distinct words and their beginnings, which end in a star."""
+
+    def begin(n: int) -> Column:
+        return F.transform(F.filter(words, lambda w: F.length(w) >= n), lambda w: F.concat(F.substring(w, 1, n), F.lit("*")))
+
+    return F.array_distinct(F.concat(words, *map(begin, BEGINNINGS)))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
+    """(quality, toxic: 0, 1 or null; x: shape; alike: long; words: distinct) of labelled documents, kept in the shared folder.
+
+    alike is the smallest hash of a text's 5-word shingles, which most near copies of it share.
+    """
+    toxic = F.col("toxic") if "toxic" in labels.columns else F.lit(None).cast("int")
+    some = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg((F.max("quality") > 0).cast("int").alias("quality"), (F.max(toxic) > 0).cast("int").alias("toxic"))
+    some = some.where("quality IS NOT NULL OR toxic IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # so the broadcast has at most `sample` rows
+    schema = "doc_id bigint, quality int, toxic int, x array<double>, alike bigint, words array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).cast(pa.binary())
-            x = [features(t.as_py() or b"") for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(x, pa.list_(pa.float64()))], names=[*keys, "x"])
+            texts = [t.as_py() or b"" for t in batch.column(3).cast(pa.binary())]
+            x = pa.array([features(t) for t in texts], pa.list_(pa.float64()))
+            hashes, starts = word_hashes(texts)
+            alike = np.zeros(len(texts), np.uint64)
+            for i, (a, b) in enumerate(zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)):
+                if b > a:
+                    alike[i] = gram_hashes(hashes[a:b], min(5, b - a)).min()
+            words = pa.array([sorted(w.decode() for w in set(letter_words(t))) for t in texts], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], x, pa.array(alike.view(np.int64)), words], names=["doc_id", "quality", "toxic", "x", "alike", "words"])
+
+    rows = docs.join(F.broadcast(some), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "toxic", "text")
+    return durable(rows.mapInArrow(run, schema).orderBy("doc_id", F.xxhash64("words", "x")).limit(sample))
+
+
+def telling_words(rows: DataFrame, most: int = TELLING) -> dict[str, int]:
+    """Words and beginnings (with a star) that toxic documents have more often than chance explains, and their log-odds in thousandths; near copies count once.
 
-    return docs.select(*keys, "text").mapInArrow(run, schema)
+    One of a toxic and b other documents scores the log-likelihood ratio of a / (a + b) to the toxic share of all documents,
+    and must beat the number that are looked at.
+    """
+    rows = rows.where("toxic IS NOT NULL").groupBy("toxic", "alike").agg(F.min_by("words", F.struct("doc_id", "words")).alias("words"))
+    bad, total = rows.agg(F.sum("toxic"), F.count("*")).first()
+    if not bad or bad == total:
+        return {}
+    share = bad / total
+    forms = durable(rows.select("toxic", F.explode(word_forms(F.col("words"))).alias("form")).groupBy("form").agg(F.sum("toxic").alias("a"), F.count("*").alias("n")).where(F.col("n") >= SEEN))
+    a, n = F.col("a"), F.col("n")
+    score = a * F.log(a / n / share) + F.when(n > a, (n - a) * F.log((n - a) / n / (1 - share))).otherwise(0.0)
+    weight = F.log((a + 0.5) / (bad + 1)) - F.log((n - a + 0.5) / (total - bad + 1))
+    enough = float(np.log(max(1, forms.count()))) + BEYOND_CHANCE
+    best = forms.where(a > n * share).select("form", score.alias("score"), F.round(weight * 1000).cast("int").alias("weight")).where((F.col("score") >= enough) & (F.col("weight") > 0))
+    return {r["form"]: r["weight"] for r in best.orderBy(F.desc("score"), "form").limit(most).collect()}
 
 
 class Model:
@@ -104,12 +188,20 @@ class Model:
         return np.clip(self.weights[0] + ((self._wide(x) - self.mean) / self.scale) @ self.weights[1:], -20, 20)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit to labels (doc_id, quality 0 or 1; nulls are left out)."""
-    some = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)  # so the broadcast has at most `sample` rows
-    rows = with_features(docs.join(F.broadcast(some), "doc_id").select("doc_id", "quality", "text"), "doc_id", "quality").orderBy("doc_id").limit(sample).collect()
-    return Model(np.array([r["x"] for r in rows], float).reshape(-1, FEATURES), np.array([float(r["quality"] > 0) for r in rows]))
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Model, Model, Telling]:
+    """Models of quality (from shapes) and toxicity (from marks), and the telling words, of labels (doc_id, quality, toxic: 0 or 1; nulls and a lack of toxic are left out)."""
+    rows = labelled(docs, labels, sample)
+    telling = Telling(telling_words(rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [telling.marks({w.encode() for w in words}) for words in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["y", "x"])
+
+    known = rows.where("quality IS NOT NULL").select("doc_id", F.col("quality").alias("y"), "x").orderBy("doc_id", "x").collect()
+    words = rows.where("toxic IS NOT NULL").select(F.col("toxic").alias("y"), "words").mapInArrow(run, "y int, x array<double>").orderBy("y", "x").collect() if telling.weights else []
+    quality = Model(np.array([r["x"] for r in known], float).reshape(-1, FEATURES), np.array([float(r["y"]) for r in known]))
+    return quality, Model(np.array([r["x"] for r in words], float).reshape(-1, MARKS_OF_WORDS), np.array([float(r["y"]) for r in words])), telling
 
 
 def _strength(groups: DataFrame) -> float:
@@ -138,8 +230,11 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     """Quality of every document: its own evidence, its site's posteriors, both together, and the decision.
 
     docs needs doc_id and text, and what host and path (within the host) are made of: source and lang unless given.
-    labels needs doc_id and quality. Returns doc_id, evidence (probability from the text alone), host_posterior,
-    path_posterior, quality (probability), keep (quality >= threshold), key_a and key_b (hashes of host, path and text, on which alone the decision depends).
+    labels needs doc_id and quality, and may have toxic. Returns doc_id, evidence (probability from the text alone), host_posterior,
+    path_posterior, quality (probability), toxicity (probability), keep (quality >= threshold and toxicity < 0.5), key_a and key_b (hashes of host, path and text, on which alone the decision depends).
+
+    Without toxic labels of both kinds, or without words that tell them apart beyond chance, toxicity is 0. So few labels (some 50 toxic ones are enough
+    for the given tables) reject nothing for toxicity.
 
     A null host or path is a site of its own. Null texts count as empty. Rows with a null or repeated doc_id are
     judged one by one. Without labels of both kinds all texts give the same evidence. Empty tables give empty results.
@@ -147,14 +242,17 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
     own = docs.select(F.col("doc_id").alias("doc_id"), host.cast("string").alias("host"), path.cast("string").alias("path"), *_row_key(host, path, F.col("text")), F.col("text").alias("text"))
-    model = fit(own, labels, sample)
-    schema = own.drop("text").schema.add("odds", "double")
+    model, toxic, telling = fit(own, labels, sample)
+    schema = own.drop("text").schema.add("odds", "double").add("toxicity", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).cast(pa.binary())
-            x = np.array([features(t.as_py() or b"") for t in texts], float).reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.log_odds(x), pa.float64())], names=schema.fieldNames())
+            texts = [t.as_py() or b"" for t in batch.column(batch.num_columns - 1).cast(pa.binary())]
+            x = np.array([features(t) for t in texts], float).reshape(-1, FEATURES)
+            toxicity = np.zeros(len(texts))
+            if telling.weights:
+                toxicity = 1 / (1 + np.exp(-toxic.log_odds(np.array([telling.marks(set(letter_words(t))) for t in texts], float).reshape(-1, MARKS_OF_WORDS))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.log_odds(x), pa.float64()), pa.array(toxicity, pa.float64())], names=schema.fieldNames())
 
     scored = durable(own.mapInArrow(run, schema).withColumns({"host": F.coalesce("host", F.lit("")), "path": F.coalesce("path", F.lit("")), "p": 1 / (1 + F.exp(-F.col("odds")))}))
     # sums of rounded values, so that they don't depend on the order of rows
@@ -170,7 +268,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     path_posterior = (F.col("s") - p + k_path * host_posterior) / (F.col("n") - 1 + k_path)
     odds = F.col("odds") + _log_odds(path_posterior) - float(np.log(max(mean, 1e-9) / max(1 - mean, 1e-9)))
     quality = 1 / (1 + F.exp(-odds))
-    return both.select("doc_id", p.alias("evidence"), host_posterior.alias("host_posterior"), path_posterior.alias("path_posterior"), quality.alias("quality"), (quality >= threshold).alias("keep"), "key_a", "key_b")
+    return both.select("doc_id", p.alias("evidence"), host_posterior.alias("host_posterior"), path_posterior.alias("path_posterior"), quality.alias("quality"), "toxicity", ((quality >= threshold) & (F.col("toxicity") < 0.5)).alias("keep"), "key_a", "key_b")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -140,8 +140,12 @@ def test_quality_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     fitted = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
     held = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1)
-    out = quality.classify(docs, fitted).select("doc_id", "keep").join(held, "doc_id")
-    assert out.where(F.col("keep") == (F.col("quality") == 1)).count() >= 0.97 * held.count() > 97
+    out = quality.classify(docs, fitted).select("doc_id", F.col("quality").alias("p"), "toxicity", "keep").join(held, "doc_id").cache()
+    assert out.where((F.col("p") >= 0.5) == (F.col("quality") == 1)).count() >= 0.97 * held.count() > 97
+    assert out.where("keep != (p >= 0.5 AND toxicity < 0.5)").count() == 0
+    toxic, clean = out.where("toxic = 1"), out.where("toxic = 0")
+    assert toxic.where("toxicity >= 0.5").count() >= 0.7 * toxic.count() > 10  # the rest are in languages with a handful of toxic labels, or too short
+    assert clean.where("toxicity >= 0.5").count() <= 0.01 * clean.count()
 
 
 def plain_strength(groups):
@@ -174,7 +178,60 @@ def test_posteriors_equal_a_plain_version(spark):
         path = (s - r.evidence + k_path * host) / (n - 1 + k_path)
         assert r.host_posterior == pytest.approx(host, rel=1e-4) and r.path_posterior == pytest.approx(path, rel=1e-4)
         odds = [math.log(x / (1 - x)) for x in (min(max(y, 1e-9), 1 - 1e-9) for y in (r.evidence, path, mean))]
-        assert r.quality == pytest.approx(1 / (1 + math.exp(-(odds[0] + odds[1] - odds[2]))), abs=1e-4) and r.keep == (r.quality >= 0.5)
+        assert r.quality == pytest.approx(1 / (1 + math.exp(-(odds[0] + odds[1] - odds[2]))), abs=1e-4) and r.keep == (r.quality >= 0.5 and r.toxicity < 0.5)
+
+
+def plain_telling(texts):
+    """Weights of words and beginnings of (toxic, text) rows, none of them near copies."""
+    bad, total = sum(y for y, _ in texts), len(texts)
+    a, n = collections.Counter(), collections.Counter()
+    for y, t in texts:
+        found = {w.lower() for w in re.findall(r"[A-Za-z\x80-\uffff]+", t)}
+        for f in found | {f"{w[:k]}*" for w in found for k in quality.BEGINNINGS if len(w) >= k}:
+            n[f] += 1
+            a[f] += y
+    seen = [f for f in n if n[f] >= quality.SEEN]
+    out = {}
+    for f in seen:
+        score = sum(c * math.log(c / n[f] / p) for c, p in ((a[f], bad / total), (n[f] - a[f], 1 - bad / total)) if c)
+        weight = round(1000 * (math.log((a[f] + 0.5) / (bad + 1)) - math.log((n[f] - a[f] + 0.5) / (total - bad + 1))))
+        if a[f] > n[f] * bad / total and score >= math.log(len(seen)) + quality.BEYOND_CHANCE and weight > 0:
+            out[f] = weight
+    return out
+
+
+def toxic_corpus():
+    """Rows (toxic, text): "vileness" in half of the toxic texts, "grub" with changing ends in the others."""
+    rng = random.Random(31)
+    rows = [(0, " ".join(words(rng, 60, 400))) for _ in range(120)]
+    rows += [(1, " ".join([*words(rng, 30, 400), "Vileness", *words(rng, 30, 400)])) for _ in range(25)]
+    rows += [(1, " ".join([*words(rng, 50, 400), *(f"grub{rng.choice('abcdefgh')}{i}x" for i in "éöü")])) for _ in range(25)]
+    return rows
+
+
+def test_telling_words_equal_a_plain_version(spark):
+    rows = toxic_corpus()
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, y) for i, (y, _) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    expected = plain_telling(rows)
+    assert {"vileness", "vile*", "grub*"} <= set(expected)
+    assert quality.telling_words(quality.labelled(docs, labels, 1000)) == expected
+
+
+def test_toxic_texts_are_rejected_and_copies_of_one_teach_nothing(spark):
+    rng = random.Random(37)
+    rows = toxic_corpus()
+    group = words(rng, 60, 400) + [f"harmless{w}" for w in "abcd"]
+    known = rows + [(1, " ".join(group))] * 40
+    new = [" ".join(words(rng, 60, 400)), " ".join([*words(rng, 60, 400), "VILENESS!"]), " ".join([*words(rng, 60, 400), "grubzé grubzö grubzü"]), " ".join([*words(rng, 60, 400), "harmlessa"]), "", None, "vileness " + "x" * 1_000_000]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate([*(t for _, t in known), *new])], "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(i, 1, y) for i, (y, _) in enumerate(known)] + [(0, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id - len(known): r.toxicity >= 0.5 for r in quality.classify(docs, labels).collect()}
+    assert [got[i] for i in range(len(new))] == [False, True, True, False, False, False, True]
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns and {r.doc_id - len(known) for r in kept.collect()} & {0, 1, 2, 3} == {0, 3}
+    for other in (labels.drop("toxic"), labels.where("toxic = 0"), labels.limit(0)):
+        assert quality.classify(docs, other).where("toxicity != 0").count() == 0
 
 
 def test_sparse_sites_shrink_to_the_corpus(spark):
