@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.session import dealt
+
 
 def coverage(ranges: DataFrame, owner: list[str], start: str = "start", length: str = "length") -> DataFrame:
     """(owner, start, stop, times): maximal stretches that lie in equally many ranges, from the first range's start to the last one's end; gaps have times 0.
@@ -22,7 +24,10 @@ def integrity_findings(ranges: DataFrame, sizes: DataFrame, owner: list[str]) ->
 
     invalid: a negative start or a length below 1; beyond: bytes past the file's end; head, gap, tail: bytes that no range covers before, between and after
     the ranges; overlap: bytes in more than one. A file without (valid) ranges is one gap, "uncovered"; a file of no bytes lacks nothing. Ranges of files without a size aren't judged.
+
+    Ranges are counted first and dealt by owner to tasks of bounded size; all that follows stays where they are.
     """
+    ranges = dealt(ranges, owner, ranges.count() + sizes.count())
     valid = (F.col("start") >= 0) & (F.col("length") > 0)
     judged = ranges.join(sizes, owner).where("size IS NOT NULL")
     bad = judged.where(~F.coalesce(valid, F.lit(False))).select(*owner, F.lit("invalid").alias("finding"), F.col("start").cast("long").alias("start"), (F.col("start") + F.col("length")).cast("long").alias("stop"))

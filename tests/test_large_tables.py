@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from quillspark import session
+from quillspark.operators import intervals
 from quillspark.plans import structure
 from quillspark.sources import sinks
 
@@ -35,3 +37,16 @@ def test_the_split_query_has_fewer_files_than_pages(spark, tmp_path, monkeypatch
     got = structure.split_outputs(spark, str(tmp_path / "in")).collect()
     assert len(got) == 90 and {r.n_rows for r in got} == {1}
     assert len(list((tmp_path / "split").glob("**/*.parquet"))) < 20
+
+
+def tasks(df):
+    """How many tasks the rows of df come from."""
+    return df.select(F.spark_partition_id().alias("p")).distinct().count()
+
+
+def test_byte_ranges_go_to_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 100, raising=False)
+    ranges = spark.range(2000).select((F.col("id") % 500).alias("file"), (F.col("id") * 7).alias("start"), F.lit(10).alias("length"))
+    sizes = spark.range(500).select(F.col("id").alias("file"), F.lit(9000).alias("size"))
+    got = intervals.integrity_findings(ranges, sizes, ["file"])
+    assert tasks(got) >= 20 and got.where("finding = 'head'").count() == 499
