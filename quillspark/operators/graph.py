@@ -12,22 +12,25 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.session import durable
+from quillspark.session import dealt, durable
 
 
 def _climb(nodes: DataFrame, both: Callable[[Column, Column], Column]) -> DataFrame:
     """For nodes (id, parent, value): (id, root, value), the values from the root down to the node put together by both(upper, lower).
 
-    A node whose parent is null or missing is a root.
+    A node whose parent is null or missing is a root. Nodes are counted, and each round deals them to tasks of bounded size.
     """
+    nodes = durable(nodes)
+    n = nodes.count()
     ids = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("_known"))
-    state = durable(nodes.join(ids, "parent", "left").select("id", F.when(F.col("_known"), F.col("parent")).alias("up"), "value"))
+    below = dealt(nodes.where("parent IS NOT NULL"), ["parent"], n).join(dealt(ids, ["parent"], n), "parent", "left").select("id", F.when(F.col("_known"), F.col("parent")).alias("up"), "value")
+    state = durable(below.unionByName(nodes.where("parent IS NULL").select("id", F.col("parent").alias("up"), "value")))
     done, open_ = state.where("up IS NULL").select("id", F.col("id").alias("root"), "value"), state.where("up IS NOT NULL")
     left = open_.count()
     while left:
         pointers = done.select(F.col("id").alias("up"), F.lit(None).cast(nodes.schema["id"].dataType).alias("_up"), F.col("root").alias("_root"), F.col("value").alias("_value"))
         pointers = pointers.unionByName(open_.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.lit(None).cast(nodes.schema["id"].dataType).alias("_root"), F.col("value").alias("_value")))
-        moved = durable(open_.join(pointers, "up").select("id", F.col("_up").alias("up"), F.col("_root").alias("root"), both(F.col("_value"), F.col("value")).alias("value")))
+        moved = durable(dealt(open_, ["up"], n).join(dealt(pointers, ["up"], n), "up").select("id", F.col("_up").alias("up"), F.col("_root").alias("root"), both(F.col("_value"), F.col("value")).alias("value")))
         done, open_ = done.unionByName(moved.where("up IS NULL").select("id", "root", "value")), moved.where("up IS NOT NULL").select("id", "up", "value")
         before, left = left, open_.count()
         if left == before:  # a round of doubling finishes some node of any chain that has an end
@@ -37,9 +40,10 @@ def _climb(nodes: DataFrame, both: Callable[[Column, Column], Column]) -> DataFr
 
 def chain_depths(nodes: DataFrame) -> DataFrame:
     """For nodes (id, parent) the root and the number of steps to it: (id, root, depth). Nodes on or above cycles, or above a missing node, have no row."""
-    ended = _climb(nodes.select("id", "parent", F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("value")), lambda upper, lower: upper + lower)
-    roots = nodes.where("parent IS NULL").select(F.col("id").alias("root"))
-    return ended.join(roots, "root", "left_semi").select("id", "root", F.col("value").alias("depth"))
+    # a true root starts far below 0, so that no join is needed to tell it from one whose parent is missing
+    low = -(1 << 62)
+    ended = _climb(nodes.select("id", "parent", F.when(F.col("parent").isNull(), low).otherwise(1).cast("long").alias("value")), lambda upper, lower: upper + lower)
+    return ended.where("value < 0").select("id", "root", (F.col("value") - low).alias("depth"))
 
 
 def qualified_names(nodes: DataFrame, separator: str = ".") -> DataFrame:
@@ -58,6 +62,19 @@ def walk_chains(links: DataFrame) -> DataFrame:
     return chain_depths(nodes.join(before, "id", "left").select("id", "parent")).select("id", F.col("root").alias("head"), F.col("depth").alias("place"))
 
 
+def _met(edges: DataFrame, front: DataFrame, n: int) -> DataFrame:
+    """The distinct ids that edges (src, dst; n at most) lead to from the distinct ids of front, dealt by id to tasks of bounded size.
+
+    An inner join: the optimizer moves semi and anti joins below the dealing, and tasks would be put together by bytes again.
+    """
+    return dealt(edges.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")), ["id"], n).distinct()
+
+
+def _new(met: DataFrame, seen: DataFrame) -> DataFrame:
+    """The ids of met that aren't among the distinct ids of seen."""
+    return met.join(seen.select("id", F.lit(True).alias("_seen")), "id", "left").where("_seen IS NULL").select("id")
+
+
 def unreachable(objects: DataFrame, edges: DataFrame, roots: DataFrame, hops_first: int = 16) -> DataFrame:
     """The objects (id) that no path over edges (src, dst) leads to from the roots (id). Rounds go on until nothing new is met, so cycles end.
 
@@ -65,6 +82,8 @@ def unreachable(objects: DataFrame, edges: DataFrame, roots: DataFrame, hops_fir
     follows these to their ends, in log2 of the longest such path steps; so rounds are as many as the branchings on the way, not its steps.
     """
     edges = edges.where("src IS NOT NULL AND dst IS NOT NULL")
+    n = edges.count()
+    edges = dealt(edges, ["src"], n)
     seen = front = durable(roots.select("id").distinct())
     jumps: list[DataFrame] = []
     for hop in itertools.count():
@@ -73,11 +92,9 @@ def unreachable(objects: DataFrame, edges: DataFrame, roots: DataFrame, hops_fir
         if hop == hops_first:
             jumps = _jumps(edges.join(seen.join(front, "id", "left_anti").select(F.col("id").alias("src")), "src", "left_anti"))
         for jump in jumps:
-            met = jump.join(front.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-            new = durable(met.join(seen, "id", "left_anti"))
+            new = durable(_new(_met(jump, front, n), seen))
             seen, front = durable(seen.unionAll(new)), durable(front.unionAll(new))
-        met = edges.join(front.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        front = durable(met.join(seen, "id", "left_anti"))
+        front = durable(_new(_met(edges, front, n), seen))
         seen = durable(seen.unionAll(front)) if hop % 8 == 7 else seen.unionAll(front)
     return objects.join(seen, "id", "left_anti")
 
@@ -115,12 +132,16 @@ def expression_values(nodes: DataFrame, levels: int = 17) -> DataFrame:
 
 
 def hops(edges: DataFrame, roots: DataFrame, max_hops: int) -> DataFrame:
-    """Nodes within max_hops of the roots over edges (src, dst), with their distance; each round follows what is new."""
+    """Nodes within max_hops of the roots over edges (src, dst), with their distance; each round follows what is new.
+
+    Edges are counted and dealt by src, and what a round meets by id, to tasks of bounded size.
+    """
+    n = edges.count()
+    edges = dealt(edges, ["src"], n)
     seen = durable(roots.select("id").distinct().select("id", F.lit(0).alias("hop")))
     front = seen
     for hop in range(1, max_hops + 1):
-        reached = edges.join(front.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        front = durable(reached.join(seen, "id", "left_anti").select("id", F.lit(hop).alias("hop")))
+        front = durable(_new(_met(edges, front, n), seen).select("id", F.lit(hop).alias("hop")))
         seen = seen.unionAll(front)
     return seen
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillspark import session
-from quillspark.operators import intervals
+from quillspark.operators import graph, intervals
 from quillspark.plans import structure
 from quillspark.sources import sinks
 
@@ -50,3 +50,20 @@ def test_byte_ranges_go_to_tasks_of_bounded_size(spark, monkeypatch):
     sizes = spark.range(500).select(F.col("id").alias("file"), F.lit(9000).alias("size"))
     got = intervals.integrity_findings(ranges, sizes, ["file"])
     assert tasks(got) >= 20 and got.where("finding = 'head'").count() == 499
+
+
+def test_reachability_goes_to_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 100, raising=False)
+    edges = spark.range(3000).select((F.col("id") % 30).alias("src"), (F.col("id") + 100).alias("dst"))
+    edges = edges.unionAll(edges)
+    found = graph.hops(edges, spark.range(30), 1).where("hop = 1")
+    assert found.count() == 3000 and tasks(found) >= 20
+    met = graph.unreachable(spark.range(5000), edges, spark.range(30))
+    assert met.count() == 5000 - 3030
+
+
+def test_chains_go_to_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 100, raising=False)
+    nodes = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, F.col("id") - 1).alias("parent"))
+    found = graph.qualified_names(nodes.withColumn("name", F.lit("n"))).where("path = 'n.n'")
+    assert found.count() == 1000 and tasks(found) >= 20
