@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from quillspark.operators.scan import ordered_scan
+from quillspark.session import dealt, durable
 
 # Too few elements for columns; least width of a gutter in font sizes and in units; share of the smaller height
 # that bands have in common; least height of a band in font sizes; how often a page is cut; rows and cells of a table and how far cells may
@@ -29,11 +30,17 @@ def cut_columns(elements: DataFrame, page: list[str], cuts: int = CUTS) -> DataF
 
     All bands of all pages are cut once in each round: at the widest gap between neighbouring x (the leftmost of equal ones), if it is as wide as a
     gutter, both sides have two elements or more, and they stand side by side. Widths are relative to the page's median font size.
+
+    Elements are kept, counted and dealt by page to tasks of bounded size; each round is kept too, since the next one reads it three times.
     """
+    elements = durable(elements)
+    n = elements.count()
+    elements = dealt(elements, page, n)
     sized = elements.join(_font_sizes(elements, page, "_font"), page, "left").withColumn("_font", F.coalesce("_font", F.lit(FONT)))
     state = sized.withColumn("band", F.lit(""))
     by = [*page, "band"]
     for level in range(cuts):
+        state = dealt(durable(state), page, n)
         w = Window.partitionBy(*by).orderBy("x")
         gaps = state.where(F.length("band") == level).withColumn("_before", F.lag("x").over(w))
         gap = F.struct((F.col("x") - F.col("_before")).alias("gap"), (-F.col("x")).alias("left"), ((F.col("x") + F.col("_before")) / 2).alias("at"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillspark import session
-from quillspark.operators import graph, intervals
+from quillspark.operators import graph, intervals, layout
 from quillspark.plans import structure
 from quillspark.sources import sinks
 
@@ -67,3 +67,11 @@ def test_chains_go_to_tasks_of_bounded_size(spark, monkeypatch):
     nodes = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, F.col("id") - 1).alias("parent"))
     found = graph.qualified_names(nodes.withColumn("name", F.lit("n"))).where("path = 'n.n'")
     assert found.count() == 1000 and tasks(found) >= 20
+
+
+def test_columns_are_cut_in_tasks_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(session, "TASK_ROWS", 100, raising=False)
+    k = F.col("id") % 10
+    elements = spark.range(3000).select((F.col("id").cast("long") / 10).cast("int").alias("page"), "id", (k % 2 * 300.0).alias("x"), (F.floor(k / 2) * 20.0).alias("y"), F.lit(10.0).alias("font_size"))
+    got = layout.cut_columns(elements, ["page"])
+    assert tasks(got) >= 20 and got.where((F.col("band") == "1") == (F.col("x") == 300)).count() == 3000
