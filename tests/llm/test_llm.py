@@ -136,6 +136,22 @@ def test_components(spark):
     assert all(got.get(i, i) == find(i) for i in up)
 
 
+def test_components_in_few_rounds(spark, monkeypatch):
+    """What tasks join by themselves takes no round, and rounds end as soon as all are stars: the driver keeps something of every job."""
+    rounds, large_star = [], graph._large_star
+    monkeypatch.setattr(graph, "_large_star", lambda edges: rounds.append(1) or large_star(edges))
+    stars = [(9 + i, i % 3) for i in range(3, 300)]
+    got = graph.components(spark.createDataFrame(stars, "a long, b long").repartition(16)).collect()
+    assert sorted((r.id, r.root) for r in got) == sorted({(i, i) for i in range(3)} | set(stars)) and not rounds
+    ids = list(range(1000))
+    random.Random(3).shuffle(ids)
+    path = [(ids[i], ids[i + 1]) for i in range(999)] + [(ids[500], i) for i in range(2000, 2300)] + [(7, 7), (None, 3), (5000, 5001), (5001, 5000)]
+    monkeypatch.setattr(graph, "AT_ONCE", 20)
+    got = graph.components(spark.createDataFrame(path, "a long, b long").repartition(16)).collect()
+    assert sorted((r.id, r.root) for r in got) == sorted([(i, 0) for i in [*range(1000), *range(2000, 2300)]] + [(5000, 5000), (5001, 5000)])
+    assert 0 < len(rounds) <= 5
+
+
 def test_quality_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     fitted = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
