@@ -18,10 +18,12 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from xxhash import xxh3_64_intdigest
 
@@ -33,8 +35,10 @@ SPACE = "▁"
 UNITS = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 #: Marks before which a unit ends too, if no piece of the model has one behind a letter.
 MARKS = ".,;:!?"
-#: Edges of units that a task remembers.
-REMEMBERED = 4_000_000
+#: A word with the white space before it.
+WORD = re.compile(" +[^ ]*")
+#: Edges of units, and words, that a task remembers.
+REMEMBERED, WORDS = 6_000_000, 300_000
 #: A probability that counts as none.
 NONE = 1e-12
 #: Log-weight of a byte of a character that no piece has.
@@ -92,18 +96,29 @@ class Pieces:
         joined = b"".join(map(self.bytes.__getitem__, ids))
         return joined[1:] if joined.startswith(b" ") else joined
 
+    def decoded(self, ids: np.ndarray, ends: list[int]) -> Iterator[memoryview]:
+        """What decode gives for the ids up to each end, from the end before it."""
+        if not hasattr(self, "table"):
+            self.table = pa.array(self.bytes, pa.large_binary())
+        taken = self.table.take(pa.array(ids))
+        _, offsets, data = taken.buffers()
+        at = np.frombuffer(offsets, np.int64)[[0, *ends]].tolist() if len(ids) else [0] * (len(ends) + 1)
+        view = memoryview(data) if data is not None else memoryview(b"")
+        for a, b in pairwise(at):
+            yield view[a + (a < b and view[a] == 32) : b]
+
 
 class _Column:
     """An array that grows at its end, with room to spare."""
 
-    def __init__(self, kind: type, width: tuple = ()) -> None:
-        self.room, self.n = np.empty((1 << 16, *width), kind), 0
+    def __init__(self, kind: type) -> None:
+        self.room, self.n = np.empty(1 << 16, kind), 0
 
     def extend(self, more: np.ndarray) -> np.ndarray:
         """All so far."""
         n = self.n + len(more)
         if n > len(self.room):
-            room = np.empty((max(n, 2 * len(self.room)), *self.room.shape[1:]), self.room.dtype)
+            room = np.empty(max(n, 2 * len(self.room)), self.room.dtype)
             room[: self.n] = self.room[: self.n]
             self.room = room
         self.room[self.n : n] = more
@@ -111,11 +126,24 @@ class _Column:
         return self.room[:n]
 
 
+class _Numbers(dict):
+    """Numbers of words in the order in which they were first asked for; fresh: words since the last look."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        self.fresh.append(word)
+        return n
+
+
 class Lattices:
-    """Units met so far, as one table of nodes and edges.
+    """Units met so far, as one table of nodes and edges, and words met so far as runs of units.
 
-    Edges of a node stand together; until has node number + cumulated probability: a draw takes the first edge beyond it. odds has an
-    edge's log-probability at its node, that of all other edges together, and whether (1 or 0) it ends the unit.
+    Edges of a node stand together; share has their cumulated probability: a draw takes the first edge beyond it. log_p has an
+    edge's log-probability at its node; to the node that it leads to, -1 at the unit's end; one its id, -1 if it is several bytes, whose ids many has.
     """
 
     def __init__(self, pieces: Pieces) -> None:
@@ -124,10 +152,36 @@ class Lattices:
 
     def clear(self) -> None:
         self.root: dict[str, int] = {}
-        kinds = {"until": float, "to": np.int32, "node_of": np.int32, "first_id": np.int32, "n_ids": np.int8, "begin": np.int64, "ids": np.int32}
-        self.columns = {name: _Column(kind) for name, kind in kinds.items()} | {"odds": _Column(float, (3,))}
-        self._extend(odds=np.empty((0, 3)), **{name: np.empty(0, kind) for name, kind in kinds.items()})
+        self.many: dict[int, np.ndarray] = {}
+        kinds = {"share": np.float32, "log_p": float, "to": np.int32, "node_of": np.int32, "one": np.int32, "begin": np.int32}
+        self.columns = {name: _Column(kind) for name, kind in kinds.items()}
+        self._extend(**{name: np.empty(0, kind) for name, kind in kinds.items()})
         self._extend(begin=np.zeros(1, np.int64))
+        self._forget_words()
+
+    def _forget_words(self) -> None:
+        self.number, self.word_columns = _Numbers(), (_Column(np.int32), _Column(np.int32))
+        self.word_ends, self.word_roots = (c.extend(np.zeros(n, np.int64)) for c, n in zip(self.word_columns, (1, 0), strict=True))
+
+    def roots(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Roots of all units of all texts, and where each text's begin (one entry more than texts)."""
+        if len(self.share) > REMEMBERED:
+            self.clear()
+        if len(self.number) > WORDS:
+            self._forget_words()
+        words, n_words = _words(texts)
+        numbers = np.fromiter(map(self.number.__getitem__, words.dictionary.to_pylist()), np.int64)[words.indices.to_numpy()]
+        if self.number.fresh:
+            units = [[SPACE + w] if w.isalpha() else self.pieces.units.findall(SPACE + w.replace(" ", SPACE)) for w in self.number.fresh]
+            self.number.fresh = []
+            self.add(set().union(*units))
+            ends = int(self.word_ends[-1]) + np.cumsum([len(u) for u in units])
+            found = np.fromiter(map(self.root.__getitem__, chain.from_iterable(units)), np.int64)
+            self.word_ends, self.word_roots = (c.extend(x) for c, x in zip(self.word_columns, (ends, found), strict=True))
+        starts = self.word_ends[numbers].astype(np.int64)
+        sizes = self.word_ends[numbers + 1] - starts
+        upto = np.concatenate(([0], np.cumsum(sizes)))
+        return self.word_roots[np.repeat(starts - upto[:-1], sizes) + np.arange(upto[-1])].astype(np.int64), upto[np.concatenate(([0], np.cumsum(n_words)))]
 
     def _extend(self, **more: np.ndarray) -> None:
         for name, x in more.items():
@@ -137,10 +191,7 @@ class Lattices:
         new = [u for u in units if u not in self.root]
         if not new:
             return
-        if len(self.until) > REMEMBERED:
-            self.clear()
-            new = list(units)
-        nodes, edges, base = len(self.begin) - 1, len(self.until), len(self.ids)
+        nodes, edges = len(self.begin) - 1, len(self.share)
         text = "".join(new)
         sizes = np.fromiter(map(len, new), np.int64, len(new))
         ends = np.cumsum(sizes)
@@ -174,25 +225,19 @@ class Lattices:
         share = mass - np.repeat(np.concatenate(([0.0], mass))[first], n_edges)
         share[first + n_edges - 1] = 1.0
         raw = np.flatnonzero(piece < 0)
-        strings = [text[i].encode() for i in at[raw].tolist()]
-        n_ids = np.ones(len(at), np.int64)
-        n_ids[raw] = [len(x) for x in strings]
-        first_id = np.cumsum(n_ids) - n_ids
-        ids = np.empty(int(n_ids.sum()), np.int64)
-        ids[first_id[piece >= 0]] = piece[piece >= 0]
-        for e, x in zip(raw.tolist(), strings, strict=True):
-            ids[first_id[e] : first_id[e] + len(x)] = [self.pieces.byte_id[b] for b in x]
-        others = -np.expm1(log_p)
-        with np.errstate(divide="ignore"):
-            log_rest = np.where(others > NONE, np.log(others), -np.inf)
+        one = piece.astype(np.int32)
+        for e, i in zip(raw.tolist(), at[raw].tolist(), strict=True):
+            ids = [self.pieces.byte_id[b] for b in text[i].encode()]
+            if len(ids) == 1:
+                one[e] = ids[0]
+            else:
+                self.many[edges + e] = np.array(ids, np.int32)
         self._extend(
-            odds=np.column_stack((log_p, log_rest, ~inner)),
-            until=nodes + at + np.minimum(share, 1.0),
+            log_p=log_p,
+            share=np.minimum(share, 1.0),
             to=np.where(inner, nodes + at + length, -1),
             node_of=nodes + at,
-            first_id=base + first_id,
-            n_ids=n_ids,
-            ids=ids,
+            one=one,
             begin=edges + first + n_edges,  # of the node after each
         )
 
@@ -221,32 +266,48 @@ class Lattices:
         found.insert(0, (places, np.ones(len(places), np.int64), np.full(len(places), -1), BYTE * sizes))
         return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
-    def paths(self, roots: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A path through each unit: all edges, and where each unit's begin (one entry more than units)."""
-        where = np.argsort(roots, kind="stable")  # neighbours search the same part of the table
+    def ids(self, path: np.ndarray) -> np.ndarray:
+        """Ids of the edges of a path."""
+        ids = self.one[path]
+        if len(ids) and ids.min() < 0:
+            ids = np.concatenate([self.many[e] if i < 0 else [i] for e, i in zip(path.tolist(), ids.tolist(), strict=True)]).astype(np.int32)
+        return ids
+
+    def paths(self, roots: np.ndarray, keys: np.ndarray, where: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """A path through each unit: all edges, where each unit's begin (one entry more than units), the edges' odds, and their units.
+
+        Odds, a row each: the log-probability at the edge's node, and that of all other edges there together. where: the order of roots, if it is known.
+        """
+        if where is None:
+            where = np.argsort(roots, kind="stable")  # neighbours search the same part of the table
         node = roots[where]
         chosen, owners, step = [], [], 0
         while len(node):
             edge, last = self.begin[node], self.begin[node + 1] - 1
-            drawn = node + uniform(keys[where], step)
-            on = np.flatnonzero((edge < last) & (self.until[edge] <= drawn))
+            drawn = uniform(keys[where], step)
+            on = np.flatnonzero((edge < last) & (self.share[edge] <= drawn))
             while len(on):  # a node has few edges: go on where the draw lies beyond
                 e = edge[on] + 1
                 edge[on] = e
-                on = on[(e < last[on]) & (self.until[e] <= drawn[on])]
+                on = on[(e < last[on]) & (self.share[e] <= drawn[on])]
             chosen.append(edge)
             owners.append(where)
-            node = self.to[edge].astype(np.int64)
+            node = self.to[edge]
             live = node >= 0
             node, where, step = node[live], where[live], step + 1
-        sizes = np.zeros(len(roots) + 1, np.int64)
+        sizes = np.zeros(len(roots), np.int64)
         for w in owners:
-            sizes[w + 1] += 1
-        starts = np.cumsum(sizes)
+            sizes[w] += 1
+        starts = np.concatenate(([0], np.cumsum(sizes)))
         out = np.empty(starts[-1], np.int64)
         for s, (w, e) in enumerate(zip(owners, chosen, strict=True)):
             out[starts[w] + s] = e
-        return out, starts
+        return out, starts, self.odds(out), np.repeat(np.arange(len(roots)), sizes)
+
+    def odds(self, path: np.ndarray) -> np.ndarray:
+        log_p = self.log_p[path]
+        others = -np.expm1(log_p)
+        return np.array((log_p, np.log(others, out=np.full(len(others), -np.inf), where=others > NONE)))
 
 
 def uniform(keys: np.ndarray, step: int) -> np.ndarray:
@@ -264,7 +325,23 @@ def _units(text: str, pattern: re.Pattern = UNITS) -> list[str]:
     return pattern.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
-def _segmentations(lat: Lattices, node_of: np.ndarray, drawn: list[tuple[np.ndarray, np.ndarray]], span: tuple[int, int], key: int, k: int) -> list[tuple[np.ndarray, float, float]]:
+def _words(texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of all texts, whose units put together are the texts', and how many each text has; white space before a word but for one space belongs to it."""
+    plain = np.array([t != "" and t[0] != " " and "  " not in t and SPACE not in t for t in texts], bool)
+    split = pc.split_pattern(pa.array([texts[i] for i in np.flatnonzero(plain)], pa.string()), " ")
+    others = [[w[1:] for w in WORD.findall(" " + texts[i].replace(SPACE, " "))] if texts[i] else [] for i in np.flatnonzero(~plain)]
+    n_words = np.empty(len(texts), np.int64)
+    n_words[plain], n_words[~plain] = split.value_lengths(), list(map(len, others))
+    words = pa.concat_arrays([split.flatten(), pa.array(chain.from_iterable(others), pa.string())])
+    if others:  # back to the order of texts
+        order = np.argsort(~plain, kind="stable")
+        begin = np.empty(len(texts), np.int64)
+        begin[order] = np.cumsum(n_words[order]) - n_words[order]
+        words = words.take(pa.array(np.repeat(begin - np.cumsum(n_words) + n_words, n_words) + np.arange(len(words))))
+    return words.dictionary_encode(), n_words
+
+
+def _segmentations(lat: Lattices, node_of: np.ndarray, drawn: list[tuple[np.ndarray, ...]], span: tuple[int, int], key: int, k: int) -> list[tuple[np.ndarray, float, float]]:
     """(edges, log-probability, perturbed) of up to k + 1 segmentations of a document, best perturbed first.
 
     drawn: for each sample fresh paths through all units of the batch; span: the units of the document.
@@ -283,45 +360,57 @@ def _segmentations(lat: Lattices, node_of: np.ndarray, drawn: list[tuple[np.ndar
         if r == k:  # only its key is wanted
             out.append((np.empty(0, np.int64), 0.0, g))
             break
-        edges, starts = drawn[r]
+        edges, starts, odds_of, unit_of = drawn[r]
         if what is None:
-            path, at, barred = edges[starts[a] : starts[b]], 0, frozenset()
+            path, odds, units, at, barred = edges[starts[a] : starts[b]], odds_of[:, starts[a] : starts[b]], unit_of[starts[a] : starts[b]], 0, frozenset()
         else:
-            before, at, barred, unit = what
-            node = node_of[before[at]]
+            before, odds_before, units_before, at, barred = what
+            node, unit = node_of[before[at]], int(units_before[at])
             rest = [e for e in range(int(lat.begin[node]), int(lat.begin[node + 1])) if e not in barred]
-            odds = np.cumsum(np.exp(lat.odds[rest, 0]))
-            e = rest[min(int(np.searchsorted(odds, rng.random() * odds[-1], "right")), len(rest) - 1)]
+            likely = np.cumsum(np.exp(lat.log_p[rest]))
+            e = rest[min(int(np.searchsorted(likely, rng.random() * likely[-1], "right")), len(rest) - 1)]
             tail = [e]
             while (node := int(lat.to[e])) >= 0:
                 lo, hi = int(lat.begin[node]), int(lat.begin[node + 1])
-                e = min(int(np.searchsorted(lat.until[lo:hi], node + rng.random(), "right")) + lo, hi - 1)
+                e = min(int(np.searchsorted(lat.share[lo:hi], rng.random(), "right")) + lo, hi - 1)
                 tail.append(e)
-            path = np.concatenate((before[:at], np.array(tail, np.int64), edges[starts[unit + 1] : starts[b]]))
-        log_p, left, ends = np.ascontiguousarray(lat.odds[path].T)
+            after = slice(starts[unit + 1], starts[b])
+            path = np.concatenate((before[:at], tail, edges[after]))
+            odds = np.concatenate((odds_before[:, :at], lat.odds(np.array(tail)), odds_of[:, after]), axis=1)
+            units = np.concatenate((units_before[:at], np.full(len(tail), unit), unit_of[after]))
+        log_p, left = odds
         upto = np.cumsum(log_p)
         out.append((path, float(upto[-1]), g))
         # what is left of the set: the same beginning, then another decision
         left = left[at:]
         if barred:
-            others = float(-np.expm1(log_p[at]) - np.exp(lat.odds[list(barred), 0]).sum())
+            left = left.copy()
+            others = float(-np.expm1(log_p[at]) - np.exp(lat.log_p[list(barred)]).sum())
             left[0] = np.log(others) if others > NONE else -np.inf
         fresh = upto[at:] - log_p[at:] + left - np.log(rng.standard_exponential(len(left)))  # Gumbel about its log-probability
         want = k + 1 - len(out)
-        best = np.argpartition(-fresh, want - 1)[:want] if len(fresh) > want else np.arange(len(fresh))
+        if want == 1:
+            best = np.array([fresh.argmax()])
+        else:
+            best = np.argpartition(-fresh, want - 1)[:want] if len(fresh) > want else np.arange(len(fresh))
         best = best[fresh[best] > -np.inf]
         keys = -np.logaddexp(-g, -fresh[best])
         for i, key_of in zip(best.tolist(), keys.tolist(), strict=True):
             count += 1
             place = at + i
-            unit = a + int(np.count_nonzero(ends[:place]))
-            heapq.heappush(heap, (-key_of, count, (path, place, (barred if i == 0 else frozenset()) | {int(path[place])}, unit)))
+            heapq.heappush(heap, (-key_of, count, (path, odds, units, place, (barred if i == 0 else frozenset()) | {int(path[place])})))
     return out
 
 
 _loaded: dict[tuple, Lattices] = {}
 
 
+@cache
+def _pieces(path: str, theta: float = 1.0) -> Pieces:
+    """A model's pieces, once a task's process."""
+    return Pieces(path, theta)
+
+
 def sample_segmentations(docs: DataFrame, model_path: str, k: int = 2, theta: float = 1.0, seed: int = 0) -> DataFrame:
     """k distinct segmentations of every text, sampled without replacement.
 
@@ -338,28 +427,25 @@ def sample_segmentations(docs: DataFrame, model_path: str, k: int = 2, theta: fl
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (model_path, theta) not in _loaded:
-            _loaded[model_path, theta] = Lattices(Pieces(model_path, theta))
+            _loaded[model_path, theta] = Lattices(_pieces(model_path, theta))
         lat = _loaded[model_path, theta]
         for batch in batches:
             for rows, blobs in documents_of(batch):
-                units = [_units(b.decode(), lat.pieces.units) for b in blobs]
-                lat.add(set().union(*units))
-                sizes = np.array([len(u) for u in units], np.int64)
-                first = np.concatenate(([0], np.cumsum(sizes)))
-                roots = np.fromiter(map(lat.root.__getitem__, chain.from_iterable(units)), np.int64, int(first[-1]))
+                roots, first = lat.roots([b.decode() for b in blobs])
+                sizes = np.diff(first)
                 own = np.array([((r[0] or 0) * 0x9E3779B97F4A7C15 + seed * 0xC2B2AE3D27D4EB4F + xxh3_64_intdigest(b)) % (1 << 64) for r, b in zip(rows, blobs, strict=True)], U64)
                 places = (np.arange(first[-1]) - np.repeat(first[:-1], sizes)).astype(U64)
                 keys = np.repeat(own, sizes) + places * U64(0xD1B54A32D192ED03)
-                drawn = [lat.paths(roots, keys ^ U64(0xA0761D6478BD642F * (r + 1) % (1 << 64))) for r in range(k)]
+                order = np.argsort(roots, kind="stable")
+                drawn = [lat.paths(roots, keys ^ U64(0xA0761D6478BD642F * (r + 1) % (1 << 64)), order) for r in range(k)]
                 out = []
                 for d, row in enumerate(rows):
                     found = _segmentations(lat, lat.node_of, drawn, (int(first[d]), int(first[d + 1])), int(own[d]), k)
                     threshold = found[k][2] if len(found) > k else -np.inf
                     for s, (path, lp, g) in enumerate(found[:k]):
-                        counts = lat.n_ids[path]
-                        ids = lat.ids[lat.first_id[path]] if counts.sum() == len(path) else np.concatenate([lat.ids[lat.first_id[e] : lat.first_id[e] + lat.n_ids[e]] for e in path])
+                        ids = lat.ids(path)
                         inclusion = 1.0 if threshold == -np.inf else float(-np.expm1(-np.exp(lp - threshold)))
-                        out.append((row[0], s + 1, len(ids), ids.astype(np.int32), lp, g, inclusion))
+                        out.append((row[0], s + 1, len(ids), ids, lp, g, inclusion))
                 c = list(zip(*out, strict=True))
                 offsets = np.concatenate(([0], np.cumsum(c[2])))
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(c[3]), pa.int32()))
@@ -382,23 +468,18 @@ def decode_pieces(encoded: DataFrame, model_path: str, digest_only: bool = False
         schema = schema.add(*field.split())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model_path not in _decoders:
-            _decoders[model_path] = Pieces(model_path, 1.0)
-        pieces = _decoders[model_path]
+        pieces = _pieces(model_path)
         for batch in batches:
             lists = batch.column(batch.num_columns - 1)
-            texts, crcs = [], []
-            for x in lists:
-                ids = np.empty(0, np.int64) if x.values is None else x.values.to_numpy(zero_copy_only=False)
-                texts.append(pieces.decode(ids.tolist()))
-                crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
+            sizes = np.array(lists.value_lengths().fill_null(0), np.int64)
+            ids, ends = np.array(lists.flatten(), np.int64), np.cumsum(sizes).tolist()
+            texts = pieces.decoded(ids, ends)
             if digest_only:
+                raw = memoryview(ids.astype("<u4")).cast("B")
+                crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in pairwise([0, *ends])]
                 new = [pa.array(crcs, pa.int64()), pa.array(map(zlib.crc32, texts), pa.int64())]
             else:
-                new = [pa.array([t.decode(errors="replace") for t in texts])]
+                new = [pa.array([str(t, "utf-8", "replace") for t in texts], pa.string())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=schema.fieldNames())
 
     return encoded.select(*others, F.col("ids")).mapInArrow(run, schema)
-
-
-_decoders: dict[str, Pieces] = {}

@@ -437,6 +437,28 @@ def test_piece_samples_are_distinct_and_decode(spark):
     assert pieces.sample_segmentations(frame(spark, []), model).count() == 0
 
 
+def test_words_of_texts_are_cut_once_into_the_same_units(monkeypatch):
+    """Each distinct word is cut into units once, however often it occurs, and its units are those of the whole text; ids of many lists are decoded at once."""
+    import public_tokenizers
+
+    model = pieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"), 1.0)
+    texts = ["the cat, the cat.the", "  two  spaces\nand a line ", "", " ", "a▁ b▁", "▁x", "\n\n a. b.c, d.", "日本 ☃ 😀", "   ", "the cat"]
+    lat = pieces.Lattices(model)
+    for words, edges in ((1000, 10**6), (3, 10**6), (1000, 50)):  # also when words or all are forgotten in between
+        monkeypatch.setattr(pieces, "WORDS", words)
+        monkeypatch.setattr(pieces, "REMEMBERED", edges)
+        for some in (texts, texts[::-1], texts[:1] * 3):
+            roots, first = lat.roots(some)
+            name = {n: u for u, n in lat.root.items()}
+            assert [[name[r] for r in roots[a:b].tolist()] for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)] == [pieces._units(t, model.units) for t in some]
+    lat = pieces.Lattices(model)
+    lat.roots(["the cat the cat"] * 5)
+    assert list(lat.number) == ["the", "cat"]
+    lists = [np.arange(300), np.empty(0, np.int64), np.arange(5000, 5100), np.arange(3)]
+    assert [bytes(x) for x in model.decoded(np.concatenate(lists), np.cumsum([len(x) for x in lists]).tolist())] == [model.decode(x.tolist()) for x in lists]
+    assert [bytes(x) for x in model.decoded(np.empty(0, np.int64), [0, 0])] == [b"", b""]
+
+
 def test_samples_follow_the_lattice():
     import public_tokenizers
 
