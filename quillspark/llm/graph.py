@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.session import durable
+from quillspark.session import at_most, durable
 
 #: Vertices that a task joins at once.
 AT_ONCE = 1 << 18
@@ -19,12 +19,16 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each task first joins what its own edges connect and hangs it on the smallest vertex there. Where tasks disagree, large-star and
     small-star steps in turn hang a vertex's neighbours on the smallest of them, and tasks join again what they
-    see. In a round each vertex's smallest neighbour falls somewhere, or all are stars; then no round follows. No group is ever
-    gathered. Every round is cut with a checkpoint.
+    see. In a round each vertex's smallest neighbour falls somewhere, or all are stars; then no round follows. As soon as all edges that are
+    left have at most AT_ONCE vertices, one task joins them and no round follows either; more are never gathered. Every round is cut with a checkpoint.
+
+    edges are read once, and before this returns.
     """
     edges = durable(_joined(edges))
-    while not _settled(edges):
+    while not (few := at_most(edges, AT_ONCE // 2)) and not _settled(edges):
         edges = durable(_joined(_small_star(_large_star(edges))))
+    if few:
+        edges = durable(_joined(edges.coalesce(1)))
     children = edges.select(F.col("a").alias("id"), F.col("b").alias("root")).distinct()
     roots = edges.select("b").distinct().select(F.col("b").alias("id"), F.col("b").alias("root"))
     return children.unionAll(roots)

@@ -303,7 +303,7 @@ def _bands(n: Column, percent: int) -> Column:
 
 
 def _links_by_sketch(rare: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(a, b): a forest over the sets that meet at a token of few sets and may be similar."""
+    """(a, b): a forest over the sets that meet at a token of few sets and may be similar; edges may repeat."""
     rows = rare.join(sets, "set_id").select("token", "set_id", "n", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,14 +345,14 @@ def _links_by_sketch(rare: DataFrame, sets: DataFrame, percent: int) -> DataFram
         compare()
         yield edges()
 
-    return rows.repartition("token").sortWithinPartitions("token", "set_id").mapInArrow(run, "a long, b long").distinct()
+    return rows.repartition("token").sortWithinPartitions("token", "set_id").mapInArrow(run, "a long, b long")
 
 
 def _stars(often: DataFrame, percent: int) -> DataFrame:
-    """(a, b): stars of the sets that meet at a token and have like sizes."""
+    """(a, b): stars of the sets that meet at a token and have like sizes; edges may repeat."""
     rows = often.select("token", F.explode(_bands(F.col("n"), percent)).alias("band"), "set_id")
     centers = durable(rows.groupBy("token", "band").agg(F.min("set_id").alias("b"), F.max("set_id").alias("_last")).where("b != _last").select("token", "band", "b"))
-    return rows.join(centers, ["token", "band"]).where("set_id != b").select(F.col("set_id").alias("a"), "b").distinct()
+    return rows.join(centers, ["token", "band"]).where("set_id != b").select(F.col("set_id").alias("a"), "b")
 
 
 def _full_sets(texts: DataFrame, words: int, lower: bool) -> DataFrame:
@@ -450,22 +450,21 @@ def _classes(docs: DataFrame, words: int, percent: int, lower: bool) -> DataFram
     near = _shared(_prefixes(texts, words, lower, percent, sketch, hot), percent).persist(StorageLevel.MEMORY_AND_DISK)
     many = sized(near.groupBy("token").agg(F.count("*").alias("_n")).where(F.col("_n") > FEW).select("token"))
     rare, often = near.join(many, "token", "left_anti"), near.join(many, "token", "left_semi")
-    edges = durable(_links_by_sketch(rare, classes.select("set_id", "bits"), percent).unionAll(_stars(often, percent)))
+    groups = components(_links_by_sketch(rare, classes.select("set_id", "bits"), percent).unionAll(_stars(often, percent)))
+    groups = groups.select(F.col("id").alias("set_id"), F.col("root").alias("comp"))
     weights = durable(near.groupBy("set_id").agg(F.count("*").alias("weight")))
     near.unpersist()
 
-    groups = components(edges).select(F.col("id").alias("set_id"), F.col("root").alias("comp"))
     members = groups.groupBy("comp").agg(F.count("*").alias("members"))
     wanted = sized(groups.join(members, "comp").join(weights, "set_id").join(classes.select("set_id", "rep", "n"), "set_id").select("set_id", "comp", "members", "weight", "n", "rep.*"))
     grams = wanted.where(F.col("members") <= BLOCK).agg(F.sum("n")).first()[0] or 0
     sets = _full_sets(texts.join(wanted, ["doc_id", "copy"]).select("set_id", "comp", "members", "weight", "text"), words, lower)
     sets = sets.persist(StorageLevel.MEMORY_AND_DISK)
     links = _small_groups(sets.where(F.col("members") <= BLOCK), percent, grams).unionAll(_large_groups(sets.where(F.col("members") > BLOCK), percent))
-    links = durable(links)
+    roots = components(links).select(F.col("id").alias("set_id"), "root")
     sets.unpersist()
     sketch.unpersist()
 
-    roots = components(links).select(F.col("id").alias("set_id"), "root")
     sets_of = classes.select("set_id", "rep").join(roots, "set_id", "left").select("set_id", "rep", F.coalesce("root", "set_id").alias("root"))
     smallest = sets_of.groupBy("root").agg(F.min("rep").alias("first"))
     class_of = durable(sets_of.join(smallest, "root").select("set_id", "first"))

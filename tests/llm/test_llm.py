@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from quillspark import session
 from quillspark.llm import fingerprint, graph, line_dedup, ngram_join, packing, pieces, quality, sharding, substring_index, suffix_dedup, topk, windows
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, rank int, canonical_id long, key string"
@@ -136,6 +137,19 @@ def test_components(spark):
     assert all(got.get(i, i) == find(i) for i in up)
 
 
+def test_few_edges_are_joined_without_rounds(spark, monkeypatch):
+    monkeypatch.setattr(graph, "_large_star", lambda edges: pytest.fail("a round for a few edges"))
+    path = [(i + 1, i) for i in range(300)] + [(1001, 1000), (1002, 1000), (1002, 1001)]
+    got = {r.id: r.root for r in graph.components(spark.createDataFrame(path, "a long, b long").repartition(16)).collect()}
+    assert got == {**dict.fromkeys(range(301), 0), 1000: 1000, 1001: 1000, 1002: 1000}
+
+
+def test_few_rows_are_read_by_few_tasks(spark):
+    df = session.sized(spark.range(100).repartition(64, "id"))
+    assert df.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism and df.count() == 100
+    assert session.sized(spark.range(100).repartition(8, "id"), 99).count() == 100
+
+
 def test_components_in_few_rounds(spark, monkeypatch):
     """What tasks join by themselves takes no round, and rounds end as soon as all are stars: the driver keeps something of every job."""
     rounds, large_star = [], graph._large_star
