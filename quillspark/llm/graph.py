@@ -22,7 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
     see. In a round each vertex's smallest neighbour falls somewhere, or all are stars; then no round follows. As soon as all edges that are
     left have at most AT_ONCE vertices, one task joins them and no round follows either; more are never gathered. Every round is cut with a checkpoint.
 
-    edges are read once, and before this returns.
+    edges are read once, and before this returns. Few vertices are marked for broadcast.
     """
     edges = durable(_joined(edges))
     while not (few := at_most(edges, AT_ONCE // 2)) and not _settled(edges):
@@ -31,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
         edges = durable(_joined(edges.coalesce(1)))
     children = edges.select(F.col("a").alias("id"), F.col("b").alias("root")).distinct()
     roots = edges.select("b").distinct().select(F.col("b").alias("id"), F.col("b").alias("root"))
-    return children.unionAll(roots)
+    found = children.unionAll(roots)
+    return F.broadcast(found) if few else found
 
 
 def _joined(edges: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from xxhash import xxh3_64_intdigest
 
 from quillspark.llm.graph import components
 from quillspark.llm.text import documents_of, shingle_sets
-from quillspark.session import durable, sized
+from quillspark.session import durable, sized, together
 
 #: log2 of the sketch's cells, and cells that travel in a row: the sketch is 4 MB however large the input is.
 CELLS, TOGETHER = 20, 1024
@@ -365,9 +365,9 @@ def _full_sets(texts: DataFrame, words: int, lower: bool) -> DataFrame:
                 new = [i for i, r in enumerate(rows) if not (r[0] in seen or seen.add(r[0]))]
                 blobs = [blobs[i].lower() if lower else blobs[i] for i in new]
                 c = list(zip(*[(*rows[i], s.tobytes()) for i, s in zip(new, shingle_sets(blobs, words), strict=True)], strict=True)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:4]), pa.array(c[4], pa.binary())], names=["set_id", "comp", "members", "weight", "grams"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in c[:4]), pa.array(c[4], pa.binary())], names=["set_id", "comp", "members", "pivot", "grams"])
 
-    return texts.mapInArrow(run, "set_id long, comp long, members long, weight long, grams binary")
+    return texts.mapInArrow(run, "set_id long, comp long, members long, pivot long, grams binary")
 
 
 def _arrays(rows: pd.DataFrame) -> list[np.ndarray]:
@@ -400,10 +400,8 @@ def _large_groups(sets: DataFrame, percent: int) -> DataFrame:
     """Links within groups of more sets: a pivot's star, then those outside it against all, in blocks."""
     parts = F.ceil(F.col("members") / BLOCK)
     rows = sets.withColumn("part", _spread("set_id", parts))
-    pivot = sets.groupBy("comp").agg(F.max(F.struct("weight", "set_id"))["set_id"].alias("set_id"))
-    pivot = sets.join(pivot, ["comp", "set_id"], "left_semi").select("comp", "members", F.col("set_id").alias("pivot"), F.col("grams").alias("pivot_grams"))
-    asked = pivot.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    asked = asked.select("comp", "part", F.col("pivot").alias("set_id"), F.col("pivot_grams").alias("grams"), F.lit(True).alias("is_pivot"))
+    asked = sets.where("set_id = pivot").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    asked = asked.select("comp", "part", "set_id", "grams", F.lit(True).alias("is_pivot"))
     rows = rows.select("comp", "part", "set_id", "grams", F.lit(False).alias("is_pivot")).unionByName(asked)
 
     def star(rows: pd.DataFrame) -> pd.DataFrame:
@@ -415,13 +413,12 @@ def _large_groups(sets: DataFrame, percent: int) -> DataFrame:
             place[place == len(center)] = 0
             both = int(np.count_nonzero(center[place] == g))
             found.append(100 * both >= percent * (len(center) + len(g) - both))
-        out = pd.DataFrame({"set_id": rows["set_id"], "pivot": rows.loc[is_pivot, "set_id"].iloc[0], "linked": found})
+        out = pd.DataFrame({"comp": rows["comp"], "set_id": rows["set_id"], "pivot": rows.loc[is_pivot, "set_id"].iloc[0], "linked": found})
         return out[~is_pivot]
 
-    stars = durable(rows.groupBy("comp", "part").applyInPandas(star, "set_id long, pivot long, linked boolean"))
-    inside = sets.join(stars, "set_id")
-    outside = inside.groupBy("comp").agg(F.count_if(~F.col("linked")).alias("outside"))
-    inside = inside.join(outside, "comp").where("outside > 0")
+    stars = together(rows.groupBy("comp", "part").applyInPandas(star, "comp long, set_id long, pivot long, linked boolean"))
+    outside = stars.groupBy("comp").agg(F.count_if(~F.col("linked")).alias("outside")).where("outside > 0")
+    inside = sets.drop("pivot").join(sized(stars.join(outside, "comp").drop("comp").distinct()), "set_id")
     asks, holds = F.ceil(F.col("outside") / BLOCK), F.ceil(F.col("members") / BLOCK)
     columns = ["comp", "i", "j", "set_id", "grams", "pivot", "linked", "asking"]
     left = inside.where(~F.col("linked")).withColumn("i", _spread("set_id", asks)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), holds - 1))).withColumn("asking", F.lit(True))
@@ -452,23 +449,25 @@ def _classes(docs: DataFrame, words: int, percent: int, lower: bool) -> DataFram
     rare, often = near.join(many, "token", "left_anti"), near.join(many, "token", "left_semi")
     groups = components(_links_by_sketch(rare, classes.select("set_id", "bits"), percent).unionAll(_stars(often, percent)))
     groups = groups.select(F.col("id").alias("set_id"), F.col("root").alias("comp"))
-    weights = durable(near.groupBy("set_id").agg(F.count("*").alias("weight")))
+    weights = near.groupBy("set_id").agg(F.count("*").alias("weight"))
+    met = together(weights.join(groups, "set_id").join(classes.select("set_id", "rep", "n"), "set_id"))
     near.unpersist()
 
-    members = groups.groupBy("comp").agg(F.count("*").alias("members"))
-    wanted = sized(groups.join(members, "comp").join(weights, "set_id").join(classes.select("set_id", "rep", "n"), "set_id").select("set_id", "comp", "members", "weight", "n", "rep.*"))
+    members = met.groupBy("comp").agg(F.count("*").alias("members"), F.max(F.struct("weight", "set_id"))["set_id"].alias("pivot"))
+    wanted = sized(met.join(members, "comp").select("set_id", "comp", "members", "pivot", "n", "rep.*"))
     grams = wanted.where(F.col("members") <= BLOCK).agg(F.sum("n")).first()[0] or 0
-    sets = _full_sets(texts.join(wanted, ["doc_id", "copy"]).select("set_id", "comp", "members", "weight", "text"), words, lower)
+    sets = _full_sets(texts.join(wanted, ["doc_id", "copy"]).select("set_id", "comp", "members", "pivot", "text"), words, lower)
     sets = sets.persist(StorageLevel.MEMORY_AND_DISK)
     links = _small_groups(sets.where(F.col("members") <= BLOCK), percent, grams).unionAll(_large_groups(sets.where(F.col("members") > BLOCK), percent))
     roots = components(links).select(F.col("id").alias("set_id"), "root")
     sets.unpersist()
     sketch.unpersist()
 
-    sets_of = classes.select("set_id", "rep").join(roots, "set_id", "left").select("set_id", "rep", F.coalesce("root", "set_id").alias("root"))
-    smallest = sets_of.groupBy("root").agg(F.min("rep").alias("first"))
-    class_of = durable(sets_of.join(smallest, "root").select("set_id", "first"))
-    some = own.where("n > 0").join(class_of, "set_id").select("doc_id", "copy", F.col("n").alias("n_shingles"), "first")
+    linked = together(classes.select("set_id", "rep").join(roots, "set_id"))
+    smallest = linked.groupBy("root").agg(F.min("rep").alias("first"))
+    class_of = sized(linked.join(smallest, "root").select("set_id", "first"))
+    some = own.where("n > 0").join(classes.select("set_id", "rep"), "set_id").join(class_of, "set_id", "left")
+    some = some.select("doc_id", "copy", F.col("n").alias("n_shingles"), F.coalesce("first", "rep").alias("first"))
     return some.unionAll(own.where("n = 0").select("doc_id", "copy", F.col("n").alias("n_shingles"), me.alias("first")))
 
 
