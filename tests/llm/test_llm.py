@@ -150,6 +150,14 @@ def test_few_rows_are_read_by_few_tasks(spark):
     assert session.sized(spark.range(100).repartition(8, "id"), 99).count() == 100
 
 
+def test_few_rows_are_grouped_without_exchange(spark, monkeypatch):
+    df = session.together(spark.range(100).repartition(64, "id"))
+    assert df.groupBy("id").count().join(df, "id").count() == 100
+    assert df.rdd.getNumPartitions() == 1
+    monkeypatch.setattr(session, "TASK_ROWS", 99)
+    assert session.together(spark.range(100).repartition(8, "id")).rdd.getNumPartitions() > 1
+
+
 def test_components_in_few_rounds(spark, monkeypatch):
     """What tasks join by themselves takes no round, and rounds end as soon as all are stars: the driver keeps something of every job."""
     rounds, large_star = [], graph._large_star
